@@ -28,5 +28,38 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op5_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import decode, encode
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    both = decode(encode(table(spark, sf_dir, "documents"), path), path, keep_ids=True)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages"))).drop("url")
+
+
+#: Base32 of the SHA-1: 32 groups of 5 bits, each within three hexadecimal digits.
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) || '00' AS hex FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((
+      ((strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 1 AS INTEGER), 1)) - 1) * 256
+      + (strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 2 AS INTEGER), 1)) - 1) * 16
+      + (strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 3 AS INTEGER), 1)) - 1)) >> CAST(7 - (5 * i) % 4 AS INTEGER)) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest
+  FROM p
+), m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to
+FROM m
+"""
+
+QUERIES = {f.__name__: f for f in (op3_token_files, op5_packing, op7_bpe, op10_warc)}
+ORACLE_SQL: dict[str, str] = {"op10_warc": OP10_SQL}

@@ -20,7 +20,6 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MARK = b"\x01"
 #: Chunks in one call to the library; chunks, and their ids, that a process keeps.
 TOGETHER, KEPT, KEPT_IDS = 128, 2_000_000, 16_000_000
-SPECIAL = b"<|"
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -51,33 +50,25 @@ def cut_chunks(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, marks[np.searchsorted(marks, starts, side="right")]
 
 
-class ChunkEncoder:
-    """encode(bytes, offsets) gives the ids that the library gives for each whole text, as one array, and their counts."""
+class ChunkCache:
+    """encode(bytes, offsets) gives the ids of whole texts, as one array, and their counts; each distinct chunk is
+    encoded once a process. Subclasses say where chunks are cut and what ids new chunks have."""
 
     _own: dict = {}
 
     @classmethod
-    def of(cls, path: str) -> "ChunkEncoder":
-        """The process's encoder for this file; executors reuse their Python workers."""
-        if path not in cls._own:
-            cls._own[path] = cls(path)
-        return cls._own[path]
+    def of(cls, path: str):
+        """The process's codec for this file; executors reuse their Python workers."""
+        if (cls, path) not in ChunkCache._own:
+            ChunkCache._own[cls, path] = cls(path)
+        return ChunkCache._own[cls, path]
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        mark = self._ids(f" {MARK.decode()} ")
-        if len(mark) != 1 or self._ids("ab \n cd, e.F") != sum(map(self._ids, ("ab", "cd", ",", "e", ".F")), []):
-            raise ValueError(f"{path}: not a tokenizer that drops white space")
-        self.mark = mark[0]
-        self._clear()
+    def cut(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def ids_of(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks, one after another, and their counts."""
+        raise NotImplementedError
 
     def _clear(self) -> None:
         self.known = np.zeros(0, np.uint64)
@@ -85,26 +76,6 @@ class ChunkEncoder:
         self.starts, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def _library(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the chunks, one after another, and their counts."""
-        plain = np.array([MARK not in c for c in chunks], dtype=bool)
-        easy = [c.decode() for c, p in zip(chunks, plain) if p]
-        sep, parts, counts = f" {MARK.decode()} ", {}, np.zeros(len(chunks), np.int64)
-        flat = [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([sep.join(easy[i : i + TOGETHER]) + sep for i in range(0, len(easy), TOGETHER)], add_special_tokens=False)] if easy else []
-        flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-        cut = np.flatnonzero(flat == self.mark)
-        if len(cut) != len(easy):
-            raise ValueError("the tokenizer joined a mark with its neighbours")
-        counts[plain] = np.diff(cut, prepend=-1) - 1
-        if len(easy) == len(chunks):
-            return flat[flat != self.mark], counts
-        for i in np.flatnonzero(~plain):
-            parts[i] = np.asarray(self._ids(chunks[i].decode()), np.int32)
-            counts[i] = len(parts[i])
-        flat, ends = flat[flat != self.mark], np.cumsum(np.where(plain, counts, 0))
-        pieces = [parts[i] if i in parts else flat[ends[i] - counts[i] : ends[i]] for i in range(len(chunks))]
-        return np.concatenate(pieces), counts
-
     def _slots(self, hashes: np.ndarray, chunk) -> np.ndarray:
         """Where the ids of each distinct hash are kept; chunk(i) gives the bytes of the i-th."""
         slots = self.index.get_indexer(hashes)
@@ -114,7 +85,7 @@ class ChunkEncoder:
         if len(self.known) + len(new) > KEPT or self.used > KEPT_IDS:
             self._clear()
             slots, new = np.full(len(hashes), -1), np.arange(len(hashes))
-        ids, counts = self._library([chunk(i) for i in new])
+        ids, counts = self.ids_of([chunk(i) for i in new])
         n = len(self.known)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
@@ -134,7 +105,7 @@ class ChunkEncoder:
         counts = np.zeros(len(offsets) - 1, np.int64)
         if not len(buf):
             return np.zeros(0, np.int32), counts
-        starts, ends = cut_chunks(buf, offsets)
+        starts, ends = self.cut(buf, offsets)
         hashes = run_hashes(buf, starts, ends)
         codes, distinct = pd.factorize(hashes)
         where = np.zeros(len(distinct), np.int64)
@@ -151,3 +122,45 @@ class ChunkEncoder:
         """(first document, last document, ids, counts) of slices of about ``most`` bytes."""
         for a, b in doc_slices(offsets, most):
             yield a, b, *self.encode(buf, offsets[a : b + 1])
+
+
+class ChunkEncoder(ChunkCache):
+    """The ids that the tokenizers library gives for each whole text."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        mark = self._ids(f" {MARK.decode()} ")
+        if len(mark) != 1 or self._ids("ab \n cd, e.F") != sum(map(self._ids, ("ab", "cd", ",", "e", ".F")), []):
+            raise ValueError(f"{path}: not a tokenizer that drops white space")
+        self.mark = mark[0]
+        self._clear()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def cut(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return cut_chunks(buf, offsets)
+
+    def ids_of(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.array([MARK not in c for c in chunks], dtype=bool)
+        easy = [c.decode() for c, p in zip(chunks, plain) if p]
+        sep, parts, counts = f" {MARK.decode()} ", {}, np.zeros(len(chunks), np.int64)
+        flat = [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([sep.join(easy[i : i + TOGETHER]) + sep for i in range(0, len(easy), TOGETHER)], add_special_tokens=False)] if easy else []
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        cut = np.flatnonzero(flat == self.mark)
+        if len(cut) != len(easy):
+            raise ValueError("the tokenizer joined a mark with its neighbours")
+        counts[plain] = np.diff(cut, prepend=-1) - 1
+        if len(easy) == len(chunks):
+            return flat[flat != self.mark], counts
+        for i in np.flatnonzero(~plain):
+            parts[i] = np.asarray(self._ids(chunks[i].decode()), np.int32)
+            counts[i] = len(parts[i])
+        flat, ends = flat[flat != self.mark], np.cumsum(np.where(plain, counts, 0))
+        pieces = [parts[i] if i in parts else flat[ends[i] - counts[i] : ends[i]] for i in range(len(chunks))]
+        return np.concatenate(pieces), counts
