@@ -21,6 +21,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files, digest=True)
 
 
+def held_out():
+    """Documents never learned from: crc32 of doc_id as text, modulo 5, is 0."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"), held_out())
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -67,5 +78,5 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM m
 """
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op5_packing, op7_bpe, op9_token_counts, op10_warc)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_language, op5_packing, op7_bpe, op9_token_counts, op10_warc)}
 ORACLE_SQL: dict[str, str] = {"op10_warc": OP10_SQL}
