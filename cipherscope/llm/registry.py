@@ -14,6 +14,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_spans, repeated_spans
+
+    docs = table(spark, sf_dir, "documents")
+    rest = remove_spans(docs, repeated_spans(docs, length=100))
+    return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -78,5 +86,5 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM m
 """
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_language, op5_packing, op7_bpe, op9_token_counts, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_repeats, op3_token_files, op4_language, op5_packing, op7_bpe, op9_token_counts, op10_warc)}
 ORACLE_SQL: dict[str, str] = {"op10_warc": OP10_SQL}
