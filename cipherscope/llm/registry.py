@@ -14,6 +14,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_spans, repeated_spans
 
@@ -86,5 +92,5 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM m
 """
 
-QUERIES = {f.__name__: f for f in (op2_repeats, op3_token_files, op4_language, op5_packing, op7_bpe, op9_token_counts, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_repeats, op3_token_files, op4_language, op5_packing, op7_bpe, op9_token_counts, op10_warc)}
 ORACLE_SQL: dict[str, str] = {"op10_warc": OP10_SQL}
