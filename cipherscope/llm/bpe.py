@@ -212,3 +212,17 @@ def decode(encoded: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFr
                 first = last
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string" + (", ids array<int>" if keep_ids else ""))
+
+
+def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, ids and their decoded text of every document, in one Python pass: one codec an executor core."""
+
+    def run(batches):
+        codec = BytePairCodec.of(tokenizer)
+        for batch in batches:
+            buf, offsets = text_bytes(batch.column(1))
+            for a, b, ids, counts in codec.encode_all(buf, offsets, 2 << 20):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, pa.array(codec.decode(ids, counts), pa.string())], ["doc_id", "ids", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, text string")

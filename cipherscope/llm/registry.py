@@ -54,10 +54,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import decode, encode
+    from .bpe import round_trip
 
     path = tokenizer_path("byte_bpe_50k.json")
-    both = decode(encode(table(spark, sf_dir, "documents"), path), path, keep_ids=True)
+    both = round_trip(table(spark, sf_dir, "documents"), path)
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Stands between chunks that are encoded in one call; chunks that hold it go alone.
 MARK = b"\x01"
 #: Chunks in one call to the library; chunks, and their ids, that a process keeps.
-TOGETHER, KEPT, KEPT_IDS = 128, 2_000_000, 16_000_000
+TOGETHER, KEPT, KEPT_IDS = 128, 1_000_000, 8_000_000
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from .scan import doc_slices, run_hashes, text_bytes
 #: Parameters of the piece law: log p(rank) = -log(rank + SHIFT) - log Z; a byte of an unknown character is much rarer.
 SHIFT, UNKNOWN = 2.7, -20.0
 #: Distinct pre-tokens whose counts a process keeps.
-KEPT = 2_000_000
+KEPT = 1_000_000
 MARK = "▁"
 
 
