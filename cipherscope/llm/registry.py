@@ -53,6 +53,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
@@ -62,6 +68,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .trie_counts import token_counts
 
@@ -92,5 +105,5 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM m
 """
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_repeats, op3_token_files, op4_language, op5_packing, op7_bpe, op9_token_counts, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_repeats, op3_token_files, op4_language, op5_packing, op6_vector_dedup, op7_bpe, op8_nearest, op9_token_counts, op10_warc)}
 ORACLE_SQL: dict[str, str] = {"op10_warc": OP10_SQL}
