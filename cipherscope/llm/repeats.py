@@ -239,7 +239,8 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the remaining bytes as ``kept`` (binary), and columns named in ``keep``."""
+    """doc_id, n_bytes, n_removed, n_spans, the remaining bytes as ``kept`` (binary) and as ``rest`` (string, without
+    characters that a span cut in two), and the columns named in ``keep``."""
     keep = keep or []
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _key().alias("doc"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     rows = rows.join(spans, "doc", "left").drop("doc")
@@ -261,9 +262,9 @@ def remove_spans(docs: DataFrame, spans: DataFrame, keep: list[str] | None = Non
             cols = list(zip(*out)) or [(), (), (), ()]
             rest = [batch.column(c) for c in range(2, len(batch.columns)) if c != at]
             names = [n for n in batch.schema.names[2:] if n != "spans"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), *rest], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in cols[3]], pa.string()), *rest], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest", *names])
 
     tail = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name.startswith("kept_"))
     kind = dict(docs.dtypes)["doc_id"]
-    out = rows.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary{tail}")
+    out = rows.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, rest string{tail}")
     return out.withColumnsRenamed({f"kept_{i}": c for i, c in enumerate(keep)})
