@@ -1,5 +1,62 @@
-"""placeholder until the stages exist"""
+"""A training corpus from the table documents: language ID, near-duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a DataFrame; ``run`` writes
+each as Parquet in the shared folder and reads it back as the next one's docs. All but the last return the columns of
+documents. No SQL expresses them; tests hold each stage against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cipherscope import ship
+from cipherscope.llm.common import stage, table
+from cipherscope.llm.jaccard import NONE, jaccard_components
+from cipherscope.llm.langid import UND, identify
+from cipherscope.llm.packing import pack
+from cipherscope.llm.registry import held_out, tokenizer_path
+from cipherscope.llm.repeats import remove_spans, repeated_spans
+
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without words of a learned language (a null text, or no letters)."""
+    columns = [c for c in docs.columns if c != "doc_id"]
+    return identify(docs, held_out(), keep=columns).where(F.col("lang_pred") != UND).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of texts that five-word shingles link, and one row of it."""
+    keep = jaccard_components(docs).where("doc = component").select("doc").distinct()
+    rows = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))).join(keep, "doc", "left_semi")
+    first = Window.partitionBy("doc").orderBy(F.col("text").asc_nulls_last())
+    return rows.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out strings of 100 bytes that stand earlier too; a document of which nothing but blanks is left goes."""
+    columns = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    rest = remove_spans(docs, repeated_spans(docs), keep=columns)
+    rest = rest.where((F.col("n_removed") == 0) | F.col("rest").rlike(r"\S"))
+    return rest.select("doc_id", F.col("rest").alias("text"), *columns, F.length("rest").cast("long").alias("n_chars")).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens, every source at its share of the corpus."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+def _shipped(step):
+    return lambda spark, docs, sf_dir: step(ship(spark), docs, sf_dir)
+
+
+STAGES = [(f.__name__, _shipped(f)) for f in (language, near_duplicates, repeats, packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
