@@ -33,6 +33,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: ``df`` as a written table in the shared folder, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
+    release(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

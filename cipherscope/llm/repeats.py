@@ -11,12 +11,12 @@ a run of neighbouring strings. Spark sorts anchors by q-gram bucket and then by
 
 * anchors alone in their q-gram bucket are done: their strings are unique;
 * anchors equal to an earlier one over their whole run are repeats altogether;
-* the first of each class goes on if its bucket holds other classes: its strings are refined to full depth one by one,
-  and sorted on their identifiers (a passage's edges, where runs differ).
+* the first of each class goes on if its bucket holds other classes (a passage's edges, where runs differ): it is split
+  into blocks of WIDTHS neighbours, aligned at the anchor, which are sorted in turn, in buckets of what all strings of
+  the block share. At width 1 that is the whole string, and nothing is left open.
 
 Before each sort a task keeps only the first of equal anchors or strings among its own rows and reports the others as
-repeats, so a bucket brings a sort at most a few rows a task, however many copies it has. Equal strings need a text
-pass for anchors, one for the runs that go on, one for the result.
+repeats, so a bucket brings a sort at most a few rows a task, however many copies it has.
 
 Positions count bytes of UTF-8. Defined results: a null text is empty; texts shorter than ``length`` have no repeats; a
 null doc_id sorts before all others; rows that share a doc_id share the spans found in any of them, clipped to their
@@ -26,6 +26,8 @@ ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -40,7 +42,8 @@ _RNG = np.random.default_rng(77)
 BYTE2 = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 C1, C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 SPAN = 16  # bits of a packed place below its start: 8 for the strings of a run less one, 8 for the anchor's offset
-KEY = "doc long, start long, stop long"
+#: Neighbouring strings in a block, from level to level.
+WIDTHS = (16, 1)
 
 
 def grams(buf: np.ndarray, q: int, second: bool = False) -> np.ndarray:
@@ -136,6 +139,59 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+def blocks(buf: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start: np.ndarray, last: np.ndarray, offset: np.ndarray, width: int, length: int):
+    """Splits runs (document, first and last string, the first one's distance to its anchor) into blocks of ``width``
+    neighbours, aligned at the anchor, as rows like those of ``anchors``. A block's bucket is what all its strings share."""
+    n = last - start + 1
+    at, run = ragged(start, n), np.repeat(np.arange(len(n)), n)
+    here = offsets[doc[run]] + at
+    ok = here + length <= offsets[doc[run] + 1]  # another text of the same doc_id may be shorter
+    at, run, here = at[ok], run[ok], here[ok]
+    if not len(at):
+        return None
+    k = offset[run] + start[run] - at
+    block = k // width
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (run[1:] != run[:-1]) | (block[1:] != block[:-1])
+    first = np.flatnonzero(fresh)
+    end = np.append(first[1:], len(at)) - 1
+    shared = identifiers(buf, length - width + 1)[here[first] + k[first] - block[first] * width]
+    ids = identifiers(buf, length, second=True)
+    span = end - first
+    name = mix(ids[here[first]] * C1 + (ids[here[end]] ^ C2)) + (span * 256 + k[first]).astype(np.uint64)
+    return mix(shared + block[first].astype(np.uint64)), mix(name), doc[run[first]], at[first], span, k[first]
+
+
+def _emit(bucket, run, doc, start, span, offset, length: int):
+    """Rows for a sort: the first of equal runs, and the others' bytes as ranges, in buckets of their own."""
+    first = firsts([bucket, run], doc, start)
+    place = (start << SPAN) | (span << 8) | offset
+    names = ["bucket", "run", "doc", "place"]
+    yield pa.RecordBatch.from_arrays([signed(bucket[first]), signed(run[first]), pa.array(doc[first]), pa.array(place[first])], names)
+    again = ~first
+    d, s, e = merged(doc[again], start[again], (start + span)[again] + length)
+    # A range: place is -1 - start, run its stop.
+    yield pa.RecordBatch.from_arrays([signed(mix(d.astype(np.uint64) * C1 + s.astype(np.uint64))), pa.array(e), pa.array(d), pa.array(-1 - s)], names)
+
+
+def _sift(rows: DataFrame, length: int) -> DataFrame:
+    """Sorts buckets by run: doc, start, stop, offset, open. Closed rows are ranges of repeated bytes; open ones are runs
+    (first and last string) that are the first of their kind in a bucket with others."""
+    order = Window.partitionBy("bucket").orderBy("run", "doc", "place")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select("*", F.lag("run").over(order).alias("before"), F.first("run").over(whole).alias("low"), F.last("run").over(whole).alias("high"))
+    start = F.shiftright("place", SPAN)
+    strings = F.shiftright("place", 8).bitwiseAND(255)
+    is_range, is_again = F.col("place") < 0, F.coalesce(F.col("before") == F.col("run"), F.lit(False))
+    return rows.where(is_range | is_again | (F.col("low") != F.col("high"))).select(
+        "doc",
+        F.when(is_range, -1 - F.col("place")).otherwise(start).alias("start"),
+        F.when(is_range, F.col("run")).when(is_again, start + strings + length).otherwise(start + strings).alias("stop"),
+        F.col("place").bitwiseAND(255).alias("offset"),
+        (~is_range & ~is_again).alias("open"),
+    )
+
+
 def _key():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
 
@@ -156,72 +212,37 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
                 lo, hi = offsets[a], offsets[b]
                 if (got := anchors(buf[lo:hi], offsets[a : b + 1] - lo, length)) is not None:
                     parts.append((*got[:2], key[a:b][got[2]], *got[3:]))
-            if not parts:
-                continue
-            bucket, run, doc, start, span, offset = map(np.concatenate, zip(*parts))
-            del parts
-            first = firsts([bucket, run], doc, start)
-            place = (start << SPAN) | (span << 8) | offset
-            yield pa.RecordBatch.from_arrays([signed(bucket[first]), signed(run[first]), pa.array(doc[first]), pa.array(place[first])], ["bucket", "run", "doc", "place"])
-            again = ~first
-            d, s, e = merged(doc[again], start[again], (start + span)[again] + length)
-            # A range: place is -1 - start, run its stop; it passes the sort in a bucket of its own.
-            yield pa.RecordBatch.from_arrays([signed(mix(d.astype(np.uint64) * C1 + s.astype(np.uint64))), pa.array(e), pa.array(d), pa.array(-1 - s)], ["bucket", "run", "doc", "place"])
-
-    rows = texts.mapInArrow(find, "bucket long, run long, doc long, place long")
-    order = Window.partitionBy("bucket").orderBy("run", "doc", "place")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.select("*", F.lag("run").over(order).alias("before"), F.first("run").over(whole).alias("low"), F.last("run").over(whole).alias("high"))
-    start = F.shiftright("place", SPAN)
-    strings = F.shiftright("place", 8).bitwiseAND(255)
-    is_range, is_again = F.col("place") < 0, F.coalesce(F.col("before") == F.col("run"), F.lit(False))
-    rows = rows.where(is_range | is_again | (F.col("low") != F.col("high")))
-    rows = rows.select(
-        "doc",
-        F.when(is_range, -1 - F.col("place")).otherwise(start).alias("start"),
-        F.when(is_range, F.col("run")).when(is_again, start + strings + length).otherwise(start + strings).alias("stop"),
-        (~is_range & ~is_again).alias("open"),
-    )
-    rows = stage(rows, "repeat-anchors")
-
-    def strings_of(batches):
-        for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            buf, offsets = text_bytes(batch.column(1))
-            runs = batch.column(2)
-            counts = runs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            inner = runs.flatten()
-            lo, hi = (inner.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            edge = np.concatenate([[0], np.cumsum(counts)])
-            parts = []
-            for a, b in doc_slices(offsets, SLICE_BYTES // 2):
-                own = buf[offsets[a] : offsets[b]]
-                one, two = identifiers(own, length), identifiers(own, length, second=True)
-                first, last = lo[edge[a] : edge[b]], hi[edge[a] : edge[b]]
-                row = np.repeat(np.arange(a, b), counts[a:b])
-                n = last - first + 1
-                at, row = ragged(first, n), np.repeat(row, n)
-                ok = offsets[row] + at + length <= offsets[row + 1]  # another text of the same doc_id may be shorter
-                at, row = at[ok], row[ok]
-                here = offsets[row] + at - offsets[a]
-                parts.append((one[here], two[here], key[row], at))
-            if not parts:
-                continue
-            one, two, doc, at = map(np.concatenate, zip(*parts))
-            del parts
-            first = firsts([one, two], doc, at)
-            yield pa.RecordBatch.from_arrays([signed(one[first]), signed(two[first]), pa.array(doc[first]), pa.array(at[first])], ["one", "two", "doc", "place"])
-            again = ~first
-            d, s, e = merged(doc[again], at[again], at[again] + length)
-            yield pa.RecordBatch.from_arrays([signed(mix(d.astype(np.uint64) * C1 + s.astype(np.uint64))), pa.array(e), pa.array(d), pa.array(-1 - s)], ["one", "two", "doc", "place"])
-
-    runs = rows.where("open").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))  # of one document
-    fine = texts.join(runs, "doc").select("doc", "text", "runs").mapInArrow(strings_of, "one long, two long, doc long, place long")
-    equal = Window.partitionBy("one", "two").orderBy("doc", "place")
-    is_range = F.col("place") < 0
-    fine = fine.select("*", F.lag("doc").over(equal).alias("before")).where(is_range | F.col("before").isNotNull())
-    fine = fine.select("doc", F.when(is_range, -1 - F.col("place")).otherwise(F.col("place")).alias("start"), F.when(is_range, F.col("two")).otherwise(F.col("place") + length).alias("stop"))
-    fine = stage(fine, "repeat-strings")
+            if parts:
+                yield from _emit(*map(np.concatenate, zip(*parts)), length)
+
+    def split(width):
+        def run(batches):
+            for batch in batches:
+                key = batch.column(0).to_numpy(zero_copy_only=False)
+                buf, offsets = text_bytes(batch.column(1))
+                runs = batch.column(2)
+                counts = runs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                inner = runs.flatten()
+                fields = [inner.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                edge = np.concatenate([[0], np.cumsum(counts)])
+                parts = []
+                for a, b in doc_slices(offsets, SLICE_BYTES // 2):
+                    lo, hi = offsets[a], offsets[b]
+                    row = np.repeat(np.arange(b - a), counts[a:b])
+                    got = blocks(buf[lo:hi], offsets[a : b + 1] - lo, row, *(f[edge[a] : edge[b]] for f in fields), width, length)
+                    if got is not None:
+                        parts.append((*got[:2], key[a:b][got[2]], *got[3:]))
+                if parts:
+                    yield from _emit(*map(np.concatenate, zip(*parts)), length)
+
+        return run
+
+    schema = "bucket long, run long, doc long, place long"
+    sifted = [stage(_sift(texts.mapInArrow(find, schema), length), "repeat-anchors")]
+    for width in WIDTHS:
+        runs = sifted[-1].where("open").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "offset"))).alias("runs"))  # of one document
+        finer = texts.join(runs, "doc").select("doc", "text", "runs").mapInArrow(split(width), schema)
+        sifted.append(stage(_sift(finer, length), f"repeat-blocks-{width}"))
 
     def join_up(batches):
         for batch in batches:
@@ -233,7 +254,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(len(counts) + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(s), pa.array(e)], ["start", "stop"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc", "spans"])
 
-    ranges = rows.where("NOT open").select("doc", "start", "stop").unionByName(fine)
+    ranges = reduce(DataFrame.unionByName, (x.where("NOT open").select("doc", "start", "stop") for x in sifted))
     ranges = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))  # of one document
     return ranges.mapInArrow(join_up, "doc long, spans array<struct<start: long, stop: long>>")
 
