@@ -14,7 +14,7 @@ Links are verified once a pair, in two waves, so that a large group of near copi
 
 Pairs are dropped by length (sizes), by place (what can still match behind and before the shared shingle), and by a
 suffix bound (both sets partitioned by hash value: their counts differ by less than the allowed difference), before sets
-are intersected. Sets come from the whole texts of the documents that met somebody.
+are intersected. Sets are made from whole texts.
 
 Words are runs of other than space and \\x09-\\x0D, A-Z lower-cased; fewer words than a shingle count as one shingle.
 Defined results: a null text or one without words has an empty set, links with nothing; a null doc_id sorts first (a
@@ -119,18 +119,31 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
+def _sets(ids: np.ndarray, column, words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets of the distinct ids' texts, and which of them each row has."""
+    _, first, row = np.unique(ids, return_index=True, return_inverse=True)
+    buf, offsets = text_bytes(column.take(pa.array(first)))
+    sets = []
+    for a, b in doc_slices(offsets, SLICE_BYTES):
+        sets += shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+    return sets, row
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Texts travel, not sets: they are smaller and their sets quickly made."""
 
     def check(batches):
-        for batch in batches:
-            a, b, x, y = (c for c in batch.columns)
-            ok = [similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent) for i in range(batch.num_rows)]
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
+                a, b = batch.column(0), batch.column(1)
+                x, at_x = _sets(a.to_numpy(), batch.column(2), words)
+                y, at_y = _sets(b.to_numpy(), batch.column(3), words)
+                keep = pa.array([similar(x[p], y[q], percent) for p, q in zip(at_x, at_y)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+    left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
 
 
 def _size(pack):
@@ -200,25 +213,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     met = entries.select("*", F.first("doc").over(bucket).alias("pivot"), F.first("pack").over(bucket).alias("pivot_pack"), F.lag("doc").over(bucket).alias("last"), F.lead("doc").over(bucket).alias("next"))
     met = stage(met.where("last IS NOT NULL OR next IS NOT NULL").drop("last", "next"), "jaccard-entries")
 
-    # The sets of classes that met somebody.
     classes = members.select("doc", "class").distinct()
-    involved = met.select("doc").distinct().join(classes, "doc").select(F.col("class").alias("doc")).distinct()
-
-    def sets_of(batches):
-        for batch in batches:
-            buf, offsets = text_bytes(batch.column(1))
-            for a, b in doc_slices(offsets, SLICE_BYTES):
-                sets = shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "shingles"])
-
-    sets = stage(texts.join(involved, "doc", "left_semi").mapInArrow(sets_of, "doc long, shingles binary"), "jaccard-sets")
-
     m, i, n, j = _size("pack"), _place("pack"), _size("pivot_pack"), _place("pivot_pack")
     pairs = met.where((F.col("doc") != F.col("pivot")) & _may_link(m, i, n, j, percent)).select("doc", "pivot").distinct()
     one, two = classes.toDF("doc", "x"), classes.toDF("pivot", "y")
     pairs = pairs.join(one, "doc").join(two, "pivot").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     compared = stage(pairs, "jaccard-pairs")
-    links = stage(_verify(compared, sets, percent), "jaccard-links")
+    links = stage(_verify(compared, texts, words, percent), "jaccard-links")
     twice = members.groupBy("doc").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("a", "b")
     first = components(links.union(twice))
 
@@ -236,7 +237,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     m, i, n, j = _size("pack_a"), _place("pack_a"), _size("pack_b"), _place("pack_b")
     rest = rest.where(_may_link(m, i, n, j, percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = stage(rest.join(compared, ["a", "b"], "left_anti"), "jaccard-rest")
-    more = stage(_verify(rest, sets, percent), "jaccard-links")
+    more = stage(_verify(rest, texts, words, percent), "jaccard-links")
     final = components(first.toDF("a", "b").union(more))
     out = members.join(final, members["class"] == final.node, "left")
     return out.select("doc", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component"))
