@@ -1,6 +1,6 @@
 """All registered queries of the cryptographic operators."""
 
-from . import queries_documents  # noqa: F401  registers its queries
+from . import queries_documents, queries_source  # noqa: F401  register their queries
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
