@@ -21,6 +21,11 @@ CARGO_SECTIONS = ["[dependencies]", "[dev-dependencies]", "[build-dependencies]"
 POM_FIELDS = ("groupId", "artifactId", "version")
 
 
+def strip(text):
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def lines(files: DataFrame) -> DataFrame:
     """path, line (from 1), text (without a carriage return) of files (path, content)."""
     text = F.posexplode(F.split("content", "\n")).alias("pos", "text")
@@ -34,16 +39,16 @@ def _carried(rows: DataFrame, name: str, value) -> DataFrame:
 
 
 def go_mod(files: DataFrame) -> DataFrame:
-    rows = lines(files).withColumn("t", F.trim(F.regexp_replace("text", "//.*$", "")))
+    rows = lines(files).withColumn("t", strip(F.regexp_replace("text", "//.*$", "")))
     opens, closes = F.col("t").rlike(r"^require\s*\($"), F.col("t") == ")"
     rows = _carried(rows, "inside", F.when(opens, True).when(closes, False))
     entry = F.when(F.coalesce("inside", F.lit(False)) & ~opens, F.col("t")).when(F.col("t").rlike(r"^require\s+[^(]"), F.regexp_replace("t", r"^require\s+", ""))
     parts = F.split(entry, r"\s+")
-    return rows.where(F.size(parts) >= 2).select("path", F.lit("Go").alias("ecosystem"), parts[0].alias("name"), parts[1].alias("version"), "line", F.trim("text").alias("snippet"))
+    return rows.where(F.size(parts) >= 2).select("path", F.lit("Go").alias("ecosystem"), parts[0].alias("name"), parts[1].alias("version"), "line", strip(F.col("text")).alias("snippet"))
 
 
 def cargo_toml(files: DataFrame) -> DataFrame:
-    rows = lines(files).withColumn("t", F.trim("text"))
+    rows = lines(files).withColumn("t", strip(F.col("text")))
     rows = _carried(rows, "section", F.when(F.col("t").startswith("["), F.col("t")))
     name = F.trim(F.trim(F.regexp_extract("t", r"^([^=]+)=", 1)), F.lit('"'))
     plain, inline = F.regexp_extract("t", r'^[^=]+=\s*"([^"]*)"', 1), F.regexp_extract("t", r'version\s*=\s*"([^"]*)"', 1)
@@ -53,12 +58,12 @@ def cargo_toml(files: DataFrame) -> DataFrame:
 
 def requirement(text):
     """(name, version) of a requirement: split at the first of = > < ~ !; the operator is dropped."""
-    clean = F.trim(F.regexp_replace(text, "#.*$", ""))
-    return F.trim(F.regexp_extract(clean, r"^([^=><~!]*)", 1)), F.trim(F.regexp_extract(clean, r"^[^=><~!]*[=><~!]+(.*)$", 1))
+    clean = strip(F.regexp_replace(text, "#.*$", ""))
+    return strip(F.regexp_extract(clean, r"^([^=><~!]*)", 1)), strip(F.regexp_extract(clean, r"^[^=><~!]*[=><~!]+(.*)$", 1))
 
 
 def requirements_txt(files: DataFrame) -> DataFrame:
-    rows = lines(files).withColumn("t", F.trim("text"))
+    rows = lines(files).withColumn("t", strip(F.col("text")))
     rows = rows.where((F.col("t") != "") & ~F.col("t").startswith("#") & ~F.col("t").startswith("-"))
     name, version = requirement(F.col("t"))
     return rows.select("path", F.lit("Python").alias("ecosystem"), name.alias("name"), version.alias("version"), "line", F.col("t").alias("snippet")).where("name <> ''")
@@ -154,7 +159,7 @@ def declared_versions(files: DataFrame) -> DataFrame:
     """path, manifest, field, version of the fields that floors watch."""
     name = F.element_at(F.split("path", "/"), -1)
     rows = lines(files.withColumn("manifest", name).select("path", "content"))
-    rows = rows.withColumn("manifest", F.element_at(F.split("path", "/"), -1)).withColumn("t", F.trim("text"))
+    rows = rows.withColumn("manifest", F.element_at(F.split("path", "/"), -1)).withColumn("t", strip(F.col("text")))
     go = F.regexp_extract("t", r"^go\s+(\S+)$", 1)
     java = F.regexp_extract("t", r"<maven\.compiler\.release>\s*([^<]+?)\s*<", 1)
     pin = F.regexp_extract("t", r"^cryptography\s*(?:>=|==|~=)\s*([0-9][^,;#\s]*)", 1)
