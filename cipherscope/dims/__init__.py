@@ -6,6 +6,7 @@ import csv
 from functools import cache
 from importlib import resources
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Severities from worst to best, with their ranks.
@@ -45,6 +46,16 @@ MANIFESTS = [("go.mod", "Go"), ("Cargo.toml", "Rust"), ("requirements.txt", "Pyt
 ALGORITHM_SCHEMA = "id string, display_name string, family string, primitive string, classical_security_bits int, nist_quantum_security_level int, quantum_status string, replacement string, fips string, oid string"
 
 
+_TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
+
+
+def local(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
+    """A small table as a local relation: the plan holds its rows, no job makes them."""
+    fields = [f.strip().split(" ", 1) for f in schema.split(", ")]
+    columns = list(zip(*values)) or [()] * len(fields)
+    return spark.createDataFrame(pa.table({n: pa.array(c, _TYPES[t]) for (n, t), c in zip(fields, columns)}))
+
+
 @cache
 def rows(name: str) -> list[dict]:
     """Rows of a packaged table; empty fields are None."""
@@ -82,33 +93,33 @@ def algorithm_problems(algorithms: list[tuple]) -> list[str]:
 
 
 def algorithms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(algorithm_rows(), ALGORITHM_SCHEMA)
+    return local(spark, algorithm_rows(), ALGORITHM_SCHEMA)
 
 
 def oids(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(r["oid"], r["algorithm_id"], r["determines"]) for r in rows("oids")], "oid string, algorithm_id string, determines string")
+    return local(spark, [(r["oid"], r["algorithm_id"], r["determines"]) for r in rows("oids")], "oid string, algorithm_id string, determines string")
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
     """Packages in matching order: ecosystem, ord, package_pattern, algorithm_id."""
-    return spark.createDataFrame([(r["ecosystem"], i, r["package_pattern"], r["algorithm_id"]) for i, r in enumerate(rows("catalogue"))], "ecosystem string, ord int, package_pattern string, algorithm_id string")
+    return local(spark, [(r["ecosystem"], i, r["package_pattern"], r["algorithm_id"]) for i, r in enumerate(rows("catalogue"))], "ecosystem string, ord int, package_pattern string, algorithm_id string")
 
 
 def severities(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEVERITIES, "severity string, rank int")
+    return local(spark, SEVERITIES, "severity string, rank int")
 
 
 def groups(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GROUPS, "codepoint int, group_name string, algorithm_id string, probeable boolean, legacy boolean")
+    return local(spark, GROUPS, "codepoint int, group_name string, algorithm_id string, probeable boolean, legacy boolean")
 
 
 def floors(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FLOORS, "manifest string, field string, major int, minor int, unlocks string")
+    return local(spark, FLOORS, "manifest string, field string, major int, minor int, unlocks string")
 
 
 def extensions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EXTENSIONS, "ext string, lang string")
+    return local(spark, EXTENSIONS, "ext string, lang string")
 
 
 def manifests(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MANIFESTS, "file_name string, ecosystem string")
+    return local(spark, MANIFESTS, "file_name string, ecosystem string")

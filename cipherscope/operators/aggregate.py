@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import SEVERITIES, algorithms
+from ..dims import SEVERITIES, algorithms, local
 from ..functions.text import extension
 from .risk import lookup, rank
 
@@ -109,5 +109,5 @@ def dangling(spark) -> DataFrame:
     refs = refs.unionByName(oids(spark).select(F.lit("oid").alias("kind"), F.col("oid").alias("source"), "algorithm_id"))
     refs = refs.unionByName(catalogue(spark).where("algorithm_id <> 'unknown'").select(F.lit("catalogue").alias("kind"), F.col("package_pattern").alias("source"), "algorithm_id"))
     listed = [("policy", name, x) for name, (_, values) in PRESETS.items() for x in values["disallowed"]]
-    refs = refs.unionByName(spark.createDataFrame(listed, "kind string, source string, algorithm_id string"))
+    refs = refs.unionByName(local(spark, listed, "kind string, source string, algorithm_id string"))
     return refs.join(a.select(F.col("id").alias("algorithm_id")), "algorithm_id", "left_anti")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import BUCKETS, SEVERITIES, algorithms
+from ..dims import BUCKETS, SEVERITIES, algorithms, local
 from ..policy import DEFAULT_BUCKET, Policy, weights
 
 AXIS_COLUMNS = {"av": "algorithm_vulnerability", "uc": "usage_context", "ds": "data_shelf_life", "ex": "exposure", "dc": "detection_confidence"}
@@ -108,7 +108,8 @@ def compare_policies(findings: DataFrame, *policies: Policy) -> DataFrame:
     spark = findings.sparkSession
     long = weights(spark, *policies).groupBy("policy").pivot("axis", list(AXIS_COLUMNS.values())).agg(F.map_from_entries(F.collect_list(F.struct("key", "weight"))))
     long = long.withColumnsRenamed({axis: f"w_{k}" for k, axis in AXIS_COLUMNS.items()})
-    rules = spark.createDataFrame(
+    rules = local(
+        spark,
         [(p.name, p.caps["algorithm_vulnerability"], p.data_shelf_life[DEFAULT_BUCKET], list(p.disallowed), [p.bands[b] for b in ("critical", "high", "medium", "low")]) for p in policies],
         "policy string, full int, short int, disallowed array<string>, bands array<int>",
     )

@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .dims import BUCKETS, algorithm_rows
+from .dims import BUCKETS, algorithm_rows, local
 
 AXES = ("algorithm_vulnerability", "usage_context", "data_shelf_life", "exposure", "detection_confidence")
 
@@ -119,9 +119,9 @@ def resolve(name: str | None = None, config: str | None = None) -> Policy:
 
 def weights(spark: SparkSession, *policies: Policy) -> DataFrame:
     """policy, axis, key, weight (capped) of each policy."""
-    return spark.createDataFrame([r for p in policies for r in p.long_rows()], "policy string, axis string, key string, weight int")
+    return local(spark, [r for p in policies for r in p.long_rows()], "policy string, axis string, key string, weight int")
 
 
 def listing(spark: SparkSession) -> DataFrame:
     """name, display_name, source of the presets."""
-    return spark.createDataFrame([(n, d, "built-in") for n, (d, _) in PRESETS.items()], "name string, display_name string, source string")
+    return local(spark, [(n, d, "built-in") for n, (d, _) in PRESETS.items()], "name string, display_name string, source string")
