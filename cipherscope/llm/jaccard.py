@@ -8,13 +8,14 @@ similarity s a set of n needs only its first n - ceil(s * n) + 1 shingles, its p
 Links are verified once a pair, in two waves, so that a large group of near copies is never expanded into its pairs:
 
 * every entry is compared with its bucket's pivot, the member whose prefix is most common (an original among its edited
-  copies); verified links give first components;
+  copies); buckets of very common shingles are salted into parts, whose pivots are compared in turn; verified links give
+  first components;
 * all pairs of a bucket that lie in different components are compared then, so that no link between components is
   missed: components are exact.
 
-Pairs are dropped by length (sizes), by place (what can still match behind and before the shared shingle), and by a
-suffix bound (both sets partitioned by hash value: their counts differ by less than the allowed difference), before sets
-are intersected. Sets are made from whole texts.
+Pairs are dropped by length (sizes), by place (what can still match behind and before the shared shingle), and by suffix
+bounds (both sets partitioned by hash: in a part whose counts differ, at least that many shingles do), before sets are
+intersected. The bounds are conditions of the join itself. Sets are made from whole texts.
 
 Words are runs of other than space and \\x09-\\x0D, A-Z lower-cased; fewer words than a shingle count as one shingle.
 Defined results: a null text or one without words has an empty set, links with nothing; a null doc_id sorts first (a
@@ -37,7 +38,12 @@ from .scan import doc_slices, mix, run_hashes, text_bytes
 
 #: Counters of the sketch (its size is the same at any scale), and counters a row while it is summed.
 COUNTERS, ROW = 1 << 20, 1 << 14
+#: Documents (by the sketch) that one part of a shingle's bucket may hold; the buckets of commoner shingles are salted.
+HOT = 20_000
 NONE = -(2**63)
+#: Parts of the suffix bound's partition, 64 to a column.
+PARTS = 512
+SIGNS = [f"sign_{i}" for i in range(PARTS // 64)]
 STEPS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
 
 
@@ -101,6 +107,12 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((y[at] == x).sum()) >= least
 
 
+def signs(s: np.ndarray) -> np.ndarray:
+    """Which parts of the set, partitioned by hash, have an odd count: PARTS bits as longs."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (PARTS - 1), minlength=PARTS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), "text")
 
@@ -154,9 +166,13 @@ def _place(pack):
     return F.col(pack).bitwiseAND((1 << 28) - 1)
 
 
+def _overlap_needed(m, n, percent: int):
+    return F.floor(((m + n) * percent + 99 + percent) / (100 + percent))
+
+
 def _may_link(m, i, n, j, percent: int):
     """Length and place: m, n sizes; the shared shingle is the i-th and j-th of them, min(i, j) may match before it."""
-    least = F.ceil((m + n) * percent / (100 + percent) - 1e-9)
+    least = _overlap_needed(m, n, percent)
     return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (F.least(i, j) + 1 + F.least(m - i - 1, n - j - 1) >= least)
 
 
@@ -168,25 +184,28 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
         counts, task = np.zeros(COUNTERS, np.uint32), None
         for batch in batches:
             buf, offsets = text_bytes(batch.column(1))
-            ns, keys = [], []
+            ns, keys, odd = [], [], []
             for a, b in doc_slices(offsets, SLICE_BYTES):
                 sets = shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 ns += map(len, sets)
                 keys += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                odd += map(signs, sets)
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
             task = task if task is not None else hash((ns[0], keys[0])) & (2**62 - 1)
             none = pa.nulls(len(ns))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary())], ["doc", "n", "key", "row", "task", "counters"])
+            bits = np.array(odd, np.int64).reshape(-1, len(SIGNS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), *map(pa.array, bits.T)], names)
         if task is not None:
             rows = [r for r in range(COUNTERS // ROW) if counts[r * ROW : (r + 1) * ROW].any()]
             none = pa.nulls(len(rows))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(rows, pa.int32()), pa.array([task] * len(rows), pa.int64()), pa.array([counts[r * ROW : (r + 1) * ROW].tobytes() for r in rows], pa.binary())], ["doc", "n", "key", "row", "task", "counters"])
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(rows, pa.int32()), pa.array([task] * len(rows), pa.int64()), pa.array([counts[r * ROW : (r + 1) * ROW].tobytes() for r in rows], pa.binary()), *[none.cast(pa.int64())] * len(SIGNS)], names)
 
-    measured = stage(texts.mapInArrow(measure, "doc long, n long, key binary, row int, task long, counters binary"), "jaccard-sizes")
+    names = ["doc", "n", "key", "row", "task", "counters", *SIGNS]
+    measured = stage(texts.mapInArrow(measure, "doc long, n long, key binary, row int, task long, counters binary, " + ", ".join(f"{x} long" for x in SIGNS)), "jaccard-sizes")
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(measured.where("row IS NOT NULL")))
-    sizes = measured.where("row IS NULL").select("doc", "n", "key")
+    sizes = measured.where("row IS NULL").select("doc", "n", "key", *SIGNS)
     keys = sizes.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("class"))
-    members = stage(sizes.join(keys, "key", "left").select("doc", "n", F.coalesce("class", "doc").alias("class")), "jaccard-members")
+    members = stage(sizes.join(keys, "key", "left").select("doc", "n", F.coalesce("class", "doc").alias("class"), *SIGNS), "jaccard-members")
 
     def prefixes(batches):
         counts = sketch.value
@@ -204,18 +223,26 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
                     p = n - needed(n, percent) + 1
                     order = np.lexsort((s, c))[:p]
                     common = min(127, int(4 * np.log2(1 + float(c[order].mean()))))
-                    out.append((s[order].view(np.int64), np.full(p, doc), (common << 56) + (n << 28) + np.arange(p)))
+                    parts = (c[order] // np.uint32(HOT) + 1).astype(np.int32)
+                    out.append((s[order].view(np.int64), np.full(p, doc), (common << 56) + (n << 28) + np.arange(p), parts))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["shingle", "doc", "pack"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["shingle", "doc", "pack", "parts"])
 
-    entries = texts.mapInArrow(prefixes, "shingle long, doc long, pack long")
-    bucket = Window.partitionBy("shingle").orderBy(F.shiftright("pack", 56).desc(), "doc")
+    entries = texts.mapInArrow(prefixes, "shingle long, doc long, pack long, parts int")
+    entries = entries.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc"), F.col("parts"))).otherwise(0).cast("int"))
+    common_first = [F.shiftright("pack", 56).desc(), F.col("doc")]
+    bucket = Window.partitionBy("shingle", "part").orderBy(*common_first)
     met = entries.select("*", F.first("doc").over(bucket).alias("pivot"), F.first("pack").over(bucket).alias("pivot_pack"), F.lag("doc").over(bucket).alias("last"), F.lead("doc").over(bucket).alias("next"))
-    met = stage(met.where("last IS NOT NULL OR next IS NOT NULL").drop("last", "next"), "jaccard-entries")
+    met = stage(met.where("last IS NOT NULL OR next IS NOT NULL OR parts > 1").drop("last", "next"), "jaccard-entries")
+    # The pivots of a salted bucket's parts meet in its first part's pivot.
+    heads = met.where("parts > 1 AND doc = pivot").select("shingle", "doc", "pack")
+    over_parts = Window.partitionBy("shingle").orderBy(*common_first)
+    heads = heads.select("doc", "pack", F.first("doc").over(over_parts).alias("pivot"), F.first("pack").over(over_parts).alias("pivot_pack"))
 
     classes = members.select("doc", "class").distinct()
     m, i, n, j = _size("pack"), _place("pack"), _size("pivot_pack"), _place("pivot_pack")
-    pairs = met.where((F.col("doc") != F.col("pivot")) & _may_link(m, i, n, j, percent)).select("doc", "pivot").distinct()
+    waves = met.select("doc", "pack", "pivot", "pivot_pack").unionByName(heads)
+    pairs = waves.where((F.col("doc") != F.col("pivot")) & _may_link(m, i, n, j, percent)).select("doc", "pivot").distinct()
     one, two = classes.toDF("doc", "x"), classes.toDF("pivot", "y")
     pairs = pairs.join(one, "doc").join(two, "pivot").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     compared = stage(pairs, "jaccard-pairs")
@@ -223,19 +250,24 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     twice = members.groupBy("doc").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("a", "b")
     first = components(links.union(twice))
 
-    # What lies in one bucket but in different components.
-    placed = met.select("shingle", "doc", "pack").join(classes, "doc").select("shingle", "class", "pack")
-    placed = placed.groupBy("shingle", "class").agg(F.min("pack").alias("pack")).join(first, placed["class"] == first.node, "left")
+    # What lies in one bucket but in different components: of such a pair one at least is outside the bucket's main one.
+    placed = met.select("shingle", "doc", "pack").join(classes, "doc").select("shingle", "class", "pack").distinct()
+    placed = placed.join(first, F.col("class") == first.node, "left")
     placed = stage(placed.select("shingle", "class", "pack", F.coalesce("component", "class").alias("component")), "jaccard-placed")
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    open_ = stage(placed.join(mixed, "shingle"), "jaccard-open")
-    sides = open_.select("shingle", "component").distinct()
-    cross = sides.toDF("shingle", "ca").join(sides.toDF("shingle", "cb"), "shingle").where("ca < cb")
-    a = open_.toDF("shingle", "a", "pack_a", "ca")
-    b = open_.toDF("shingle", "b", "pack_b", "cb")
-    rest = cross.join(a, ["shingle", "ca"]).join(b, ["shingle", "cb"])
-    m, i, n, j = _size("pack_a"), _place("pack_a"), _size("pack_b"), _place("pack_b")
-    rest = rest.where(_may_link(m, i, n, j, percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    main = placed.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("sides"))
+    open_ = stage(placed.join(main.where("sides > 1").drop("sides"), "shingle"), "jaccard-open")
+    # A doc_id of several texts has no signs of its own, so the bound spares it.
+    by_class = members.where("doc = class").groupBy("class").agg(*[F.when(F.min(k) == F.max(k), F.min(k)).alias(k) for k in SIGNS])
+    open_ = open_.join(by_class, "class")
+    x = open_.where("component <> main").alias("x")
+    y = open_.alias("y")
+    col = lambda side, name: F.col(f"{side}.{name}")
+    apart = (col("x", "component") != col("y", "component")) & ((col("y", "component") == col("y", "main")) | (col("x", "class") < col("y", "class")))
+    m, i, n, j = _size(col("x", "pack")), _place("x.pack"), _size(col("y", "pack")), _place("y.pack")
+    differ = sum((F.bit_count(col("x", k).bitwiseXOR(col("y", k))) for k in SIGNS), F.lit(0))
+    allowed = m + n - 2 * _overlap_needed(m, n, percent)
+    rest = x.join(y, (col("x", "shingle") == col("y", "shingle")) & apart & _may_link(m, i, n, j, percent) & F.coalesce(differ <= allowed, F.lit(True)))
+    rest = rest.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
     rest = stage(rest.join(compared, ["a", "b"], "left_anti"), "jaccard-rest")
     more = stage(_verify(rest, texts, words, percent), "jaccard-links")
     final = components(first.toDF("a", "b").union(more))

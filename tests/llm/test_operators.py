@@ -61,6 +61,14 @@ def test_jaccard(spark, docs, rows, nothing):
     assert jaccard_join(nothing).count() == 0
 
 
+def test_jaccard_with_salted_buckets(spark, docs, rows, monkeypatch):
+    from cipherscope.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(docs).collect()}
+    assert got == ref.jaccard(rows)
+
+
 def test_jaccard_at_the_threshold(spark):
     from cipherscope.llm.jaccard import jaccard_join
 
