@@ -187,7 +187,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         codec = BytePairCodec.of(tokenizer)
         for batch in batches:
             buf, offsets = text_bytes(batch.column(1))
-            for a, b, ids, counts in codec.encode_all(buf, offsets, 4 << 20):
+            for a, b, ids, counts in codec.encode_all(buf, offsets):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
 
@@ -221,7 +221,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
         codec = BytePairCodec.of(tokenizer)
         for batch in batches:
             buf, offsets = text_bytes(batch.column(1))
-            for a, b, ids, counts in codec.encode_all(buf, offsets, 2 << 20):
+            for a, b, ids, counts in codec.encode_all(buf, offsets):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, pa.array(codec.decode(ids, counts), pa.string())], ["doc_id", "ids", "text"])
 

@@ -41,7 +41,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         kind = "<u2" if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
             buf, offsets = text_bytes(batch.column(1))
-            for a, b, ids, counts in encoder.encode_all(buf, offsets, 4 << 20):
+            for a, b, ids, counts in encoder.encode_all(buf, offsets):
                 ids, counts = with_end(ids, counts, end_id)
                 queues, at = batch.column(2).slice(a, b - a), np.zeros(b - a, np.int64)
                 for i, (q, n) in enumerate(zip(queues.to_pylist(), counts.tolist())):

@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Stands between chunks that are encoded in one call; chunks that hold it go alone.
 MARK = b"\x01"
 #: Chunks in one call to the library; chunks, and their ids, that a process keeps.
-TOGETHER, KEPT, KEPT_IDS = 128, 1_000_000, 8_000_000
+TOGETHER, KEPT, KEPT_IDS = 128, 400_000, 4_000_000
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ class ChunkCache:
         edge = np.searchsorted(starts, offsets)
         return ids, upto[edge[1:]] - upto[edge[:-1]]
 
-    def encode_all(self, buf: np.ndarray, offsets: np.ndarray, most: int = 8 << 20):
+    def encode_all(self, buf: np.ndarray, offsets: np.ndarray, most: int = 2 << 20):
         """(first document, last document, ids, counts) of slices of about ``most`` bytes."""
         for a, b in doc_slices(offsets, most):
             yield a, b, *self.encode(buf, offsets[a : b + 1])

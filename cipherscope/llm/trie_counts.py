@@ -27,7 +27,7 @@ from .scan import doc_slices, run_hashes, text_bytes
 #: Parameters of the piece law: log p(rank) = -log(rank + SHIFT) - log Z; a byte of an unknown character is much rarer.
 SHIFT, UNKNOWN = 2.7, -20.0
 #: Distinct pre-tokens whose counts a process keeps.
-KEPT = 1_000_000
+KEPT = 400_000
 MARK = "▁"
 
 
@@ -123,7 +123,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
         counter = TrieCounter.of(model)
         for batch in batches:
             buf, offsets = text_bytes(batch.column(1))
-            for a, b in doc_slices(offsets, 8 << 20):
+            for a, b in doc_slices(offsets, 2 << 20):
                 tokens, words = counter.count(buf, offsets[a : b + 1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(tokens), pa.array(words)], ["doc_id", "n_tokens", "n_pretokens"])
 
