@@ -111,3 +111,23 @@ def dangling(spark) -> DataFrame:
     listed = [("policy", name, x) for name, (_, values) in PRESETS.items() for x in values["disallowed"]]
     refs = refs.unionByName(local(spark, listed, "kind string, source string, algorithm_id string"))
     return refs.join(a.select(F.col("id").alias("algorithm_id")), "algorithm_id", "left_anti")
+
+
+#: What a status means for a finding, in a sentence.
+MEANING = {
+    "BrokenByShor": "A large quantum computer breaks this algorithm.",
+    "BrokenClassically": "This algorithm is already broken without a quantum computer.",
+    "WeakenedByGrover": "A quantum computer halves this algorithm's strength.",
+    "QuantumSafe": "No quantum attack on this algorithm is known to matter.",
+    "PqcFinal": "This algorithm is a final post-quantum standard.",
+    "PqcDraft": "This post-quantum algorithm is not a final standard yet.",
+}
+
+
+def explained(scored: DataFrame) -> DataFrame:
+    """seq and ``why``: what the algorithm's status means and what replaces it; null for unknown algorithms."""
+    dim = successors(scored.sparkSession).withColumnRenamed("id", "algorithm_id")
+    standard = F.when(F.col("replacement_fips").isNotNull(), F.concat(F.lit(" ("), "replacement_fips", F.lit(")"))).otherwise("")
+    instead = F.when(F.col("replacement_name").isNotNull(), F.concat(F.lit("Use "), "replacement_name", standard, F.lit(" instead.")))
+    why = F.when(F.col("quantum_status").isNotNull(), F.concat_ws(" ", lookup(MEANING, F.col("quantum_status")), instead))
+    return scored.join(F.broadcast(dim), "algorithm_id", "left").select("seq", why.alias("why"))

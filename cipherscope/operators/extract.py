@@ -150,3 +150,63 @@ def site_context(owner: Column) -> Column:
         hit = last.startswith("lookup") if name == "RegistryLookup" else last.isin(CONTEXTS[name])
         out = F.when(owner.isNotNull() & hit, name).otherwise(out)
     return out
+
+
+#: Settings that list algorithms: language, api, pattern of the setting (its body captured), pattern of an
+#: element of the body (captured).
+SETTINGS = [
+    ("go", "tls.Config.MinVersion", r"MinVersion\s*:\s*(tls\.\w+)", r"tls\.(\w+)"),
+    ("go", "tls.Config.CurvePreferences", r"CurvePreferences\s*:\s*\[\]tls\.CurveID\s*\{([^}]*)\}", r"tls\.(\w+)"),
+    ("go", "tls.Config.SupportedSignatureAlgorithms", r"SupportedSignatureAlgorithms\s*:\s*\[\]tls\.SignatureScheme\s*\{([^}]*)\}", r"tls\.(\w+)"),
+    ("go", "ssh.Config.KeyExchanges", r"KeyExchanges\s*:\s*\[\]string\s*\{([^}]*)\}", r"\"([^\"]+)\""),
+    ("java", "setNamedGroups", r"setNamedGroups\s*\([^{)]*\{([^}]*)\}", r"\"([^\"]+)\""),
+    ("java", "jdk.tls.namedGroups", r"setProperty\s*\(\s*\"jdk\.tls\.namedGroups\"\s*,\s*\"([^\"]*)\"", r"\s*([^,\s]+)"),
+    ("java", "TlsUtils.addIfSupported", r"addIfSupported\s*\([^{)]*\{([^}]*)\}", r"NamedGroup\.(\w+)"),
+    ("c", "SSL_set1_groups_list", r"SSL_(?:CTX_)?set1_groups_list\s*\([^,]*,\s*\"([^\"]*)\"", r"[*?\-]*([^/:*?\-][^/:]*)"),
+    ("c", "SSL_CONF_cmd", r"SSL_CONF_cmd\s*\([^,]*,\s*\"(?:Groups|Curves)\"\s*,\s*\"([^\"]*)\"", r"[*?\-]*([^/:*?\-][^/:]*)"),
+    ("rust", "kx_groups", r"kx_groups\s*:\s*(?:vec!)?\s*&?\[([^\]]*)\]", r"(\w+)\s*(?:,|$)"),
+    ("rust", "SignatureScheme", r"SignatureScheme::(ML_DSA_\d+)", r"(\w+)"),
+    ("rust", "Ciphersuite", r"Ciphersuite::(\w*(?:MLKEM|XWING)\w*)", r"(\w+)"),
+]
+
+
+def listed_settings(files: DataFrame) -> DataFrame:
+    """path, lang, api, value: a row for each element that a setting lists. Patterns are constants of the plan, so each
+    file is read once; C settings hold for C++ too."""
+    body = lambda s: F.transform(F.regexp_extract_all("content", F.lit(s[2]), 1), lambda b: F.regexp_extract_all(b, F.lit(s[3]), 1))
+    own = lambda s: F.col("lang").isin("c", "cpp") if s[0] == "c" else F.col("lang") == s[0]
+    none = F.array().cast("array<struct<api:string,value:string>>")
+    tagged = lambda api: lambda v: F.struct(F.lit(api).alias("api"), v.alias("value"))
+    found = [F.when(own(s), F.transform(F.flatten(body(s)), tagged(s[1]))).otherwise(none) for s in SETTINGS]
+    rows = files.select("path", "lang", F.explode(F.concat(*found)).alias("f")).select("path", "lang", "f.api", "f.value")
+    return rows.where("value <> 'DEFAULT'")
+
+
+def bindings(content: Column, lang: Column) -> Column:
+    """map<string, string>: names that a file imports on their own, and what they stand for (module.name)."""
+    part = lambda text, sep: F.transform(F.split(text, ","), lambda x: F.split(F.trim(x), sep))
+
+    def entries(lines, module, names, sep):
+        def one(line):
+            m = F.regexp_extract(line, module, 1)
+            return F.transform(part(F.regexp_extract(line, names, 1), sep), lambda p: F.struct(F.element_at(p, -1).alias("key"), F.concat_ws(".", m, p[0]).alias("value")))
+
+        return F.filter(F.flatten(F.transform(lines, one)), lambda e: e["key"] != "")
+
+    python = entries(F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]+[\w \t,]+"), 0), r"from\s+([\w.]+)", r"import\s+(.+)$", r"\s+as\s+")
+    esm = entries(F.regexp_extract_all(content, F.lit(r"import\s*\{[^}]*\}\s*from\s*['\"][^'\"]+['\"]"), 0), r"from\s*['\"](?:node:)?([^'\"]+)", r"\{([^}]*)\}", r"\s+as\s+")
+    cjs = entries(F.regexp_extract_all(content, F.lit(r"\{[^{}]*\}\s*=\s*require\(\s*['\"][^'\"]+['\"]"), 0), r"require\(\s*['\"](?:node:)?([^'\"]+)", r"\{([^}]*)\}", r"\s*:\s*")
+    all_js = F.concat(esm, cjs)
+    unique = lambda e: F.map_from_entries(F.filter(e, lambda x, i: ~F.exists(F.slice(e, 1, i), lambda y: y["key"] == x["key"])))
+    return F.when(lang == "python", unique(python)).when(lang.isin("javascript", "typescript"), unique(all_js))
+
+
+def resolved(sites: DataFrame, files: DataFrame) -> DataFrame:
+    """Sites whose bare callee an import of their file explains, under the imported name."""
+    names = files.select("path", bindings(F.col("content"), F.col("lang")).alias("names"))
+    return sites.join(names, "path", "left").withColumn("callee", F.coalesce(F.col("names")[F.col("callee")], "callee")).drop("names")
+
+
+def surface(apis: DataFrame) -> DataFrame:
+    """Every api that can be emitted, once, in order."""
+    return apis.select("api").distinct().orderBy("api")

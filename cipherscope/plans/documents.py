@@ -147,3 +147,16 @@ def write_lines(rows: DataFrame, path: str) -> None:
     """Writes the rows' ``value`` as text files, a line a row, in scan order inside each file."""
     order = "seq" if "seq" in rows.columns else rows.columns[0]
     rows.repartitionByRange(order).sortWithinPartitions(order).select("value").write.mode("overwrite").text(path)
+
+
+def component_problems(found: DataFrame) -> DataFrame:
+    """algorithm_id and what is wrong with its component: no reference or name, an unknown primitive, a level above 6."""
+    known = [*FUNCTIONS, "combiner", "other", "unknown"]
+    checks = {
+        "no bom-ref": ~F.coalesce("bom_ref", F.lit("")).startswith("crypto/algorithm/"),
+        "no name": F.coalesce("name", F.lit("")) == "",
+        "unknown primitive": F.col("primitive").isNotNull() & ~F.col("primitive").isin(known),
+        "level above 6": F.coalesce("nist_quantum_security_level", F.lit(0)) > 6,
+    }
+    problems = F.filter(F.array(*[F.when(bad, F.lit(text)) for text, bad in checks.items()]), lambda x: x.isNotNull())
+    return found.select("algorithm_id", F.explode(problems).alias("problem"))

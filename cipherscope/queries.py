@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import dims
-from .functions.text import extension, fingerprint, split_groups, stable_id
+from .functions.text import stable_id
 from .operators import aggregate, query, risk
 from .policy import Policy, preset
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import dims
-from .functions.text import extension, split_groups
-from .operators import corpus, manifests, probes
+from .functions.text import split_groups
+from .operators import aggregate, corpus, manifests, probes
 from .plans import documents
 from .queries import BASE, FINDINGS, _case, _list, _text, _values, findings, pick, read, register, scored
 
@@ -276,3 +276,9 @@ def warnings_topn(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     kind = e.agg(F.min("event_type").alias("event_type"))
     return e.join(F.broadcast(kind), "event_type").orderBy("event_id").limit(20).select("event_id", F.concat(F.lit("scan of "), "event_type").alias("message"))
+
+
+@register(f"""{BASE}, b AS (SELECT id, display_name AS bn, fips AS bf FROM alg) SELECT seq, CASE WHEN alg.id IS NOT NULL THEN {_case({k: _text(v) for k, v in aggregate.MEANING.items()}, 'alg.quantum_status')} || coalesce(' Use ' || bn || coalesce(' (' || bf || ')', '') || ' instead.', '') END AS why
+FROM s LEFT JOIN alg ON s.algorithm_id = alg.id LEFT JOIN b ON alg.replacement = b.id""")
+def why_it_matters(spark, sf_dir):
+    return aggregate.explained(scored(spark, sf_dir))

@@ -75,3 +75,36 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
     groups = spark.read.schema(schema).json(path, multiLine=True).select("algorithm", "mode", F.explode("testGroups").alias("g"))
     cases = groups.select("algorithm", "mode", "g.parameterSet", F.col("g.tgId").alias("tg"), F.explode("g.tests").alias("fields"))
     return cases.withColumn("tc", F.try_element_at("fields", F.lit("tcId")).cast("int"))
+
+
+def ecosystems(paths: DataFrame, root: str) -> DataFrame:
+    """Ecosystems whose manifests stand in the root or one folder below it."""
+    relative = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").removeprefix("file://")) + "/?", "")
+    kinds = F.create_map(*[F.lit(x) for pair in MANIFESTS for x in pair])
+    near = paths.where(F.size(F.split(relative, "/")) <= 2)
+    return near.select(kinds[F.element_at(F.split("path", "/"), -1)].alias("ecosystem")).where("ecosystem IS NOT NULL").distinct()
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """The path below ``root``; null if it is absolute and lies elsewhere."""
+    base = root.rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).when(~path.startswith("/"), path)
+
+
+def project_manifests(spark: SparkSession, root: str) -> DataFrame:
+    """A row a project file (TOML): canonical_id, name, ecosystem, commit_sha, scan_paths, exclude_paths, unscannable."""
+    import pyarrow as pa
+
+    names = ["canonical_id", "name", "ecosystem", "commit_sha", "scan_paths", "exclude_paths", "unscannable"]
+    types = [pa.list_(pa.string()) if n.endswith("_paths") else pa.string() for n in names]
+
+    def read(batches):
+        import tomllib
+
+        for batch in batches:
+            rows = [tomllib.loads(c.decode()) for c in batch.column(0).to_pylist()]
+            rows = [r.get("project", r) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types)], names)
+
+    files = listing(spark, root).where(F.col("path").endswith(".toml"))
+    return files.select("content").mapInArrow(read, "canonical_id string, name string, ecosystem string, commit_sha string, scan_paths array<string>, exclude_paths array<string>, unscannable string")

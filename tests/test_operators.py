@@ -221,3 +221,33 @@ def test_scope_and_precision(spark):
     assert [r.path for r in corpus.in_scope(f, s).collect()] == ["a/b/c.go"]
     audit = spark.createDataFrame([("s", "TP")] * 9 + [("s", "FP"), ("s", "DEPENDS")], "stratum string, verdict string")
     assert corpus.precision(audit).first().p == 0.9
+
+
+def test_imports_and_settings(spark):
+    py = "from hashlib import md5 as m, sha1\nm(b'')\n"
+    js = "import { createHash as h } from 'node:crypto'\nconst { randomBytes, createHmac: mac } = require('crypto')\nh('md5'); mac('x')\n"
+    c = 'SSL_CTX_set1_groups_list(ctx, "*X25519:?P-256/DEFAULT:");'
+    java = 'System.setProperty("jdk.tls.namedGroups", "x25519, secp256r1,");'
+    rows = [("a.py", "python", py), ("b.js", "javascript", js), ("c.cpp", "cpp", c), ("d.java", "java", java)]
+    files_ = spark.createDataFrame(rows, "path string, lang string, content string")
+    found = {(r.path, r.callee) for r in extract.resolved(extract.call_sites(files_), files_).collect()}
+    assert {("a.py", "hashlib.md5"), ("b.js", "crypto.createHash"), ("b.js", "crypto.createHmac")} <= found
+    listed = {(r.path, r.value) for r in extract.listed_settings(files_).collect()}
+    assert listed == {("c.cpp", "X25519"), ("c.cpp", "P-256"), ("d.java", "x25519"), ("d.java", "secp256r1")}
+
+
+def test_projects_and_paths(spark, tmp_path):
+    (tmp_path / "p.toml").write_text('canonical_id = "x/y"\nname = "y"\necosystem = "pypi"\nscan_paths = ["src"]\n')
+    row = files.project_manifests(spark, str(tmp_path)).first()
+    assert row.canonical_id == "x/y" and row.scan_paths == ["src"] and row.unscannable is None
+    paths = spark.createDataFrame([("/r/go.mod",), ("/r/a/Cargo.toml",), ("/r/a/b/pom.xml",)], "path string")
+    assert {r.ecosystem for r in files.ecosystems(paths, "/r").collect()} == {"Go", "Rust"}
+    got = [r[0] for r in spark.createDataFrame([("/r/a/b",), ("c/d",), ("/x/y",)], "p string").select(files.relative_path(F.col("p"), "/r")).collect()]
+    assert got == ["a/b", "c/d", None]
+
+
+def test_component_problems(spark):
+    frame = spark.createDataFrame([finding(0, "rsa-2048")], FINDING)
+    found = documents.components(frame)
+    assert documents.component_problems(found).count() == 0
+    assert documents.component_problems(found.withColumn("name", F.lit(""))).first().problem == "no name"
