@@ -210,3 +210,69 @@ def resolved(sites: DataFrame, files: DataFrame) -> DataFrame:
 def surface(apis: DataFrame) -> DataFrame:
     """Every api that can be emitted, once, in order."""
     return apis.select("api").distinct().orderBy("api")
+
+
+def nth_attribute(args: Column, n: int, objects: Column) -> Column:
+    """Member of a dotted argument whose object is one of ``objects`` (array), itself dotted or not."""
+    a = F.try_element_at(args, F.lit(n + 1))
+    owner, member = F.regexp_extract(a["text"], r"^(.*)\.\w+$", 1), F.regexp_extract(a["text"], r"\.(\w+)$", 1)
+    return F.when((a["kind"] == "name") & F.array_contains(objects, owner), member)
+
+
+def property_of(args: Column, n: int, key: str) -> Column:
+    """A string property of an object argument; a nested object gives its ``name``."""
+    text = F.try_element_at(args, F.lit(n + 1))["text"]
+    plain = F.regexp_extract(text, rf"['\"]?\b{key}['\"]?\s*:\s*['\"]([^'\"]+)['\"]", 1)
+    nested = F.regexp_extract(text, rf"['\"]?\b{key}['\"]?\s*:\s*\{{[^}}]*\bname['\"]?\s*:\s*['\"]([^'\"]+)['\"]", 1)
+    return F.coalesce(F.nullif(plain, F.lit("")), F.nullif(nested, F.lit("")))
+
+
+def literal_or_symbol(args: Column, n: int) -> Column:
+    """struct(literal, symbol): the string literal, else the name of the variable; the other field is null."""
+    a = F.try_element_at(args, F.lit(n + 1))
+    return F.struct(F.when(a["kind"] == "str", a["s"]).alias("literal"), F.when(a["kind"] == "name", a["text"]).alias("symbol"))
+
+
+def passes(args: Column, name: str) -> Column:
+    """Whether any argument is that dotted name."""
+    return F.exists(args, lambda a: a["text"] == name)
+
+
+def captures(sites: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds ``captured`` (map of name to struct<i, s>) to sites with an api. The table (lang, api, slot, extractor, name;
+    extractors string, integer, member, keyword) is small, is grouped by api and joined by key; a capture that an argument
+    does not fit is left out."""
+    rules = table.groupBy("lang", "api").agg(F.collect_list(F.struct("slot", "extractor", "name")).alias("rules"))  # a few an api
+
+    def value(r):
+        a = F.try_element_at(F.col("args"), r["slot"] + 1)
+        k = F.try_element_at(F.filter("args", lambda x: x["kw"] == r["name"]), F.lit(1))
+        text = F.when((r["extractor"] == "string") & (a["kind"] == "str"), a["s"])
+        text = text.when((r["extractor"] == "member") & a["kind"].isin("name", "call"), F.regexp_extract(a["text"], r"([A-Za-z_]\w*)\s*(?:\(.*)?$", 1))
+        text = text.when(r["extractor"] == "keyword", F.coalesce(k["s"], F.when(k["kind"] == "name", k["text"])))
+        number = F.when((r["extractor"] == "integer") & (a["kind"] == "int"), a["i"]).when(r["extractor"] == "keyword", k["i"])
+        return F.struct(r["name"].alias("key"), F.struct(number.alias("i"), text.alias("s")).alias("value"))
+
+    entries = F.filter(F.transform("rules", value), lambda e: e["value"]["i"].isNotNull() | e["value"]["s"].isNotNull())
+    return sites.join(rules, ["lang", "api"], "left").withColumn("captured", F.map_from_entries(F.coalesce(entries, F.array().cast("array<struct<key:string,value:struct<i:bigint,s:string>>>")))).drop("rules")
+
+
+def constants(files: DataFrame, owners: list[str]) -> DataFrame:
+    """path, lang, owner, member: each ``Owner.MEMBER`` or ``Owner::MEMBER`` of the named owners outside a longer name."""
+    names = "|".join(map(re.escape, owners))
+    whole = F.explode(F.regexp_extract_all("content", F.lit(rf"(?:^|[^\w.:])((?:{names})(?:\.|::)[A-Z]\w*)"), 1)).alias("c")
+    parts = F.split("c", r"\.|::")
+    return files.select("path", "lang", whole).select("path", "lang", parts[0].alias("owner"), parts[1].alias("member"))
+
+
+def composites(files: DataFrame, types: list[str]) -> DataFrame:
+    """path, lang, type: each composite literal ``pkg.Type{`` of the named types."""
+    names = "|".join(map(re.escape, types))
+    return files.select("path", "lang", F.explode(F.regexp_extract_all("content", F.lit(rf"(?:^|[^\w.])({names})\s*\{{"), 1)).alias("type"))
+
+
+def foreign_keys(content: Column, package: str, constructors: list[str]) -> Column:
+    """True where a file imports a package and never constructs with it: its keys come from elsewhere."""
+    imports = content.rlike(rf"import[^;]*?\"{re.escape(package)}\"")
+    names = "|".join(map(re.escape, constructors))
+    return imports & ~content.rlike(rf"\b(?:{names})\s*\(")

@@ -251,3 +251,22 @@ def test_component_problems(spark):
     found = documents.components(frame)
     assert documents.component_problems(found).count() == 0
     assert documents.component_problems(found.withColumn("name", F.lit(""))).first().problem == "no name"
+
+
+def test_captures(spark):
+    text = 'f("md5", 2048, tls.X, g.h(1), mode)\nk({name: "AES-GCM", hash: {name: "SHA-256"}})\nJWSAlgorithm.RS256; x.JWSAlgorithm.ES256\nq := oqs.Signature{}\n'
+    files_ = spark.createDataFrame([("a.go", "go", text)], "path string, lang string, content string")
+    sites = extract.call_sites(files_).withColumn("api", F.col("callee"))
+    table = spark.createDataFrame([("go", "f", 0, "string", "name"), ("go", "f", 1, "integer", "bits"), ("go", "f", 2, "member", "curve"), ("go", "f", 4, "string", "absent")], "lang string, api string, slot int, extractor string, name string")
+    got = {r.api: r.captured for r in extract.captures(sites, table).collect()}
+    assert {k: (v.i, v.s) for k, v in got["f"].items()} == {"name": (None, "md5"), "bits": (2048, None), "curve": (None, "X")}
+    assert got["k"] == {}
+    args = F.col("args")
+    f = sites.where("callee = 'f'").select(extract.nth_attribute(args, 2, F.array(F.lit("tls"))).alias("a"), extract.literal_or_symbol(args, 4)["symbol"].alias("s"), extract.passes(args, "tls.X").alias("p"), extract.nth_member(args, 3).alias("m")).first()
+    assert tuple(f) == ("X", "mode", True, "h")
+    k = sites.where("callee = 'k'").select(extract.property_of(args, 0, "name").alias("n"), extract.property_of(args, 0, "hash").alias("h")).first()
+    assert tuple(k) == ("AES-GCM", "SHA-256")
+    assert [(r.owner, r.member) for r in extract.constants(files_, ["JWSAlgorithm"]).collect()] == [("JWSAlgorithm", "RS256")]
+    assert [r.type for r in extract.composites(files_, ["oqs.Signature"]).collect()] == ["oqs.Signature"]
+    own = spark.createDataFrame([('import "crypto/mldsa"\nfunc f(k *mldsa.PrivateKey) {}',), ('import "crypto/mldsa"\nmldsa.GenerateKey()',)], "content string")
+    assert [r[0] for r in own.select(extract.foreign_keys(F.col("content"), "crypto/mldsa", ["mldsa.GenerateKey"])).collect()] == [True, False]
