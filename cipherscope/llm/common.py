@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once.
 SLICE_BYTES = 1 << 20
@@ -45,6 +46,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows with long keys that Spark no longer takes for partitioned. A join of an aggregate with the rows it
+    came from then shuffles both sides for itself, and Spark may split a partition that one key swells."""
+    return df.withColumns({k: F.col(k) + F.lit(0).cast("long") for k in keys})
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished stages, which it does once the driver collects garbage."""
     gc.collect()

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import apart, discard, stage
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a").toDF("a", "b"))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
+    return both.where("b > a").join(apart(low, "a"), "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     low = down.groupBy("a").agg(F.min("b").alias("low"))
-    return low.select("a", F.col("low").alias("b")).union(down.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")))
+    return low.select("a", F.col("low").alias("b")).union(down.join(apart(low, "a"), "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -204,7 +204,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     measured = stage(texts.mapInArrow(measure, "doc long, n long, key binary, row int, task long, counters binary, " + ", ".join(f"{x} long" for x in SIGNS)), "jaccard-sizes")
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(measured.where("row IS NOT NULL")))
     sizes = measured.where("row IS NULL").select("doc", "n", "key", *SIGNS)
-    keys = sizes.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("class"))
+    # Only copies need a class; a written table, so that the join below may split a key that a third of the rows share.
+    keys = sizes.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("class"), F.count("*").alias("copies")).where("copies > 1")
+    keys = stage(keys.drop("copies"), "jaccard-copies")
     members = stage(sizes.join(keys, "key", "left").select("doc", "n", F.coalesce("class", "doc").alias("class"), *SIGNS), "jaccard-members")
 
     def prefixes(batches):

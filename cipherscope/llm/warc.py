@@ -85,6 +85,7 @@ def resolve_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     heads = pages.select("page_id", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n")).where(F.col("n") >= least)
     keeps = heads.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").select("digest", "refers_to")
+    keeps = stage(keeps, "warc-originals")  # so that the join may split a digest that a third of the pages share
     return heads.join(keeps, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
