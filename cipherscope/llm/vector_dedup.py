@@ -1,11 +1,15 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-A tree splits at each level by the projection on a random direction, at a median of its node's sample; vectors close to
-the split (a share SPILL of the node's on either side) go both ways. Trees are built from a bounded sample, then every
-vector is routed through all of them. Vectors are compared within leaves; a pair that shares several leaves counts in
-the first of them only, which both rows can tell from the lists of their leaves, so that links are counted without
-listing pairs. A leaf over TILE rows is dealt into tiles and each pair of tiles is a group of its own. Equal vectors
-are one row with their number. A group returns a row a vector: its links there, and the smallest vector it reaches there.
+A tree splits nodes level by level, by the projection on a random direction. Vectors nearer to a split than the margin go
+both ways; the margin is half the standard deviation of the projected distance of two unit vectors at the threshold, so
+that it depends neither on the table nor on the node. A split stands where it leaves the fewest pairs (beside a dense
+group rather than inside it), and a node where no split of the direction leaves less than WORTH of its pairs stays whole
+at that level: a group of near copies ends in one leaf however large it is. Trees are built from a bounded sample, which
+goes both ways like the rows, then every vector is routed through all of them. Vectors are compared within leaves; a pair
+that shares several leaves counts in the first of them only, which both rows can tell from the lists of their leaves, so
+that links are counted without listing pairs. A leaf over TILE rows is dealt into tiles and each pair of tiles is a group
+of its own. Equal vectors are one row with their number. A group returns a row a vector: its links there, and the
+smallest vector it reaches there.
 
 A pair that no tree keeps together is missed; tests measure recall against brute force. No reported link is below the
 threshold: cosines are computed in double precision from the original vectors.
@@ -29,43 +33,49 @@ from .vectors import cosines, lengths, matrix, prepared
 
 #: Documented bounds: vectors sampled to place the splits, levels (so a tree has at most 2**LEVELS leaves).
 SAMPLE, LEVELS = 20_000, 14
-TREES, LEAF, SPILL, TILE = 12, 256, 0.06, 1024
+TREES, LEAF, TILE = 12, 256, 1024
+#: Shares of a node where splits are tried, pairs that a split may leave, sampled vectors that a node must have for one.
+SHARES, WORTH, LEAST = np.array([0.5, 0.4, 0.6, 0.3, 0.7, 0.2, 0.8]), 0.85, 8
 BROADCAST_ROWS = 100_000
 NONE = -(2**63)
 
 
 class Tree:
-    """Directions by level, and each node's split and margin."""
+    """Directions by level, each node's split (infinite: all go left) and the margin."""
 
-    def __init__(self, sample: np.ndarray, levels: int, seed: int):
+    def __init__(self, sample: np.ndarray, levels: int, seed: int, threshold: float, least: float):
+        """Nodes of at most ``least`` sampled vectors are not split."""
         rng = np.random.default_rng(seed)
         d = sample.shape[1]
-        self.directions = rng.standard_normal((levels, d)) / np.sqrt(d)
-        self.splits, self.margins = [], []
-        nodes = [np.arange(len(sample))]
+        self.directions = rng.standard_normal((levels, d))
+        self.directions /= lengths(self.directions)[:, None]
+        self.margin = np.sqrt(max(0.0, 2 - 2 * threshold) / d) / 2
+        self.splits = []
+        nodes = {0: np.arange(len(sample))}
         for level in range(levels):
             x = sample @ self.directions[level]
-            all_split, all_margin = float(np.median(x)), 0.0
-            split, margin, after = np.empty(len(nodes)), np.empty(len(nodes)), []
-            for i, own in enumerate(nodes):
+            split, after = np.full(2**level, np.inf), {}
+            for i, own in nodes.items():
                 y = x[own]
-                if len(y) >= 8:
-                    split[i] = np.median(y)
-                    margin[i] = np.quantile(np.abs(y - split[i]), min(1.0, 2 * SPILL))
-                else:
-                    split[i], margin[i] = (y.mean() if len(y) else all_split), all_margin
-                after += [own[y <= split[i]], own[y > split[i]]]
+                if len(y) > least:
+                    z = np.sort(y)
+                    tried = z[(SHARES * (len(z) - 1)).astype(np.int64)]
+                    left, right = np.searchsorted(z, tried + self.margin, side="right"), len(z) - np.searchsorted(z, tried - self.margin, side="right")
+                    pairs = left.astype(float) ** 2 + right.astype(float) ** 2
+                    if pairs.min() <= WORTH * len(z) ** 2:
+                        split[i] = tried[pairs.argmin()]
+                after[2 * i] = own[y - split[i] <= self.margin]
+                if split[i] < np.inf:
+                    after[2 * i + 1] = own[y - split[i] > -self.margin]
             nodes = after
             self.splits.append(split)
-            self.margins.append(margin)
 
     def leaves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf): every leaf of every row."""
         row, node = np.arange(len(unit)), np.zeros(len(unit), np.int64)
         for level, direction in enumerate(self.directions):
             x = (unit @ direction)[row] - self.splits[level][node]
-            near = self.margins[level][node]
-            left, right = x <= near, x > -near
+            left, right = x <= self.margin, x > -self.margin
             row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
         return row, node
 
@@ -88,6 +98,13 @@ def compare(table: pa.Table, code: int, threshold: float) -> pa.Table:
     order = np.argsort(table.column("rep").to_numpy(), kind="stable")
     table = table.take(pa.array(order))
     rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+    lists = table.column("leaves").combine_chunks()
+    flat = lists.flatten().to_numpy()
+    owner = np.repeat(np.arange(len(rep)), lists.value_lengths().to_numpy())
+    earlier = flat < code
+    names, at, counts = np.unique(flat[earlier], return_inverse=True, return_counts=True)
+    if len(rep) in counts:  # an earlier leaf holds all of these rows and has their links
+        return pa.table({"rep": rep[:0], "links": np.zeros(0, np.int64), "low": rep[:0]})
     tile, x = table.column("tile").to_numpy(), matrix(table.column("vector"))
     unit = x / lengths(x)[:, None]
     two = len(np.unique(tile)) > 1
@@ -104,16 +121,20 @@ def compare(table: pa.Table, code: int, threshold: float) -> pa.Table:
     p, q = p[ok], q[ok]
     root = local_roots(len(x), p, q)
     # Pairs that share an earlier leaf were counted there.
-    lists = table.column("leaves").combine_chunks()
-    flat = lists.flatten().to_numpy()
-    owner = np.repeat(np.arange(len(x)), lists.value_lengths().to_numpy())
-    earlier = flat < code
-    names, at = np.unique(flat[earlier], return_inverse=True)
     links = np.zeros(len(x), np.int64)
     if len(p):
-        member = np.zeros((len(x), len(names)), np.float32)
-        member[owner[earlier], at] = 1
-        first = np.concatenate([np.einsum("ij,ij->i", member[p[i : i + 8192]], member[q[i : i + 8192]]) == 0 for i in range(0, len(p), 8192)]) if len(names) else np.ones(len(p), bool)
+        first = np.ones(len(p), bool)
+        if len(names):
+            member = np.zeros((len(x), len(names)), np.float32)
+            member[owner[earlier], at] = 1
+            edges = np.searchsorted(p, np.arange(0, len(x) + 512, 512))
+            for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                if (b - a) * 32 > 512 * len(x):
+                    first[a:b] = (member[i * 512 : i * 512 + 512] @ member.T)[p[a:b] - i * 512, q[a:b]] == 0
+                else:
+                    for j in range(a, b, 8192):
+                        k = min(b, j + 8192)
+                        first[j:k] = np.einsum("ij,ij->i", member[p[j:k]], member[q[j:k]]) == 0
         np.add.at(links, p[first], copies[q[first]])
         np.add.at(links, q[first], copies[p[first]])
     some = (links > 0) | (root != np.arange(len(x)))
@@ -132,9 +153,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, trees: int = TRE
     forest = {}
     for d in set(sample.column("d").to_pylist()):
         own = matrix(sample.filter(pc.equal(sample.column("d"), d)).column("vector"))
-        forest[d] = [Tree(own / lengths(own)[:, None], levels, seed + t) for t in range(trees)]
+        forest[d] = [Tree(own / lengths(own)[:, None], levels, seed + t, threshold, max(LEAST, leaf * len(sample) / n)) for t in range(trees)]
     sent = spark.sparkContext.broadcast(forest)  # bounded by SAMPLE, LEVELS and trees
 
+    narrow = dict(vectors.dtypes)["embedding"] == "array<float>"  # travels as it came, nothing is lost
+
     def route(batches):
         for batch in batches:
             ds = batch.column(3).to_numpy()
@@ -147,16 +170,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, trees: int = TRE
                 if d in sent.value:
                     places = [t.leaves(x / lengths(x)[:, None]) for t in sent.value[d]]
                 row = np.concatenate([r for r, _ in places])
-                code = np.concatenate([(t << 32) + c for t, (_, c) in enumerate(places)])
+                code = np.concatenate([(t << LEVELS) + c for t, (_, c) in enumerate(places)])
                 order = np.lexsort((code, row))
                 row, code = row[order], code[order]
                 ends = np.searchsorted(row, np.arange(len(x) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(code))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(code.astype(np.int32)))
+                sent_vectors = own.column(2).cast(pa.list_(pa.float32())) if narrow else own.column(2)
                 for i in range(0, len(row), 8192):
                     at = pa.array(row[i : i + 8192])
-                    yield pa.RecordBatch.from_arrays([pa.array(code[i : i + 8192]), *(own.column(c).take(at) for c in range(4)), lists.take(at)], ["code", "rep", "copies", "vector", "d", "leaves"])
+                    yield pa.RecordBatch.from_arrays([pa.array(code[i : i + 8192]), *(own.column(c).take(at) for c in range(2)), sent_vectors.take(at), own.column(3).take(at), lists.take(at)], ["code", "rep", "copies", "vector", "d", "leaves"])
 
-    routed = classes.mapInArrow(route, "code long, rep long, copies long, vector array<double>, d int, leaves array<long>")
+    routed = classes.mapInArrow(route, f"code long, rep long, copies long, vector array<{'float' if narrow else 'double'}>, d int, leaves array<int>")
     large = stage(routed.groupBy("code", "d").count().where(F.col("count") > TILE), "vector-leaves").toDF("big", "big_d", "size")
     few = large.count() <= BROADCAST_ROWS
     tiled = routed.join(F.broadcast(large) if few else large, (F.col("code") == F.col("big")) & (F.col("d") == F.col("big_d")), "left")
