@@ -19,9 +19,9 @@ Before each sort a task keeps only the first of equal anchors or strings among i
 repeats, so a bucket brings a sort at most a few rows a task, however many copies it has.
 
 Positions count bytes of UTF-8. Defined results: a null text is empty; texts shorter than ``length`` have no repeats; a
-null doc_id sorts before all others; rows that share a doc_id share the spans found in any of them, clipped to their
-text, so that exact repeats of a row get the same result as the row; an empty table gives no rows; other columns are
-ignored.
+null doc_id sorts before all others; each text of a doc_id (also of the null) is a document of its own, ordered by a hash
+of it; exact repeats of a row are one document and get the same result as the row, so that its text stays in each of them
+where it stands nowhere earlier; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ C1, C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 SPAN = 16  # bits of a packed place below its start: 8 for the strings of a run less one, 8 for the anchor's offset
 #: Neighbouring strings in a block, from level to level.
 WIDTHS = (16, 1)
+#: Doc_ids of several texts up to which they are broadcast; beyond, Spark joins them by key.
+BROADCAST_ROWS = 100_000
 
 
 def grams(buf: np.ndarray, q: int, second: bool = False) -> np.ndarray:
@@ -109,15 +111,26 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def firsts(keys: list[np.ndarray], docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Marks the first, by document and start, of rows with equal keys."""
+    """1 for the first, by document and start, of rows with equal keys, -1 for the same row once more, else 0."""
     order = np.lexsort((starts, docs, *keys))
-    fresh = np.ones(len(order), bool)
+    fresh, same = np.ones(len(order), bool), np.zeros(len(order), bool)
     fresh[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    out = np.zeros(len(order), bool)
-    out[order[fresh]] = True
+    same[1:] = ~fresh[1:] & np.all([k[order][1:] == k[order][:-1] for k in (docs, starts)], axis=0)
+    out = np.zeros(len(order), np.int8)
+    out[order[fresh]], out[order[same]] = 1, -1
     return out
 
 
+def ranks(doc: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's rank by (doc, part), the same for equal ones, and a row of every rank."""
+    order = np.lexsort((part, doc))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (part[order][1:] != part[order][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(fresh) - 1
+    return rank, order[fresh]
+
+
 def merged(docs: np.ndarray, starts: np.ndarray, stops: np.ndarray):
     """Unions of touching ranges of the same document."""
     if not len(docs):
@@ -162,29 +175,35 @@ def blocks(buf: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start: np.ndar
     return mix(shared + block[first].astype(np.uint64)), mix(name), doc[run[first]], at[first], span, k[first]
 
 
-def _emit(bucket, run, doc, start, span, offset, length: int):
-    """Rows for a sort: the first of equal runs, and the others' bytes as ranges, in buckets of their own."""
-    first = firsts([bucket, run], doc, start)
+def _emit(key, part, bucket, run, doc, start, span, offset, length: int):
+    """Rows for a sort: the first of equal runs, and the others' bytes as ranges, in buckets of their own. ``doc`` counts
+    the batch's documents in order, key and part name them."""
+    kind = firsts([bucket, run], doc, start)
+    first, again = kind == 1, kind == 0
     place = (start << SPAN) | (span << 8) | offset
-    names = ["bucket", "run", "doc", "place"]
-    yield pa.RecordBatch.from_arrays([signed(bucket[first]), signed(run[first]), pa.array(doc[first]), pa.array(place[first])], names)
-    again = ~first
+    names = ["bucket", "run", "doc", "part", "place"]
+    at = doc[first]
+    yield pa.RecordBatch.from_arrays([signed(bucket[first]), signed(run[first]), pa.array(key[at]), pa.array(part[at]), pa.array(place[first])], names)
     d, s, e = merged(doc[again], start[again], (start + span)[again] + length)
+    d, own = key[d], part[d]
     # A range: place is -1 - start, run its stop.
-    yield pa.RecordBatch.from_arrays([signed(mix(d.astype(np.uint64) * C1 + s.astype(np.uint64))), pa.array(e), pa.array(d), pa.array(-1 - s)], names)
+    yield pa.RecordBatch.from_arrays([signed(mix((d ^ own).astype(np.uint64) * C1 + s.astype(np.uint64))), pa.array(e), pa.array(d), pa.array(own), pa.array(-1 - s)], names)
 
 
 def _sift(rows: DataFrame, length: int) -> DataFrame:
     """Sorts buckets by run: doc, start, stop, offset, open. Closed rows are ranges of repeated bytes; open ones are runs
     (first and last string) that are the first of their kind in a bucket with others."""
-    order = Window.partitionBy("bucket").orderBy("run", "doc", "place")
+    order = Window.partitionBy("bucket").orderBy("run", "doc", "part", "place")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.select("*", F.lag("run").over(order).alias("before"), F.first("run").over(whole).alias("low"), F.last("run").over(whole).alias("high"))
+    same = reduce(lambda x, y: x & y, (F.lag(c).over(order) == F.col(c) for c in ("run", "doc", "part", "place")))
+    rows = rows.select("*", F.coalesce(same, F.lit(False)).alias("same"), F.lag("run").over(order).alias("before"), F.first("run").over(whole).alias("low"), F.last("run").over(whole).alias("high"))
     start = F.shiftright("place", SPAN)
     strings = F.shiftright("place", 8).bitwiseAND(255)
     is_range, is_again = F.col("place") < 0, F.coalesce(F.col("before") == F.col("run"), F.lit(False))
-    return rows.where(is_range | is_again | (F.col("low") != F.col("high"))).select(
+    # A row that is the same as the one before it comes from an exact repeat of its document.
+    return rows.where(~F.col("same") & (is_range | is_again | (F.col("low") != F.col("high")))).select(
         "doc",
+        "part",
         F.when(is_range, -1 - F.col("place")).otherwise(start).alias("start"),
         F.when(is_range, F.col("run")).when(is_again, start + strings + length).otherwise(start + strings).alias("stop"),
         F.col("place").bitwiseAND(255).alias("offset"),
@@ -196,75 +215,87 @@ def _key():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
 
 
+def _keyed(docs: DataFrame, *columns) -> DataFrame:
+    """``columns``, doc and part, which name a document: part is a hash of the text where a doc_id has several texts, else 0."""
+    rows = docs.select(*columns, _key().alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("part"))
+    several = rows.groupBy("doc").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    several = stage(several.select(F.col("doc").alias("several")), "repeat-ids")
+    n = several.count()
+    if not n:
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    rows = rows.join(F.broadcast(several) if n <= BROADCAST_ROWS else several, F.col("doc") == F.col("several"), "left")
+    return rows.withColumn("part", F.when(F.col("several").isNotNull(), F.col("part")).otherwise(0)).drop("several")
+
+
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc (doc_id, a null as the least long), spans (array of start, stop): maximal runs of bytes inside strings of
+    """doc (doc_id, a null as the least long), part (of ``_keyed``), spans (array of start, stop): maximal runs of bytes inside strings of
     ``length`` bytes that also start earlier. Documents without any are absent."""
     if not 8 <= length <= 255:
         raise ValueError("length must be 8 to 255")
-    texts = docs.select(_key().alias("doc"), "text")
+    texts = _keyed(docs, "text").select("doc", "part", "text")
 
     def find(batches):
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            buf, offsets = text_bytes(batch.column(1))
-            parts = []
+            key, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            buf, offsets = text_bytes(batch.column(2))
+            parts, (rank, named) = [], ranks(key, part)
             for a, b in doc_slices(offsets, SLICE_BYTES // 2):
                 lo, hi = offsets[a], offsets[b]
                 if (got := anchors(buf[lo:hi], offsets[a : b + 1] - lo, length)) is not None:
-                    parts.append((*got[:2], key[a:b][got[2]], *got[3:]))
+                    parts.append((*got[:2], rank[a:b][got[2]], *got[3:]))
             if parts:
-                yield from _emit(*map(np.concatenate, zip(*parts)), length)
+                yield from _emit(key[named], part[named], *map(np.concatenate, zip(*parts)), length)
 
     def split(width):
         def run(batches):
             for batch in batches:
-                key = batch.column(0).to_numpy(zero_copy_only=False)
-                buf, offsets = text_bytes(batch.column(1))
-                runs = batch.column(2)
+                key, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                buf, offsets = text_bytes(batch.column(2))
+                runs = batch.column(3)
                 counts = runs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 inner = runs.flatten()
                 fields = [inner.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
                 edge = np.concatenate([[0], np.cumsum(counts)])
-                parts = []
+                parts, (rank, named) = [], ranks(key, part)
                 for a, b in doc_slices(offsets, SLICE_BYTES // 2):
                     lo, hi = offsets[a], offsets[b]
                     row = np.repeat(np.arange(b - a), counts[a:b])
                     got = blocks(buf[lo:hi], offsets[a : b + 1] - lo, row, *(f[edge[a] : edge[b]] for f in fields), width, length)
                     if got is not None:
-                        parts.append((*got[:2], key[a:b][got[2]], *got[3:]))
+                        parts.append((*got[:2], rank[a:b][got[2]], *got[3:]))
                 if parts:
-                    yield from _emit(*map(np.concatenate, zip(*parts)), length)
+                    yield from _emit(key[named], part[named], *map(np.concatenate, zip(*parts)), length)
 
         return run
 
-    schema = "bucket long, run long, doc long, place long"
+    schema = "bucket long, run long, doc long, part long, place long"
     sifted = [stage(_sift(texts.mapInArrow(find, schema), length), "repeat-anchors")]
     for width in WIDTHS:
-        runs = sifted[-1].where("open").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "offset"))).alias("runs"))  # of one document
-        finer = texts.join(runs, "doc").select("doc", "text", "runs").mapInArrow(split(width), schema)
+        runs = sifted[-1].where("open").groupBy("doc", "part").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "offset"))).alias("runs"))  # of one document
+        finer = texts.join(runs, ["doc", "part"]).select("doc", "part", "text", "runs").mapInArrow(split(width), schema)
         sifted.append(stage(_sift(finer, length), f"repeat-blocks-{width}"))
 
     def join_up(batches):
         for batch in batches:
-            ranges = batch.column(1)
+            ranges = batch.column(2)
             counts = ranges.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             inner = ranges.flatten()
             row = np.repeat(np.arange(len(counts)), counts)
             r, s, e = merged(row, *(inner.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(len(counts) + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(s), pa.array(e)], ["start", "stop"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc", "part", "spans"])
 
-    ranges = reduce(DataFrame.unionByName, (x.where("NOT open").select("doc", "start", "stop") for x in sifted))
-    ranges = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))  # of one document
-    return ranges.mapInArrow(join_up, "doc long, spans array<struct<start: long, stop: long>>")
+    ranges = reduce(DataFrame.unionByName, (x.where("NOT open").select("doc", "part", "start", "stop") for x in sifted))
+    ranges = ranges.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))  # of one document
+    return ranges.mapInArrow(join_up, "doc long, part long, spans array<struct<start: long, stop: long>>")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, the remaining bytes as ``kept`` (binary) and as ``rest`` (string, without
     characters that a span cut in two), and the columns named in ``keep``."""
     keep = keep or []
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _key().alias("doc"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
-    rows = rows.join(spans, "doc", "left").drop("doc")
+    rows = _keyed(docs, "doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
+    rows = rows.join(spans, ["doc", "part"], "left").drop("doc", "part")
 
     def cut(batches):
         for batch in batches:

@@ -38,3 +38,14 @@ def test_forest_keeps_pairs_at_many_levels():
         together |= member @ member.T > 0
     near = group @ group.T >= 0.9
     assert together[near].mean() >= 0.999
+
+
+def test_repeats_of_rows_and_of_null_ids(spark):
+    from cipherscope.llm.repeats import remove_spans, repeated_spans
+
+    a, b, c, d = ("".join(np.random.default_rng(i).choice(list("abcdefgh "), 150)) for i in range(4))
+    # One row twice; different and equal texts of the null id; an id of two texts, one with a passage from elsewhere.
+    rows = [(7, a), (7, a), (None, b), (None, b), (None, "#" * 60 + c), (9, "x" + d), (9, "y" + a), (12, d)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.rest) for r in remove_spans(frame, repeated_spans(frame)).collect())
+    assert got == sorted([(7, a), (7, a), (0, b), (0, b), (0, "#" * 60 + c), (9, "x" + d), (9, "y"), (12, "")])
