@@ -249,7 +249,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     pairs = pairs.join(one, "doc").join(two, "pivot").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     compared = stage(pairs, "jaccard-pairs")
     links = stage(_verify(compared, texts, words, percent), "jaccard-links")
-    twice = members.groupBy("doc").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("a", "b")
+    # A doc_id of several texts is one node: all its classes are linked with the smallest. A written table, so that the join
+    # may split a key that many rows share.
+    lows = members.groupBy("doc").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
+    lows = stage(lows.select(F.col("doc").alias("node"), "a"), "jaccard-nodes")
+    twice = members.join(lows, F.col("doc") == F.col("node")).where("class <> a").select("a", F.col("class").alias("b")).distinct()
     first = components(links.union(twice))
 
     # What lies in one bucket but in different components: of such a pair one at least is outside the bucket's main one.

@@ -28,11 +28,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of texts that five-word shingles link, and one row of it."""
-    keep = jaccard_components(docs).where("doc = component").select("doc").distinct()
-    rows = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))).join(keep, "doc", "left_semi")
+    """Keeps the first row, by doc_id (a null first), of each group of texts that five-word shingles link. Several texts of
+    one doc_id, also of the null, are documents of their own, in the order of a hash; equal rows are one."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), "text")
+    if not rows.groupBy("doc").count().where("count > 1").isEmpty():
+        # Nodes in the order of doc_id, written once.
+        rows = rows.withColumn("part", F.xxhash64("text"))
+        nodes = rows.select("doc", "part").distinct().orderBy("doc", "part").withColumn("node", F.monotonically_increasing_id())
+        rows = rows.join(stage(nodes, "pipeline-nodes"), ["doc", "part"]).select("row", F.col("node").alias("doc"), "text")
+        rows = stage(rows, "pipeline-rows")
+    keep = jaccard_components(rows.select(F.col("doc").alias("doc_id"), "text")).where("doc = component").select("doc").distinct()
     first = Window.partitionBy("doc").orderBy(F.col("text").asc_nulls_last())
-    return rows.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(docs.columns)
+    rows = rows.join(keep, "doc", "left_semi").withColumn("place", F.row_number().over(first))
+    return rows.where("place = 1").select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,24 @@ def test_repeats_of_rows_and_of_null_ids(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r.doc_id or 0, r.rest) for r in remove_spans(frame, repeated_spans(frame)).collect())
     assert got == sorted([(7, a), (7, a), (0, b), (0, b), (0, "#" * 60 + c), (9, "x" + d), (9, "y"), (12, "")])
+
+
+def test_pipeline_keeps_texts_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    text = [" ".join(f"{w}{i}" for w in "a b c d e f g h i j".split()) for i in range(6)]
+    # Different texts of the null id; a copy of one; an id of two texts, one a copy of a smaller id's; a row twice.
+    rows = [(None, text[0]), (None, text[1]), (3, text[1]), (4, text[2]), (8, text[2]), (8, text[3]), (9, text[4]), (9, text[4]), (10, text[5])]
+    frame = spark.createDataFrame([(*r, "clash", i) for i, r in enumerate(rows)], "doc_id long, text string, doc string, _row long")
+    out = cp.near_duplicates(spark, frame.repartition(3), "")
+    assert out.columns == frame.columns and {r["doc"] for r in out.collect()} == {"clash"}
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(0, text[0]), (0, text[1]), (4, text[2]), (8, text[3]), (9, text[4]), (10, text[5])])
+
+
+def test_jaccard_links_all_texts_of_an_id(spark):
+    from cipherscope.llm.jaccard import jaccard_join
+
+    text = [" ".join(f"{w}{i}" for w in "a b c d e f g h".split()) for i in range(3)]
+    rows = [(1, text[0]), (2, text[1]), (3, text[2])] + [(9, t) for t in text]  # the classes 1, 2 and 3 meet in 9
+    got = {(r.doc_id, r.component_id) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (9, 1)}
