@@ -127,12 +127,14 @@ def deficit_round_robin(totals: np.ndarray, phase: int, window: int) -> np.ndarr
         free = min(room - int(take.sum()), int((left - take).sum()))
         while free > 0:
             for q in np.argsort(take - deficit, kind="stable"):
-                if free and left[q] > take[q]:
+                if not free:
+                    break
+                if left[q] > take[q]:
                     take[q] += 1
                     free -= 1
         deficit -= take
         left -= take
-        out.append(take)
+        out.append(take.astype(np.int32))
         room = window
     return np.array(out)
 
@@ -155,8 +157,10 @@ def pack_group(table: pa.Table, window: int) -> pa.Table:
     takes = deficit_round_robin(totals, begin % window, window)
     # Cut each queue at its documents' and its windows' edges; all queues stand one after another in blob.
     base = np.cumsum(totals) - totals
-    served = base + np.cumsum(takes, axis=0)
-    within = np.cumsum(takes, axis=1) - takes
+    served = np.cumsum(takes, axis=0, dtype=np.int32)
+    served += base.astype(np.int32)
+    within = np.cumsum(takes, axis=1, dtype=np.int32)
+    within -= takes
     within[0] += begin % window
     edges = np.cumsum(sizes)
     cuts = np.unique(np.concatenate([edges - sizes, (served - takes)[takes > 0]]))
@@ -164,8 +168,9 @@ def pack_group(table: pa.Table, window: int) -> pa.Table:
     row = np.searchsorted(edges, cuts, side="right")
     q = queue[row]
     w = np.empty(len(cuts), np.int64)
+    of = np.searchsorted(q, np.arange(len(totals) + 1))
     for k in range(len(totals)):
-        own = q == k
+        own = slice(of[k], of[k + 1])
         w[own] = np.searchsorted(served[:, k], cuts[own], side="right")
     offset = within[w, q] + cuts - (served - takes)[w, q]
     starts = table.column("start").to_numpy()[row] + cuts - (edges - sizes)[row]
@@ -220,9 +225,24 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, tar
 
 
 def group_starts(spark, schedule: Schedule, sums: DataFrame, everything: int):
-    """A function that gives the tokens of all groups before group g, from the queues' totals (a bounded broadcast)."""
-    totals = [(r[0], r[1]) for r in sums.groupBy("queue").agg(F.sum("n")).limit(BROADCAST_ROWS + 1).collect()]
-    if len(totals) > BROADCAST_ROWS:
-        raise ValueError(f"over {BROADCAST_ROWS} sources; map them to fewer queues, or name the ones to steer in targets")
-    sent = spark.sparkContext.broadcast(totals)
-    return lambda g: sum(schedule.edge(q, n, everything, g) for q, n in sent.value)
+    """A function that gives the tokens of all groups before group g. The queues' totals stay in Spark; what the driver
+    sends is a number a group."""
+    groups, totals = schedule.groups, sums.groupBy("queue").agg(F.sum("n").alias("n"))
+    if schedule.phases is not None:  # queues named in targets, and one of all others
+        named = [(r[0], r[1]) for r in totals.collect()]
+        starts = [sum(schedule.edge(q, n, everything, g) for q, n in named) for g in range(groups)]
+    else:
+
+        def add(batches):
+            g, at, any_row = np.arange(groups), np.zeros(groups, np.int64), False
+            for batch in batches:
+                for n in batch.column(0).to_pylist():
+                    at += n * g // groups
+                    any_row = True
+            if any_row:
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(at)], ["grp", "at"])
+
+        found = totals.select("n").mapInArrow(add, "grp long, at long").groupBy("grp").agg(F.sum("at"))
+        starts = [n for _, n in sorted((r[0], r[1]) for r in found.collect())]
+    sent = spark.sparkContext.broadcast(starts)
+    return lambda g: sent.value[g]

@@ -70,3 +70,14 @@ def test_jaccard_links_all_texts_of_an_id(spark):
     rows = [(1, text[0]), (2, text[1]), (3, text[2])] + [(9, t) for t in text]  # the classes 1, 2 and 3 meet in 9
     got = {(r.doc_id, r.component_id) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (9, 1)}
+
+
+def test_packing_of_more_sources_than_are_broadcast(spark, monkeypatch):
+    from cipherscope.llm import packing
+
+    from .test_operators import WORD, check_pieces
+
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 3)
+    rows = [(i, "some words of a text " * (i % 7)) for i in range(90)]
+    frame = spark.createDataFrame([(i, t, f"s{i % 30}") for i, t in rows], "doc_id long, text string, source string")
+    check_pieces(packing.pack(frame, WORD, 2, window=64, group_tokens=200).collect(), rows, 2, 64)
