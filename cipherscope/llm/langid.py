@@ -1,5 +1,8 @@
 """Language identification by a linear-chain conditional random field over words.
 
+Text without blanks between words (Chinese, Japanese, Korean, Thai, Lao, Burmese, Khmer characters) is cut into words of
+STEP characters, other runs of letters into words of at most LONG, so that all of a run counts, by its length.
+
 Each word has affix features (up to three characters from either end), character n-grams of one to three, and lexicon
 features (the languages whose frequent training words hold it), hashed into one weight table; transitions between the
 labels of neighbouring words are learned with them. Chains of at most CHAIN words cover a whole text; forward-backward
@@ -26,17 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scan import doc_slices, run_hashes, text_bytes
+from .tokens import ragged
 
 #: Documented bounds of the training sample: documents expected a language, languages, words of each window.
 PER_LANGUAGE, LANGUAGES, WINDOW = 800, 64, 64
 #: Words whose scores a process keeps.
 KEPT = 150_000
+#: Characters of a word in text without blanks, and at most in other text.
+STEP, LONG = 2, 40
 CHAIN, TABLE, LEXICON_LEAST, ROUNDS, PENALTY = 128, 1 << 17, 3, 60, 1e-4
 UND = "und"
 
 
 def word_runs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of ASCII letters and bytes of other characters; those without a letter are dropped once decoded."""
+    """Runs of ASCII letters and bytes of other characters, cut into words; those without a letter are dropped once decoded."""
     letter = (((buf | 32) >= 97) & ((buf | 32) <= 122)) | (buf >= 128)
     first = letter.copy()
     first[1:] &= ~letter[:-1]
@@ -44,11 +50,40 @@ def word_runs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[edges] = letter[edges]
     starts = np.flatnonzero(first)
     stops = np.flatnonzero(np.append(~letter | first, True))
-    return starts, stops[np.searchsorted(stops, starts, side="right")]
+    return cut_runs(buf, starts, stops[np.searchsorted(stops, starts, side="right")])
+
+
+def cut_runs(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts runs where text without blanks begins or ends, inside it every STEP characters, elsewhere every LONG."""
+    wide, at = np.zeros(len(buf) + 1, bool), np.flatnonzero(buf >= 0xE0)
+    lead, then = buf[at], np.append(buf, 0)[at + 1]
+    thai_lao, burmese_khmer = (lead == 0xE0) & (then >= 0xB8) & (then <= 0xBB), (lead == 0xE1) & ((then <= 0x82) | (then == 0x9E) | (then == 0x9F))
+    wide[at] = thai_lao | burmese_khmer | ((lead >= 0xE3) & (lead <= 0xED)) | ((lead == 0xF0) & (then >= 0xA0))
+    has = np.concatenate([[0], np.cumsum(wide)])
+    some = (stops - starts > LONG) | (has[stops] > has[starts])
+    if not some.any():
+        return starts, stops
+    lens = (stops - starts)[some]
+    place, run = ragged(starts[some], lens), np.repeat(np.arange(len(lens)), lens)
+    begins = (buf[place] & 0xC0) != 0x80
+    place, run = place[begins], run[begins]
+    kind = wide[place]
+    fresh = np.ones(len(place), bool)
+    fresh[1:] = (run[1:] != run[:-1]) | (kind[1:] != kind[:-1])
+    first = np.flatnonzero(fresh)
+    count = np.arange(len(place)) - first[np.cumsum(fresh) - 1]
+    cut = count % np.where(kind, STEP, LONG) == 0
+    place, run = place[cut], run[cut]
+    ends = stops[some][run]
+    same = run[1:] == run[:-1]
+    ends[:-1][same] = place[1:][same]
+    starts, stops = np.concatenate([starts[~some], place]), np.concatenate([stops[~some], ends])
+    order = np.argsort(starts, kind="stable")
+    return starts[order], stops[order]
 
 
 def features(word: str) -> list[str]:
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     out = [w[:n] for n in (2, 3, 4)] + [w[-n:] for n in (2, 3, 4)]
     return [f"a{x}" for x in out] + [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
 
@@ -241,7 +276,7 @@ def fit(docs: DataFrame, held_out) -> Model:
                 starts, ends = word_runs(own, np.array([0, len(own)]))
                 first = at % max(1, len(starts) - WINDOW + 1)
                 raw = own.tobytes()
-                words = [raw[a:b].decode().lower()[:64] for a, b in zip(starts[first : first + WINDOW], ends[first : first + WINDOW])]
+                words = [raw[a:b].decode().lower() for a, b in zip(starts[first : first + WINDOW], ends[first : first + WINDOW])]
                 rows.append((lang, [w for w in words if any(map(str.isalpha, w))]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["lang", "words"])
 

@@ -81,3 +81,20 @@ def test_packing_of_more_sources_than_are_broadcast(spark, monkeypatch):
     rows = [(i, "some words of a text " * (i % 7)) for i in range(90)]
     frame = spark.createDataFrame([(i, t, f"s{i % 30}") for i, t in rows], "doc_id long, text string, source string")
     check_pieces(packing.pack(frame, WORD, 2, window=64, group_tokens=200).collect(), rows, 2, 64)
+
+
+def test_language_of_text_without_blanks():
+    from cipherscope.llm.langid import predict, train, word_runs
+
+    def words(text):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        return [buf[a:b].tobytes().decode() for a, b in zip(*word_runs(buf, np.array([0, len(buf)])))]
+
+    assert words("ab 你好吗x, l’été " + "y" * 90 + "ไทย") == ["ab", "你好", "吗", "x", "l’été", "y" * 40, "y" * 40, "y" * 10, "ไท", "ย"]
+    rng = np.random.default_rng(2)
+    text = lambda first, n: "".join(chr(first + i) for i in rng.integers(0, 60, n))
+    model = train([(lang, words(text(first, 128))) for lang, first in (("ja", 0x3042), ("zh", 0x4E00)) for _ in range(40)])
+    # A quotation of 50 characters first, then 400 of the document's own language: all of it counts.
+    buf = np.frombuffer((text(0x4E00, 50) + text(0x3042, 400)).encode(), np.uint8)
+    label, score = predict(model, buf, np.array([0, len(buf)]))
+    assert label == ["ja"] and 0.8 < score[0] < 0.95
