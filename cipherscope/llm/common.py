@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one of the application."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a temporary one of the application on one machine
+    (tests); on a cluster an error, for its executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _own.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
         _own[app] = found
@@ -37,7 +41,6 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: ``df`` as a written table in the shared folder, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
-    release(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

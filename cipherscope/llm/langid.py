@@ -5,13 +5,13 @@ STEP characters, other runs of letters into words of at most LONG, so that all o
 
 Each word has affix features (up to three characters from either end), character n-grams of one to three, and lexicon
 features (the languages whose frequent training words hold it), hashed into one weight table; transitions between the
-labels of neighbouring words are learned with them. Chains of at most CHAIN words cover a whole text; forward-backward
-gives every word a distribution over the languages, which also labels code-switched text, and a document's label is the
-language with the largest sum of them. Its score is that sum's share.
+labels of neighbouring words are learned with them. Chains of at most CHAIN words cover a whole text, a very long one in
+windows; forward-backward gives every word a distribution over the languages, which also labels code-switched text, and a
+document's label is the language with the largest sum of them. Its score is that sum's share.
 
-Training is on a bounded sample (PER_LANGUAGE documents expected a language, one window of WINDOW words each), chosen by
-a hash of doc_id; windows of different languages are joined into chains, so that transitions see switches. Training
-minimises the penalised negative log-likelihood by Adam on the driver. Prediction uses the text alone.
+Training is on a bounded sample (at most PER_LANGUAGE distinct texts of every language, one window of WINDOW words each),
+chosen by a hash of the text; windows of different languages are joined into chains, so that transitions see switches.
+Training minimises the penalised negative log-likelihood by Adam on the driver. Prediction uses the text alone.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0, as is everything where nothing was
 learned; ties go to the language that sorts first; repeated rows give repeated results; an empty table gives no rows;
@@ -20,21 +20,21 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import doc_slices, run_hashes, text_bytes
+from .common import SLICE_BYTES
+from .scan import doc_slices, mix, run_hashes, text_bytes
 from .tokens import ragged
 
-#: Documented bounds of the training sample: documents expected a language, languages, words of each window.
-PER_LANGUAGE, LANGUAGES, WINDOW = 800, 64, 64
-#: Words whose scores a process keeps.
-KEPT = 150_000
+#: Documented bounds of the training sample: texts of each language at most (fewer where there are many languages: CELLS
+#: over the square of their number, but one at least), words of each text's window. Every language is learned.
+PER_LANGUAGE, CELLS, WINDOW = 800, 1 << 16, 64
 #: Characters of a word in text without blanks, and at most in other text.
 STEP, LONG = 2, 40
 CHAIN, TABLE, LEXICON_LEAST, ROUNDS, PENALTY = 128, 1 << 17, 3, 60, 1e-4
@@ -82,27 +82,43 @@ def cut_runs(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np
     return starts[order], stops[order]
 
 
-def features(word: str) -> list[str]:
-    w = f"^{word}$"
-    out = [w[:n] for n in (2, 3, 4)] + [w[-n:] for n in (2, 3, 4)]
-    return [f"a{x}" for x in out] + [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
-
-
-def feature_rows(words: list[str], together: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Table rows of all words' features, one word after another, and each word's first."""
-    rows, counts = [np.zeros(0, np.int32)], []
-    for i in range(0, len(words), together):  # the strings of a few words at once
-        named = [features(w) for w in words[i : i + together]]
-        counts += map(len, named)
-        buf = np.frombuffer("\0".join(f for r in named for f in r).encode(), np.uint8)
-        stops = np.append(np.flatnonzero(buf == 0), len(buf))
-        starts = np.concatenate([[0], stops[:-1] + 1])
-        rows.append((run_hashes(buf, starts, stops) % np.uint64(TABLE)).astype(np.int32))
-    return np.concatenate(rows), np.cumsum([0, *counts[:-1]])
-
-
-def forward_backward(emit: np.ndarray, mask: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of chains (chain, place, label), the summed pairs of neighbouring labels, and each chain's log-sum.
+#: Words' features: six affixes (two to four characters of ^word$ from either end), then all runs of one to three.
+AFFIXES, GRAMS = (2, 3, 4), (1, 2, 3)
+
+
+def feature_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of all words' features, one word after another, and each word's first. Words are not empty."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    marked = "".join(f"^{w}$" for w in words)
+    chars = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.cumsum(size) - size
+    # runs[n][i]: the hash of the n characters from i on.
+    runs, h = {}, np.zeros(len(chars), np.uint64)
+    for n in range(1, 5):
+        h = h[: len(chars) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + (chars[n - 1 :] + np.uint64(n))
+        runs[n] = h
+    rows = lambda x, kind: (mix(x + np.uint64(kind)) % np.uint64(TABLE)).astype(np.int32)
+    counts = 2 * len(AFFIXES) + sum(size - n + 1 for n in GRAMS)
+    first = np.cumsum(counts) - counts
+    out, place = np.empty(int(counts.sum()), np.int32), first.copy()
+    for n in AFFIXES:
+        short = np.minimum(size, n)  # a word of one character has three with its marks
+        for kind, at in ((1, start), (2, start + size - short)):
+            for m in np.unique(short):
+                own = short == m
+                out[place[own]] = rows(runs[int(m)][at[own]], kind)
+            place += 1
+    for n in GRAMS:
+        out[ragged(place, size - n + 1)] = rows(runs[n][ragged(start, size - n + 1)], 3)
+        place += size - n + 1
+    return out, first
+
+
+def forward_backward(emit: np.ndarray, mask: np.ndarray, start: np.ndarray, move: np.ndarray, learn: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of chains (chain, place, label), the summed pairs of neighbouring labels (with ``learn``), and each
+    chain's log-sum.
 
     ``emit`` and ``move`` are scores; places where ``mask`` is false lie behind a chain's end.
     """
@@ -125,7 +141,7 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, start: np.ndarray, move
         if i:
             y = e[:, i] * beta
             on = mask[:, i]
-            if on.any():
+            if learn and on.any():
                 w = 1 / np.einsum("ni,ij,nj->n", alpha[i - 1][on], a, y[on])
                 pairs += (alpha[i - 1][on] * w[:, None]).T @ y[on] * a
             z = y @ a.T
@@ -138,23 +154,19 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, start: np.ndarray, move
 class Model:
     languages: list[str]
     weights: np.ndarray
-    lexicon: dict[str, np.ndarray]
+    lexicon: dict[str, int]
+    known: np.ndarray  # the lexicon's words' scores
     start: np.ndarray
     move: np.ndarray
-    kept: dict = field(default_factory=dict, repr=False)
-
-    def emissions(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros((0, len(self.languages)))
-        parts = []
-        for i in range(0, len(words), 4096):
-            rows, first = feature_rows(words[i : i + 4096])
-            parts.append(np.add.reduceat(self.weights[rows], first, axis=0))
-        out = np.concatenate(parts)
-        lex = self.weights[TABLE:]
-        for i, w in enumerate(words):
-            if (known := self.lexicon.get(w)) is not None:
-                out[i] += known @ lex
+
+    def emissions(self, words: list[str], together: int = 8192) -> np.ndarray:
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        for i in range(0, len(words), together):
+            rows, first = feature_rows(words[i : i + together])
+            out[i : i + together] = np.add.reduceat(self.weights[rows], first, axis=0)
+        if self.lexicon:
+            at = np.fromiter((self.lexicon.get(w, -1) for w in words), np.int64, len(words))
+            out[at >= 0] += self.known[at[at >= 0]]
         return out
 
 
@@ -164,7 +176,7 @@ def train(windows: list[tuple[str, list[str]]], seed: int = 5) -> Model:
     languages = sorted({lang for lang, _ in windows})
     k = len(languages)
     if not k:
-        return Model([], np.zeros((TABLE, 0)), {}, np.zeros(0), np.zeros((0, 0)))
+        return Model([], np.zeros((TABLE, 0)), {}, np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0)))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(windows))
     vocabulary: dict[str, int] = {}
@@ -177,95 +189,131 @@ def train(windows: list[tuple[str, list[str]]], seed: int = 5) -> Model:
     words = list(vocabulary)
     counts = np.zeros((len(words), k))
     np.add.at(counts, (tokens, labels), 1)
-    frequent = counts.sum(axis=1) >= LEXICON_LEAST
-    lexicon = {words[i]: (counts[i] >= LEXICON_LEAST).astype(float) for i in np.flatnonzero(frequent)}
     known = (counts >= LEXICON_LEAST).astype(float)
+    frequent = np.flatnonzero(known.any(axis=1))
     # Chains of CHAIN words run through windows of several languages.
     n = -(-len(tokens) // CHAIN)
     mask = np.arange(n * CHAIN).reshape(n, CHAIN) < len(tokens)
     ids, gold = np.zeros((n, CHAIN), np.int64), np.zeros((n, CHAIN), np.int64)
     ids[mask], gold[mask] = tokens, labels
-    hot = np.eye(k)[gold] * mask[:, :, None]
     both = mask[:, 1:]
     gold_pairs = np.zeros((k, k))
     np.add.at(gold_pairs, (gold[:, :-1][both], gold[:, 1:][both]), 1)
     rows, first = feature_rows(words)
+    batches = [slice(i, min(i + 256, n)) for i in range(0, n, 256)]
     owner = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(first, append=len(rows)))
     params = [np.zeros((TABLE + k, k)), np.zeros(k), np.zeros((k, k))]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, ROUNDS + 1):
         w, start, move = params
         emit = np.stack([np.add.reduceat(w[rows, j], first) for j in range(k)], axis=1) + known @ w[TABLE:]
-        marginals, pairs, _ = forward_backward(emit[ids], mask, start, move)
-        diff = (marginals - hot) * mask[:, :, None]
-        by_word = np.stack([np.bincount(ids.ravel(), diff[:, :, j].ravel(), len(words)) for j in range(k)], axis=1)
+        by_word, begins, pairs = np.zeros((len(words), k)), np.zeros(k), -gold_pairs
+        for b in batches:  # chains, so that memory does not grow with the number of languages times the sample
+            marginals, found, _ = forward_backward(emit[ids[b]], mask[b], start, move)
+            diff = (marginals - np.eye(k)[gold[b]]) * mask[b][:, :, None]
+            by_word += np.stack([np.bincount(ids[b].ravel(), diff[:, :, j].ravel(), len(words)) for j in range(k)], axis=1)
+            begins += diff[:, 0].sum(axis=0)
+            pairs += found
         grad_w = np.stack([np.bincount(rows, by_word[owner, j], TABLE) for j in range(k)], axis=1)
-        grads = [np.concatenate([grad_w, known.T @ by_word]), diff[:, 0].sum(axis=0), pairs - gold_pairs]
+        grads = [np.concatenate([grad_w, known.T @ by_word]), begins, pairs]
         for p, g, a, b in zip(params, grads, m1, m2):
             g = g / len(tokens) + PENALTY * p
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             p -= 0.1 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
-    return Model(languages, params[0].astype(np.float32), lexicon, params[1], params[2])
-
-
-def predict(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+    lexicon = {words[i]: at for at, i in enumerate(frequent)}
+    return Model(languages, params[0][:TABLE].astype(np.float32), lexicon, (known[frequent] @ params[0][TABLE:]).astype(np.float32), params[1], params[2])
+
+
+def windows_of(buf: np.ndarray, offsets: np.ndarray, most: int):
+    """(first document, offsets of a window's documents): runs of about ``most`` bytes; a longer document comes in windows
+    that end at a byte which is no letter, or else between characters."""
+    for a, b in doc_slices(offsets, most):
+        lo, hi = int(offsets[a]), int(offsets[b])
+        if hi - lo <= most:
+            yield a, offsets[a : b + 1]
+            continue
+        while lo < hi:
+            upto = min(hi, lo + most)
+            if upto < hi:
+                own = buf[lo:upto]
+                gap = np.flatnonzero((own < 128) & (((own | 32) < 97) | ((own | 32) > 122)))
+                gap = gap if len(gap) else np.flatnonzero(((own & 0xC0) != 0x80)[1:])
+                upto = lo + int(gap[-1]) + 1 if len(gap) else upto
+            yield a, np.array([lo, upto])
+            lo = upto
+
+
+def predict(model: Model, buf: np.ndarray, offsets: np.ndarray, most: int = SLICE_BYTES) -> tuple[list[str], np.ndarray]:
     """(label, score) of the documents buf[offsets[i]:offsets[i + 1]]."""
-    base = int(offsets[0])
-    buf, offsets = buf[base : int(offsets[-1])], offsets - base
     docs, k = len(offsets) - 1, len(model.languages)
-    sums = np.zeros((docs, max(k, 1)))
-    words_in = np.zeros(docs, np.int64)
-    if k and len(buf):
-        starts, ends = word_runs(buf, offsets)
-        codes, distinct = pd.factorize(run_hashes(buf, starts, ends))
-        where = np.zeros(len(distinct), np.int64)
-        where[codes] = np.arange(len(codes))
-        raw, kept = buf.tobytes(), model.kept
-        if len(kept) > KEPT:
-            kept.clear()
-        new = [(int(h), raw[starts[i] : ends[i]].decode().lower()) for h, i in zip(distinct, where) if int(h) not in kept]
-        real = [any(map(str.isalpha, w)) for _, w in new]
-        scores = iter(model.emissions([w for (_, w), r in zip(new, real) if r]).astype(np.float32))
-        for (h, _), r in zip(new, real):
-            kept[h] = next(scores) if r else None
-        found = [kept[int(h)] for h in distinct]
-        is_word = np.array([f is not None for f in found], bool)
-        table = np.stack([f if f is not None else np.zeros(k, np.float32) for f in found]) if found else np.zeros((0, k), np.float32)
-        on = is_word[codes]
-        codes, starts = codes[on], starts[on]
-        doc = np.searchsorted(offsets, starts, side="right") - 1
-        words_in = np.bincount(doc, minlength=docs)
-        # Chains: the words of a document in runs of CHAIN, those of like length together.
-        firsts = np.cumsum(words_in) - words_in
-        chains = -(-words_in // CHAIN)
-        chain_doc = np.repeat(np.arange(docs), chains)
-        part = np.arange(len(chain_doc)) - np.repeat(np.cumsum(chains) - chains, chains)
-        begin = firsts[chain_doc] + part * CHAIN
-        length = np.minimum(CHAIN, words_in[chain_doc] - part * CHAIN)
-        order = np.argsort(length, kind="stable")
-        for i in range(0, len(order), 1024):
-            own = order[i : i + 1024]
-            t = int(length[own].max())
-            mask = np.arange(t) < length[own][:, None]
-            at = np.where(mask, begin[own][:, None] + np.arange(t), 0)
-            marginals, _, _ = forward_backward(table[codes[at]].astype(np.float64), mask, model.start, model.move)
-            np.add.at(sums, chain_doc[own], marginals.sum(axis=1))
+    sums, words_in = np.zeros((docs, max(k, 1))), np.zeros(docs, np.int64)
+    for a, own in windows_of(buf, offsets, most) if k else ():
+        found, counts = label_sums(model, buf[own[0] : own[-1]], own - own[0])
+        sums[a : a + len(counts)] += found
+        words_in[a : a + len(counts)] += counts
     best = sums.argmax(axis=1)
     share = sums[np.arange(docs), best] / np.maximum(words_in, 1)
     labels = [model.languages[b] if n else UND for b, n in zip(best, words_in)]
     return labels, np.where(words_in > 0, np.clip(share, 0, 1), 0.0)
 
 
+def label_sums(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's marginals summed over its words, and its number of words."""
+    docs, k = len(offsets) - 1, len(model.languages)
+    sums = np.zeros((docs, k))
+    starts, ends = word_runs(buf, offsets)
+    if not len(starts):
+        return sums, np.zeros(docs, np.int64)
+    codes, distinct = pd.factorize(run_hashes(buf, starts, ends))
+    where = np.zeros(len(distinct), np.int64)
+    where[codes] = np.arange(len(codes))
+    raw = buf.tobytes()
+    words = b"\0".join([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]).decode().lower().split("\0")
+    ascii_letter = ((buf | 32) >= 97) & ((buf | 32) <= 122)
+    has = np.concatenate([[0], np.cumsum(ascii_letter)])
+    is_word = has[ends[where]] > has[starts[where]]
+    for i in np.flatnonzero(~is_word):
+        is_word[i] = any(map(str.isalpha, words[i]))
+    table = np.zeros((len(words), k), np.float32)
+    table[is_word] = model.emissions([w for w, r in zip(words, is_word) if r])
+    on = is_word[codes]
+    codes, starts = codes[on], starts[on]
+    doc = np.searchsorted(offsets, starts, side="right") - 1
+    words_in = np.bincount(doc, minlength=docs)
+    # Chains: the words of a document in runs of CHAIN, those of like length together.
+    firsts = np.cumsum(words_in) - words_in
+    chains = -(-words_in // CHAIN)
+    chain_doc = np.repeat(np.arange(docs), chains)
+    part = np.arange(len(chain_doc)) - np.repeat(np.cumsum(chains) - chains, chains)
+    begin = firsts[chain_doc] + part * CHAIN
+    length = np.minimum(CHAIN, words_in[chain_doc] - part * CHAIN)
+    order = np.argsort(length, kind="stable")
+    for i in range(0, len(order), 1024):
+        own = order[i : i + 1024]
+        t = int(length[own].max())
+        mask = np.arange(t) < length[own][:, None]
+        at = np.where(mask, begin[own][:, None] + np.arange(t), 0)
+        marginals, _, _ = forward_backward(table[codes[at]].astype(np.float64), mask, model.start, model.move, learn=False)
+        np.add.at(sums, chain_doc[own], marginals.sum(axis=1))
+    return sums, words_in
+
+
 def fit(docs: DataFrame, held_out) -> Model:
-    """Learns from the text and lang of rows where ``held_out`` is not true, on the bounded sample."""
-    labelled = docs.where(~F.coalesce(held_out, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    """Learns from the text and lang of rows where ``held_out`` is not true, on the bounded sample: of every language the
+    same number of distinct texts, those with the smallest hashes."""
+    known = docs.where(~F.coalesce(held_out, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
         return train([])
-    chance = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, PER_LANGUAGE / n)))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(F.col("lang").isin(list(sizes)) & (draw < chance[F.col("lang")])).select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("at"))
+    each = max(1, min(PER_LANGUAGE, CELLS // len(sizes) ** 2))
+    # A draw of about twice as many first, so that few texts are shuffled and ordered.
+    chance = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * each / n)))])
+    at = F.xxhash64("text")
+    drawn = known.where(F.pmod(at, F.lit(1 << 30)) / float(1 << 30) < chance[F.col("lang")])
+    drawn = drawn.select(F.col("lang").alias("label"), at.alias("at"), "text").groupBy("label", "at").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("label").orderBy("at")
+    sample = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("label", "text", F.shiftrightunsigned("at", 8).alias("at"))
 
     def cut(batches):
         for batch in batches:
@@ -283,21 +331,25 @@ def fit(docs: DataFrame, held_out) -> Model:
     return train([(r[0], r[1]) for r in sample.mapInArrow(cut, "lang string, words array<string>").collect()])
 
 
-def identify(docs: DataFrame, held_out, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document, and the columns named in ``keep``."""
-    keep = keep or []
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, held_out))  # bounded: the weight table and lexicon
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text", *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
+def labelled(docs: DataFrame, held_out, model: Model | None = None) -> DataFrame:
+    """lang_pred, score, held_out, and the columns of docs as c_0, c_1, ... in their order (so that no names clash)."""
+    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs, held_out))  # bounded: the weight table and lexicon
+    kept = [F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(F.coalesce(held_out, F.lit(False)).alias("held_out"), *kept)
+    at = docs.columns.index("text") + 1
 
     def run(batches):
-        for batch in batches:
-            buf, offsets = text_bytes(batch.column(2))
-            for a, b in doc_slices(offsets, 2 << 20):
-                labels, scores = predict(model.value, buf, offsets[a : b + 1])
-                own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(labels, pa.string()), pa.array(scores), *own.columns[3:]], ["doc_id", "held_out", "lang_pred", "score", *own.schema.names[3:]])
-
-    schema = rows.drop("text").schema.fields
-    head = "doc_id long, held_out boolean, lang_pred string, score double"
-    tail = "".join(f", {f.name} {f.dataType.simpleString()}" for f in schema[2:])
-    return rows.mapInArrow(run, head + tail).withColumnsRenamed({f"kept_{i}": c for i, c in enumerate(keep) if c not in ("doc_id", "held_out", "lang_pred", "score")})
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2048):
+                batch = whole.slice(i, 2048)
+                labels, scores = predict(sent.value, *text_bytes(batch.column(at)))
+                yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(scores), *batch.columns], ["lang_pred", "score", *batch.schema.names])
+
+    schema = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, "lang_pred string, score double" + schema)
+
+
+def identify(docs: DataFrame, held_out) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document."""
+    found = labelled(docs.select("doc_id", "text", "lang"), held_out)
+    return found.select(F.col("c_0").cast("long").alias("doc_id"), "held_out", "lang_pred", "score")

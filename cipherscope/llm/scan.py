@@ -15,11 +15,13 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1); a process keeps those of a slice, longer ones are made anew."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         steps = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
         steps[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        _POWERS[base] = have if n <= SLICE_BYTES + 1 else have[: SLICE_BYTES + 1].copy()
     return have[:n]
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cipherscope import ship
 from cipherscope.llm.common import stage, table
 from cipherscope.llm.jaccard import NONE, jaccard_components
-from cipherscope.llm.langid import UND, identify
+from cipherscope.llm.langid import UND, fit, labelled
 from cipherscope.llm.packing import pack
 from cipherscope.llm.registry import held_out, tokenizer_path
 from cipherscope.llm.repeats import remove_spans, repeated_spans
@@ -22,9 +22,13 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without words of a learned language (a null text, or no letters)."""
-    columns = [c for c in docs.columns if c != "doc_id"]
-    return identify(docs, held_out(), keep=columns).where(F.col("lang_pred") != UND).select(docs.columns)
+    """Drops documents without words of a learned language (a null text, or no letters); where no row has a language to
+    learn, those without letters."""
+    model = fit(docs, held_out())
+    found = labelled(docs, held_out(), model)
+    text = F.col(f"c_{docs.columns.index('text')}")
+    kept = F.col("lang_pred") != UND if model.languages else F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    return found.where(kept).select([F.col(f"c_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +48,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out strings of 100 bytes that stand earlier too; a document of which nothing but blanks is left goes."""
-    columns = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    rest = remove_spans(docs, repeated_spans(docs), keep=columns)
+    """Cuts out strings of 100 bytes that stand earlier too (and counts n_chars anew); a document of which nothing but
+    blanks is left goes. Other columns stay, whatever their names."""
+    names = {c: f"c_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    rest = remove_spans(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()]), repeated_spans(docs), keep=list(names.values()))
     rest = rest.where((F.col("n_removed") == 0) | F.col("rest").rlike(r"\S"))
-    return rest.select("doc_id", F.col("rest").alias("text"), *columns, F.length("rest").cast("long").alias("n_chars")).select(docs.columns)
+    changed = {"doc_id": F.col("doc_id"), "text": F.col("rest"), "n_chars": F.length("rest").cast("long")}
+    return rest.select([changed[c].alias(c) if c in changed else F.col(names[c]).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
