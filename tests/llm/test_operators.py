@@ -339,18 +339,42 @@ def test_nearest(spark):
 
 
 def test_int8_bounds_lose_nothing():
-    from cipherscope.llm.nearest import cell
+    from cipherscope.llm.nearest import cell, quantised
 
     rng = np.random.default_rng(9)
-    x = rng.normal(size=(700, 24))
+    x = rng.normal(size=(2500, 24))
     x[50:60] = x[0]
-    ids = np.arange(700)
+    ids = np.arange(2500) // 2  # two rows an id
     unit = x / np.linalg.norm(x, axis=1)[:, None]
-    for q in (0, 3, 55):
-        got = sorted((-s, v) for _, v, s in cell(np.array([q]), x[q : q + 1], ids, x, 5))
+    for q in (0, 6, 55):
+        own = ids[q : q + 1]
+        _, c, low, high = cell(own, quantised(x[q : q + 1]), ids, quantised(x), 5)
         s = unit @ unit[q]
-        s[q] = -9
-        assert [v for _, v in got] == sorted(range(700), key=lambda j: (-round(s[j], 12), j))[:5]
+        assert ((low <= s[c] + 1e-12) & (s[c] <= high + 1e-12)).all() and len(c) < 200
+        best = sorted({(-max(s[2 * i], s[2 * i + 1]), i) for i in range(1250) if i != own[0]})[:5]
+        assert {i for _, i in best} <= set(ids[c].tolist())
+
+
+def test_nearest_in_several_blocks(spark, monkeypatch):
+    from cipherscope.llm import nearest as op
+
+    for name, n in (("QUERIES", 7), ("CANDIDATES", 40), ("TILE", 16), ("SHARES", 2)):
+        monkeypatch.setattr(op, name, n)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (300, 6)).astype(float)  # many ties, in different blocks
+    x[(x == 0).all(axis=1)] = 1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[9].tolist()), (None, x[0].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    from cipherscope.llm.vectors import cosines
+
+    got = {}
+    for r in op.nearest(frame.where("vec_id % 10 = 0"), frame, k=5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 300, 10):
+        s = cosines(np.broadcast_to(x[q], x.shape), x)
+        s[3] = max(s[3], s[9])
+        want = sorted((-v, i) for i, v in enumerate(s.tolist()) if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, i, -v) for n, (v, i) in enumerate(want)]
 
 
 def test_warc(spark):
