@@ -1,12 +1,14 @@
 """Mixture-controlled packing: deficit round-robin over one queue a source fills every window to the target proportions.
 
-A queue is a source's documents, one after another. ``groups`` of about GROUP_TOKENS tokens cut all queues at the same
-shares: with no ``targets`` group g gets the tokens floor(T_s * g / G) up to floor(T_s * (g + 1) / G) of a queue of T_s,
-so that all queues end together and the fraction that a queue is owed is carried from group to group in closed form.
-With ``targets`` the shares follow a schedule of phases: named sources get their proportions until one is used up, the
-rest are then scaled up. Inside a group each window adds a queue's quantum to its deficit, serves whole tokens, and
-carries the deficit to the next window. A group's last window is continued by the next group, so only the very last
-sequence can be short.
+A queue is a source's documents, one after another. A schedule says how many tokens of each queue are due once t tokens
+are packed: its share of them, by ``targets`` (named sources get their proportions until one is used up, the rest are then
+scaled up; unnamed sources are one queue, served when the named ones are used up), or without targets by the corpus's own
+proportions, so that all queues end together. Each window adds what falls due in it to a queue's deficit, serves whole
+tokens, and carries the deficit to the next window.
+
+``groups`` of about GROUP_TOKENS tokens cut the queues along the schedule, and each is packed by one task. Deficits cross
+groups: a queue starts a group with what was due to it until then less what it was served, which the schedule gives in
+closed form. A group's last window is continued by the next group, so only the very last sequence can be short.
 
 Defined results: a null text is empty and still has its end id; a null source is a queue of its own; repeated rows are
 packed as often as they stand there; an empty table gives no rows; other columns are ignored.
@@ -14,6 +16,7 @@ packed as often as they stand there; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from fractions import Fraction
 
 import numpy as np
@@ -56,38 +59,46 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 
 class Schedule:
-    """Which part of a queue belongs to which group."""
+    """What is due to each queue, and which part of a queue belongs to which group. Whole numbers only: exact at any size."""
+
+    def __init__(self, everything: int, groups: int, totals: dict | None = None, targets: dict | None = None):
+        """``totals`` by queue and ``targets`` for a mixture; without them each queue's own total says all."""
+        self.everything, self.groups = everything, groups
+        #: (t, {queue: (served before t, share's numerator, denominator)}) of each phase; t and served are Fractions.
+        self.phases = target_phases(totals, targets) if targets is not None else None
 
-    def __init__(self, groups: int, phases: list | None = None):
-        #: phases: for targets (first total, last total, {queue: (served before, share)})
-        self.groups, self.phases = groups, phases
+    def due(self, queue, total: int, t: int) -> Fraction:
+        """Of the first t tokens."""
+        if self.phases is None:
+            return Fraction(total * t, max(1, self.everything))
+        first, queues = self.phases[bisect_right(self.phases, t, key=lambda p: p[0]) - 1]
+        if queue not in queues:  # used up
+            return Fraction(total)
+        before, share = queues[queue]
+        return min(Fraction(total), before + share * (t - first))
 
-    def edge(self, queue, total: int, all_tokens: int, g: int) -> int:
+    def edge(self, queue, total: int, g: int) -> int:
         """Tokens of the queue that groups 0 .. g - 1 have."""
         if g >= self.groups:
             return total
         if self.phases is None:
             return total * g // self.groups
-        t = Fraction(all_tokens * g, self.groups)
-        first, _, queues = next(p for p in reversed(self.phases) if p[0] <= t)
-        if queue not in queues:
-            return total
-        before, share = queues[queue]
-        return min(total, int(before + share * (t - first)))
+        return int(self.due(queue, total, self.everything * g // self.groups))
 
-    def group(self, queue, total: int, all_tokens: int, p: int) -> int:
-        """The group that token p of the queue belongs to."""
+    def group(self, queue, total: int, p: int) -> tuple[int, int]:
+        """The group that token p of the queue belongs to, and where its part of the queue ends."""
         if self.phases is None:
-            return ((p + 1) * self.groups - 1) // total
-        low, high = 0, self.groups - 1
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.edge(queue, total, all_tokens, mid) <= p else (low, mid - 1)
-        return low
+            g = ((p + 1) * self.groups - 1) // total
+        else:
+            g, high = 0, self.groups - 1
+            while g < high:
+                mid = (g + high + 1) // 2
+                g, high = (mid, high) if self.edge(queue, total, mid) <= p else (g, mid - 1)
+        return g, self.edge(queue, total, g + 1)
 
 
 def target_phases(totals: dict, targets: dict) -> list:
-    """Until a queue is used up all get their proportions; each end of a queue starts a new phase."""
+    """Until a queue is used up all get their proportions; each end of a queue starts a new phase. Unnamed queues wait."""
     left, served, phases, t = {q: Fraction(n) for q, n in totals.items() if n}, {q: Fraction(0) for q in totals}, [], Fraction(0)
     while left:
         weights = {q: Fraction(targets.get(q, 0)).limit_denominator(10**6) for q in left}
@@ -96,51 +107,52 @@ def target_phases(totals: dict, targets: dict) -> list:
         whole = sum(weights.values())
         shares = {q: w / whole for q, w in weights.items()}
         lasts = min(left[q] / s for q, s in shares.items() if s)
-        phases.append((t, t + lasts, {q: (served[q], s) for q, s in shares.items()}))
+        phases.append((t, {q: (served[q], s) for q, s in shares.items()}))
         for q, s in shares.items():
             left[q] -= s * lasts
             served[q] += s * lasts
         left = {q: n for q, n in left.items() if n}
         t += lasts
-    return phases
+    return phases or [(Fraction(0), {})]
 
 
-def deficit_round_robin(totals: np.ndarray, phase: int, window: int) -> np.ndarray:
-    """Tokens that each window (row) takes of each queue (column). The first window has window - phase places left.
+def deficit_round_robin(totals: np.ndarray, quanta: np.ndarray, carried: np.ndarray, phase: int, window: int) -> np.ndarray:
+    """Tokens that each window (row) takes of each queue (column), ``totals`` in all. The first window has window - phase
+    places left; ``quanta`` is what falls due to each queue in each window, ``carried`` the deficits at the start.
 
-    Every window adds totals / sum(totals) of its places to each deficit, serves the whole tokens of it, and gives
-    places still free to the largest deficits that have tokens; what a queue was served too much or too little stays
-    in its deficit.
+    Every window adds a quantum to each deficit, serves the whole tokens of it, and gives places still free to the largest
+    deficits that have tokens; what a queue was served too much or too little stays in its deficit.
     """
-    share, left, deficit = totals / totals.sum(), totals.astype(np.int64).copy(), np.zeros(len(totals))
-    out, room = [], window - phase
-    while left.sum():
-        deficit += share * room
+    left, deficit = totals.astype(np.int64).copy(), carried.astype(float).copy()
+    out, room = np.zeros((len(quanta), len(totals)), np.int32), window - phase
+    for w, quantum in enumerate(quanta):
+        deficit += quantum
         take = np.minimum(np.maximum(np.floor(deficit), 0).astype(np.int64), left)
         over = int(take.sum()) - room
-        for q in np.argsort(deficit - take, kind="stable"):
-            if over <= 0:
-                break
-            less = min(over, int(take[q]))
-            take[q] -= less
-            over -= less
+        if over > 0:
+            for q in np.argsort(deficit - take, kind="stable"):
+                less = min(over, int(take[q]))
+                take[q] -= less
+                over -= less
+                if not over:
+                    break
         free = min(room - int(take.sum()), int((left - take).sum()))
         while free > 0:
             for q in np.argsort(take - deficit, kind="stable"):
-                if not free:
-                    break
                 if left[q] > take[q]:
                     take[q] += 1
                     free -= 1
+                    if not free:
+                        break
         deficit -= take
         left -= take
-        out.append(take.astype(np.int32))
+        out[w] = take
         room = window
-    return np.array(out)
+    return out
 
 
-def pack_group(table: pa.Table, window: int) -> pa.Table:
-    """The pieces of one group. Columns: start_all, queue, at, doc_id, start, doc_tokens, width, ids."""
+def pack_group(table: pa.Table, window: int, schedule: Schedule) -> pa.Table:
+    """The pieces of one group. Columns: start_all, queue, total, at, doc_id, start, doc_tokens, width, ids."""
     table = table.sort_by([("queue", "ascending"), ("at", "ascending")])
     names, width = table.column("queue").combine_chunks(), table.column("width")[0].as_py()
     keys = names.fill_null("").to_numpy(zero_copy_only=False)
@@ -154,7 +166,17 @@ def pack_group(table: pa.Table, window: int) -> pa.Table:
     del data
     totals = np.bincount(queue, sizes).astype(np.int64)
     begin = table.column("start_all")[0].as_py()
-    takes = deficit_round_robin(totals, begin % window, window)
+    # What is due at each window's end; a queue's first token here says what groups before have served.
+    ends = np.append(np.arange(window - begin % window, int(totals.sum()), window), int(totals.sum()))
+    head = np.flatnonzero(fresh)
+    whole, at = (table.column(c).to_numpy()[head].tolist() for c in ("total", "at"))
+    named = names.take(pa.array(head)).to_pylist()
+    carried = np.array([float(schedule.due(q, n, begin) - p) for q, n, p in zip(named, whole, at)])
+    if schedule.phases is None:
+        quanta = np.diff(ends, prepend=0)[:, None] * (np.array(whole, float) / schedule.everything)
+    else:
+        quanta = np.diff([[float(schedule.due(q, n, begin + int(e)) - p) for q, n, p in zip(named, whole, at)] for e in ends], axis=0, prepend=carried[None])
+    takes = deficit_round_robin(totals, quanta, carried, begin % window, window)
     # Cut each queue at its documents' and its windows' edges; all queues stand one after another in blob.
     base = np.cumsum(totals) - totals
     served = np.cumsum(takes, axis=0, dtype=np.int32)
@@ -194,55 +216,60 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, tar
     own = Window.partitionBy("queue")
     parts = sums.withColumn("before", F.coalesce(F.sum("n").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(own)).drop("n")  # a row for each input partition
     everything = sums.agg(F.sum("n")).first()[0] or 0
-    schedule = Schedule(max(1, everything // group_tokens), None if targets is None else target_phases({r[0]: r[1] for r in sums.groupBy("queue").agg(F.sum("n")).collect()}, targets))
+    # With targets there is a queue a named source and one of all others.
+    totals = {r[0]: r[1] for r in sums.groupBy("queue").agg(F.sum("n")).collect()} if targets is not None else None
+    schedule = Schedule(everything, max(1, everything // group_tokens), totals, targets)
     few = sums.count() <= BROADCAST_ROWS
     tokens = tokens.withColumnsRenamed({"queue": "q", "part": "p"})
     placed = tokens.join(F.broadcast(parts) if few else parts, tokens.q.eqNullSafe(F.col("queue")) & (tokens.p == F.col("part")))
-    placed = placed.select("queue", "total", (F.col("before") + F.col("at")).alias("at"), "doc_id", "n_tokens", "ids")
+    placed = placed.select("queue", "total", (F.col("before") + F.col("at")).alias("at"), "n_tokens", "doc_id", "ids")
+
+    def groups_of(queues, totals, starts, counts):
+        """(row, group, first token, last token) of every part that the groups' edges cut."""
+        known: dict = {}
+        for row, (q, total, at, n) in enumerate(zip(queues, totals, starts, counts)):
+            done = at
+            while done < at + n:
+                low, high, g = known.get(q, (0, 0, 0))
+                if not low <= done < high:
+                    g, high = schedule.group(q, total, done)
+                    known[q] = done, high, g
+                upto = min(at + n, high)
+                yield row, g, done, upto
+                done = upto
+
+    def lengths(batches):
+        sizes: dict = {}
+        for batch in batches:
+            for _, g, a, b in groups_of(*(c.to_pylist() for c in batch.columns)):
+                sizes[g] = sizes.get(g, 0) + b - a
+        yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.int64()), pa.array(list(sizes.values()), pa.int64())], ["grp", "n"])
+
+    # Where each group begins in the whole, before any token moves: a number a group goes through the driver.
+    sizes = placed.select("queue", "total", "at", "n_tokens").mapInArrow(lengths, "grp long, n long").groupBy("grp").agg(F.sum("n"))
+    begins = np.zeros(schedule.groups + 1, np.int64)
+    for g, n in sizes.collect():
+        begins[g + 1] = n
+    sent = spark.sparkContext.broadcast(np.cumsum(begins))
 
     def cut(batches):
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("grp", "queue", "at", "doc_id", "start", "doc_tokens", "width", "ids")}
-            for q, total, at, doc, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                width, done = len(ids) // n, 0
-                while done < n:
-                    g = schedule.group(q, total, everything, at + done)
-                    upto = min(n, schedule.edge(q, total, everything, g + 1) - at)
-                    for k, v in zip(out, (g, q, at + done, doc, done, n, width, ids[done * width : upto * width])):
-                        out[k].append(v)
-                    done = upto
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=list(out))
-
-    pieces = placed.mapInArrow(cut, "grp long, queue string, at long, doc_id long, start long, doc_tokens long, width int, ids binary")
-    # Where each group begins in the whole: its queues' cuts are known before any token moves.
-    begins = group_starts(spark, schedule, sums, everything)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
+                queues, totals, starts, counts = (c.to_pylist() for c in batch.columns[:4])
+                parts = list(groups_of(queues, totals, starts, counts))
+                row = np.array([p[0] for p in parts], np.int64)
+                first, last = (np.array([p[c] for p in parts], np.int64) for c in (2, 3))
+                at, n, ids = np.array(starts, np.int64)[row], np.array(counts, np.int64)[row], batch.column(5)
+                width = np.array([len(x) for x in ids.to_pylist()], np.int64)[row] // n
+                pieces = pa.array([ids[r].as_buffer()[a:b].to_pybytes() for r, a, b in zip(row.tolist(), ((first - at) * width).tolist(), ((last - at) * width).tolist())], pa.binary())
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array([p[1] for p in parts], pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(first), batch.column(4).take(take), pa.array(first - at), pa.array(n), pa.array(width.astype(np.int32)), pieces], ["grp", "queue", "total", "at", "doc_id", "start", "doc_tokens", "width", "ids"])
+
+    pieces = placed.mapInArrow(cut, "grp long, queue string, total long, at long, doc_id long, start long, doc_tokens long, width int, ids binary")
 
     def group(key, table):
-        begin = pa.array([begins(key[0].as_py())] * len(table), pa.int64())
-        return pack_group(table.append_column("start_all", begin), window)
+        begin = pa.array([int(sent.value[key[0].as_py()])] * len(table), pa.int64())
+        return pack_group(table.append_column("start_all", begin), window, schedule)
 
     return pieces.groupBy("grp").applyInArrow(group, PIECES)
-
-
-def group_starts(spark, schedule: Schedule, sums: DataFrame, everything: int):
-    """A function that gives the tokens of all groups before group g. The queues' totals stay in Spark; what the driver
-    sends is a number a group."""
-    groups, totals = schedule.groups, sums.groupBy("queue").agg(F.sum("n").alias("n"))
-    if schedule.phases is not None:  # queues named in targets, and one of all others
-        named = [(r[0], r[1]) for r in totals.collect()]
-        starts = [sum(schedule.edge(q, n, everything, g) for q, n in named) for g in range(groups)]
-    else:
-
-        def add(batches):
-            g, at, any_row = np.arange(groups), np.zeros(groups, np.int64), False
-            for batch in batches:
-                for n in batch.column(0).to_pylist():
-                    at += n * g // groups
-                    any_row = True
-            if any_row:
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(at)], ["grp", "at"])
-
-        found = totals.select("n").mapInArrow(add, "grp long, at long").groupBy("grp").agg(F.sum("at"))
-        starts = [n for _, n in sorted((r[0], r[1]) for r in found.collect())]
-    sent = spark.sparkContext.broadcast(starts)
-    return lambda g: sent.value[g]

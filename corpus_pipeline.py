@@ -15,7 +15,7 @@ from cipherscope.llm.common import stage, table
 from cipherscope.llm.jaccard import NONE, jaccard_components
 from cipherscope.llm.langid import UND, fit, labelled
 from cipherscope.llm.packing import pack
-from cipherscope.llm.registry import held_out, tokenizer_path
+from cipherscope.llm.registry import MIXTURE, held_out, tokenizer_path
 from cipherscope.llm.repeats import remove_spans, repeated_spans
 
 ORACLE_SQL = None
@@ -58,8 +58,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens, every source at its share of the corpus."""
-    return pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    """Pieces of documents in sequences of at most 4096 tokens, every source at its share of the mixture while it lasts."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, targets=MIXTURE)
 
 
 def _shipped(step):

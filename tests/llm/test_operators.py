@@ -194,6 +194,27 @@ def test_packing_keeps_proportions(spark):
         assert abs(own - share * 512) <= 3
 
 
+def test_packing_keeps_a_mixture_across_groups(spark):
+    from cipherscope.llm.packing import pack
+
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 50), None, ["a", "b", "b", None, "c"][i % 5], 0) for i in range(400)]
+    targets = {"a": 0.5, "b": 0.3, "c": 0.2, "absent": 3.0}
+    pieces = pack(spark.createDataFrame(rows, DOCS), WORD, 2, window=256, group_tokens=3000, targets=targets).collect()
+    check_pieces(pieces, [(r[0], r[1]) for r in rows], 2, 256)
+    totals, at = {}, {}
+    for p in pieces:
+        totals[p.source] = totals.get(p.source, 0) + p.length
+    whole = int(totals["a"] / 0.5 // 256)  # "a" is used up first
+    assert whole > 30
+    for s in range(whole):
+        own = {q: sum(p.length for p in pieces if p.sequence_id == s and p.source == q) for q in targets}
+        for q in "abc":  # in each window, and in all windows up to it: nothing is lost at the groups' edges
+            at[q] = at.get(q, 0) + own[q]
+            assert abs(own[q] - targets[q] * 256) <= 4 and abs(at[q] - targets[q] * 256 * (s + 1)) <= 4
+    assert not any(p.source is None and p.sequence_id < whole for p in pieces)
+
+
 def test_bpe(spark, docs, rows, nothing):
     from cipherscope.llm.bpe import decode, encode, round_trip
 
