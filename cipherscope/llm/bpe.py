@@ -124,6 +124,9 @@ class BytePairCodec(ChunkCache):
         self.pattern = regex.compile(PATTERN)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        if any(set(" \n,.") & set(t) for t in self.added):
+            raise ValueError(f"{path}: an added token holds a place where chunks are cut")
+        self.heads = {t[0] for t in self.added}
         size = max([*vocabulary.values(), *self.added.values()]) + 1
         pieces = [b""] * size
         for token, i in vocabulary.items():
@@ -153,7 +156,7 @@ class BytePairCodec(ChunkCache):
         find = self.pattern.findall
         for i, c in enumerate(chunks):
             text, before = c.decode(), len(words)
-            if self.special and "<" in text and self.special.search(text):
+            if any(h in text for h in self.heads) and self.special.search(text):
                 for part in self.special.split(text):
                     if part in self.added:
                         special[len(words)] = self.added[part]

@@ -29,8 +29,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMES, f'page:{page_id}') if page_id is not None else uuid.uuid4()}>"
+def record_id(page_id, payload_digest: str) -> str:
+    """One id a page and payload; rows that repeat both are one record written twice, and records without a page_id are
+    never referred to."""
+    return f"<urn:uuid:{uuid.uuid5(NAMES, f'page:{page_id}:{payload_digest}') if page_id is not None else uuid.uuid4()}>"
 
 
 def digest(payload: bytes) -> str:
@@ -47,12 +49,13 @@ def record(page_id, url: str | None, payload: bytes, refers_to, date: str) -> by
     """One gzip member: a response with its payload, or a revisit with headers alone."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
+    own = digest(payload)
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(page_id)),
+        ("WARC-Record-ID", record_id(page_id, own)),
         ("WARC-Date", date),
         ("WARC-Target-URI", clean_url(url, page_id)),
-        ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
+        ("WARC-Payload-Digest", f"sha1:{own}"),
         ("X-Payload-Length", str(len(payload))),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
@@ -60,7 +63,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to, date: str) -> by
     if page_id is not None:
         head.append(("X-Page-Id", str(page_id)))
     if refers_to is not None:
-        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-Id", str(refers_to))]
+        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, own)), ("X-Refers-To-Page-Id", str(refers_to))]
     pack = zlib.compressobj(3, zlib.DEFLATED, 31)
     return pack.compress(VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n") + pack.flush()
 
