@@ -13,14 +13,18 @@ Links are verified once a pair, in two waves, so that a large group of near copi
 * all pairs of a bucket that lie in different components are compared then, so that no link between components is
   missed: components are exact.
 
+Verification sends each text once a pair that it is a member of, and a pivot's text once for PAIRS of its pairs: rows are
+sorted by pivot and streamed, whatever a pivot's number of pairs. In the second wave a bucket of many members is salted
+too: its rows are dealt into tiles, and rows outside the main component meet every tile.
+
 Pairs are dropped by length (sizes), by place (what can still match behind and before the shared shingle), and by suffix
 bounds (both sets partitioned by hash: in a part whose counts differ, at least that many shingles do), before sets are
 intersected. The bounds are conditions of the join itself. Sets are made from whole texts.
 
 Words are runs of other than space and \\x09-\\x0D, A-Z lower-cased; fewer words than a shingle count as one shingle.
 Defined results: a null text or one without words has an empty set, links with nothing; a null doc_id sorts first (a
-component whose smallest member is one has a null component_id); rows that share a doc_id are one node with the links of
-each; an empty table gives no rows; other columns are ignored.
+component whose smallest member is one has a null component_id); each text of a doc_id, also of the null, is a node of its
+own, and the nodes of a doc_id are linked with each other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, stage
+from .common import SLICE_BYTES, discard, stage
 from .components import components
 from .scan import doc_slices, mix, run_hashes, text_bytes
 
@@ -40,6 +44,8 @@ from .scan import doc_slices, mix, run_hashes, text_bytes
 COUNTERS, ROW = 1 << 20, 1 << 14
 #: Documents (by the sketch) that one part of a shingle's bucket may hold; the buckets of commoner shingles are salted.
 HOT = 20_000
+#: Pairs of one pivot that go to a task together.
+PAIRS = 500
 NONE = -(2**63)
 #: Parts of the suffix bound's partition, 64 to a column.
 PARTS = 512
@@ -113,10 +119,6 @@ def signs(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), "text")
-
-
 def _sketch(rows: DataFrame) -> np.ndarray:
     """Sums the tasks' counters: rows of ROW counters, in two steps so that no group grows with the number of tasks squared."""
 
@@ -131,31 +133,33 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(ids: np.ndarray, column, words: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The sets of the distinct ids' texts, and which of them each row has."""
-    _, first, row = np.unique(ids, return_index=True, return_inverse=True)
-    buf, offsets = text_bytes(column.take(pa.array(first)))
-    sets = []
-    for a, b in doc_slices(offsets, SLICE_BYTES):
-        sets += shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-    return sets, row
-
-
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Texts travel, not sets: they are smaller and their sets quickly made."""
+    """The pairs (member, pivot) whose sets are similar, as a < b. Texts travel, not sets: they are smaller and their sets
+    quickly made. ``pairs`` is a written table, ``texts`` (doc, text) has a row a document."""
+    many = stage(pairs.groupBy("pivot").count().where(F.col("count") > PAIRS).select(F.col("pivot").alias("p"), F.ceil(F.col("count") / PAIRS).alias("parts")), "jaccard-pivots")
+    pairs = pairs.join(many, F.col("pivot") == F.col("p"), "left")
+    part = F.coalesce(F.pmod(F.xxhash64("member"), F.col("parts")), F.lit(0).cast("long"))
+    pairs = pairs.select("member", "pivot", part.alias("part"))
+    sides = pairs.select(F.col("member").alias("doc"), "pivot", "part", F.lit(1).alias("role"))
+    sides = sides.unionByName(pairs.select(F.col("pivot").alias("doc"), "pivot", "part", F.lit(0).alias("role")).distinct())
+    rows = sides.join(texts, "doc").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role").select("pivot", "part", "role", "doc", "text")
 
     def check(batches):
+        key, head = None, None
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 batch = whole.slice(i, 1024)
-                a, b = batch.column(0), batch.column(1)
-                x, at_x = _sets(a.to_numpy(), batch.column(2), words)
-                y, at_y = _sets(b.to_numpy(), batch.column(3), words)
-                keep = pa.array([similar(x[p], y[q], percent) for p, q in zip(at_x, at_y)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+                buf, offsets = text_bytes(batch.column(4))
+                sets = [x for a, b in doc_slices(offsets, SLICE_BYTES) for x in shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)]
+                out = []
+                for own, pivot, part, role, doc in zip(sets, *(batch.column(c).to_pylist() for c in range(4))):
+                    if role == 0:
+                        key, head = (pivot, part), own
+                    elif key == (pivot, part) and similar(head, own, percent):
+                        out.append((min(doc, pivot), max(doc, pivot)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(2)], ["a", "b"])
 
-    left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
+    return rows.mapInArrow(check, "a long, b long").distinct()
 
 
 def _size(pack):
@@ -177,8 +181,9 @@ def _may_link(m, i, n, j, percent: int):
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """doc (doc_id, a null as the least long), n_shingles, class_id (smallest doc with the same set), component of every row."""
-    texts = _texts(docs)
+    """doc, n_shingles, class_id (smallest doc with the same set), component of every row of ``docs`` (doc, text), whose
+    doc is a long of its own in each row."""
+    texts = docs.select("doc", "text")
 
     def measure(batches):
         counts, task = np.zeros(COUNTERS, np.uint32), None
@@ -241,48 +246,69 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     over_parts = Window.partitionBy("shingle").orderBy(*common_first)
     heads = heads.select("doc", "pack", F.first("doc").over(over_parts).alias("pivot"), F.first("pack").over(over_parts).alias("pivot_pack"))
 
-    classes = members.select("doc", "class").distinct()
+    classes = members.select("doc", "class")
     m, i, n, j = _size("pack"), _place("pack"), _size("pivot_pack"), _place("pivot_pack")
     waves = met.select("doc", "pack", "pivot", "pivot_pack").unionByName(heads)
     pairs = waves.where((F.col("doc") != F.col("pivot")) & _may_link(m, i, n, j, percent)).select("doc", "pivot").distinct()
     one, two = classes.toDF("doc", "x"), classes.toDF("pivot", "y")
-    pairs = pairs.join(one, "doc").join(two, "pivot").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    compared = stage(pairs, "jaccard-pairs")
+    compared = stage(pairs.join(one, "doc").join(two, "pivot").where("x <> y").select(F.col("x").alias("member"), F.col("y").alias("pivot")).distinct(), "jaccard-pairs")
     links = stage(_verify(compared, texts, words, percent), "jaccard-links")
-    # A doc_id of several texts is one node: all its classes are linked with the smallest. A written table, so that the join
-    # may split a key that many rows share.
-    lows = members.groupBy("doc").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
-    lows = stage(lows.select(F.col("doc").alias("node"), "a"), "jaccard-nodes")
-    twice = members.join(lows, F.col("doc") == F.col("node")).where("class <> a").select("a", F.col("class").alias("b")).distinct()
-    first = components(links.union(twice))
+    first = components(links)
 
     # What lies in one bucket but in different components: of such a pair one at least is outside the bucket's main one.
     placed = met.select("shingle", "doc", "pack").join(classes, "doc").select("shingle", "class", "pack").distinct()
     placed = placed.join(first, F.col("class") == first.node, "left")
     placed = stage(placed.select("shingle", "class", "pack", F.coalesce("component", "class").alias("component")), "jaccard-placed")
-    main = placed.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("sides"))
-    open_ = stage(placed.join(main.where("sides > 1").drop("sides"), "shingle"), "jaccard-open")
-    # A doc_id of several texts has no signs of its own, so the bound spares it.
-    by_class = members.where("doc = class").groupBy("class").agg(*[F.when(F.min(k) == F.max(k), F.min(k)).alias(k) for k in SIGNS])
-    open_ = open_.join(by_class, "class")
-    x = open_.where("component <> main").alias("x")
-    y = open_.alias("y")
+    discard(met)
+    main = placed.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("sides"), F.ceil(F.sum("n") / HOT).alias("tiles"))
+    open_ = placed.join(main.where("sides > 1").drop("sides"), "shingle")
+    open_ = stage(open_.join(members.where("doc = class").select("class", *SIGNS), "class"), "jaccard-open")
+    discard(placed)
+    x = open_.where("component <> main").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).alias("x")
+    y = open_.withColumn("tile", F.pmod(F.xxhash64("class", F.lit(3)), F.col("tiles"))).alias("y")
     col = lambda side, name: F.col(f"{side}.{name}")
     apart = (col("x", "component") != col("y", "component")) & ((col("y", "component") == col("y", "main")) | (col("x", "class") < col("y", "class")))
     m, i, n, j = _size(col("x", "pack")), _place("x.pack"), _size(col("y", "pack")), _place("y.pack")
     differ = sum((F.bit_count(col("x", k).bitwiseXOR(col("y", k))) for k in SIGNS), F.lit(0))
     allowed = m + n - 2 * _overlap_needed(m, n, percent)
-    rest = x.join(y, (col("x", "shingle") == col("y", "shingle")) & apart & _may_link(m, i, n, j, percent) & F.coalesce(differ <= allowed, F.lit(True)))
-    rest = rest.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    rest = stage(rest.join(compared, ["a", "b"], "left_anti"), "jaccard-rest")
+    rest = x.join(y, (col("x", "shingle") == col("y", "shingle")) & (col("x", "tile") == col("y", "tile")) & apart & _may_link(m, i, n, j, percent) & (differ <= allowed))
+    rest = rest.select(F.col("x.class").alias("member"), F.col("y.class").alias("pivot")).distinct()
+    sides = lambda t: t.select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b"), "member", "pivot")
+    rest = stage(sides(rest).join(sides(compared).select("a", "b").distinct(), ["a", "b"], "left_anti").select("member", "pivot"), "jaccard-rest")
+    discard(open_)
     more = stage(_verify(rest, texts, words, percent), "jaccard-links")
     final = components(first.toDF("a", "b").union(more))
     out = members.join(final, members["class"] == final.node, "left")
     return out.select("doc", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component"))
 
 
+def text_nodes(docs: DataFrame, *columns) -> tuple[DataFrame, bool]:
+    """Rows of docs with ``doc`` (doc_id, a null as the least long) and ``node``, one for each distinct text of a doc: doc
+    itself where every row has a doc_id of its own, else its place in the order of doc and a hash. And whether that is so."""
+    rows = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), "text")
+    if rows.groupBy("doc").count().where("count > 1").isEmpty():
+        return rows.withColumn("node", F.col("doc")), False
+    rows = rows.withColumn("part", F.xxhash64("text"))
+    nodes = rows.select("doc", "part").distinct().orderBy("doc", "part").withColumn("node", F.monotonically_increasing_id())
+    return stage(rows.join(stage(nodes, "jaccard-nodes"), ["doc", "part"]).drop("part"), "jaccard-rows"), True
+
+
 def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    out = jaccard_components(docs, words, percent)
+    rows, several = text_nodes(docs)
+    if not several:
+        out = jaccard_components(rows.select("doc", "text"), words, percent).select("doc", "n_shingles", "component")
+    else:
+        found = jaccard_components(rows.dropDuplicates(["node"]).select(F.col("node").alias("doc"), "text"), words, percent)
+        found = stage(found.select(F.col("doc").alias("node"), "n_shingles", "component"), "jaccard-found")
+        ids = rows.select("node", "doc").distinct().join(found, "node")
+        # The components of a doc_id's nodes are one: each is linked with their smallest, and named by its smallest doc_id.
+        low = stage(ids.groupBy("doc").agg(F.min("component").alias("low")), "jaccard-low")
+        ids = stage(ids.join(low.toDF("own", "low"), F.col("doc") == F.col("own")).drop("own"), "jaccard-ids")
+        joined = components(ids.where("component <> low").select(F.col("component").alias("a"), F.col("low").alias("b")))
+        ids = ids.join(joined.toDF("c", "joined"), F.col("component") == F.col("c"), "left").withColumn("joined", F.coalesce("joined", "component"))
+        names = stage(ids.groupBy("joined").agg(F.min("doc").alias("component")), "jaccard-names")
+        ids = ids.select("node", "n_shingles", "joined").join(names, "joined").select(F.col("node").alias("n"), "n_shingles", "component")
+        out = rows.select("doc", "node").join(ids, F.col("node") == F.col("n"))
     real = lambda c: F.when(F.col(c) != NONE, F.col(c))
     return out.select(real("doc").alias("doc_id"), "n_shingles", real("component").alias("component_id"))

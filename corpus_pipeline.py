@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cipherscope import ship
 from cipherscope.llm.common import stage, table
-from cipherscope.llm.jaccard import NONE, jaccard_components
+from cipherscope.llm.jaccard import jaccard_components, text_nodes
 from cipherscope.llm.langid import UND, fit, labelled
 from cipherscope.llm.packing import pack
 from cipherscope.llm.registry import MIXTURE, held_out, tokenizer_path
@@ -34,17 +34,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first row, by doc_id (a null first), of each group of texts that five-word shingles link. Several texts of
     one doc_id, also of the null, are documents of their own, in the order of a hash; equal rows are one."""
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), "text")
-    if not rows.groupBy("doc").count().where("count > 1").isEmpty():
-        # Nodes in the order of doc_id, written once.
-        rows = rows.withColumn("part", F.xxhash64("text"))
-        nodes = rows.select("doc", "part").distinct().orderBy("doc", "part").withColumn("node", F.monotonically_increasing_id())
-        rows = rows.join(stage(nodes, "pipeline-nodes"), ["doc", "part"]).select("row", F.col("node").alias("doc"), "text")
-        rows = stage(rows, "pipeline-rows")
-    keep = jaccard_components(rows.select(F.col("doc").alias("doc_id"), "text")).where("doc = component").select("doc").distinct()
-    first = Window.partitionBy("doc").orderBy(F.col("text").asc_nulls_last())
-    rows = rows.join(keep, "doc", "left_semi").withColumn("place", F.row_number().over(first))
-    return rows.where("place = 1").select("row.*")
+    rows, several = text_nodes(docs, F.struct("*").alias("row"))
+    texts = rows.dropDuplicates(["node"]) if several else rows
+    found = jaccard_components(texts.select(F.col("node").alias("doc"), "text"))
+    keep = stage(found.where("doc = component").select(F.col("doc").alias("node")), "pipeline-kept")
+    kept = rows.join(keep, "node", "left_semi")
+    if several:
+        first = Window.partitionBy("node").orderBy(F.xxhash64(F.to_json("row")))
+        kept = kept.withColumn("place", F.row_number().over(first)).where("place = 1")
+    return kept.select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
