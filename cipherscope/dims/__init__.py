@@ -96,6 +96,11 @@ def algorithms(spark: SparkSession) -> DataFrame:
     return local(spark, algorithm_rows(), ALGORITHM_SCHEMA)
 
 
+def notes(spark: SparkSession) -> DataFrame:
+    """id and what the table notes of an algorithm, if anything."""
+    return local(spark, [(r["id"], r["notes"]) for r in rows("algorithms")], "id string, notes string")
+
+
 def oids(spark: SparkSession) -> DataFrame:
     return local(spark, [(r["oid"], r["algorithm_id"], r["determines"]) for r in rows("oids")], "oid string, algorithm_id string, determines string")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,12 +12,24 @@ FNV_OFFSET, FNV_PRIME = 2216829733, 435
 
 
 def fnv_low(text: Column) -> Column:
-    """The low 32 bits of FNV-1a over the UTF-8 bytes, as a long."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(digits) / 2 - 1).cast("int"))
-    byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
-    step = lambda h, i: (h.bitwiseXOR(byte(i)) * FNV_PRIME) % 4294967296
-    return F.when(F.length(digits) == 0, F.lit(FNV_OFFSET).cast("long")).otherwise(F.aggregate(places, F.lit(FNV_OFFSET).cast("long"), step))
+    """The low 32 bits of FNV-1a over the UTF-8 bytes, as a long; a null text has none. One Arrow pass: all texts of a batch
+    a byte at a time, the longest first, so that each step is over those that still have bytes."""
+    return F.arrow_udf(_fnv_low, "long")(text)
+
+
+def _fnv_low(texts: pa.Array) -> pa.Array:
+    data = texts.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    raw = np.frombuffer(data.buffers()[2], np.uint8) if data.buffers()[2] is not None else np.zeros(0, np.uint8)
+    lens = np.diff(offsets)
+    order = np.argsort(-lens, kind="stable")
+    starts, left = offsets[:-1][order], np.searchsorted(-lens[order], -np.arange(1, (int(lens.max()) if len(lens) else 0) + 1), side="right")
+    h = np.full(len(order), FNV_OFFSET, np.uint64)
+    for i, n in enumerate(left.tolist()):  # the first n texts have a byte i
+        h[:n] = (h[:n] ^ raw[starts[:n] + i]) * np.uint64(FNV_PRIME) & np.uint64(0xFFFFFFFF)
+    out = np.empty(len(order), np.int64)
+    out[order] = h.astype(np.int64)
+    return pa.array(out, mask=texts.is_null().to_numpy(zero_copy_only=False))
 
 
 def stable_id(*parts: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import SEVERITIES, algorithms, local
+from ..dims import SEVERITIES, algorithms, local, notes
 from ..functions.text import extension
 from .risk import lookup, rank
 
@@ -113,21 +113,31 @@ def dangling(spark) -> DataFrame:
     return refs.join(a.select(F.col("id").alias("algorithm_id")), "algorithm_id", "left_anti")
 
 
-#: What a status means for a finding, in a sentence.
+#: What a status means for a finding.
 MEANING = {
-    "BrokenByShor": "A large quantum computer breaks this algorithm.",
-    "BrokenClassically": "This algorithm is already broken without a quantum computer.",
-    "WeakenedByGrover": "A quantum computer halves this algorithm's strength.",
-    "QuantumSafe": "No quantum attack on this algorithm is known to matter.",
-    "PqcFinal": "This algorithm is a final post-quantum standard.",
-    "PqcDraft": "This post-quantum algorithm is not a final standard yet.",
+    "BrokenClassically": "Classically broken — practical attacks exist today, independent of any quantum threat.",
+    "BrokenByShor": "Vulnerable to Shor's algorithm; a cryptographically relevant quantum computer breaks this in polynomial time.",
+    "WeakenedByGrover": "Weakened under Grover's algorithm; effective security halves against quantum search. Keep using only at sufficiently large parameters.",
+    "QuantumSafe": "Quantum-safe at the chosen parameters — Grover's algorithm does not reduce security below acceptable levels.",
+    "PqcFinal": "NIST-final post-quantum algorithm; designed to resist both classical and quantum attacks.",
+    "PqcDraft": "Draft post-quantum algorithm; expected to be standardized but the specification may still change.",
 }
+UNKNOWN = "Algorithm not in the catalogue; classification unavailable. Investigate manually."
 
 
 def explained(scored: DataFrame) -> DataFrame:
-    """seq and ``why``: what the algorithm's status means and what replaces it; null for unknown algorithms."""
-    dim = successors(scored.sparkSession).withColumnRenamed("id", "algorithm_id")
-    standard = F.when(F.col("replacement_fips").isNotNull(), F.concat(F.lit(" ("), "replacement_fips", F.lit(")"))).otherwise("")
-    instead = F.when(F.col("replacement_name").isNotNull(), F.concat(F.lit("Use "), "replacement_name", standard, F.lit(" instead.")))
-    why = F.when(F.col("quantum_status").isNotNull(), F.concat_ws(" ", lookup(MEANING, F.col("quantum_status")), instead))
+    """seq and ``why``: what the algorithm's status means, the table's note on it, and what replaces it; UNKNOWN (whose
+    wording is this library's) for algorithms that the table does not have."""
+    spark = scored.sparkSession
+    dim = successors(spark).join(F.broadcast(notes(spark)), "id").withColumnRenamed("id", "algorithm_id")
+    standard = F.when(F.col("replacement_fips").isNotNull(), F.concat(F.lit(" per "), "replacement_fips")).otherwise("")
+    instead = F.when(F.col("replacement_name").isNotNull(), F.concat(F.lit("Recommended replacement: "), "replacement_name", standard, F.lit(".")))
+    why = F.when(F.col("quantum_status").isNotNull(), F.concat_ws(" ", lookup(MEANING, F.col("quantum_status")), F.nullif(F.trim("notes"), F.lit("")), instead)).otherwise(UNKNOWN)
     return scored.join(F.broadcast(dim), "algorithm_id", "left").select("seq", why.alias("why"))
+
+
+def rounded_percentages(scored: DataFrame) -> DataFrame:
+    """Percents of all findings by band, rounded to a whole number (halves away from zero); 0 where there are none."""
+    d = distribution(scored)
+    share = lambda c: F.coalesce(F.round(F.expr(f"try_divide({c} * 100.0D, total)")), F.lit(0.0)).cast("long")
+    return d.select("total", *[share(s.lower()).alias(f"pct_{s.lower()}") for s, _ in SEVERITIES])

@@ -1,7 +1,8 @@
 """Classification of call sites by declarative rules: the first rule, in order, whose conditions hold.
 
 Rules are the user's data (``from_toml`` or any table of RULES). An api pattern is resolved once against the distinct
-apis, which are few, so the join of sites is by equality; predicates are a residual filter, the first match a minimum.
+apis, which are few; each api's rules become one array in order, which sites get by an equality join, so that the first
+match is the first element whose predicates hold, without a shuffle of the sites.
 """
 
 from __future__ import annotations
@@ -62,16 +63,18 @@ def resolve(rules: DataFrame, apis: DataFrame) -> DataFrame:
 def classify(matches: DataFrame, rules: DataFrame) -> DataFrame:
     """A row for each match that some rule takes. matches: match_id, lang, api, args, site_context, imports."""
     rules = resolve(rules, matches.select("lang", "api"))
-    sites = matches.select("match_id", "lang", "api", "args", "site_context", "imports")
-    rule = rules.select("lang", "api", "ord", "rule_id", "contexts", F.col("imports").alias("wanted"), "preds", "algorithm_id", "message")
-    both = sites.join(rule, ["lang", "api"])
-    fits = (F.col("contexts").isNull() | F.array_contains("contexts", F.col("site_context"))) & (
-        F.col("wanted").isNull() | F.coalesce(F.exists("imports", lambda i: F.exists("wanted", lambda w: F.rlike(i, w))), F.lit(False))
-    )
-    both = both.where(fits & F.coalesce(F.forall("preds", lambda p: _holds(p, F.col("args"))), F.lit(True)))
+    rule = F.struct("ord", "rule_id", "contexts", F.col("imports").alias("wanted"), "preds", "algorithm_id", "message")
+    listed = rules.groupBy("lang", "api").agg(F.array_sort(F.collect_list(rule)).alias("rules"))  # a rule pack's rows
+    sites = matches.select("match_id", "lang", "api", "args", "site_context", "imports").join(listed, ["lang", "api"])
+
+    def fits(r):
+        context = r["contexts"].isNull() | F.array_contains(r["contexts"], F.col("site_context"))
+        imported = r["wanted"].isNull() | F.coalesce(F.exists("imports", lambda i: F.exists(r["wanted"], lambda w: F.rlike(i, w))), F.lit(False))
+        return context & imported & F.coalesce(F.forall(r["preds"], lambda p: _holds(p, F.col("args"))), F.lit(True))
+
+    found = sites.withColumn("hit", F.try_element_at(F.filter("rules", fits), F.lit(1))).where("hit IS NOT NULL")
     text = F.transform_values("args", lambda k, v: F.coalesce(v["s"], v["i"].cast("string")))
-    found = both.select("match_id", F.struct("ord", "rule_id", "algorithm_id", fill_template(F.col("message"), text).alias("message")).alias("hit"))
-    return found.groupBy("match_id").agg(F.min_by("hit", F.col("hit.ord")).alias("hit")).select("match_id", "hit.rule_id", "hit.algorithm_id", "hit.message")
+    return found.select("match_id", "hit.rule_id", "hit.algorithm_id", fill_template(F.col("hit.message"), text).alias("message"))
 
 
 def as_findings(classified: DataFrame, matches: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..dims import local
+
 
 def ecosystem_rollup(projects: DataFrame) -> DataFrame:
     """projects: ecosystem, status (scanned, unscannable, error), findings, audible, suppressed, seconds."""
@@ -24,10 +26,41 @@ def top_projects(projects: DataFrame, n: int = 10) -> DataFrame:
     return projects.orderBy(F.desc("findings"), "project").limit(n)
 
 
-def durations(projects: DataFrame) -> DataFrame:
-    """One row: median, mean, 90th percentile and largest seconds (exact)."""
-    s = F.col("seconds")
-    return projects.agg(F.round(F.percentile(s, F.lit(0.5)), 3).alias("median"), F.round(F.avg(s), 3).alias("mean"), F.round(F.percentile(s, F.lit(0.9)), 3).alias("p90"), F.max(s).alias("longest"))
+def durations(projects: DataFrame, cuts: int = 200) -> DataFrame:
+    """One row: median, mean, 90th percentile (interpolated, exact) and largest seconds; nulls count nowhere.
+
+    Values are dealt into ranges between approximate quantiles, and only the ranges that hold a wanted rank are ordered,
+    as distinct values with their numbers: about a share 1 / cuts of them in one task.
+    """
+    s = projects.select(F.col("seconds").cast("double").alias("s")).where("s IS NOT NULL")
+    n = s.count()
+    if not n:
+        return s.agg(*[F.max("s").alias(c) for c in ("median", "mean", "p90", "longest")])
+    edges = sorted(set(s.approxQuantile("s", [i / cuts for i in range(1, cuts)], 0.25 / cuts)))
+    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("s")))
+    values = s.groupBy("s").count().withColumn("place", place)
+    sizes = dict(values.groupBy("place").agg(F.sum("count")).collect())  # at most cuts rows
+    before, at = {}, 0
+    for p in sorted(sizes):
+        before[p], at = at, at + sizes[p]
+    ranks = {q: (int(q * (n - 1)), min(n - 1, int(q * (n - 1)) + 1), q * (n - 1) % 1) for q in (0.5, 0.9)}
+    wanted = {max(p for p in before if before[p] <= r) for low, high, _ in ranks.values() for r in (low, high)}
+    order = Window.partitionBy("place").orderBy("s")
+    first = F.create_map(*[x for p in wanted for x in (F.lit(p), F.lit(before[p]))])[F.col("place")]
+    ranked = values.where(F.col("place").isin(list(wanted))).withColumn("upto", first + F.sum("count").over(order))
+    value = lambda r: F.min(F.when(F.col("upto") > r, F.col("s")))
+    quantile = lambda q: F.round(value(ranks[q][0]) * (1 - ranks[q][2]) + value(ranks[q][1]) * ranks[q][2], 3)
+    found = ranked.agg(quantile(0.5).alias("median"), quantile(0.9).alias("p90"))
+    return s.agg(F.round(F.avg("s"), 3).alias("mean"), F.max("s").alias("longest")).join(F.broadcast(found)).select("median", "mean", "p90", "longest")
+
+
+def shares(rollup: DataFrame) -> DataFrame:
+    """One row of the headline: sums over all ecosystems, and whole percents of scanned projects with findings and of
+    findings that are audible (null where there is nothing to divide by)."""
+    sums = rollup.agg(*[F.sum(c).alias(c) for c in ("projects", "not_scanned", "with_findings", "findings", "audible")])
+    percent = lambda a, b: F.expr(f"try_divide({a} * 100, {b})")
+    scanned = "projects - not_scanned"
+    return sums.select("*", F.round(percent("with_findings", f"({scanned})"), 1).alias("pct_with_findings"), F.round(percent("audible", "findings"), 1).alias("pct_audible"))
 
 
 def below_floor(actual: DataFrame, floors: DataFrame) -> DataFrame:
@@ -36,25 +69,37 @@ def below_floor(actual: DataFrame, floors: DataFrame) -> DataFrame:
     return found.where(F.col("n") < F.col("least")).select("scope", "key", "least", "n")
 
 
-#: States of a project's checkout, worst first.
-INTEGRITY = ["missing", "not_a_repository", "wrong_commit", "empty", "fewer_files", "fewer_bytes", "unrecorded", "ok"]
+#: States of a project's checkout, worst first; the last two pass.
+STATES = ["absent", "empty", "unpinnable", "scope-missing", "off-sha", "drift", "unscannable", "ok"]
 
 
 def integrity(projects: DataFrame, baseline: DataFrame) -> DataFrame:
-    """project and its state: the first failing check, in order of severity. Both sides: project, head, files, bytes."""
-    b = baseline.select("project", F.col("head").alias("b_head"), F.col("files").alias("b_files"), F.col("bytes").alias("b_bytes"), F.lit(True).alias("recorded"))
-    found = projects.join(b, "project", "left")
+    """project and its state: ok, or what the first check that fails says.
+
+    projects: project, cloned, unscannable (a reason or null), tracked (files under version control), pin (or null),
+    pin_known, missing_scopes (declared paths that are not there), head, files, bytes; baseline: project, files, bytes. A
+    project without a row of the baseline has drifted, as has one with other numbers.
+    """
+    b = baseline.select("project", F.col("files").alias("b_files"), F.col("bytes").alias("b_bytes"), F.lit(True).alias("recorded"))
+    same = F.col("recorded").isNotNull() & (F.col("files") == F.col("b_files")) & (F.col("bytes") == F.col("b_bytes"))
+    pinned = F.coalesce("pin", F.lit("")) != ""
     state = (
-        F.when(F.col("files").isNull(), "missing")
-        .when(F.col("head").isNull(), "not_a_repository")
-        .when(F.col("head") != F.col("b_head"), "wrong_commit")
-        .when(F.col("files") == 0, "empty")
-        .when(F.col("files") < F.col("b_files"), "fewer_files")
-        .when(F.col("bytes") < F.col("b_bytes"), "fewer_bytes")
-        .when(F.col("recorded").isNull(), "unrecorded")
+        F.when(~F.coalesce("cloned", F.lit(False)), "absent")
+        .when(F.coalesce("unscannable", F.lit("")) != "", "unscannable")
+        .when(F.coalesce("tracked", F.lit(0)) == 0, "empty")
+        .when(pinned & ~F.coalesce("pin_known", F.lit(False)), "unpinnable")
+        .when(F.coalesce("missing_scopes", F.lit(0)) > 0, "scope-missing")
+        .when(pinned & ~F.coalesce(F.col("head") == F.col("pin"), F.lit(False)), "off-sha")
+        .when(~F.coalesce(same, F.lit(False)), "drift")
         .otherwise("ok")
     )
-    return found.select("project", state.alias("state"))
+    return projects.join(b, "project", "left").select("project", state.alias("state"))
+
+
+def worst_state(found: DataFrame) -> DataFrame:
+    """One row: the worst state of all projects, and how many do not pass."""
+    rank = F.array_position(F.array(*map(F.lit, STATES)), F.col("state"))
+    return found.agg(F.min_by("state", rank).alias("worst"), F.count_if(~F.col("state").isin("unscannable", "ok")).alias("failing"))
 
 
 def hits(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,11 +155,26 @@ def kat_verdicts(answers: DataFrame) -> DataFrame:
 
 #: Algorithm, parameter set, mode that have known answers.
 KAT_MODES = [
-    ("ML-KEM", "ML-KEM-768", "keyGen"), ("ML-KEM", "ML-KEM-768", "encapDecap"), ("ML-DSA", "ML-DSA-65", "keyGen"), ("ML-DSA", "ML-DSA-65", "sigGen"),
-    ("ML-DSA", "ML-DSA-65", "sigVer"), ("SLH-DSA", "SLH-DSA-SHAKE-128s", "keyGen"), ("SLH-DSA", "SLH-DSA-SHAKE-128s", "sigGen"), ("SLH-DSA", "SLH-DSA-SHAKE-128s", "sigVer"),
+    ("ML-KEM", "ML-KEM-512", "keyGen"), ("ML-KEM", "ML-KEM-768", "encapDecap"), ("ML-KEM", "ML-KEM-1024", "keyGen"),
+    ("ML-DSA", "ML-DSA-44", "keyGen"), ("ML-DSA", "ML-DSA-65", "sigGen"), ("ML-DSA", "ML-DSA-87", "sigVer"),
+    ("SLH-DSA", "SLH-DSA-SHAKE-128s", "keyGen"), ("SLH-DSA", "SLH-DSA-SHAKE-128s", "sigGen"),
 ]
 
 
+def kat_supported(answers: DataFrame) -> DataFrame:
+    """Adds ``supported``: whether algorithm, parameter_set and mode (null: keyGen) have known answers."""
+    dim = local(answers.sparkSession, [(*m, True) for m in KAT_MODES], "algorithm string, parameter_set string, mode string, supported boolean")
+    wanted = answers.withColumn("mode", F.coalesce("mode", F.lit("keyGen")))
+    return wanted.join(F.broadcast(dim), ["algorithm", "parameter_set", "mode"], "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
+
+
+def recall_by_tag(truth: DataFrame, found: DataFrame, keys: list[str], language: str, tags: str) -> DataFrame:
+    """Expected and hit places a language and a tag of the array ``tags`` (a place counts once for each of its tags)."""
+    seen = found.select(*keys).distinct().withColumn("_hit", F.lit(1))
+    rows = truth.join(seen, keys, "left").select(F.col(language).alias("language"), F.explode(tags).alias("tag"), "_hit")
+    return rows.groupBy("language", "tag").agg(F.count("*").alias("expected"), F.count("_hit").alias("hit"))
+
+
 def precision(audited: DataFrame) -> DataFrame:
     """Per stratum: TP, FP and precision (verdicts DEPENDS left out), with the stratum's weight in the whole."""
     judged = audited.where(F.col("verdict").isin("TP", "FP"))

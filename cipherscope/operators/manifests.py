@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dims import catalogue, floors
+from ..dims import floors, rows
 
 DEPS = "path string, ecosystem string, name string, version string, line int, snippet string"
 #: Section headers of Cargo.toml that hold dependencies.
@@ -134,12 +134,12 @@ def dependencies(files: DataFrame) -> DataFrame:
 def catalogue_matches(deps: DataFrame) -> DataFrame:
     """Dependencies that the catalogue names, with the algorithm of the first pattern that matches.
 
-    The catalogue is fixed and small: it is an array a row, so the match is a filter and a first element, not a join.
+    The catalogue is fixed and small: a chain of conditions with literal patterns, each compiled once, and no join.
     """
-    packages = catalogue(deps.sparkSession).orderBy("ord").collect()
-    rules = F.array(*[F.struct(F.lit(r.ecosystem).alias("e"), F.lit(r.package_pattern).alias("p"), F.lit(r.algorithm_id).alias("a")) for r in packages])
-    hit = F.filter(rules, lambda r: (r["e"] == F.col("ecosystem")) & F.rlike("name", r["p"]))
-    return deps.withColumn("hit", F.try_element_at(hit, F.lit(1))).where("hit IS NOT NULL").select("*", F.col("hit.a").alias("algorithm_id")).drop("hit")
+    hit = F.lit(None).cast("string")
+    for r in reversed(rows("catalogue")):
+        hit = F.when((F.col("ecosystem") == r["ecosystem"]) & F.col("name").rlike(r["package_pattern"]), r["algorithm_id"]).otherwise(hit)
+    return deps.withColumn("algorithm_id", hit).where("algorithm_id IS NOT NULL")
 
 
 def version_pair(text):

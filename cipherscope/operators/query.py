@@ -34,13 +34,11 @@ def sort_findings(scored: DataFrame, by: str | None) -> DataFrame:
 
 
 def group_findings(scored: DataFrame, by: str) -> DataFrame:
-    """key, count and the findings' ids in scan order; an unknown key puts all into the group ``unknown``.
-
-    A group's list holds its members, so only ids travel in it.
-    """
+    """key, findings (the group's number), seq and id: a row for each member; an unknown key puts all into the group
+    ``unknown``. A group stays rows, however large it is, and its scan order is that of seq."""
     key = F.coalesce(F.col(GROUP_KEYS[by]), F.lit("unscored" if by == "severity" else "unknown")) if by in GROUP_KEYS else F.lit("unknown")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"])
-    return scored.groupBy(key.alias("key")).agg(F.count("*").alias("findings"), listed.alias("ids"))
+    members = scored.select(key.alias("key"), "seq", "id")
+    return members.join(members.groupBy("key").agg(F.count("*").alias("findings")), "key").select("key", "findings", "seq", "id")
 
 
 def page(scored: DataFrame, offset: int = 0, size: int | None = None) -> DataFrame:

@@ -198,10 +198,9 @@ def query_sort_rule(spark, sf_dir):
     return found.withColumn("own", own).join(before, "rule_id").select((F.col("before") + F.col("own")).alias("place"), "seq", "rule_id")
 
 
-@register(f"{BASE} SELECT algorithm_id AS key, count(*) AS findings, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS ids FROM s GROUP BY 1")
+@register(f"{BASE} SELECT algorithm_id AS key, count(*) OVER (PARTITION BY algorithm_id) AS findings, seq, CAST(seq AS VARCHAR) AS id FROM s")
 def query_group_algorithm(spark, sf_dir):
-    found = scored(spark, sf_dir).withColumn("id", F.col("seq").cast("string"))
-    return query.group_findings(found, "algorithmId").withColumn("ids", F.array_join("ids", ","))
+    return query.group_findings(scored(spark, sf_dir).withColumn("id", F.col("seq").cast("string")), "algorithmId")
 
 
 @register(f"{BASE} SELECT seq, rule_id, algorithm_id, total, severity FROM s ORDER BY seq LIMIT 50 OFFSET 100")

@@ -113,17 +113,36 @@ def floors_missed(spark, sf_dir):
     return corpus.below_floor(actual, least)
 
 
-@register("""WITH o AS (SELECT o_custkey AS project, count(*) AS files, CAST(sum(o_orderkey) AS BIGINT) AS bytes FROM orders GROUP BY 1)
-SELECT c_custkey AS project, CASE WHEN files IS NULL THEN 'missing' WHEN c_custkey % 7 = 0 THEN 'not_a_repository' WHEN c_custkey % 11 = 0 THEN 'wrong_commit' WHEN files = 0 THEN 'empty'
-  WHEN c_custkey % 5 <> 0 AND files < 9 THEN 'fewer_files' WHEN c_custkey % 5 <> 0 AND bytes < 90000 THEN 'fewer_bytes' WHEN c_custkey % 5 = 0 THEN 'unrecorded' ELSE 'ok' END AS state
-FROM customer LEFT JOIN o ON c_custkey = project""".replace("WHEN c_custkey % 11 = 0 THEN", "WHEN c_custkey % 11 = 0 AND c_custkey % 5 <> 0 THEN"))
+@register("""WITH o AS (SELECT o_custkey AS project, count(*) AS files, CAST(sum(o_orderkey) AS BIGINT) AS bytes FROM orders GROUP BY 1), p AS (SELECT c_custkey AS k, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes FROM customer LEFT JOIN o ON c_custkey = project)
+SELECT k AS project, CASE WHEN k % 13 = 0 THEN 'absent' WHEN k % 17 = 0 THEN 'unscannable' WHEN files = 0 THEN 'empty' WHEN k % 7 = 0 THEN 'unpinnable' WHEN k % 11 = 0 THEN 'scope-missing'
+  WHEN k % 5 = 0 THEN 'off-sha' WHEN k % 3 = 0 OR files % 4 = 0 OR bytes % 10 = 0 THEN 'drift' ELSE 'ok' END AS state FROM p""")
 def integrity_state(spark, sf_dir):
-    k = F.col("c_custkey")
-    seen = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("files"), F.sum("o_orderkey").alias("bytes"))
-    now = read(spark, sf_dir, "customer").select("c_custkey").join(seen, k == F.col("o_custkey"), "left")
-    now = now.select(k.alias("project"), F.when(k % 7 != 0, F.when(k % 11 == 0, "b").otherwise("a")).alias("head"), "files", "bytes")
-    base = read(spark, sf_dir, "customer").where(k % 5 != 0).select(k.alias("project"), F.lit("a").alias("head"), F.lit(9).alias("files"), F.lit(90000).alias("bytes"))
-    return corpus.integrity(now, base)
+    return corpus.integrity(*checkouts(spark, sf_dir))
+
+
+def checkouts(spark, sf_dir):
+    """Customers as projects whose orders are their files, and a baseline that lacks some and differs in others."""
+    k = F.col("project")
+    seen = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("project")).agg(F.count("*").alias("files"), F.sum("o_orderkey").alias("bytes"))
+    now = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project")).join(seen, "project", "left").na.fill(0, ["files", "bytes"])
+    base = now.where(k % 3 != 0).select("project", (F.col("files") + F.when(F.col("files") % 4 == 0, 1).otherwise(0)).alias("files"), (F.col("bytes") - F.when(F.col("bytes") % 10 == 0, 1).otherwise(0)).alias("bytes"))
+    pin = F.when(k % 2 == 0, "c0ffee").when((k % 7 == 0) | (k % 5 == 0), "c0ffee")
+    now = now.select(
+        "project", (k % 13 != 0).alias("cloned"), F.when(k % 17 == 0, "archived").alias("unscannable"), F.col("files").alias("tracked"), pin.alias("pin"),
+        (k % 7 != 0).alias("pin_known"), (k % 11 == 0).cast("int").alias("missing_scopes"), F.when(k % 5 != 0, "c0ffee").otherwise("beef").alias("head"), "files", "bytes",
+    )
+    return now, base
+
+
+@register("SELECT 'absent' AS worst, count(*) FILTER (WHERE c_custkey % 13 = 0 OR c_custkey % 17 <> 0 AND (o_custkey IS NULL OR c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 5 = 0 OR c_custkey % 3 = 0 OR files % 4 = 0 OR bytes % 10 = 0)) AS failing FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS files, sum(o_orderkey) AS bytes FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def worst_integrity(spark, sf_dir):
+    return corpus.worst_state(corpus.integrity(*checkouts(spark, sf_dir)))
+
+
+@register(f"""WITH {_PROJECTS} SELECT count(*) AS projects, count(*) FILTER (WHERE status = 'unscannable') AS not_scanned, count(*) FILTER (WHERE findings > 0) AS with_findings, CAST(sum(findings) AS BIGINT) AS findings, CAST(sum(audible) AS BIGINT) AS audible,
+  round(count(*) FILTER (WHERE findings > 0) * 100 / count(*) FILTER (WHERE status <> 'unscannable'), 1) AS pct_with_findings, round(sum(audible) * 100 / sum(findings), 1) AS pct_audible FROM p""")
+def headline_shares(spark, sf_dir):
+    return corpus.shares(corpus.ecosystem_rollup(projects(spark, sf_dir)))
 
 
 # Ground truth: every third finding's place, shifted by a line for every seventh of those.
@@ -193,6 +212,23 @@ def kat_sigver(spark, sf_dir):
     return corpus.kat_verdicts(rows)
 
 
+_MODES = ["ML-KEM|ML-KEM-512|keyGen", "ML-KEM|ML-KEM-768|keyGen", "ML-KEM|ML-KEM-768|encapDecap", "ML-KEM|ML-KEM-1024|", "ML-DSA|ML-DSA-44|keyGen", "ML-DSA|ML-DSA-65|sigGen", "ML-DSA|ML-DSA-65|sigVer", "ML-DSA|ML-DSA-87|sigVer", "SLH-DSA|SLH-DSA-SHAKE-128s|sigGen", "SLH-DSA|SLH-DSA-SHAKE-128s|sigVer", "FN-DSA|FN-DSA-512|keyGen"]
+
+
+@register("SELECT l_orderkey * 10 + l_linenumber AS tc, ([true, false, true, true, true, true, false, true, true, false, false])[1 + l_partkey % 11] AS supported FROM lineitem")
+def kat_dispatch(spark, sf_dir):
+    parts = F.split(pick(_MODES, F.col("l_partkey") % 11), r"\|")
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tc"), parts[0].alias("algorithm"), parts[1].alias("parameter_set"), F.nullif(parts[2], F.lit("")).alias("mode"))
+    return corpus.kat_supported(rows).select("tc", "supported")
+
+
+@register(f"WITH {_TRUTH}, x AS (SELECT t.*, CASE WHEN event_id % 2 = 0 THEN ['kem', 'tls'] ELSE ['tls'] END AS tags FROM t), y AS (SELECT x.kind AS language, unnest(tags) AS tag, g.line AS hit FROM x LEFT JOIN g ON x.user_id = g.user_id AND x.line = g.line) SELECT language, tag, count(*) AS expected, count(hit) AS hit FROM y GROUP BY ALL")
+def recall_by_tag(spark, sf_dir):
+    t, g = truth(spark, sf_dir)
+    t = t.withColumn("tags", F.when(F.col("event_id") % 2 == 0, F.array(F.lit("kem"), F.lit("tls"))).otherwise(F.array(F.lit("tls"))))
+    return corpus.recall_by_tag(t, g, ["user_id", "line"], "kind", "tags")
+
+
 # Requirements: a part is a line of a manifest that names a package of the catalogue.
 _PACKAGES = ["cryptography", "pyjwt", "PyJWT", "pynacl", "requests", "pycrypto", "numpy"]
 _SIGNS = ["==", ">=", "~=", "!=", "<"]
@@ -278,7 +314,24 @@ def warnings_topn(spark, sf_dir):
     return e.join(F.broadcast(kind), "event_type").orderBy("event_id").limit(20).select("event_id", F.concat(F.lit("scan of "), "event_type").alias("message"))
 
 
-@register(f"""{BASE}, b AS (SELECT id, display_name AS bn, fips AS bf FROM alg) SELECT seq, CASE WHEN alg.id IS NOT NULL THEN {_case({k: _text(v) for k, v in aggregate.MEANING.items()}, 'alg.quantum_status')} || coalesce(' Use ' || bn || coalesce(' (' || bf || ')', '') || ' instead.', '') END AS why
-FROM s LEFT JOIN alg ON s.algorithm_id = alg.id LEFT JOIN b ON alg.replacement = b.id""")
+_NOTES = "notes AS (SELECT * FROM " + _values([(r["id"], r["notes"]) for r in dims.rows("algorithms")], "note_id, note") + ")"
+
+
+@register(f"""{BASE}, {_NOTES}, b AS (SELECT id, display_name AS bn, fips AS bf FROM alg) SELECT seq, CASE WHEN alg.id IS NULL THEN 'Algorithm not in the catalogue; classification unavailable. Investigate manually.' ELSE concat_ws(' ', CASE alg.quantum_status
+  WHEN 'BrokenClassically' THEN 'Classically broken — practical attacks exist today, independent of any quantum threat.'
+  WHEN 'BrokenByShor' THEN 'Vulnerable to Shor''s algorithm; a cryptographically relevant quantum computer breaks this in polynomial time.'
+  WHEN 'WeakenedByGrover' THEN 'Weakened under Grover''s algorithm; effective security halves against quantum search. Keep using only at sufficiently large parameters.'
+  WHEN 'QuantumSafe' THEN 'Quantum-safe at the chosen parameters — Grover''s algorithm does not reduce security below acceptable levels.'
+  WHEN 'PqcFinal' THEN 'NIST-final post-quantum algorithm; designed to resist both classical and quantum attacks.'
+  WHEN 'PqcDraft' THEN 'Draft post-quantum algorithm; expected to be standardized but the specification may still change.' END, note, 'Recommended replacement: ' || bn || coalesce(' per ' || bf, '') || '.') END AS why
+FROM s LEFT JOIN alg ON s.algorithm_id = alg.id LEFT JOIN notes ON note_id = alg.id LEFT JOIN b ON alg.replacement = b.id""")
 def why_it_matters(spark, sf_dir):
     return aggregate.explained(scored(spark, sf_dir))
+
+
+_BANDS = ["Critical", "High", "Medium", "Low", "Safe"]
+
+
+@register(f"{BASE} SELECT count(*) AS total, {', '.join(f'CAST(round(count(*) FILTER (WHERE severity = {_text(b)}) * 100.0 / count(*)) AS BIGINT) AS pct_{b.lower()}' for b in _BANDS)} FROM s")
+def rounded_percentages(spark, sf_dir):
+    return aggregate.rounded_percentages(scored(spark, sf_dir))
