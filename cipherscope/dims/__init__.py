@@ -110,6 +110,15 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return local(spark, [(r["ecosystem"], i, r["package_pattern"], r["algorithm_id"]) for i, r in enumerate(rows("catalogue"))], "ecosystem string, ord int, package_pattern string, algorithm_id string")
 
 
+LANGUAGES = ["go", "python", "java", "javascript", "c", "rust", "csharp"]
+
+
+def callees(spark: SparkSession) -> DataFrame:
+    """lang, kind (call, new, enum, subtle), callee, api; TypeScript has JavaScript's rows and C++ has C's."""
+    same = {"javascript": ["javascript", "typescript"], "c": ["c", "cpp"]}
+    return local(spark, [(own, r["kind"], r["callee"], r["api"]) for lang in LANGUAGES for r in rows(f"callees_{lang}") for own in same.get(lang, [lang])], "lang string, kind string, callee string, api string")
+
+
 def severities(spark: SparkSession) -> DataFrame:
     return local(spark, SEVERITIES, "severity string, rank int")
 

@@ -8,10 +8,12 @@ match is the first element whose predicates hold, without a shuffle of the sites
 from __future__ import annotations
 
 import tomllib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..dims import algorithm_rows
 from ..functions.text import fill_template, stable_id
 
 RULES = (
@@ -35,15 +37,29 @@ def predicate(key: str, want) -> tuple:
 
 
 def from_toml(spark: SparkSession, lang: str, text: str) -> DataFrame:
-    """Rules of one language, in file order: [[classify]] with id, when.{api, args, site_context, imports}, algorithm, message."""
-    rows = []
+    """Rules of one language, in file order: [[classify]] with id, when.{api, args, site_context, imports}, algorithm, message.
+    A rule of an algorithm that the table does not have is an error."""
+    rows, known = [], {a[0] for a in algorithm_rows()}
     for i, r in enumerate(tomllib.loads(text).get("classify", [])):
         when = r["when"]
+        if r["algorithm_id"] not in known:
+            raise ValueError(f"rule {r['id']}: unknown algorithm {r['algorithm_id']}")
         preds = [predicate(k, v) for k, v in when.get("args", {}).items()]
         rows.append((lang, i, r["id"], when["api"], when.get("site_context"), when.get("imports"), preds, r["algorithm_id"], r.get("severity_hint"), r.get("message", ""), r.get("cwe")))
     return spark.createDataFrame(rows, RULES)
 
 
+def from_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of all files ``<language>.toml`` of a folder that Spark reads; C and C++ share a pack, as do JavaScript and
+    TypeScript."""
+    same = {"cpp": ["c", "cpp"], "javascript": ["javascript", "typescript"]}
+    found = spark.read.text(path, wholetext=True, pathGlobFilter="*.toml").select(F.input_file_name().alias("file"), "value").collect()  # a file a language
+    packs = [from_toml(spark, own, r.value) for r in found for lang in [r.file.rpartition("/")[2].removesuffix(".toml")] for own in same.get(lang, [lang])]
+    if not packs:
+        raise ValueError(f"{path}: no rules")
+    return reduce(DataFrame.unionByName, packs)
+
+
 def _holds(p: Column, args: Column) -> Column:
     """One predicate on the captured arguments (map<string, struct<i, s>>); another type or no argument does not match."""
     a = F.try_element_at(args, p["key"])

@@ -2,7 +2,9 @@
 
 The scan knows strings, comments and brackets of C-like languages and Python; it is an approximation of a parser. A row
 is a call: path, lang, callee (dotted, with ``new `` before a constructor), args (kind, name of a keyword, text, and the
-string or integer value), line, offset, snippet, and owner, the callee of the call around it. Whole files are scanned.
+string or integer value), line, offset, snippet, owner (the callee of the call around it), generic (type arguments in
+``::<...>``), root (the first callee of its fluent chain), scope (offset of the outermost brace, which tells functions
+apart) and frames: up to six brackets around it from the nearest on, and what stands beside it. Whole files are scanned.
 """
 
 from __future__ import annotations
@@ -10,15 +12,18 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import dims
+from .risk import lookup
+
 ARG = pa.struct([("kind", pa.string()), ("kw", pa.string()), ("text", pa.string()), ("s", pa.string()), ("i", pa.int64())])
-ROW = pa.schema([("path", pa.string()), ("lang", pa.string()), ("callee", pa.string()), ("args", pa.list_(ARG)), ("line", pa.int32()), ("offset", pa.int32()), ("snippet", pa.string()), ("owner", pa.string())])
-SITES = "path string, lang string, callee string, args array<struct<kind: string, kw: string, text: string, s: string, i: bigint>>, line int, offset int, snippet string, owner string"
+ROW = pa.schema([("path", pa.string()), ("lang", pa.string()), ("callee", pa.string()), ("args", pa.list_(ARG)), ("line", pa.int32()), ("offset", pa.int32()), ("snippet", pa.string()), ("owner", pa.string()), ("generic", pa.string()), ("root", pa.string()), ("scope", pa.int32()), ("frames", pa.list_(pa.string()))])
+SITES = "path string, lang string, callee string, args array<struct<kind: string, kw: string, text: string, s: string, i: bigint>>, line int, offset int, snippet string, owner string, generic string, root string, scope int, frames array<string>"
 
 _HASH_COMMENTS = {"python"}
-_TOKEN = re.compile(r"""(?P<skip>/\*.*?\*/|//[^\n]*)|(?P<str>[rbuf@]{0,2}(?:'''.*?'''|\"\"\".*?\"\"\"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`]*`))|(?P<call>(?:\bnew\s+)?[A-Za-z_][\w]*(?:\s*(?:\.|::|->)\s*[A-Za-z_]\w*)*(?:::<[^()<>]*>)?\s*\()|(?P<open>[\[({])|(?P<close>[\])}])""", re.S)
+_TOKEN = re.compile(r"""(?P<skip>/\*.*?\*/|//[^\n]*)|(?P<str>[rbuf@]{0,2}(?:'''.*?'''|\"\"\".*?\"\"\"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`]*`))|(?P<call>(?:\bnew\s+)?[A-Za-z_][\w]*(?:\s*(?:\.|::|->)\s*[A-Za-z_]\w*)*(?:::<(?:[^()<>]|<[^()<>]*>)*>)?\s*\()|(?P<open>[\[({])|(?P<close>[\])}])""", re.S)
 _TOKEN_HASH = re.compile(_TOKEN.pattern.replace(r"/\*.*?\*/|//[^\n]*", r"\#[^\n]*"), re.S)
 _KEYWORDS = {"if", "for", "while", "switch", "return", "catch", "elif", "and", "or", "not", "in", "func", "def", "fn", "class", "sizeof", "match"}
 _NUMBER = re.compile(r"-?\d+\Z")
@@ -38,11 +43,41 @@ def _argument(text: str) -> dict:
     return {"kind": kind, "kw": kw, "text": text, "s": None, "i": None}
 
 
+_LIST_HEAD = re.compile(r"(?:\]\s*[\w.*]*|\bmap\[[^{}]*)$")
+
+
+def _kind(text: str, at: int, char: str) -> str:
+    """What an opening bracket opens: list (a literal of a slice, array or map), struct, object, array or block."""
+    before = text[max(0, at - 80) : at]
+    if char != "{":
+        return "array" if char == "[" else "group"
+    if _LIST_HEAD.search(before):
+        return "list"
+    if before[-1:].isalnum() or before[-1:] == "_":
+        return "struct"
+    return "object" if before.rstrip()[-1:] in ("(", ",", "=", ":", "[") else "block"
+
+
+def _frames(text: str, stack: list[dict], at: int) -> list[str]:
+    out, inner = [], at
+    for x in reversed(stack[-6:]):
+        if x["kind"] in ("struct", "object", "list") and re.search(r"[\w\"'\])]\s*:\s*[&*\w.]*$", text[x["from"] : inner]) or (x["kind"] == "block" and re.search(r"['\"]\s*:\s*$", text[x["from"] : inner])):
+            out.append("pair")
+        out.append(f"call:{x['callee']}" if x["kind"] == "call" else x["kind"])
+        inner = x["at"]
+    line = text[text.rfind("\n", 0, at) + 1 : at]
+    if re.search(r"(?:==|!=)=?\s*$", line):
+        out.insert(0, "compare")
+    if re.search(r"(?:\b(?:const|var|let|final|static)\b[^;{}()]*|^\s*[\w.<>\[\]]+\s+\w+\s*)=\s*$", line):
+        out.append("declaration")
+    return out
+
+
 def scan(text: str, lang: str) -> list[dict]:
     """All calls of a file, in order of their start."""
-    stack: list[dict] = []  # open brackets; a call's has its callee and where its current argument began
+    stack: list[dict] = []  # open brackets, where they and their current element begin; a call's has its callee
     out: list[dict] = []
-    lines, counted = 1, 0
+    lines, counted, closed = 1, 0, (-1, "")  # closed: where the last call ended, and the root of its chain
 
     def close_argument(top: dict, end: int) -> None:
         part = text[top["from"] : end]
@@ -52,31 +87,41 @@ def scan(text: str, lang: str) -> list[dict]:
     tokens = _TOKEN_HASH if lang in _HASH_COMMENTS else _TOKEN
     pos = 0
     for m in tokens.finditer(text):
-        if stack and stack[-1].get("callee") is not None:  # commas since the last token belong to this call
+        if stack:  # commas since the last token belong to the innermost bracket
             for comma in re.finditer(",", text[pos : m.start()]):
-                close_argument(stack[-1], pos + comma.start())
+                if stack[-1]["kind"] == "call":
+                    close_argument(stack[-1], pos + comma.start())
                 stack[-1]["from"] = pos + comma.end()
         pos = m.end()
         if m["call"]:
-            callee = re.sub(r"::<.*>", "", re.sub(r"\s*(\.|::|->)\s*", r"\1", m["call"][:-1].strip()))
-            callee = re.sub(r"\s+", " ", callee)
+            raw = re.sub(r"\s*(\.|::|->)\s*", r"\1", m["call"][:-1].strip())
+            generic = re.search(r"::<(.*)>", raw)
+            callee = re.sub(r"\s+", " ", re.sub(r"::<.*>", "", raw))
             if callee in _KEYWORDS:
-                stack.append({})
+                stack.append({"kind": "group", "from": m.end(), "at": m.start()})
                 continue
             lines += text.count("\n", counted, m.start())
             counted = m.start()
-            first = text.rfind("\n", 0, m.start()) + 1
             end = text.find("\n", m.start())
-            owner = next((x["callee"] for x in reversed(stack) if x.get("callee")), None)
-            site = {"callee": callee, "args": [], "line": lines, "offset": m.start(), "snippet": text[m.start() : end if end >= 0 else len(text)].rstrip(), "owner": owner, "column": m.start() - first}
+            owner = next((x["callee"] for x in reversed(stack) if x["kind"] == "call"), None)
+            before = text[max(0, m.start() - 200) : m.start()].rstrip()
+            chained = before.endswith(".") and m.start() - 200 < closed[0] and not text[closed[0] : m.start()].strip(" \t\r\n.")
+            scope = next((x["at"] for x in stack if x["kind"] == "block"), -1)
+            site = {
+                "callee": callee, "args": [], "line": lines, "offset": m.start(), "snippet": text[m.start() : end if end >= 0 else len(text)].rstrip(), "owner": owner,
+                "generic": generic[1] if generic else None, "root": closed[1] if chained else callee, "scope": scope, "frames": _frames(text, stack, m.start()),
+            }
             out.append(site)
-            stack.append({"callee": callee, "from": m.end(), "args": site["args"]})
+            stack.append({"kind": "call", "callee": callee, "from": m.end(), "at": m.start(), "args": site["args"], "site": site})
         elif m["open"]:
-            stack.append({})
+            stack.append({"kind": _kind(text, m.start(), m["open"]), "from": m.end(), "at": m.start()})
         elif m["close"] and stack:
             top = stack.pop()
-            if top.get("callee") is not None:
+            if top["kind"] == "call":
                 close_argument(top, m.start())
+                closed = m.end(), top["site"]["root"]
+                if re.match(r"\s*(?:==|!=)", text[m.end() : m.end() + 20]):
+                    top["site"]["frames"].insert(0, "compare")
     return out
 
 
@@ -127,29 +172,203 @@ def includes(content: Column) -> Column:
     return F.regexp_extract_all(content, F.lit(r'(?m)^[ \t]*#[ \t]*include[ \t]*[<"]([^>"]+)[>"]'), 1)
 
 
-def with_api(sites: DataFrame, apis: DataFrame) -> DataFrame:
-    """Sites whose callee a table (lang, callee, api) names; the table is given by the user and joined by key."""
-    return sites.join(apis, ["lang", "callee"])
+def with_api(sites: DataFrame, apis: DataFrame | None = None) -> DataFrame:
+    """Sites whose callee the table (lang, kind, callee, api; by default the library's own) names, by key.
+
+    A constructor is looked up among the kind ``new``, a method of a receiver ``subtle`` also among ``subtle``; a Rust path
+    by its last two segments, else by its last.
+    """
+    apis = dims.callees(sites.sparkSession) if apis is None else apis
+    apis = F.broadcast(apis.select("lang", "kind", F.col("callee").alias("key"), "api"))  # a fixed table
+    new = F.col("callee").startswith("new ")
+    rust = F.col("lang") == "rust"
+    key = F.when(new, F.regexp_replace("callee", "^new ", "")).when(rust, last_segments(F.col("callee"))).otherwise(F.col("callee"))
+    second = F.when(rust, last_segments(F.col("callee"), 1)).when(F.col("callee").rlike(r"(^|\.)subtle\.\w+$"), F.regexp_extract("callee", r"(\w+)$", 1))
+    sites = sites.withColumns({"kind": F.when(new, "new").otherwise("call"), "key": key, "kind_2": F.when(rust, "call").otherwise("subtle"), "key_2": second})
+    sites = sites.join(apis, ["lang", "kind", "key"], "left")
+    sites = sites.join(apis.toDF("lang", "kind_2", "key_2", "api_2"), ["lang", "kind_2", "key_2"], "left")
+    sites = sites.withColumn("api", F.coalesce("api", "api_2")).where("api IS NOT NULL")
+    return sites.drop("kind", "key", "kind_2", "key_2", "api_2")
+
+
+#: Go apis whose function's name says what is done, and those whose package's name is the parameter set.
+GO_OPERATIONS = ["crypto/rsa.Op", "crypto/ecdsa.Op", "crypto/ed25519.Op", "crypto/dsa.Op", "crypto/mlkem.KeyOp", "crypto/mldsa.ParamSet", "circl/kem/xwing.Op", "crypto/x509.CertOp"]
+GO_CURVES = ["X25519", "P256", "P384", "P521"]
+
+
+def go_apis(sites: DataFrame) -> DataFrame:
+    """Go sites with their api and what the callee says: pkg, fn and curve_fn (null where it says nothing)."""
+    go = sites.where("lang = 'go'")
+    owner, name = F.split_part("callee", F.lit("."), F.lit(1)), F.split_part("callee", F.lit("."), F.lit(2))
+    curve = (owner == "ecdh") & name.isin(GO_CURVES)
+    curves = go.where(curve).withColumn("api", F.lit("crypto/ecdh.Curve"))
+    both = curves.unionByName(with_api(go.where(~curve)))
+    circl = F.col("api").startswith("circl/sign/mldsa") | F.col("api").startswith("circl/kem/mlkem")
+    digest = F.col("callee").isin("md5.New", "md5.Sum", "sha1.New", "sha1.Sum")
+    operation = F.col("api").isin(GO_OPERATIONS)
+    return both.withColumns({"pkg": F.when(digest | circl, owner), "fn": F.when(circl | operation, name), "curve_fn": F.when(F.col("api") == "crypto/ecdh.Curve", name)})
+
+
+#: Import paths of Go packages of post-quantum signatures, and the family each is of.
+GO_PQ_FAMILIES = {"dilithium": "ML-DSA (circl dilithium)", "mldsa": "ML-DSA (circl mldsa)", "slhdsa": "SLH-DSA (circl slhdsa)"}
+
+
+def pq_notes(sites: DataFrame, files: DataFrame) -> DataFrame:
+    """Classical signature operations among the sites (as of ``go_apis``) with ``pq_note``: what post-quantum signature the same function
+    also makes or checks, empty where it does not. Joined by file and function; the first such call counts."""
+    line = F.explode(F.regexp_extract_all("content", F.lit(r'(?m)^\s*(?:import\s+)?(?:\w+\s+)?"[^"]*circl/sign/(?:dilithium|mldsa|slhdsa)[^"]*"'), 0)).alias("text")
+    imports = files.where("lang = 'go'").select("path", line)
+    named, target = F.regexp_extract("text", r'^\s*(?:import\s+)?(\w+)\s+"', 1), F.regexp_extract("text", r'"([^"]+)"', 1)
+    local = F.when((named != "") & (named != "import"), named).otherwise(F.element_at(F.split(target, "/"), -1))
+    kind = F.regexp_extract(target, "circl/sign/(dilithium|mldsa|slhdsa)", 1)
+    imports = imports.select("path", local.alias("local"), F.create_map(*[F.lit(x) for e in GO_PQ_FAMILIES.items() for x in e])[kind].alias("family"))
+    calls = sites.where((F.col("lang") == "go") & F.col("callee").rlike(r"^\w+\.(Sign|Verify)\w*$") & (F.col("scope") >= 0)).withColumn("local", F.split_part("callee", F.lit("."), F.lit(1)))
+    hits = calls.join(imports, ["path", "local"]).groupBy("path", "scope").agg(F.min_by(F.struct("family", "line"), "offset").alias("pq"))
+    classical = go_apis(sites).where(F.col("api").isin("crypto/ed25519.Op", "crypto/ecdsa.Op"))
+    note = F.concat(F.lit(" This function also calls "), "pq.family", F.lit(" at line "), F.col("pq.line").cast("string"), F.lit(" — the classical component alone is insufficient to forge a signature accepted by this code."))
+    return classical.join(hits, ["path", "scope"], "left").withColumn("pq_note", F.coalesce(note, F.lit(""))).drop("pq")
+
+
+#: JOSE algorithm names that a switch or a registration is looked for.
+JOSE_NAMES = ["RS256", "RS384", "RS512", "PS256", "PS384", "PS512", "ES256", "ES384", "ES512", "EdDSA", "HS256", "HS384", "HS512", "none", "RSA-OAEP", "RSA-OAEP-256", "A256GCM", "A192GCM", "A128GCM"]
+LITERALS = "path string, value string, kind string, line int, offset int, scope int, scopes array<int>, snippet string"
+
+
+def literals(text: str) -> list[tuple]:
+    """String literals of a Go file that a case begins with (kind switch) or that stand in a registration (register):
+    an element, an argument, a declaration's or assignment's value, not inside a switch. scope is the nearest bracket that
+    declares names together (const, var, a literal, a switch, a block), scopes are all of them."""
+    stack: list[tuple] = []  # (offset, is a scope, is a switch)
+    out = []
+    for m in _TOKEN.finditer(text):
+        if m["str"] and m["str"][0] in "\"`":
+            before, after = text[max(0, m.start() - 200) : m.start()], text[m.end() : m.end() + 80].lstrip(" \t")
+            line = before[before.rfind("\n") + 1 :]
+            scopes = [x[0] for x in stack if x[1]]
+            if re.match(r"\s*(?:const|var)\s+\w+[^({]*=\s*$", line):
+                scopes.append(m.start())
+            kind = None
+            if re.search(r"\bcase\s*$", before):
+                kind = "switch"
+            elif not any(x[2] for x in stack) and re.search(r"(?:[{(,]|(?<![=!<>:])=|:=|(?<!:):|\breturn)\s*$", before) and re.match(r"[,)}\n;:]|//|$", after):
+                kind = "register"
+            if kind:
+                begin = before.rfind("case") - len(before) if kind == "switch" else 0
+                snippet = text[m.start() + begin : m.end()] if kind == "register" else text[m.start() + begin :].split("\n", 1)[0]
+                out.append((m["str"][1:-1], kind, text.count("\n", 0, m.start()) + 1, m.start() + begin, scopes[-1] if scopes else -1, scopes, snippet))
+        elif m["call"] or m["open"]:
+            head = text[max(0, m.start() - 200) : m.start()]
+            paren = m["call"] or m["open"] != "{"
+            declares = m["open"] == "(" and re.search(r"\b(?:const|var)\s*$", head) or m["call"] and re.match(r"(?:const|var)\s*\($", m["call"])
+            stack.append((m.start(), bool(declares or not paren), not paren and bool(re.search(r"\bswitch\b[^{}]*$", head))))
+        elif m["close"] and stack:
+            stack.pop()
+    return out
+
 
+def jose_names(files: DataFrame) -> DataFrame:
+    """path, api, value, line, offset, snippet: JOSE names that Go files switch on or register. ``none``, also a plain word,
+    counts only where its nearest scope holds another of the names (a semi join by file and scope)."""
 
-#: Callees around a call that tell what it is there for, by kind and in order of priority.
-CONTEXTS = {
-    "MapEntry": ["put", "putAll", "putIfAbsent"],
-    "TestAssertion": ["assertEquals", "assertThrows", "assertTrue", "assertFalse", "assertRaises", "raises", "expect", "assert_eq", "assert_ne"],
-    "RegistryLookup": [],
-    "Comparison": ["equals", "equalsIgnoreCase"],
-    "CollectionElement": ["add", "addAll", "asList", "of", "contains", "containsAll", "remove"],
+    def run(batches):
+        for batch in batches:
+            rows = [(path, *row) for path, text in zip(*(c.to_pylist() for c in batch.columns)) for row in literals(text or "")]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in LITERALS.split(", ")])
+
+    found = files.where("lang = 'go'").select("path", "content").mapInArrow(run, LITERALS).where(F.col("value").isin(JOSE_NAMES))
+    others = found.where("value <> 'none'").select("path", F.explode("scopes").alias("scope")).distinct()
+    sure = found.where("value <> 'none'").unionByName(found.where("value = 'none' AND scope >= 0").join(others, ["path", "scope"], "left_semi").select(*found.columns))
+    api = F.concat(F.when(F.col("kind") == "switch", "go.alg-switch.").otherwise("go.alg-register."), "value")
+    return sure.select("path", api.alias("api"), "value", "line", "offset", "snippet")
+
+
+def kem_aliases(content: Column) -> Column:
+    """Names under which a Python file imports ``KEM``."""
+    lines = F.array_join(F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*from[ \t]+\S+[ \t]+import[ \t(]+[^\n]*"), 0), "\n")
+    return F.regexp_extract_all(lines, F.lit(r"\bKEM\s+as\s+(\w+)"), 1)
+
+
+def jar_signer_algorithms(files: DataFrame) -> DataFrame:
+    """path, value, line: names given to ``signatureAlgorithm`` on a JarSigner.Builder: a fluent chain that begins with its
+    constructor, or with a local variable that the file declares with this type."""
+    sites = call_sites(files.where("lang = 'java'")).where(F.col("callee").rlike(r"(^|\.)signatureAlgorithm$"))
+    declared = files.select("path", F.regexp_extract_all("content", F.lit(r"\bJarSigner\.Builder\s+(\w+)\s*[=;,]"), 1).alias("builders"))
+    sites = sites.join(declared, "path").where((F.col("root") == "new JarSigner.Builder") | F.array_contains("builders", F.split_part("root", F.lit("."), F.lit(1))))
+    return sites.select("path", nth_string(F.col("args"), 0).alias("value"), "line").where("value IS NOT NULL")
+
+
+#: Callees that tell what a call among their arguments is there for, by kind.
+MAP_INSERTS, COLLECTIONS, EQUALITY = ["put", "putAll", "putIfAbsent"], ["add", "addAll", "asList", "of", "contains", "containsAll", "remove"], ["equals", "equalsIgnoreCase"]
+#: Test assertions by language.
+ASSERTIONS = {
+    "go": ["Equal", "Equals", "Equalf", "NotEqual", "True", "False", "Nil", "NotNil", "Empty", "NotEmpty", "Contains", "NotContains", "Error", "NoError", "ErrorIs", "ErrorContains", "EqualValues", "Same", "NotSame", "JSONEq", "ElementsMatch", "Len", "EqualError", "Regexp"],
+    "java": ["assertEquals", "assertNotEquals", "assertTrue", "assertFalse", "assertNull", "assertNotNull", "assertThat", "assertSame", "assertArrayEquals"],
+    "javascript": ["equal", "deepEqual", "strictEqual", "notEqual", "toBe", "toEqual", "toMatch", "toContain", "expect"],
+    "python": ["assertEqual", "assertNotEqual", "assertTrue", "assertFalse", "assertIs", "assertIsNone", "assertIn", "assertRaises", "assertAlmostEqual"],
+    "rust": ["assert_eq", "assert_ne", "assert", "debug_assert_eq", "debug_assert_ne"],
+    "c": ["EXPECT_EQ", "ASSERT_EQ", "EXPECT_NE", "ASSERT_NE", "EXPECT_TRUE", "ASSERT_TRUE", "EXPECT_STREQ", "ASSERT_STREQ", "ExpectNull"],
+    "csharp": ["Equal", "True", "False", "Same", "NotEqual", "AreEqual"],
 }
 
 
-def site_context(owner: Column) -> Column:
-    """What the call around a site is: a test's assertion, a map's entry, and so on; Default where there is none."""
-    last = F.regexp_extract(owner, r"([A-Za-z_]\w*)!?$", 1)
-    out = F.when(owner.isNotNull(), "Call").otherwise("Default")
-    for name in reversed(list(CONTEXTS)):
-        hit = last.startswith("lookup") if name == "RegistryLookup" else last.isin(CONTEXTS[name])
-        out = F.when(owner.isNotNull() & hit, name).otherwise(out)
-    return out
+def site_context(frames: Column, lang: Column, root: Column | None = None) -> Column:
+    """What a site is there for, from the brackets around it: the first of map entry, test assertion, registry lookup,
+    comparison, collection element, struct literal, call, constant, that any of them says; else Default."""
+    head = lambda f: F.regexp_extract(f, r"([A-Za-z_]\w*)!?(?:<.*)?$", 1)
+    is_call = lambda f: f.startswith("call:")
+    around = lambda names: F.exists(frames, lambda f: is_call(f) & head(f).isin(names))
+    asserted = F.lit(False)
+    for own, names in ASSERTIONS.items():
+        asserted = asserted | (lang.isin({"javascript": ["javascript", "typescript"], "c": ["c", "cpp"]}.get(own, [own])) & around(names))
+    # A lookup whose result is itself an argument is not one.
+    looked = F.exists(F.sequence(F.lit(1), F.greatest(F.size(frames), F.lit(1))), lambda i: F.coalesce(is_call(F.try_element_at(frames, i)) & F.lower(head(F.try_element_at(frames, i))).startswith("lookup") & ~F.coalesce(is_call(F.try_element_at(frames, i + 1)), F.lit(False)), F.lit(False)))
+    has = lambda name: F.array_contains(frames, name)
+    return (
+        F.when(has("pair") | around(MAP_INSERTS), "MapEntry")
+        .when(asserted, "TestAssertion")
+        .when(looked, "RegistryLookup")
+        .when(has("compare") | around(EQUALITY), "Comparison")
+        .when(((lang == "java") & has("list")) | around(COLLECTIONS), "CollectionElement")
+        .when(has("struct"), "StructLiteral")
+        .when(F.exists(frames, is_call) & ~(F.try_element_at(frames, F.lit(1)) == "list"), "Call")
+        .when(has("declaration") & ~has("list"), "StringConstant")
+        .otherwise("Default")
+    )
+
+
+def failing_spans(text: str, lang: str) -> list[tuple[int, int]]:
+    """Where a test demands that the only statement of a block or function fails."""
+    if lang == "python":
+        return [m.span(2) for m in re.finditer(r"(?m)^([ \t]*)with\s[^\n]*?raises\([^\n]*\)[^\n]*:[ \t]*\n(\1[ \t]+[^\n]+)(?=\n|\Z)(?!\n(?:[ \t]*\n)*\1[ \t]+\S)", text, re.I)]
+    if lang in ("javascript", "typescript"):
+        arrow = r"(?:async\s*)?(?:\([^()]*\)|\w+)\s*=>\s*"
+        body = r"(\{\s*[^;{}]*;?\s*\}|[^{;]*?)"
+        return [m.span(1) for m in re.finditer(rf"\bexpect\(\s*{arrow}{body}\s*\)(?:\.\w+){{0,3}}?\.(?:throw|toThrow|toThrowError)\(", text)]
+    return []
+
+
+def asserted_to_fail(files: DataFrame) -> DataFrame:
+    """path, start, stop of the spans in which a test demands failure; sites inside them are test assertions."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(path, a, b) for path, lang, text in zip(*(c.to_pylist() for c in batch.columns)) for a, b in failing_spans(text or "", lang)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2))], ["path", "start", "stop"])
+
+    return files.select("path", "lang", "content").mapInArrow(run, "path string, start int, stop int")
+
+
+def with_context(sites: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``context`` (of ``site_context``, or TestAssertion where a test demands that the call fails)."""
+    spans = asserted_to_fail(files).groupBy("path").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # of one file
+    failing = F.coalesce(F.exists("spans", lambda x: (x["start"] <= F.col("offset")) & (F.col("offset") < x["stop"])), F.lit(False))
+    context = F.when(failing, "TestAssertion").otherwise(site_context(F.col("frames"), F.col("lang")))
+    return sites.join(spans, "path", "left").withColumn("context", context).drop("spans")
+
+
+#: Constants of Go's ssh package and the names they stand for.
+SSH_EXCHANGES = {"KeyExchangeMLKEM768X25519": "mlkem768x25519-sha256", "KeyExchangeCurve25519": "curve25519-sha256", "KeyExchangeECDHP256": "ecdh-sha2-nistp256", "KeyExchangeECDHP384": "ecdh-sha2-nistp384", "KeyExchangeECDHP521": "ecdh-sha2-nistp521"}
 
 
 #: Settings that list algorithms: language, api, pattern of the setting (its body captured), pattern of an
@@ -158,13 +377,15 @@ SETTINGS = [
     ("go", "tls.Config.MinVersion", r"MinVersion\s*:\s*(tls\.\w+)", r"tls\.(\w+)"),
     ("go", "tls.Config.CurvePreferences", r"CurvePreferences\s*:\s*\[\]tls\.CurveID\s*\{([^}]*)\}", r"tls\.(\w+)"),
     ("go", "tls.Config.SupportedSignatureAlgorithms", r"SupportedSignatureAlgorithms\s*:\s*\[\]tls\.SignatureScheme\s*\{([^}]*)\}", r"tls\.(\w+)"),
-    ("go", "ssh.Config.KeyExchanges", r"KeyExchanges\s*:\s*\[\]string\s*\{([^}]*)\}", r"\"([^\"]+)\""),
+    ("go", "ssh.Config.KeyExchanges", r"KeyExchanges\s*:\s*\[\]string\s*\{([^}]*)\}", r"(?:\"|\bssh\.)([^\",\s]+)"),
     ("java", "setNamedGroups", r"setNamedGroups\s*\([^{)]*\{([^}]*)\}", r"\"([^\"]+)\""),
     ("java", "jdk.tls.namedGroups", r"setProperty\s*\(\s*\"jdk\.tls\.namedGroups\"\s*,\s*\"([^\"]*)\"", r"\s*([^,\s]+)"),
     ("java", "TlsUtils.addIfSupported", r"addIfSupported\s*\([^{)]*\{([^}]*)\}", r"NamedGroup\.(\w+)"),
     ("c", "SSL_set1_groups_list", r"SSL_(?:CTX_)?set1_groups_list\s*\([^,]*,\s*\"([^\"]*)\"", r"[*?\-]*([^/:*?\-][^/:]*)"),
     ("c", "SSL_CONF_cmd", r"SSL_CONF_cmd\s*\([^,]*,\s*\"(?:Groups|Curves)\"\s*,\s*\"([^\"]*)\"", r"[*?\-]*([^/:*?\-][^/:]*)"),
     ("rust", "kx_groups", r"kx_groups\s*:\s*(?:vec!)?\s*&?\[([^\]]*)\]", r"(\w+)\s*(?:,|$)"),
+    ("rust", "kx_groups", r"(?:const|static)\s+\w*KX_GROUPS\w*\s*:[^=;]*=\s*&?\s*\[([^\]]*)\]", r"(\w+)\s*(?:,|$)"),
+    ("rust", "rustls_post_quantum", r"(rustls_post_quantum::DEFAULT_PROVIDER)\b", r"(rustls_post_quantum)"),
     ("rust", "SignatureScheme", r"SignatureScheme::(ML_DSA_\d+)", r"(\w+)"),
     ("rust", "Ciphersuite", r"Ciphersuite::(\w*(?:MLKEM|XWING)\w*)", r"(\w+)"),
 ]
@@ -179,7 +400,10 @@ def listed_settings(files: DataFrame) -> DataFrame:
     tagged = lambda api: lambda v: F.struct(F.lit(api).alias("api"), v.alias("value"))
     found = [F.when(own(s), F.transform(F.flatten(body(s)), tagged(s[1]))).otherwise(none) for s in SETTINGS]
     rows = files.select("path", "lang", F.explode(F.concat(*found)).alias("f")).select("path", "lang", "f.api", "f.value")
-    return rows.where("value <> 'DEFAULT'")
+    value = F.when(F.col("value").startswith("KeyExchange"), lookup(SSH_EXCHANGES, F.col("value"))).otherwise(F.col("value"))
+    provider = F.col("api") == "rustls_post_quantum"
+    rows = rows.withColumns({"api": F.when(provider, "kx_groups").otherwise(F.col("api")), "value": F.when(provider, "X25519MLKEM768").otherwise(value)})
+    return rows.where("value IS NOT NULL AND value <> 'DEFAULT'")
 
 
 def bindings(content: Column, lang: Column) -> Column:
@@ -207,16 +431,27 @@ def resolved(sites: DataFrame, files: DataFrame) -> DataFrame:
     return sites.join(names, "path", "left").withColumn("callee", F.coalesce(F.col("names")[F.col("callee")], "callee")).drop("names")
 
 
-def surface(apis: DataFrame) -> DataFrame:
-    """Every api that can be emitted, once, in order."""
-    return apis.select("api").distinct().orderBy("api")
+#: Apis of sites that no callee names.
+STRUCTURAL = [
+    "crypto/ecdh.Curve", "crypto/tls.Config.CurvePreferences", "crypto/tls.Config.MinVersion", "crypto/tls.Certificate.SupportedSignatureAlgorithms", "crypto.MLDSAMu",
+    "golang.org/x/crypto/ssh.Config.KeyExchanges", "javax.net.ssl.SSLParameters.setNamedGroups", "org.bouncycastle.tls.NamedGroup", "openssl.SSL_CTX_set1_groups_list",
+    "rustls.CryptoProvider.kx_groups", "openmls.Ciphersuite", "rustls.SignatureScheme", "liboqs-go/oqs.KeyEncapsulation", "liboqs-go/oqs.Signature",
+    "javax.crypto.KEM.newEncapsulator", "javax.crypto.KEM.newDecapsulator", "java.security.JarSigner.Builder.signatureAlgorithm",
+]
+
+
+def surface(spark: SparkSession) -> DataFrame:
+    """Every api that can be emitted, once, in order: of the callee tables, of other shapes, and two a JOSE name."""
+    rest = STRUCTURAL + [f"go.alg-{k}.{x}" for x in JOSE_NAMES for k in ("switch", "register")]
+    return dims.callees(spark).select("api").unionByName(dims.local(spark, [(x,) for x in rest], "api string")).distinct().orderBy("api")
 
 
-def nth_attribute(args: Column, n: int, objects: Column) -> Column:
-    """Member of a dotted argument whose object is one of ``objects`` (array), itself dotted or not."""
+def nth_attribute(args: Column, n: int, objects: Column, within: str | None = None) -> Column:
+    """Member of a dotted argument whose object is one of ``objects`` (array), or, one level down, named ``within``."""
     a = F.try_element_at(args, F.lit(n + 1))
     owner, member = F.regexp_extract(a["text"], r"^(.*)\.\w+$", 1), F.regexp_extract(a["text"], r"\.(\w+)$", 1)
-    return F.when((a["kind"] == "name") & F.array_contains(objects, owner), member)
+    fits = F.array_contains(objects, owner) if within is None else F.array_contains(objects, owner) | (owner == within) | owner.rlike(rf"^\w+\.{within}$")
+    return F.when((a["kind"] == "name") & fits, member)
 
 
 def property_of(args: Column, n: int, key: str) -> Column:

@@ -80,12 +80,6 @@ def classify_first_match(spark, sf_dir):
     return classify.classify(matches(spark, sf_dir), classify.from_toml(spark, "go", RULE_PACK))
 
 
-@register("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'MapEntry' WHEN event_id % 5 = 1 THEN 'TestAssertion' WHEN event_id % 5 = 2 THEN 'RegistryLookup' WHEN event_id % 5 = 3 THEN 'Comparison' ELSE 'Call' END AS context FROM events")
-def site_contexts(spark, sf_dir):
-    owners = ["m.putIfAbsent", "self.assertRaises", "table.lookupByName", "a.equals", "foo.bar"]
-    return read(spark, sf_dir, "events").select("event_id", extract.site_context(pick(owners, F.col("event_id") % 5)).alias("context"))
-
-
 _CURVES = ["X25519", "CurveP256", "X25519MLKEM768"]
 
 

@@ -167,7 +167,7 @@ def test_call_sites(spark):
     calls = [(r.path, r.callee, r.line) for r in sites.collect()]
     assert calls == [("a.go", "rsa.GenerateKey", 1), ("a.go", "assertEquals", 3), ("a.go", "md5.New", 3), ("a.go", "f", 3), ("a.go", "g", 3), ("b.py", "rsa.generate_private_key", 2), ("b.py", "hashlib.new", 3)]
     args = F.col("args")
-    got = {(r.callee, r.line): r for r in sites.select("callee", "line", extract.nth_integer(args, 1).alias("n"), extract.nth_string(args, 0).alias("s"), extract.keyword(args, "key_size")["i"].alias("k"), extract.site_context(F.col("owner")).alias("c")).collect()}
+    got = {(r.callee, r.line): r for r in sites.select("callee", "line", extract.nth_integer(args, 1).alias("n"), extract.nth_string(args, 0).alias("s"), extract.keyword(args, "key_size")["i"].alias("k"), extract.site_context(F.col("frames"), F.col("lang")).alias("c")).collect()}
     assert got["rsa.GenerateKey", 1].n == 2048 and got["f", 3].s == "a,b"
     assert got["rsa.generate_private_key", 2].k == 2048 and got["hashlib.new", 3].s == "md5"
     assert got["md5.New", 3].c == "TestAssertion" and got["hashlib.new", 3].c == "Default"
