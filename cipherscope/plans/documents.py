@@ -129,6 +129,24 @@ def result_json(results: DataFrame) -> DataFrame:
     return results.select("seq", F.to_json(row).alias("value"))
 
 
+def notification_json(warnings: DataFrame) -> DataFrame:
+    """One SARIF tool notification a line, of warnings (seq, path, message); the place is left out where there is no path."""
+    place = F.struct(F.struct(F.struct(F.col("path").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation")).alias("physicalLocation"))
+    row = F.struct(F.lit("warning").alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.when(F.col("path").isNotNull(), F.array(place)).alias("locations"))
+    return warnings.select("seq", F.to_json(row).alias("value"))
+
+
+def summary_json(distribution: DataFrame, by_algorithm: DataFrame, target: str, timestamp: str, policy: str) -> DataFrame:
+    """One row, the summary document: totals by band and the algorithms found, most findings first (as many as the
+    algorithm table has ids)."""
+    entry = F.struct("algorithm_id", F.col("findings").alias("count"), F.coalesce("worst", F.lit("Unscored")).alias("severity"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("findings")).alias("o"), F.col("algorithm_id").alias("i"), entry.alias("e"))))
+    algorithms_ = by_algorithm.agg(F.transform(listed, lambda x: x["e"]).alias("by_algorithm"))
+    totals = F.struct(F.col("total").alias("findings"), "critical", "high", "medium", "low", "safe", "unscored", F.col("hndl").alias("hndl_critical"))
+    head = [F.lit(target).alias("scan_target"), F.lit(timestamp).alias("timestamp"), F.lit(policy).alias("policy")]
+    return distribution.join(F.broadcast(algorithms_)).select(F.to_json(F.struct(*head, totals.alias("totals"), "by_algorithm")).alias("value"))
+
+
 def finding_json(scored: DataFrame) -> DataFrame:
     """A finding with its score; an unscored one says so and has no score."""
     axes = F.struct("av", "uc", "ds", "ex", "dc", "total")

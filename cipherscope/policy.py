@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tomllib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +62,10 @@ class Policy:
     disallowed: list
     fail_on: str = "critical"
     display_name: str = ""
+    #: Algorithms broken without a quantum computer; path patterns and the bucket of what they match; the default bucket.
+    broken: list = field(default_factory=list)
+    shelf_life_tags: dict = field(default_factory=dict)
+    shelf_life_default: str = DEFAULT_BUCKET
 
     def __post_init__(self):
         if problems := self.problems():
@@ -78,8 +82,10 @@ class Policy:
             found.append(f"no weight for {sorted(missing)}")
         if self.hndl_bucket not in BUCKETS or set(self.data_shelf_life) - set(BUCKETS):
             found.append("unknown shelf-life bucket")
-        if unknown := set(self.disallowed) - {a[0] for a in algorithm_rows()}:
+        if unknown := {*self.disallowed, *self.broken} - {a[0] for a in algorithm_rows()}:
             found.append(f"unknown algorithms {sorted(unknown)}")
+        if unknown := {*self.shelf_life_tags.values(), self.shelf_life_default} - set(BUCKETS):
+            found.append(f"unknown shelf-life bucket {sorted(unknown)}")
         return found
 
     def long_rows(self) -> list[tuple]:
@@ -105,6 +111,9 @@ def from_toml(text: str) -> Policy:
         hndl_bucket=hndl["require_min_shelf_life_bucket"],
         disallowed=t.get("deprecation", {}).get("policy_disallowed", []),
         fail_on=t.get("ci", {}).get("fail_on", "critical"),
+        broken=t.get("deprecation", {}).get("classically_broken", []),
+        shelf_life_tags=t.get("shelf_life_tags", {}),
+        shelf_life_default=t.get("shelf_life_default", {}).get("bucket", DEFAULT_BUCKET),
         **{axis: t[axis] for axis in AXES},
     )
 

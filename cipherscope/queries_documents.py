@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import dims
-from .functions.text import split_groups
-from .operators import aggregate, corpus, manifests, probes
+from .functions.text import extension, split_groups
+from .operators import aggregate, corpus, manifests, probes, query
 from .plans import documents
 from .queries import BASE, FINDINGS, _case, _list, _text, _values, findings, pick, read, register, scored
+from .sources import files
 
 _RSA = _case({str(k): _text(v) for k, v in documents.RSA_MODULUS.items()}, "CAST(bits AS VARCHAR)")
 _ALG2 = "alg2 AS (SELECT * FROM " + _values([(a[0], a[4] if a[4] is not None else -1, a[5] if a[5] is not None else -1) for a in dims.algorithm_rows()], "id, bits, level") + ")"
@@ -36,7 +37,15 @@ def cbom_occurrences(spark, sf_dir):
     return documents.occurrences(findings(spark, sf_dir))
 
 
-@register()
+@register(
+    f"""{BASE}, {_ALG2}, n AS (SELECT DISTINCT algorithm_id FROM s), c AS (SELECT algorithm_id, {_REF} AS bom_ref, display_name, alg.primitive, {_FAMILY} AS fam, oid, bits, level,
+  CASE WHEN family = 'RSA' OR starts_with(family, 'RSASSA-') THEN CASE WHEN bits >= 0 THEN coalesce({_RSA}, CAST(bits AS VARCHAR)) END WHEN family = 'SHA-2' AND starts_with(alg.id, 'sha-') THEN substr(alg.id, 5) END AS pset,
+  CASE WHEN alg.primitive = 'combiner' THEN CASE WHEN quantum_status = 'PqcFinal' THEN 'encapsulate,decapsulate' ELSE 'other' END ELSE {_FUN} END AS fun
+  FROM n JOIN alg ON n.algorithm_id = alg.id JOIN alg2 ON alg.id = alg2.id)
+SELECT algorithm_id, '{{"type":"cryptographic-asset","bom-ref":' || to_json(bom_ref) || ',"name":' || to_json(display_name) || ',"cryptoProperties":{{"assetType":"algorithm","algorithmProperties":{{"primitive":' || to_json(primitive)
+  || coalesce(',"algorithmFamily":' || to_json(fam), '') || coalesce(',"parameterSetIdentifier":' || to_json(pset), '') || coalesce(',"cryptoFunctions":["' || replace(fun, ',', '","') || '"]', '')
+  || CASE WHEN bits >= 0 THEN ',"classicalSecurityLevel":' || bits ELSE '' END || CASE WHEN level >= 0 THEN ',"nistQuantumSecurityLevel":' || level ELSE '' END || '}}' || coalesce(',"oid":' || to_json(oid), '') || '}}}}' AS value FROM c"""
+)
 def cbom_json(spark, sf_dir):
     return documents.component_json(documents.components(findings(spark, sf_dir)))
 
@@ -61,7 +70,10 @@ def sarif_results(spark, sf_dir):
     return documents.sarif_results(scored(spark, sf_dir))
 
 
-@register()
+@register(
+    f"""{BASE} SELECT seq, '{{"rule_id":' || to_json(rule_id) || ',"algorithm_id":' || to_json(algorithm_id) || ',"location":' || to_json(location) || coalesce(',"line":' || line, '') || ',"message":' || to_json(message) || ',"severity":"' || coalesce(severity, 'Unscored') || '"'
+  || coalesce(',"risk_score":{{"av":' || av || ',"uc":' || uc || ',"ds":' || ds || ',"ex":' || ex || ',"dc":' || dc || ',"total":' || total || '}}', '') || '}}' AS value FROM s"""
+)
 def finding_documents(spark, sf_dir):
     return documents.finding_json(scored(spark, sf_dir))
 
@@ -335,3 +347,132 @@ _BANDS = ["Critical", "High", "Medium", "Low", "Safe"]
 @register(f"{BASE} SELECT count(*) AS total, {', '.join(f'CAST(round(count(*) FILTER (WHERE severity = {_text(b)}) * 100.0 / count(*)) AS BIGINT) AS pct_{b.lower()}' for b in _BANDS)} FROM s")
 def rounded_percentages(spark, sf_dir):
     return aggregate.rounded_percentages(scored(spark, sf_dir))
+
+
+@register(
+    f"""{BASE} SELECT seq, '{{"ruleId":' || to_json(s.rule_id) || ',"ruleIndex":' || rule_index || ',"level":"' || {_LEVEL} || '","message":{{"text":' || to_json(message) || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || to_json(location)
+  || ',"uriBaseId":"%SRCROOT%"}},"region":{{"startLine":' || coalesce(line, 1) || ',"snippet":{{"text":' || to_json(trim(snippet)) || '}}}}}}}}],"partialFingerprints":{{"primaryLocationLineHash":"' || substr(sha256(s.rule_id || ':' || trim(snippet)), 1, 16) || '"}}}}' AS value
+FROM s JOIN (SELECT rule_id, row_number() OVER (ORDER BY min(seq)) - 1 AS rule_index FROM s GROUP BY 1) r USING (rule_id)"""
+)
+def sarif_json(spark, sf_dir):
+    return documents.result_json(documents.sarif_results(scored(spark, sf_dir)))
+
+
+@register("""SELECT event_id AS seq, '{"level":"warning","message":{"text":"cannot read ' || event_type || '"}' || CASE WHEN event_id % 3 = 0 THEN '' ELSE ',"locations":[{"physicalLocation":{"artifactLocation":{"uri":"src/' || user_id || '.go","uriBaseId":"%SRCROOT%"}}}]' END || '}' AS value FROM events""")
+def sarif_notifications(spark, sf_dir):
+    path = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit(".go")))
+    return documents.notification_json(read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), path.alias("path"), F.concat(F.lit("cannot read "), "event_type").alias("message")))
+
+
+_COUNTS = " || ".join(f"',\"{b.lower()}\":' || count(*) FILTER (WHERE severity = '{b}')" for b in _BANDS)
+
+
+@register(
+    f"""{BASE}, a AS (SELECT algorithm_id, count(*) AS n, CASE max({_case(dict(dims.SEVERITIES), "severity")}) WHEN 4 THEN 'Critical' WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' WHEN 1 THEN 'Low' WHEN 0 THEN 'Safe' ELSE 'Unscored' END AS worst FROM s GROUP BY 1)
+SELECT '{{"scan_target":"src","timestamp":"2026-01-01T00:00:00Z","policy":"nist-default","totals":{{"findings":' || count(*) || {_COUNTS} || ',"unscored":' || count(*) FILTER (WHERE severity IS NULL) || ',"hndl_critical":' || count(*) FILTER (WHERE hndl_critical) || '}},"by_algorithm":['
+  || (SELECT string_agg('{{"algorithm_id":"' || algorithm_id || '","count":' || n || ',"severity":"' || worst || '"}}', ',' ORDER BY n DESC, algorithm_id) FROM a) || ']}}' AS value FROM s"""
+)
+def summary_document(spark, sf_dir):
+    found = scored(spark, sf_dir)
+    return documents.summary_json(aggregate.distribution(found), aggregate.by_algorithm(found), "src", "2026-01-01T00:00:00Z", "nist-default")
+
+
+@register(f"""{BASE}, {_ALG2} SELECT algorithm_id, 'level above 6' AS problem FROM s JOIN alg2 ON algorithm_id = alg2.id WHERE level + 4 > 6 GROUP BY 1
+UNION ALL SELECT algorithm_id, 'no name' FROM s JOIN alg ON algorithm_id = alg.id WHERE starts_with(algorithm_id, 'rsa-') GROUP BY 1""")
+def component_checks(spark, sf_dir):
+    # Spoiled on purpose, so that there is something to find.
+    found = documents.components(findings(spark, sf_dir))
+    return documents.component_problems(found.withColumns({"nist_quantum_security_level": F.col("nist_quantum_security_level") + 4, "name": F.when(~F.col("algorithm_id").startswith("rsa-"), F.col("name"))}))
+
+
+@register(f"{BASE} SELECT seq, rule_id, algorithm_id, total, severity FROM s WHERE seq > 400 ORDER BY seq LIMIT 500")
+def page_by_key(spark, sf_dir):
+    scan, last = query.decode_cursor(query.encode_cursor("scan:1", 400))
+    assert scan == "scan:1"
+    return query.page_after(scored(spark, sf_dir), last, 10_000).select("seq", "rule_id", "algorithm_id", "total", "severity")
+
+
+@register(f"{BASE} SELECT algorithm_id, count(*) AS findings, count(DISTINCT location) AS files FROM s JOIN alg ON algorithm_id = alg.id WHERE contains(lower(display_name), 'ml-') OR contains(lower(algorithm_id), 'ml-') OR contains(lower(family), 'ml-') GROUP BY 1")
+def inventory_search(spark, sf_dir):
+    return query.search_inventory(aggregate.inventory(scored(spark, sf_dir)), "ML-").select("algorithm_id", "findings", "files")
+
+
+@register(f"{BASE} SELECT seq, location, line FROM s WHERE algorithm_id = 'ml-kem-768'")
+def findings_of_algorithm(spark, sf_dir):
+    return query.of_algorithm(scored(spark, sf_dir), "ml-kem-768").select("seq", "location", "line")
+
+
+@register("SELECT l_returnflag AS stratum, count(*) FILTER (WHERE l_partkey % 10 <> 0 AND l_suppkey % 4 <> 0) AS tp, count(*) FILTER (WHERE l_partkey % 10 <> 0) AS n, round(count(*) FILTER (WHERE l_partkey % 10 <> 0 AND l_suppkey % 4 <> 0) / count(*) FILTER (WHERE l_partkey % 10 <> 0), 9) AS p FROM lineitem GROUP BY 1")
+def precision_by_stratum(spark, sf_dir):
+    return corpus.precision(audited(spark, sf_dir)).withColumn("p", F.round("p", 9))
+
+
+def audited(spark, sf_dir):
+    verdict = F.when(F.col("l_partkey") % 10 == 0, "DEPENDS").when(F.col("l_suppkey") % 4 == 0, "FP").otherwise("TP")
+    return read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("stratum"), verdict.alias("verdict"))
+
+
+@register("""WITH s AS (SELECT l_returnflag, count(*) FILTER (WHERE l_partkey % 10 <> 0 AND l_suppkey % 4 <> 0) * 1.0 / count(*) FILTER (WHERE l_partkey % 10 <> 0) AS p, CAST(count(*) FILTER (WHERE l_partkey % 10 <> 0) AS DOUBLE) AS n FROM lineitem GROUP BY 1),
+w AS (SELECT sum(n) AS m FROM s) SELECT round(sum(n / m * p), 9) AS estimate, round(sqrt(sum(n / m * (n / m) * p * (1 - p) / n)), 9) AS error FROM s, w""")
+def weighted_precision(spark, sf_dir):
+    strata = corpus.precision(audited(spark, sf_dir))
+    whole = strata.agg(F.sum("n").alias("m"))
+    found = corpus.weighted_precision(strata.join(F.broadcast(whole)).withColumn("w", F.col("n") / F.col("m")))
+    return found.select(F.round("estimate", 9).alias("estimate"), F.round("error", 9).alias("error"))
+
+
+@register("""WITH s AS (SELECT l_returnflag AS stratum, count(*) FILTER (WHERE l_partkey % 10 <> 0 AND l_suppkey % 4 <> 0) * 1.0 / count(*) FILTER (WHERE l_partkey % 10 <> 0) AS p, CAST(count(*) FILTER (WHERE l_partkey % 10 <> 0) AS DOUBLE) AS n FROM lineitem GROUP BY 1)
+SELECT stratum, round((p + 3.8416 / (2 * n) - 1.96 * sqrt((p * (1 - p) + 3.8416 / (4 * n)) / n)) / (1 + 3.8416 / n), 9) AS low, round((p + 3.8416 / (2 * n) + 1.96 * sqrt((p * (1 - p) + 3.8416 / (4 * n)) / n)) / (1 + 3.8416 / n), 9) AS high FROM s""")
+def wilson_intervals(spark, sf_dir):
+    low, high = corpus.wilson(F.col("p"), F.col("n"))
+    return corpus.precision(audited(spark, sf_dir)).select("stratum", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+@register("SELECT o_orderkey AS file, CASE WHEN o_orderkey % 4 = 0 THEN 'a/b' WHEN o_orderkey % 4 = 1 THEN 'a/bc' WHEN o_orderkey % 4 = 2 THEN 'a/b/c/d' ELSE 'x' END AS path FROM orders WHERE o_custkey % 2 = 0 AND o_orderkey % 4 IN (0, 2) OR o_custkey % 2 = 1 AND o_orderkey % 4 = 3")
+def files_in_scope(spark, sf_dir):
+    paths = ["a/b", "a/bc", "a/b/c/d", "x"]
+    seen = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("project"), pick(paths, F.col("o_orderkey") % 4).alias("path"))
+    scopes = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project"), F.when(F.col("c_custkey") % 2 == 0, "a/b").otherwise("x").alias("scope"))
+    return corpus.in_scope(seen, scopes).select("file", "path")
+
+
+@register("SELECT rule_id, count(*) AS findings FROM (SELECT 'CRYPTO-' || CAST(100 + event_id % 900 AS VARCHAR) AS rule_id, event_id FROM events) WHERE event_id % 152 = 151 GROUP BY 1")
+def dangling_rules(spark, sf_dir):
+    """Rules of findings whose algorithm the table does not have."""
+    known = dims.algorithms(spark).select(F.col("id").alias("algorithm_id"))
+    return findings(spark, sf_dir).join(F.broadcast(known), "algorithm_id", "left_anti").groupBy("rule_id").agg(F.count("*").alias("findings"))
+
+
+@register("SELECT p_partkey AS part, (['go', 'python', 'typescript', 'cpp', 'c', 'rust', 'csharp'])[1 + p_partkey % 9] AS lang FROM part WHERE p_partkey % 9 < 7")
+def languages_of_files(spark, sf_dir):
+    ends = ["a.go", "b.py", "c.test.tsx", "d.hxx", "e.h", "f.rs", "g.cs", "h.GO", "Makefile"]
+    paths = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), extension(pick(ends, F.col("p_partkey") % 9)).alias("ext"))
+    return paths.join(F.broadcast(dims.extensions(spark)), "ext").select("part", "lang")
+
+
+@register("SELECT o_custkey % 5 AS project, token, label FROM orders JOIN (VALUES (0, 'python', 'Python (pypi)'), (1, 'javascript', 'Node.js (npm)'), (2, 'csharp', 'C# (.NET)'), (4, 'java', 'Java (gradle)')) AS v(i, token, label) ON o_custkey % 5 = i GROUP BY ALL")
+def project_ecosystems(spark, sf_dir):
+    kinds = ["/r/setup.py", "/r/a/package.json", "/r/a/App.csproj", "/r/a/b/go.mod", "/r/build.gradle"]
+    project = F.col("o_custkey") % 5
+    paths = read(spark, sf_dir, "orders").select(project.alias("project"), pick(kinds, project).alias("path"))
+    found = None
+    for i in range(5):
+        own = files.ecosystems(paths.where(F.col("project") == i), "/r").select(F.lit(i).cast("long").alias("project"), "token", "label")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+@register("SELECT o_orderkey AS file, CASE o_orderkey % 3 WHEN 0 THEN 'src/' || o_custkey WHEN 1 THEN 'rel/x' END AS path FROM orders")
+def relative_paths(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    path = F.when(k == 0, F.concat(F.lit("/work/p/src/"), F.col("o_custkey").cast("string"))).when(k == 1, "rel/x").otherwise("/etc/passwd")
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), files.relative_path(path, "/work/p").alias("path"))
+
+
+@register("SELECT o_orderkey AS scan, CAST(o_custkey AS BIGINT) AS line, 'rsa-' || o_custkey AS algorithm_id FROM orders UNION ALL SELECT o_orderkey, NULL, 'md5' FROM orders")
+def inline_findings(spark, sf_dir):
+    key = F.col("o_custkey").cast("string")
+    text = F.concat(F.lit('[{"algorithm_id":"rsa-'), key, F.lit('","line":'), key, F.lit('},{"algorithm_id":"md5"}]'))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan"), text.alias("findings"))
+    kept = rows.withColumn("both", F.transform(F.from_json("findings", "array<struct<algorithm_id: string, line: bigint>>"), lambda f: F.struct(F.col("scan"), f["algorithm_id"].alias("algorithm_id"), f["line"].alias("line"))))
+    return files.inline_findings(kept.withColumn("json", F.to_json("both")), "json", "struct<scan: bigint, algorithm_id: string, line: bigint>")

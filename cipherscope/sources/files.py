@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +41,39 @@ def ignored(relative: Column, lines: list[str]) -> Column:
     return out | relative.rlike(r"(?:^|/)\.[^/]+")
 
 
+def ignore_rules(files: DataFrame) -> DataFrame:
+    """folder, rules (array of ord, pattern, negated) of every ignore file among the files (path, content)."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                found = [ignore_pattern(line) for line in (content or b"").decode("utf-8", "replace").splitlines()]
+                rows += [(path.rpartition("/")[0], i, *f) for i, f in enumerate(found) if f]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["folder", "ord", "pattern", "negated"])
+
+    rules = files.where(F.element_at(F.split("path", "/"), -1) == ".gitignore").select("path", "content").mapInArrow(run, "folder string, ord int, pattern string, negated boolean")
+    return rules.groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("ord", "pattern", "negated"))).alias("rules"))
+
+
+def not_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Files (path, ...) that the ignore files of the folders around them do not leave out: a join by folder; the last line
+    that matches of the nearest folder that has one decides. Columns of ``files`` are kept."""
+    parts = F.split("path", "/")
+    depth = F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("depth")
+    near = files.select("path", parts.alias("parts"), depth).select("path", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("folder"))
+    below = F.substr("path", F.length("folder") + 2)
+    hits = near.join(rules, "folder").withColumn("hit", F.filter("rules", lambda r: F.rlike(below, r["pattern"]))).where(F.size("hit") > 0)
+    last = hits.select("path", "depth", F.element_at("hit", -1)["negated"].alias("negated")).groupBy("path").agg(F.max_by("negated", "depth").alias("negated"))
+    return files.join(last.where("NOT negated").select("path"), "path", "left_anti")
+
+
 def source_files(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """path, lang, content (text) of files in a known language up to MOST_BYTES; ``ignore`` holds an ignore file's lines."""
-    files = listing(spark, root).where(F.col("length") <= MOST_BYTES)
+    """path, lang, content (text) of files in a known language up to MOST_BYTES. Ignore files below the root hold for their
+    folders; ``ignore`` holds further lines for the root."""
+    rules = ignore_rules(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ".gitignore").load(root).select("path", "content"))
+    files = not_ignored(listing(spark, root).where(F.col("length") <= MOST_BYTES), rules)
     relative = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").removeprefix("file://")) + "/?", "")
     files = files.where(~ignored(relative, ignore or []))
     return files.withColumn("ext", extension(F.col("path"))).join(F.broadcast(extensions(spark)), "ext").select("path", "lang", F.decode("content", "UTF-8").alias("content"))
@@ -61,7 +92,8 @@ def manifest_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def certificate_files(spark: SparkSession, root: str) -> DataFrame:
-    return listing(spark, root).where(F.col("length") <= MOST_BYTES).select("path", "content")
+    """path, content of every file, whatever its name or size."""
+    return listing(spark, root).select("path", "content")
 
 
 def inline_findings(rows: DataFrame, column: str, schema: str) -> DataFrame:
@@ -77,12 +109,24 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
     return cases.withColumn("tc", F.try_element_at("fields", F.lit("tcId")).cast("int"))
 
 
+#: File name (or its end, after a star), label and token of an ecosystem, in order.
+ECOSYSTEMS = [
+    ("requirements.txt", "Python (pypi)", "python"), ("setup.py", "Python (pypi)", "python"), ("pyproject.toml", "Python (pypi)", "python"),
+    ("package.json", "Node.js (npm)", "javascript"), ("pom.xml", "Java (maven)", "java"), ("build.gradle", "Java (gradle)", "java"),
+    ("Cargo.toml", "Rust (crates.io)", "rust"), ("go.mod", "Go (modules)", "go"), ("*.csproj", "C# (.NET)", "csharp"),
+]
+
+
 def ecosystems(paths: DataFrame, root: str) -> DataFrame:
-    """Ecosystems whose manifests stand in the root or one folder below it."""
+    """token and label of the ecosystems whose manifests stand in the root or one folder below it; of several manifests of
+    a token the first in order gives the label."""
     relative = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").removeprefix("file://")) + "/?", "")
-    kinds = F.create_map(*[F.lit(x) for pair in MANIFESTS for x in pair])
-    near = paths.where(F.size(F.split(relative, "/")) <= 2)
-    return near.select(kinds[F.element_at(F.split("path", "/"), -1)].alias("ecosystem")).where("ecosystem IS NOT NULL").distinct()
+    name, found = F.element_at(F.split("path", "/"), -1), F.lit(None).cast("struct<ord:int,token:string,label:string>")
+    for i, (file, label, token) in reversed(list(enumerate(ECOSYSTEMS))):
+        fits = name.endswith(file[1:]) if file.startswith("*") else name == file
+        found = F.when(fits, F.struct(F.lit(i).alias("ord"), F.lit(token).alias("token"), F.lit(label).alias("label"))).otherwise(found)
+    near = paths.where(F.size(F.split(relative, "/")) <= 2).select(found.alias("e")).where("e IS NOT NULL")
+    return near.groupBy("e.token").agg(F.min_by("e.label", "e.ord").alias("label"))
 
 
 def relative_path(path: Column, root: str) -> Column:
@@ -93,8 +137,6 @@ def relative_path(path: Column, root: str) -> Column:
 
 def project_manifests(spark: SparkSession, root: str) -> DataFrame:
     """A row a project file (TOML): canonical_id, name, ecosystem, commit_sha, scan_paths, exclude_paths, unscannable."""
-    import pyarrow as pa
-
     names = ["canonical_id", "name", "ecosystem", "commit_sha", "scan_paths", "exclude_paths", "unscannable"]
     types = [pa.list_(pa.string()) if n.endswith("_paths") else pa.string() for n in names]
 

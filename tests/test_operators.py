@@ -190,10 +190,36 @@ def test_sources(spark, tmp_path):
     root = str(tmp_path / "tree")
     got = {r.path.split("/tree/")[1]: r.lang for r in files.source_files(spark, root, ["build/", "# c", "*.py", "!keep/*.py"]).collect()}
     assert got == {"src/a.go": "go", "keep/e.py": "python"}
+    # Ignore files are found, and hold below their own folder; the nearest one's last line decides.
+    (tmp_path / "tree/.gitignore").write_text("*.go\nbuild/\n")
+    (tmp_path / "tree/src/.gitignore").write_text("!a.go\n")
+    (tmp_path / "tree/keep/.gitignore").write_text("/e.py\n")
+    assert {r.path.split("/tree/")[1] for r in files.source_files(spark, root).collect()} == {"src/a.go"}
     assert files.oversized(spark, root).count() == 0
     assert files.manifest_files(spark, root).count() == 1
 
 
+def test_rules_from_a_folder(spark, tmp_path):
+    rule = '[[classify]]\nid = "CRYPTO-1"\nwhen.api = "^hashlib\\\\.md5$"\nalgorithm_id = "{}"\nmessage = "m"\n'
+    (tmp_path / "python.toml").write_text(rule.format("md5"))
+    (tmp_path / "cpp.toml").write_text(rule.format("sha-1"))
+    assert {(r.lang, r.algorithm_id) for r in classify.from_folder(spark, str(tmp_path)).collect()} == {("python", "md5"), ("c", "sha-1"), ("cpp", "sha-1")}
+    with pytest.raises(ValueError, match="unknown algorithm"):
+        classify.from_toml(spark, "go", rule.format("md55"))
+
+
+def test_surface_has_every_api_once(spark):
+    apis = [r.api for r in extract.surface(spark).collect()]
+    assert apis == sorted(set(apis)) and {"go.alg-switch.none", "crypto/rsa.GenerateKey", "openmls.Ciphersuite"} <= set(apis)
+
+
+def test_policy_names_known_algorithms_and_buckets():
+    with pytest.raises(ValueError, match="unknown algorithms"):
+        policy.Policy(name="x", broken=["md55"], **policy.NIST)
+    with pytest.raises(ValueError, match="bucket"):
+        policy.Policy(name="x", shelf_life_tags={"*.pem": "forever"}, **policy.NIST)
+
+
 def test_stream_stores_each_batch_once(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     frame = spark.createDataFrame([finding(i, "rsa-2048") for i in range(5)], FINDING)
@@ -241,7 +267,7 @@ def test_projects_and_paths(spark, tmp_path):
     row = files.project_manifests(spark, str(tmp_path)).first()
     assert row.canonical_id == "x/y" and row.scan_paths == ["src"] and row.unscannable is None
     paths = spark.createDataFrame([("/r/go.mod",), ("/r/a/Cargo.toml",), ("/r/a/b/pom.xml",)], "path string")
-    assert {r.ecosystem for r in files.ecosystems(paths, "/r").collect()} == {"Go", "Rust"}
+    assert {(r.token, r.label) for r in files.ecosystems(paths, "/r").collect()} == {("go", "Go (modules)"), ("rust", "Rust (crates.io)")}
     got = [r[0] for r in spark.createDataFrame([("/r/a/b",), ("c/d",), ("/x/y",)], "p string").select(files.relative_path(F.col("p"), "/r")).collect()]
     assert got == ["a/b", "c/d", None]
 
