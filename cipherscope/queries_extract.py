@@ -3,10 +3,13 @@ by template, the rows that must be found (written down by hand, not derived from
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import extract, manifests
+from . import dims
+from .operators import certs, extract, manifests
 from .queries import _text, pick, read, register
 
 COLUMNS = ("key", "api", "value", "line")
@@ -356,3 +359,70 @@ def manifest_npm(files):
 ], "/pom.xml")
 def manifest_maven(files):
     return dependencies(files)
+
+
+def _der(tag: int, *parts: bytes) -> bytes:
+    body = b"".join(parts)
+    return bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")) + body
+
+
+def _oid(text: str) -> bytes:
+    first, second, *rest = map(int, text.split("."))
+    out = bytes([40 * first + second])
+    for n in rest:
+        digits = [n & 127]
+        while n := n >> 7:
+            digits.insert(0, n & 127 | 128)
+        out += bytes(digits)
+    return _der(6, out)
+
+
+def _pem(signature: str, key: str, bits: int = 0, curve: str = "") -> str:
+    """A certificate of the subject ``s``, its key an RSA modulus of so many bits or a point of the curve."""
+    name = _der(0x30, _der(0x31, _der(0x30, _oid("2.5.4.3"), _der(12, b"s"))))
+    modulus = _der(0x30, _der(2, b"\0" + (1 << bits - 1 | 1).to_bytes(bits // 8, "big")), _der(2, b"\1\0\1")) if bits else b"\4" + b"p" * 64
+    spki = _der(0x30, _der(0x30, _oid(key), _oid(curve) if curve else _der(5)), _der(3, b"\0", modulus))
+    dates = _der(0x30, _der(23, b"240101000000Z"), _der(23, b"340101000000Z"))
+    algorithm = _der(0x30, _oid(signature), _der(5))
+    body = _der(0x30, _der(0xA0, _der(2, b"\2")), _der(2, b"\1"), algorithm, name, dates, name, spki)
+    text = base64.encodebytes(_der(0x30, body, algorithm, _der(3, b"\0sig"))).decode()
+    return f"-----BEGIN CERTIFICATE-----\n{text}-----END CERTIFICATE-----\n"
+
+
+RSA, EC, LONG = "1.2.840.113549.1.1.1", "1.2.840.10045.2.1", "signature_long_lived"
+CERTIFICATES = [
+    (_pem("1.2.840.113549.1.1.5", RSA, 2048), [("CERT-001", f"rsa-2048|{LONG}|s", 0), ("CERT-002", f"rsa-pkcs1-sha1|{LONG}|s", 0), ("CERT-100", f"rsa-pkcs1-sha1|{LONG}|s", 0)]),
+    (_pem("1.2.840.113549.1.1.11", RSA, 1536), [("CERT-001", f"rsa-undersized|{LONG}|s", 0), ("CERT-002", f"rsa-pkcs1-sha256|{LONG}|s", 0)]),
+    (_pem("1.2.840.10045.4.3.2", RSA, 5120), [("CERT-001", f"rsa-unattributed|{LONG}|s", 0), ("CERT-002", f"ecdsa-unattributed|{LONG}|s", 0)]),
+    ("-----BEGIN RSA PRIVATE KEY-----\nAAAA\n-----END RSA PRIVATE KEY-----\n" + _pem("1.2.840.113549.1.1.11", EC, 0, "1.2.840.10045.3.1.7") + _pem("1.2.3.4", "2.16.840.1.101.3.4.4.2"), [
+        ("CERT-001", f"ecdsa-p256|{LONG}|s", 0), ("CERT-002", f"rsa-pkcs1-sha256|{LONG}|s", 0), ("CERT-001", "ml-kem-768|key_establishment_long_lived|s", 1), ("CERT-002", f"unknown|{LONG}|s", 1),
+    ]),
+    ("no certificate {n}", []),
+]
+
+
+@over("supplier", "s_suppkey", "", CERTIFICATES)
+def certificate_findings(files):
+    found = certs.findings(certs.fields(files.select("path", F.encode("content", "UTF-8").alias("content"))))
+    return found.select(F.col("location").alias("path"), F.col("rule_id").alias("api"), F.concat_ws("|", "algorithm_id", "usage_context", "subject_cn").alias("value"), F.col("block").alias("line"))
+
+
+@over("supplier", "s_suppkey", "", [(text, [] if found else [("CertDecodeError", "", 0)]) for text, found in CERTIFICATES])
+def certificate_warnings(files):
+    found = certs.warnings(certs.fields(files.select("path", F.encode("content", "UTF-8").alias("content"))))
+    return found.select("path", F.col("kind").alias("api"), F.lit("").alias("value"), F.lit(0).alias("line"))
+
+
+CAPTURED = [
+    ('rsa.GenerateKey(rand.Reader, {n})\nsha1.New()\nfoo("x", 2)', [("bits", "{n}", 1)]),
+    ('jwt.NewWithClaims(jwt.SigningMethodHS{n}, claims)', [("method", "SigningMethodHS{n}", 1)]),
+    ('rsa.GenerateKey(rand.Reader, keySize{n})', []),
+]
+
+
+@over("orders", "o_orderkey", "go", CAPTURED)
+def captured_arguments(files):
+    table = [("go", "crypto/rsa.GenerateKey", 1, "integer", "bits"), ("go", "jwt.NewWithClaims", 0, "member", "method")]
+    slots = dims.local(files.sparkSession, table, "lang string, api string, slot int, extractor string, name string")
+    found = extract.captures(extract.with_api(extract.call_sites(files)), slots)
+    return found.select("path", "line", F.explode(F.map_entries("captured")).alias("e")).select("path", F.col("e.key").alias("api"), F.coalesce("e.value.s", F.col("e.value.i").cast("string")).alias("value"), "line")

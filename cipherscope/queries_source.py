@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import classify, extract
-from .queries import _list, pick, read, register
+from .queries import _FNV, _list, pick, read, register
 
 #: A small rule pack, enough to exercise order, predicates, contexts, imports and templates.
 RULE_PACK = """
@@ -80,6 +80,20 @@ def classify_first_match(spark, sf_dir):
     return classify.classify(matches(spark, sf_dir), classify.from_toml(spark, "go", RULE_PACK))
 
 
+@register(
+    f"""WITH {_M}, c AS (SELECT *, CASE WHEN api = 'rsa.generate' AND bits < 2048 THEN 1 WHEN api = 'rsa.generate' AND bits = 2048 THEN 2 WHEN starts_with(api, 'rsa.') THEN 3
+  WHEN api = 'digest' AND starts_with(lower(name), 'md5') THEN 4 WHEN api = 'digest' AND name = 'SHA-1' AND ctx IN ('Call', 'StringConstant') THEN 5 WHEN api = 'cipher' AND aes THEN 6 END AS r FROM m),
+x AS (SELECT 'CRYPTO-00' || CAST(r AS VARCHAR) AS rule_id, (['rsa-1024', 'rsa-2048', 'rsa-unattributed', 'md5', 'sha-1', 'aes-256-gcm'])[r] AS algorithm_id, 'src/' || match_id || '.go' AS location, match_id FROM c WHERE r IS NOT NULL),
+y AS (SELECT *, rule_id || '|' || algorithm_id || '|' || location || '|7|f' AS t FROM x)
+SELECT {_FNV} AS id, rule_id, algorithm_id, location, 'literal_arg' AS confidence, 'unknown' AS usage_context, 'internal_service' AS exposure, 'short' AS shelf_life_bucket FROM y"""
+)
+def source_findings(spark, sf_dir):
+    rows = matches(spark, sf_dir)
+    places = rows.select("match_id", F.concat(F.lit("src/"), F.col("match_id").cast("string"), F.lit(".go")).alias("path"), F.lit(7).alias("line"), F.lit(0).alias("offset"), F.lit("f").alias("symbol"), F.lit("f()").alias("snippet"))
+    found = classify.as_findings(classify.classify(rows, classify.from_toml(spark, "go", RULE_PACK)), places)
+    return found.select("id", "rule_id", "algorithm_id", "location", "confidence", "usage_context", "exposure", "shelf_life_bucket")
+
+
 _CURVES = ["X25519", "CurveP256", "X25519MLKEM768"]
 
 
