@@ -1,22 +1,25 @@
 """Repeated substrings over all documents: bucket-pointer refinement on a sample of suffixes that misses no repeat.
 
-Suffixes start in buckets of their first q bytes (q = length / 4). A bucket is refined by sorting on the bucket
-identifiers of later offsets, b2q(p) = (bq(p), bq(p + q)), and the refined identifiers serve the next depth in turn,
-b4q(p) = (b2q(p), b2q(p + 2q)), so two rounds reach the whole length. Identifiers are 64-bit fingerprints, equal on
-every executor, so a bucket's pointer needs no lookup; two independent families name a string together.
-
-Only sampled suffixes are sorted: every string of ``length`` bytes takes the suffix whose q-gram has the smallest hash
-inside it (leftmost of equals) as its anchor, so equal strings have equal anchors at equal offsets. An anchor stands for
-a run of neighbouring strings. Spark sorts anchors by q-gram bucket and then by the identifier of their whole run:
-
-* anchors alone in their q-gram bucket are done: their strings are unique;
-* anchors equal to an earlier one over their whole run are repeats altogether;
-* the first of each class goes on if its bucket holds other classes (a passage's edges, where runs differ): it is split
-  into blocks of WIDTHS neighbours, aligned at the anchor, which are sorted in turn, in buckets of what all strings of
-  the block share. At width 1 that is the whole string, and nothing is left open.
+Only sampled suffixes are sorted: every string of ``length`` bytes takes the suffix whose q-gram (q = length / 4) has the
+smallest code inside it (leftmost of equals) as its anchor, so equal strings have equal anchors at equal offsets. An anchor
+stands for a run of neighbouring strings. The initial bucket of a suffix is the code of its first q bytes. Spark sorts the
+rows of a round by bucket; a bucket's pointer is the place of its first row in that order, and the next round refines the
+bucket by sorting on (pointer, codes of later offsets), which gives new pointers for the round after:
+
+* round 1 sorts anchors by their own code. Those alone in their bucket are done: their strings are unique. Inside a bucket
+  rows are in the order of the codes at all later offsets of their run; a row that equals an earlier one is a repeat
+  altogether, and the first of each class goes on if its bucket holds other classes (a passage's edges, where runs differ);
+* round 2 splits those runs into blocks of WIDTHS[0] neighbours, aligned at the anchor, and sorts them by the pointer of
+  round 1 and the codes of what all strings of a block share;
+* round 3 does the same to single strings, by the pointer of round 2 and the codes of the whole string; nothing is open then.
+
+A position's code at depth 2q is made of those at p and p + q, at 4q of those at depth 2q at p and p + 2q, recursively
+(``refine``). These codes are 64-bit fingerprints, equal on every executor; pointers come from the sorts alone.
 
 Before each sort a task keeps only the first of equal anchors or strings among its own rows and reports the others as
-repeats, so a bucket brings a sort at most a few rows a task, however many copies it has.
+repeats, so a bucket brings a sort at most a few rows a task and class. Buckets that may hold more than HOT rows (by
+counters of a hash) are not sorted in one piece: their rows are grouped by bucket and run, and what the bucket as a whole
+says comes from an aggregate that is combined before the shuffle. Very long texts are read in overlapping windows.
 
 Positions count bytes of UTF-8. Defined results: a null text is empty; texts shorter than ``length`` have no repeats; a
 null doc_id sorts before all others; each text of a doc_id (also of the null) is a document of its own, ordered by a hash
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, stage
+from .common import SLICE_BYTES, discard, stage
 from .scan import BASE, BYTE, doc_slices, mix, powers, text_bytes
 from .tokens import ragged
 
@@ -46,6 +49,8 @@ SPAN = 16  # bits of a packed place below its start: 8 for the strings of a run
 WIDTHS = (16, 1)
 #: Doc_ids of several texts up to which they are broadcast; beyond, Spark joins them by key.
 BROADCAST_ROWS = 100_000
+#: Rows that a bucket sorted in one piece may have, and bits of the hash whose counters tell which have more.
+HOT, COUNTER_BITS = 50_000, 16
 
 
 def grams(buf: np.ndarray, q: int, second: bool = False) -> np.ndarray:
@@ -152,9 +157,10 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def blocks(buf: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start: np.ndarray, last: np.ndarray, offset: np.ndarray, width: int, length: int):
-    """Splits runs (document, first and last string, the first one's distance to its anchor) into blocks of ``width``
-    neighbours, aligned at the anchor, as rows like those of ``anchors``. A block's bucket is what all its strings share."""
+def blocks(buf: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start: np.ndarray, last: np.ndarray, offset: np.ndarray, pointer: np.ndarray, width: int, length: int):
+    """Splits runs (document, first and last string, the first one's distance to its anchor, the pointer of its bucket) into
+    blocks of ``width`` neighbours, aligned at the anchor, as rows like those of ``anchors``. A block's bucket is its run's,
+    refined by the codes of what all its strings share."""
     n = last - start + 1
     at, run = ragged(start, n), np.repeat(np.arange(len(n)), n)
     here = offsets[doc[run]] + at
@@ -172,7 +178,21 @@ def blocks(buf: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start: np.ndar
     ids = identifiers(buf, length, second=True)
     span = end - first
     name = mix(ids[here[first]] * C1 + (ids[here[end]] ^ C2)) + (span * 256 + k[first]).astype(np.uint64)
-    return mix(shared + block[first].astype(np.uint64)), mix(name), doc[run[first]], at[first], span, k[first]
+    bucket = mix(pointer[run[first]].astype(np.uint64) * C1 + (shared ^ C2)) + block[first].astype(np.uint64)
+    return mix(bucket), mix(name), doc[run[first]], at[first], span, k[first]
+
+
+def windows(offsets: np.ndarray, most: int, overlap: int):
+    """(first document, last, first byte, last byte, bytes of the document before): slices of about ``most`` bytes, a longer
+    document in windows that reach ``overlap`` bytes into the next one."""
+    for a, b in doc_slices(offsets, most):
+        lo, hi = int(offsets[a]), int(offsets[b])
+        if hi - lo <= most + overlap:
+            yield a, b, lo, hi, 0
+            continue
+        for at in range(lo, hi, most):
+            if at == lo or hi - at > overlap:
+                yield a, b, at, min(hi, at + most + overlap), at - lo
 
 
 def _emit(key, part, bucket, run, doc, start, span, offset, length: int):
@@ -190,13 +210,25 @@ def _emit(key, part, bucket, run, doc, start, span, offset, length: int):
     yield pa.RecordBatch.from_arrays([signed(mix((d ^ own).astype(np.uint64) * C1 + s.astype(np.uint64))), pa.array(e), pa.array(d), pa.array(own), pa.array(-1 - s)], names)
 
 
-def _sift(rows: DataFrame, length: int) -> DataFrame:
-    """Sorts buckets by run: doc, start, stop, offset, open. Closed rows are ranges of repeated bytes; open ones are runs
-    (first and last string) that are the first of their kind in a bucket with others."""
-    order = Window.partitionBy("bucket").orderBy("run", "doc", "part", "place")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    same = reduce(lambda x, y: x & y, (F.lag(c).over(order) == F.col(c) for c in ("run", "doc", "part", "place")))
-    rows = rows.select("*", F.coalesce(same, F.lit(False)).alias("same"), F.lag("run").over(order).alias("before"), F.first("run").over(whole).alias("low"), F.last("run").over(whole).alias("high"))
+def _sift(rows: DataFrame, length: int, hot: DataFrame | None) -> DataFrame:
+    """Sorts buckets by run: doc, part, start, stop, offset, open, pointer. Closed rows are ranges of repeated bytes; open
+    ones are runs (first and last string) that are the first of their kind in a bucket with others."""
+    keys = ["run", "doc", "part", "place"]
+    if hot is None:
+        rows = rows.repartition("bucket").sortWithinPartitions("bucket", *keys).withColumn("at", F.monotonically_increasing_id())
+        order = Window.partitionBy("bucket").orderBy(*keys)
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        about = {"low": F.first("run").over(whole), "high": F.last("run").over(whole), "pointer": F.first("at").over(whole)}
+        rows = rows.withColumns(about)
+    else:
+        # The pointer is that of the bucket's first run; no task holds the bucket.
+        rows = rows.repartition("bucket", "run").sortWithinPartitions("bucket", *keys).withColumn("at", F.monotonically_increasing_id())
+        rows = stage(rows, "repeat-hot")
+        about = rows.groupBy("bucket").agg(F.min("run").alias("low"), F.max("run").alias("high"), F.min("at").alias("pointer"))
+        rows = rows.join(stage(about, "repeat-buckets"), "bucket")
+        order = Window.partitionBy("bucket", "run").orderBy("doc", "part", "place")
+    same = reduce(lambda x, y: x & y, (F.lag(c).over(order) == F.col(c) for c in keys))
+    rows = rows.withColumns({"same": F.coalesce(same, F.lit(False)), "before": F.lag("run").over(order)})
     start = F.shiftright("place", SPAN)
     strings = F.shiftright("place", 8).bitwiseAND(255)
     is_range, is_again = F.col("place") < 0, F.coalesce(F.col("before") == F.col("run"), F.lit(False))
@@ -208,9 +240,29 @@ def _sift(rows: DataFrame, length: int) -> DataFrame:
         F.when(is_range, F.col("run")).when(is_again, start + strings + length).otherwise(start + strings).alias("stop"),
         F.col("place").bitwiseAND(255).alias("offset"),
         (~is_range & ~is_again).alias("open"),
+        "pointer",
     )
 
 
+def _sorted(rows: DataFrame, length: int, name: str) -> DataFrame:
+    """The written result of a round: buckets that may be hot apart from the rest."""
+    rows = stage(rows, f"{name}-rows")
+    counter = F.shiftright(F.xxhash64("bucket"), 64 - COUNTER_BITS)
+    full = [r[0] for r in rows.groupBy(counter.alias("c")).count().where(F.col("count") > HOT).select("c").collect()]  # of 2**COUNTER_BITS
+    if not full:
+        out = stage(_sift(rows, length, None), name)
+    else:
+        is_full = counter.isin(full) if len(full) < 1000 else F.array_contains(F.array(*map(F.lit, full)), counter)
+        # A counter stands for many buckets: its own count says which of them are large.
+        hot = stage(rows.where(is_full).groupBy("bucket").count().where(F.col("count") > HOT).select("bucket"), f"{name}-large")
+        few = hot.count() <= BROADCAST_ROWS
+        large = F.broadcast(hot) if few else hot
+        apart = _sift(rows.join(large, "bucket", "left_semi"), length, hot)
+        out = stage(_sift(rows.join(large, "bucket", "left_anti"), length, None).unionByName(apart), name)
+    discard(rows)
+    return out
+
+
 def _key():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
 
@@ -239,10 +291,10 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             key, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             buf, offsets = text_bytes(batch.column(2))
             parts, (rank, named) = [], ranks(key, part)
-            for a, b in doc_slices(offsets, SLICE_BYTES // 2):
-                lo, hi = offsets[a], offsets[b]
-                if (got := anchors(buf[lo:hi], offsets[a : b + 1] - lo, length)) is not None:
-                    parts.append((*got[:2], rank[a:b][got[2]], *got[3:]))
+            for a, b, lo, hi, before in windows(offsets, SLICE_BYTES // 2, length - 1):
+                own = np.array([0, hi - lo]) if b == a + 1 else offsets[a : b + 1] - lo
+                if (got := anchors(buf[lo:hi], own, length)) is not None:
+                    parts.append((*got[:2], rank[a:b][got[2]], got[3] + before, *got[4:]))
             if parts:
                 yield from _emit(key[named], part[named], *map(np.concatenate, zip(*parts)), length)
 
@@ -254,26 +306,31 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
                 runs = batch.column(3)
                 counts = runs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 inner = runs.flatten()
-                fields = [inner.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                fields = [inner.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
                 edge = np.concatenate([[0], np.cumsum(counts)])
                 parts, (rank, named) = [], ranks(key, part)
-                for a, b in doc_slices(offsets, SLICE_BYTES // 2):
-                    lo, hi = offsets[a], offsets[b]
+                for a, b, lo, hi, before in windows(offsets, SLICE_BYTES // 2, 3 * length):
                     row = np.repeat(np.arange(b - a), counts[a:b])
-                    got = blocks(buf[lo:hi], offsets[a : b + 1] - lo, row, *(f[edge[a] : edge[b]] for f in fields), width, length)
+                    start, *rest = (f[edge[a] : edge[b]] for f in fields)
+                    own = np.array([0, hi - lo]) if b == a + 1 else offsets[a : b + 1] - lo
+                    if b == a + 1:  # a window has the runs that begin in it, and not yet in the next one
+                        last = hi - lo - 3 * length if hi < offsets[b] else hi - lo
+                        on = (start >= before) & (start < before + last)
+                        row, start, rest = row[on], start[on] - before, [rest[0][on] - before, *(x[on] for x in rest[1:])]
+                    got = blocks(buf[lo:hi], own, row, start, *rest, width, length)
                     if got is not None:
-                        parts.append((*got[:2], rank[a:b][got[2]], *got[3:]))
+                        parts.append((*got[:2], rank[a:b][got[2]], got[3] + before, *got[4:]))
                 if parts:
                     yield from _emit(key[named], part[named], *map(np.concatenate, zip(*parts)), length)
 
         return run
 
     schema = "bucket long, run long, doc long, part long, place long"
-    sifted = [stage(_sift(texts.mapInArrow(find, schema), length), "repeat-anchors")]
+    sifted = [_sorted(texts.mapInArrow(find, schema), length, "repeat-anchors")]
     for width in WIDTHS:
-        runs = sifted[-1].where("open").groupBy("doc", "part").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "offset"))).alias("runs"))  # of one document
+        runs = sifted[-1].where("open").groupBy("doc", "part").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "offset", "pointer"))).alias("runs"))  # of one document
         finer = texts.join(runs, ["doc", "part"]).select("doc", "part", "text", "runs").mapInArrow(split(width), schema)
-        sifted.append(stage(_sift(finer, length), f"repeat-blocks-{width}"))
+        sifted.append(_sorted(finer, length, f"repeat-blocks-{width}"))
 
     def join_up(batches):
         for batch in batches:

@@ -98,3 +98,58 @@ def test_language_of_text_without_blanks():
     buf = np.frombuffer((text(0x4E00, 50) + text(0x3042, 400)).encode(), np.uint8)
     label, score = predict(model, buf, np.array([0, len(buf)]))
     assert label == ["ja"] and 0.8 < score[0] < 0.95
+
+
+def copied_texts(seed, n=60):
+    """Texts of a few shared passages with edges of their own."""
+    rng = np.random.default_rng(seed)
+    pool = ["".join(rng.choice(list("abcd "), int(rng.integers(60, 700)))) for _ in range(8)]
+    return [(i, "".join(rng.choice(list("abcd "), int(rng.integers(0, 90)))) + "".join(pool[j][int(rng.integers(0, 50)) :] for j in rng.integers(0, 8, int(rng.integers(0, 6))))) for i in range(n)]
+
+
+def test_repeats_in_windows_of_a_text(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cipherscope.llm import repeats
+
+    from . import reference as ref
+
+    rows = copied_texts(3)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = ref.removed(rows)
+    digest = lambda out: {r.doc_id: tuple(r)[1:] for r in out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
+
+    def texts_cut(batch_bytes, hot, bits):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        monkeypatch.setattr(repeats, "COUNTER_BITS", bits)
+        monkeypatch.setattr(repeats, "windows", lambda offsets, most, overlap, own=windows: own(offsets, batch_bytes, overlap))
+        return digest(repeats.remove_spans(frame, repeats.repeated_spans(frame)))
+
+    windows = repeats.windows
+    assert texts_cut(700, 10**6, 4) == want  # documents longer than a slice
+    assert texts_cut(700, 3, 1) == want  # and buckets that are not sorted in one piece
+
+
+def test_windows_cover_every_string_once():
+    from cipherscope.llm.repeats import windows
+
+    offsets = np.array([0, 5, 5, 1400, 1401, 2200])
+    starts = []
+    for a, b, lo, hi, before in windows(offsets, 300, 99):
+        for d in range(a, b):
+            first, last = (lo, hi) if b == a + 1 else (offsets[d], offsets[d + 1])
+            starts += [(d, p) for p in range(first, last - 99)]
+    assert starts == sorted(set(starts)) and len(starts) == (1395 - 99) + (799 - 99)
+
+
+def test_pointers_come_from_the_round_before(spark):
+    from cipherscope.llm.repeats import _sift
+
+    # Two buckets of three rows; runs 7 and 9 open, equal ones again.
+    rows = [(5, 7, 1, 0, 0), (5, 9, 2, 0, 0), (5, 7, 3, 0, 0), (6, 8, 1, 0, 1 << 16), (6, 8, 2, 0, 1 << 16), (4, 1, 9, 0, 0)]
+    frame = spark.createDataFrame(rows, "bucket long, run long, doc long, part long, place long")
+    for hot in (None, frame):
+        got = _sift(frame, 100, hot).collect()
+        opened = {(r.doc, r.pointer) for r in got if r.open}
+        assert {d for d, _ in opened} == {1, 2} and len({p for _, p in opened}) == 1
+        assert sorted((r.doc, r.start, r.stop) for r in got if not r.open) == [(2, 1, 101), (3, 0, 100)]
