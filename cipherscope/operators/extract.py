@@ -200,9 +200,8 @@ def go_apis(sites: DataFrame) -> DataFrame:
     """Go sites with their api and what the callee says: pkg, fn and curve_fn (null where it says nothing)."""
     go = sites.where("lang = 'go'")
     owner, name = F.split_part("callee", F.lit("."), F.lit(1)), F.split_part("callee", F.lit("."), F.lit(2))
-    curve = (owner == "ecdh") & name.isin(GO_CURVES)
-    curves = go.where(curve).withColumn("api", F.lit("crypto/ecdh.Curve"))
-    both = curves.unionByName(with_api(go.where(~curve)))
+    curves = dims.local(sites.sparkSession, [("go", "call", f"ecdh.{c}", "crypto/ecdh.Curve") for c in GO_CURVES], "lang string, kind string, callee string, api string")
+    both = with_api(go, dims.callees(sites.sparkSession).unionByName(curves))
     circl = F.col("api").startswith("circl/sign/mldsa") | F.col("api").startswith("circl/kem/mlkem")
     digest = F.col("callee").isin("md5.New", "md5.Sum", "sha1.New", "sha1.Sum")
     operation = F.col("api").isin(GO_OPERATIONS)

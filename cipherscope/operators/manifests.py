@@ -136,9 +136,9 @@ def catalogue_matches(deps: DataFrame) -> DataFrame:
 
     The catalogue is fixed and small: a chain of conditions with literal patterns, each compiled once, and no join.
     """
-    hit = F.lit(None).cast("string")
-    for r in reversed(rows("catalogue")):
-        hit = F.when((F.col("ecosystem") == r["ecosystem"]) & F.col("name").rlike(r["package_pattern"]), r["algorithm_id"]).otherwise(hit)
+    hit = F
+    for r in rows("catalogue"):
+        hit = hit.when((F.col("ecosystem") == r["ecosystem"]) & F.col("name").rlike(r["package_pattern"]), r["algorithm_id"])
     return deps.withColumn("algorithm_id", hit).where("algorithm_id IS NOT NULL")
 
 

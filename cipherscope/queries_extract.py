@@ -19,7 +19,8 @@ def sources(spark, sf_dir, table: str, key: str, lang: str, texts: list[str], na
     """path, lang, content: a file a row, from the templates in turn; {n} is the row's key."""
     k = F.col(key)
     text = F.replace(pick(texts, k % len(texts)), F.lit("{n}"), k.cast("string"))
-    return read(spark, sf_dir, table).select(F.concat(F.lit("src/"), k.cast("string"), F.lit(name)).alias("path"), F.lit(lang).alias("lang"), text.alias("content"))
+    rows = read(spark, sf_dir, table).select(key).repartition(spark.sparkContext.defaultParallelism)  # short keys become long texts
+    return rows.select(F.concat(F.lit("src/"), k.cast("string"), F.lit(name)).alias("path"), F.lit(lang).alias("lang"), text.alias("content"))
 
 
 def keyed(found: DataFrame) -> DataFrame:
