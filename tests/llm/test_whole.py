@@ -153,3 +153,122 @@ def test_pointers_come_from_the_round_before(spark):
         opened = {(r.doc, r.pointer) for r in got if r.open}
         assert {d for d, _ in opened} == {1, 2} and len({p for _, p in opened}) == 1
         assert sorted((r.doc, r.start, r.stop) for r in got if not r.open) == [(2, 1, 101), (3, 0, 100)]
+
+
+ODD = [(None, "a null id here"), (None, "another null id"), (5, "twice the same row"), (5, "twice the same row"), (5, "other text of five"), (7, None), (8, ""), (9, "x" * 70_000 + " " + "yz " * 900), (10, "tie"), (11, "tie")]
+
+
+def odd_frame(spark, **extra):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(i, t, "en" if i != 9 else None, "s") for i, t in ODD], "doc_id long, text string, lang string, source string")
+    return frame.withColumns({k: F.lit(v) for k, v in extra.items()}).repartition(3)
+
+
+def test_codecs_of_null_and_repeated_ids(spark):
+    from cipherscope.llm.bpe import round_trip
+    from cipherscope.llm.packing import pack
+    from cipherscope.llm.token_files import read_token_files, write_token_files
+    from cipherscope.llm.trie_counts import token_counts
+
+    from .test_operators import BYTE, PIECE, WORD, library
+
+    frame, word, byte = odd_frame(spark, ids="clash", n_tokens=1, start=2), library(WORD), library(BYTE)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    ids = {t: word.encode(t or "", add_special_tokens=False).ids for _, t in ODD}
+    got = [(r.doc_id, list(r.ids)) for r in read_token_files(write_token_files(frame, WORD, end_id=1)).collect()]
+    assert sorted(got, key=key) == sorted([(i, [*ids[t], 1]) for i, t in ODD], key=key)
+    pieces = pack(frame, WORD, 2, window=512).collect()
+    assert sum(p.length for p in pieces) == sum(len(ids[t]) + 1 for _, t in ODD)
+    assert sum(p.length for p in pieces if p.doc_id is None) == sum(len(ids[t]) + 1 for i, t in ODD if i is None)
+    both = sorted(((r.doc_id, list(r.ids), r.text) for r in round_trip(frame, BYTE).collect()), key=key)
+    assert both == sorted([(i, byte.encode(t or "").ids, t or "") for i, t in ODD], key=key)
+    assert sorted((r.doc_id or 0, r.n_pretokens) for r in token_counts(frame, PIECE).collect()) == sorted((i or 0, len((t or "").split())) for i, t in ODD)
+
+
+def test_token_counts_of_long_words(spark):
+    from cipherscope.llm.trie_counts import MARK, UNKNOWN, piece_scores, token_counts
+
+    from . import reference as ref
+    from .test_operators import PIECE
+
+    rng = np.random.default_rng(4)
+    word = "".join(rng.choice(list("abcdeé"), 4000))
+    frame = spark.createDataFrame([(1, word), (2, word[:3000] + " " + word)], "doc_id long, text string")
+    scores = piece_scores(PIECE)
+    one, two = (ref.viterbi_tokens(MARK + w, scores, UNKNOWN) for w in (word, word[:3000]))
+    assert {r.doc_id: r.n_tokens for r in token_counts(frame, PIECE).collect()} == {1: one, 2: one + two}
+
+
+def test_language_of_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    from cipherscope.llm.langid import identify, labelled
+
+    frame = odd_frame(spark, score=0.5, lang_pred="clash", held_out=True, c_0="clash")
+    got = identify(frame, F.lit(False)).collect()
+    assert len(got) == len(ODD) and {r.lang_pred for r in got if r.doc_id in (7, 8)} == {"und"} and {r.lang_pred for r in got if r.doc_id == 5} == {"en"}
+    kept = labelled(frame, F.lit(False))
+    assert kept.columns == ["lang_pred", "score", "held_out", *(f"c_{i}" for i in range(len(frame.columns)))]
+
+
+def test_language_of_a_long_text_in_windows():
+    from cipherscope.llm.langid import predict, train
+
+    model = train([(lang, [w] * 64) for lang, w in (("a", "alpha"), ("b", "beta")) for _ in range(30)])
+    text = np.frombuffer(("alpha " * 300 + "beta " * 700 + "z" * 5000).encode(), np.uint8)
+    whole, windowed = (predict(model, text, np.array([0, len(text)]), most) for most in (1 << 20, 256))
+    assert whole[0] == windowed[0] == ["b"] and abs(whole[1][0] - windowed[1][0]) < 0.1
+
+
+def test_many_languages_are_all_learned(spark):
+    from pyspark.sql import functions as F
+
+    from cipherscope.llm.langid import fit
+
+    rows = [(i, f"w{i % 90}x{j}y " * 9, f"l{i % 90:02}") for j, i in enumerate(range(180))]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(False))
+    assert model.languages == [f"l{i:02}" for i in range(90)]
+
+
+def test_vectors_of_two_lengths_and_null_ids(spark):
+    from cipherscope.llm.vector_dedup import near_duplicates
+
+    rng = np.random.default_rng(6)
+    short, long = rng.normal(size=4), rng.normal(size=9)
+    rows = [(i, (short + 0.01 * rng.normal(size=4)).tolist()) for i in range(60)] + [(100 + i, (long + 0.01 * rng.normal(size=9)).tolist()) for i in range(60)]
+    rows += [(None, short.tolist()), (None, [0.0] * 4), (3, long.tolist())]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf=16).collect()
+    assert len(got) == len(rows)
+    links = {r.vec_id: r.n_links for r in got if r.vec_id not in (None, 3)}
+    assert {links[i] for i in links if i < 100} == {60} and {links[i] for i in links if i >= 100} == {60}
+    assert sorted(r.n_links for r in got if r.vec_id is None) == [0, 60]
+    assert {r.component_id for r in got} == {None}  # the null id reaches id 3, which has a vector of either length
+
+
+def test_pipeline_keeps_clashing_columns(spark):
+    import corpus_pipeline as cp
+
+    frame = odd_frame(spark, rest="clash", kept="clash", n_bytes="clash", spans="clash", lang_pred="clash", row="clash", node="clash", doc="clash")
+    docs, rows = frame, len(ODD)
+    for name, step in cp.STAGES[:-1]:
+        docs = step(spark, docs, "")
+        assert docs.columns == frame.columns and {r.lang_pred for r in docs.collect()} == {"clash"}
+        assert docs.count() < rows or name == "repeats"
+        rows = docs.count()
+    assert cp.STAGES[-1][1](spark, docs, "").count() >= rows
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    import pytest
+
+    from cipherscope.llm.common import shared_dir
+
+    class Conf:
+        master, applicationId, get = "spark://host:7077", "x", staticmethod(lambda key, default=None: default)
+
+    class Session:
+        conf = sparkContext = Conf
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
