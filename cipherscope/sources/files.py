@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dims import MANIFESTS, extensions
+from ..dims import MANIFESTS, extensions, local
 from ..functions.text import extension
 
 #: Largest file that is read.
@@ -41,19 +41,37 @@ def ignored(relative: Column, lines: list[str]) -> Column:
     return out | relative.rlike(r"(?:^|/)\.[^/]+")
 
 
-def ignore_rules(files: DataFrame) -> DataFrame:
-    """folder, rules (array of ord, pattern, negated) of every ignore file among the files (path, content)."""
+def ignore_files(spark: SparkSession, root: str) -> DataFrame:
+    """folder, text of every ignore file below the root. Spark's readers pass over hidden files, so the store itself is
+    asked, a level of folders at a time; the ignore files' texts go through the driver."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    base, found, level = jvm.org.apache.hadoop.fs.Path(root), [], ""
+    fs = base.getFileSystem(conf)
+    while True:
+        for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(base, f"{level}.gitignore")) or []:
+            stream = fs.open(f.getPath())
+            try:
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            found.append((f.getPath().getParent().toString(), text))
+        level += "*/"
+        if not fs.globStatus(jvm.org.apache.hadoop.fs.Path(base, level)):
+            return local(spark, found, "folder string, text string")
+
+
+def ignore_rules(texts: DataFrame) -> DataFrame:
+    """folder, rules (array of ord, pattern, negated) of ignore files (folder, text)."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
-                found = [ignore_pattern(line) for line in (content or b"").decode("utf-8", "replace").splitlines()]
-                rows += [(path.rpartition("/")[0], i, *f) for i, f in enumerate(found) if f]
+            for folder, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(folder, i, *f) for i, f in enumerate(map(ignore_pattern, (text or "").splitlines())) if f]
             kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["folder", "ord", "pattern", "negated"])
 
-    rules = files.where(F.element_at(F.split("path", "/"), -1) == ".gitignore").select("path", "content").mapInArrow(run, "folder string, ord int, pattern string, negated boolean")
+    rules = texts.select("folder", "text").mapInArrow(run, "folder string, ord int, pattern string, negated boolean")
     return rules.groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("ord", "pattern", "negated"))).alias("rules"))
 
 
@@ -72,8 +90,7 @@ def not_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
 def source_files(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
     """path, lang, content (text) of files in a known language up to MOST_BYTES. Ignore files below the root hold for their
     folders; ``ignore`` holds further lines for the root."""
-    rules = ignore_rules(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ".gitignore").load(root).select("path", "content"))
-    files = not_ignored(listing(spark, root).where(F.col("length") <= MOST_BYTES), rules)
+    files = not_ignored(listing(spark, root).where(F.col("length") <= MOST_BYTES), ignore_rules(ignore_files(spark, root)))
     relative = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").removeprefix("file://")) + "/?", "")
     files = files.where(~ignored(relative, ignore or []))
     return files.withColumn("ext", extension(F.col("path"))).join(F.broadcast(extensions(spark)), "ext").select("path", "lang", F.decode("content", "UTF-8").alias("content"))

@@ -170,7 +170,7 @@ def test_call_sites(spark):
     got = {(r.callee, r.line): r for r in sites.select("callee", "line", extract.nth_integer(args, 1).alias("n"), extract.nth_string(args, 0).alias("s"), extract.keyword(args, "key_size")["i"].alias("k"), extract.site_context(F.col("frames"), F.col("lang")).alias("c")).collect()}
     assert got["rsa.GenerateKey", 1].n == 2048 and got["f", 3].s == "a,b"
     assert got["rsa.generate_private_key", 2].k == 2048 and got["hashlib.new", 3].s == "md5"
-    assert got["md5.New", 3].c == "TestAssertion" and got["hashlib.new", 3].c == "Default"
+    assert got["md5.New", 3].c == "Call" and got["hashlib.new", 3].c == "Default"
 
 
 def test_first_rule_wins(spark):
