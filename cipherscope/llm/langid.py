@@ -202,27 +202,33 @@ def train(windows: list[tuple[str, list[str]]], seed: int = 5) -> Model:
     rows, first = feature_rows(words)
     batches = [slice(i, min(i + 256, n)) for i in range(0, n, 256)]
     owner = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(first, append=len(rows)))
-    params = [np.zeros((TABLE + k, k)), np.zeros(k), np.zeros((k, k))]
+    params = [np.zeros((k, TABLE + k)), np.zeros(k), np.zeros((k, k))]
+    errors: list[float] = []
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, ROUNDS + 1):
         w, start, move = params
-        emit = np.stack([np.add.reduceat(w[rows, j], first) for j in range(k)], axis=1) + known @ w[TABLE:]
-        by_word, begins, pairs = np.zeros((len(words), k)), np.zeros(k), -gold_pairs
+        emit = np.stack([np.add.reduceat(w[j].take(rows), first) for j in range(k)], axis=1) + known @ w[:, TABLE:].T
+        by_word, begins, pairs, error = np.zeros((len(words), k)), np.zeros(k), -gold_pairs, 0.0
         for b in batches:  # chains, so that memory does not grow with the number of languages times the sample
             marginals, found, _ = forward_backward(emit[ids[b]], mask[b], start, move)
             diff = (marginals - np.eye(k)[gold[b]]) * mask[b][:, :, None]
             by_word += np.stack([np.bincount(ids[b].ravel(), diff[:, :, j].ravel(), len(words)) for j in range(k)], axis=1)
             begins += diff[:, 0].sum(axis=0)
+            error += np.abs(diff).sum()
             pairs += found
-        grad_w = np.stack([np.bincount(rows, by_word[owner, j], TABLE) for j in range(k)], axis=1)
-        grads = [np.concatenate([grad_w, known.T @ by_word]), begins, pairs]
+        each = np.ascontiguousarray(by_word.T)
+        grad_w = np.stack([np.bincount(rows, each[j].take(owner), TABLE) for j in range(k)])
+        grads = [np.concatenate([grad_w, each @ known], axis=1), begins, pairs]
         for p, g, a, b in zip(params, grads, m1, m2):
             g = g / len(tokens) + PENALTY * p
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             p -= 0.1 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
+        errors.append(error)
+        if step > 12 and error > 0.99 * errors[-7]:  # no longer falling
+            break
     lexicon = {words[i]: at for at, i in enumerate(frequent)}
-    return Model(languages, params[0][:TABLE].astype(np.float32), lexicon, (known[frequent] @ params[0][TABLE:]).astype(np.float32), params[1], params[2])
+    return Model(languages, np.ascontiguousarray(params[0][:, :TABLE].T, np.float32), lexicon, (known[frequent] @ params[0][:, TABLE:].T).astype(np.float32), params[1], params[2])
 
 
 def windows_of(buf: np.ndarray, offsets: np.ndarray, most: int):
