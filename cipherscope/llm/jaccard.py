@@ -213,6 +213,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     keys = sizes.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("class"), F.count("*").alias("copies")).where("copies > 1")
     keys = stage(keys.drop("copies"), "jaccard-copies")
     members = stage(sizes.join(keys, "key", "left").select("doc", "n", F.coalesce("class", "doc").alias("class"), *SIGNS), "jaccard-members")
+    discard(measured)
+    discard(keys)
 
     def prefixes(batches):
         counts = sketch.value
@@ -276,7 +278,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     sides = lambda t: t.select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b"), "member", "pivot")
     rest = stage(sides(rest).join(sides(compared).select("a", "b").distinct(), ["a", "b"], "left_anti").select("member", "pivot"), "jaccard-rest")
     discard(open_)
+    discard(compared)
     more = stage(_verify(rest, texts, words, percent), "jaccard-links")
+    discard(rest)
     final = components(first.toDF("a", "b").union(more))
     out = members.join(final, members["class"] == final.node, "left")
     return out.select("doc", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component"))

@@ -65,6 +65,7 @@ def test_jaccard_with_salted_buckets(spark, docs, rows, monkeypatch):
     from cipherscope.llm import jaccard
 
     monkeypatch.setattr(jaccard, "HOT", 4)
+    monkeypatch.setattr(jaccard, "PAIRS", 2)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(docs).collect()}
     assert got == ref.jaccard(rows)
 
