@@ -71,10 +71,6 @@ def _list(values: list[str]) -> str:
     return "[" + ", ".join(map(_text, values)) + "]"
 
 
-def _case(values: dict, key: str) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN {_text(k)} THEN {v}" for k, v in values.items()) + " END"
-
-
 ALG = "alg AS (SELECT * FROM " + _values([(a[0], a[1], a[2], a[3], a[6], a[7], a[8], a[9]) for a in dims.algorithm_rows()], "id, display_name, family, primitive, quantum_status, replacement, fips, oid") + ")"
 FINDINGS = f"""f AS (
   SELECT event_id AS seq, 'CRYPTO-' || CAST(100 + event_id % 900 AS VARCHAR) AS rule_id,
@@ -89,30 +85,38 @@ FINDINGS = f"""f AS (
   FROM events)"""
 
 
+#: What the presets say, written down once more for the SQL, so that a wrong weight on one side shows.
+NIST_STATUS = "CASE alg.quantum_status WHEN 'BrokenClassically' THEN 40 WHEN 'BrokenByShor' THEN 40 WHEN 'WeakenedByGrover' THEN 15 WHEN 'PqcDraft' THEN 5 ELSE 0 END"
+CNSA_BANNED = """algorithm_id IN ('aes-128-gcm', 'aes-128-cbc', 'aes-128-ecb', 'aes-192-gcm', 'aes-192-ecb', 'chacha20-poly1305', 'sha-256', 'sha3-256', 'ml-kem-512', 'ml-kem-768',
+  'ml-dsa-44', 'ml-dsa-65', 'slh-dsa-unattributed', 'fn-dsa-512', 'fn-dsa-1024', 'hss', 'xmss-mt', 'x25519-mlkem768', 'secp256r1-mlkem768', 'x25519-kyber768-draft00')
+  OR regexp_matches(algorithm_id, '^slh-dsa-(sha2|shake)-(128|192|256)[sf]$')"""
+CNSA_STATUS = f"CASE WHEN {CNSA_BANNED} THEN 40 WHEN alg.quantum_status IN ('BrokenClassically', 'BrokenByShor', 'WeakenedByGrover', 'PqcDraft') THEN 40 ELSE 0 END"
+
+
 def _scored_sql(policy: Policy, name: str = "s") -> str:
-    banned = f"algorithm_id IN ({', '.join(map(_text, policy.disallowed))})" if policy.disallowed else "false"
-    b = policy.bands
+    status, shelf = (NIST_STATUS, "'medium', 'long'") if policy is NIST else (CNSA_STATUS, "'short', 'medium', 'long'")
     return f"""{name}_raw AS (
-  SELECT f.*, alg.quantum_status, alg.id IS NOT NULL AS known,
-    CASE WHEN {banned} THEN {policy.caps['algorithm_vulnerability']} ELSE coalesce({_case(policy.algorithm_vulnerability, 'alg.quantum_status')}, 0) END AS r_av,
-    {_case(policy.usage_context, 'usage_context')} AS r_uc,
-    coalesce({_case(policy.data_shelf_life, 'shelf_life_bucket')}, {policy.data_shelf_life['short']}) AS r_ds,
-    {_case(policy.exposure, 'exposure')} AS r_ex, {_case(policy.detection_confidence, 'confidence')} AS r_dc
+  SELECT f.*, alg.quantum_status, alg.id IS NOT NULL AS known, {status} AS r_av,
+    CASE usage_context WHEN 'key_establishment_long_lived' THEN 25 WHEN 'key_establishment_ephemeral' THEN 15 WHEN 'data_at_rest_encryption' THEN 22 WHEN 'signature_long_lived' THEN 12
+      WHEN 'signature_ephemeral' THEN 5 WHEN 'authentication_only' THEN 5 WHEN 'hashing' THEN 3 WHEN 'unknown' THEN 10 END AS r_uc,
+    CASE shelf_life_bucket WHEN 'ephemeral' THEN 0 WHEN 'medium' THEN 10 WHEN 'long' THEN 15 ELSE 3 END AS r_ds,
+    CASE exposure WHEN 'public_internet' THEN 10 WHEN 'internal_service' THEN 4 WHEN 'local_only' THEN 1 END AS r_ex,
+    CASE confidence WHEN 'literal_arg' THEN 10 WHEN 'type_name' THEN 8 WHEN 'variable' THEN 5 WHEN 'string_table' THEN 2 WHEN 'unknown' THEN 3 END AS r_dc
   FROM f LEFT JOIN alg ON f.algorithm_id = alg.id
 ), {name}_axes AS (
   SELECT *, {', '.join(f"CASE WHEN known THEN CAST(CASE WHEN r_av = 0 THEN 0 ELSE r_{x} END AS INTEGER) END AS {x}" for x in ('av', 'uc', 'ds', 'ex', 'dc'))}
   FROM {name}_raw
 ), {name} AS (
   SELECT *, CASE WHEN known THEN least(100, av + uc + ds + ex + dc) END AS total,
-    CASE WHEN av IS NULL THEN NULL WHEN av + uc + ds + ex + dc >= {b['critical']} THEN 'Critical' WHEN av + uc + ds + ex + dc >= {b['high']} THEN 'High'
-      WHEN av + uc + ds + ex + dc >= {b['medium']} THEN 'Medium' WHEN av + uc + ds + ex + dc >= {b['low']} THEN 'Low' ELSE 'Safe' END AS severity,
-    coalesce(quantum_status IN ({', '.join(map(_text, policy.hndl_status))}) AND usage_context IN ({', '.join(map(_text, policy.hndl_context))})
-      AND coalesce({_case({x: i for i, x in enumerate(dims.BUCKETS)}, 'shelf_life_bucket')}, 0) >= {dims.BUCKETS.index(policy.hndl_bucket)}, false) AS hndl_critical
+    CASE WHEN av IS NULL THEN NULL WHEN av + uc + ds + ex + dc >= 75 THEN 'Critical' WHEN av + uc + ds + ex + dc >= 50 THEN 'High'
+      WHEN av + uc + ds + ex + dc >= 25 THEN 'Medium' WHEN av + uc + ds + ex + dc >= 10 THEN 'Low' ELSE 'Safe' END AS severity,
+    coalesce(quantum_status IN ('BrokenByShor', 'BrokenClassically') AND usage_context IN ('key_establishment_long_lived', 'key_establishment_ephemeral', 'data_at_rest_encryption')
+      AND shelf_life_bucket IN ({shelf}), false) AS hndl_critical
   FROM {name}_axes)"""
 
 
 BASE = f"WITH {ALG}, {FINDINGS}, {_scored_sql(NIST)}"
-RANK = _case(dict(dims.SEVERITIES), "severity")
+RANK = "CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 WHEN 'Safe' THEN 0 END"
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -163,8 +167,8 @@ def policy_compare(spark, sf_dir):
 
 
 def _suppressed_sql(policy: Policy) -> str:
-    banned = f" AND algorithm_id NOT IN ({', '.join(map(_text, policy.disallowed))})" if policy.disallowed else ""
-    return f"coalesce(quantum_status IN ({', '.join(map(_text, risk.SAFE_STATUSES))}){banned}, false)"
+    banned = "" if policy is NIST else f" AND NOT ({CNSA_BANNED})"
+    return f"coalesce(quantum_status IN ('QuantumSafe', 'PqcFinal', 'PqcDraft'){banned}, false)"
 
 
 @register(f"WITH {ALG}, {FINDINGS}, {_scored_sql(CNSA)} SELECT seq, algorithm_id, {_suppressed_sql(CNSA)} AS suppressed FROM s")
@@ -218,7 +222,7 @@ def severity_toggles(spark, sf_dir):
     return query.toggled(scored(spark, sf_dir), ["Critical", "Low"], unscored=True).select("seq", "severity")
 
 
-@register(f"{BASE} SELECT algorithm_id, count(*) AS findings, {_case({}, 'x') if False else 'CASE max(' + RANK + ') ' + ' '.join(f'WHEN {r} THEN {_text(n)}' for n, r in dims.SEVERITIES) + ' END'} AS worst FROM s GROUP BY 1")
+@register(f"{BASE} SELECT algorithm_id, count(*) AS findings, CASE max({RANK}) WHEN 4 THEN 'Critical' WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' WHEN 1 THEN 'Low' WHEN 0 THEN 'Safe' END AS worst FROM s GROUP BY 1")
 def summary_by_algorithm(spark, sf_dir):
     return aggregate.ordered(aggregate.by_algorithm(scored(spark, sf_dir)))
 
@@ -241,7 +245,7 @@ def inventory(spark, sf_dir):
     return aggregate.ordered_inventory(aggregate.inventory(scored(spark, sf_dir)))
 
 
-@register(f"{BASE}, m AS (SELECT algorithm_id, count(*) AS n FROM s GROUP BY 1) SELECT family, count(*) AS algorithms, CAST(sum(n) AS BIGINT) AS findings, min({_case({x: i for i, x in enumerate(aggregate.STATUS_ORDER)}, 'quantum_status')}) AS worst_status_rank, string_agg(algorithm_id, ',' ORDER BY algorithm_id) AS members FROM m JOIN alg ON m.algorithm_id = alg.id GROUP BY 1")
+@register(f"{BASE}, m AS (SELECT algorithm_id, count(*) AS n FROM s GROUP BY 1) SELECT family, count(*) AS algorithms, CAST(sum(n) AS BIGINT) AS findings, min(CASE quantum_status WHEN 'BrokenClassically' THEN 0 WHEN 'BrokenByShor' THEN 1 WHEN 'WeakenedByGrover' THEN 2 WHEN 'PqcDraft' THEN 3 WHEN 'QuantumSafe' THEN 4 WHEN 'PqcFinal' THEN 5 END) AS worst_status_rank, string_agg(algorithm_id, ',' ORDER BY algorithm_id) AS members FROM m JOIN alg ON m.algorithm_id = alg.id GROUP BY 1")
 def family_tree(spark, sf_dir):
     return aggregate.families(scored(spark, sf_dir))
 

@@ -8,16 +8,20 @@ from . import dims
 from .functions.text import extension, split_groups
 from .operators import aggregate, corpus, manifests, probes, query
 from .plans import documents
-from .queries import BASE, FINDINGS, _case, _list, _text, _values, findings, pick, read, register, scored
+from .queries import BASE, FINDINGS, _list, _text, _values, findings, pick, read, register, scored
 from .sources import files
 
-_RSA = _case({str(k): _text(v) for k, v in documents.RSA_MODULUS.items()}, "CAST(bits AS VARCHAR)")
+# Written down once more for the SQL, so that a wrong constant on one side shows.
+_RSA = "CASE bits WHEN 112 THEN '2048' WHEN 128 THEN '3072' WHEN 152 THEN '4096' WHEN 192 THEN '7680' WHEN 256 THEN '15360' END"
 _ALG2 = "alg2 AS (SELECT * FROM " + _values([(a[0], a[4] if a[4] is not None else -1, a[5] if a[5] is not None else -1) for a in dims.algorithm_rows()], "id, bits, level") + ")"
-_FUN = _case({k: _text(v) for k, v in documents.FUNCTIONS.items()}, "alg.primitive")
-_FAMILY = f"CASE WHEN family IN ({', '.join(map(_text, documents.UNNAMED_FAMILIES))}) THEN NULL ELSE coalesce({_case({k: _text(v) for k, v in documents.FAMILY_NAMES.items()}, 'family')}, family) END"
+_FUN = """CASE WHEN alg.primitive = 'signature' THEN 'sign,verify' WHEN alg.primitive = 'kem' THEN 'encapsulate,decapsulate,keygen' WHEN alg.primitive IN ('ae', 'block-cipher', 'stream-cipher', 'key-wrap') THEN 'encrypt,decrypt'
+  WHEN alg.primitive = 'pke' THEN 'encrypt,decrypt,keygen' WHEN alg.primitive = 'key-agree' THEN 'keygen' WHEN alg.primitive IN ('hash', 'xof') THEN 'digest' WHEN alg.primitive = 'mac' THEN 'tag'
+  WHEN alg.primitive = 'kdf' THEN 'keyderive' WHEN alg.primitive = 'drbg' THEN 'generate' END"""
+_FAMILY = """CASE WHEN family IN ('FN-DSA', 'Hybrid-KEM', 'Hybrid-KEM-Draft', 'TLS', 'JWT', 'WebCrypto', 'JCA', 'Provider', 'RNG', 'Signature', 'PQC-candidate') THEN NULL
+  WHEN family = 'RSA' THEN 'RSASSA-PKCS1' WHEN family IN ('X25519', 'X448', 'XDH') THEN 'ECDH' WHEN family = 'DH' THEN 'FFDH' ELSE family END"""
 _REF = "'crypto/algorithm/' || alg.id || coalesce('@' || alg.oid, '')"
-_LEVEL = f"coalesce({_case({k: _text(v) for k, v in documents.SARIF_LEVEL.items()}, 'severity')}, 'none')"
-_SECURITY = _case({k: _text(v) for k, v in documents.SARIF_SEVERITY.items()}, "severity")
+_LEVEL = "CASE WHEN severity IN ('Critical', 'High') THEN 'error' WHEN severity = 'Medium' THEN 'warning' WHEN severity IN ('Low', 'Safe') THEN 'note' ELSE 'none' END"
+_SECURITY = "CASE severity WHEN 'Critical' THEN '9.0' WHEN 'High' THEN '8.0' WHEN 'Medium' THEN '5.0' WHEN 'Low' THEN '3.0' WHEN 'Safe' THEN '3.0' END"
 
 
 @register(
@@ -368,7 +372,7 @@ _COUNTS = " || ".join(f"',\"{b.lower()}\":' || count(*) FILTER (WHERE severity =
 
 
 @register(
-    f"""{BASE}, a AS (SELECT algorithm_id, count(*) AS n, CASE max({_case(dict(dims.SEVERITIES), "severity")}) WHEN 4 THEN 'Critical' WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' WHEN 1 THEN 'Low' WHEN 0 THEN 'Safe' ELSE 'Unscored' END AS worst FROM s GROUP BY 1)
+    f"""{BASE}, a AS (SELECT algorithm_id, count(*) AS n, CASE max(CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 WHEN 'Safe' THEN 0 END) WHEN 4 THEN 'Critical' WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' WHEN 1 THEN 'Low' WHEN 0 THEN 'Safe' ELSE 'Unscored' END AS worst FROM s GROUP BY 1)
 SELECT '{{"scan_target":"src","timestamp":"2026-01-01T00:00:00Z","policy":"nist-default","totals":{{"findings":' || count(*) || {_COUNTS} || ',"unscored":' || count(*) FILTER (WHERE severity IS NULL) || ',"hndl_critical":' || count(*) FILTER (WHERE hndl_critical) || '}},"by_algorithm":['
   || (SELECT string_agg('{{"algorithm_id":"' || algorithm_id || '","count":' || n || ',"severity":"' || worst || '"}}', ',' ORDER BY n DESC, algorithm_id) FROM a) || ']}}' AS value FROM s"""
 )
