@@ -109,5 +109,46 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM m
 """
 
+OP1_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS sh FROM w
+), e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN s sx ON sx.doc_id = x JOIN s sy ON sy.doc_id = y WHERE 100 * i >= 75 * (len(sx.sh) + len(sy.sh) - i)),
+both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, root FROM r JOIN both_ways ON x = node)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY 1) ON node = doc_id
+"""
+
+#: Bytes as pairs of hexadecimal digits; every string of 100 bytes with its first place.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+parts AS (SELECT doc_id, n, c0, substr(h, 2 * c0 + 1, 1198) AS hc FROM (SELECT *, unnest(range(0, n, 500)) AS c0 FROM d)),
+g AS (SELECT doc_id, c0 + j AS i, substr(hc, 2 * j + 1, 200) AS t FROM (SELECT *, unnest(range(least(500, n - 99 - c0))) AS j FROM parts WHERE n - 99 > c0)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(t) ORDER BY doc_id, i) > 1 AS again FROM g),
+b AS (SELECT doc_id, c0 + j AS i, substr(hc, 2 * j + 1, 2) AS h2 FROM (SELECT *, unnest(range(least(500, n - c0))) AS j FROM parts)),
+c AS (SELECT b.doc_id, b.i, b.h2, coalesce(max(CASE WHEN again THEN f.i END) OVER (PARTITION BY b.doc_id ORDER BY b.i) > b.i - 100, false) AS gone FROM b LEFT JOIN f ON f.doc_id = b.doc_id AND f.i = b.i),
+k AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM c),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(CASE WHEN NOT gone THEN h2 END, '' ORDER BY i) AS kept FROM k GROUP BY 1)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
+#: All pairs; the forest is one leaf up to LEAF distinct vectors, and misses none there.
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.9
+), r(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT y, root FROM r JOIN l ON x = node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1),
+n AS (SELECT x, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON x = vec_id
+"""
+
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_repeats, op3_token_files, op4_language, op5_packing, op6_vector_dedup, op7_bpe, op8_nearest, op9_token_counts, op10_warc)}
-ORACLE_SQL: dict[str, str] = {"op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op2_repeats": OP2_SQL, "op6_vector_dedup": OP6_SQL, "op10_warc": OP10_SQL}
