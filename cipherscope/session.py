@@ -1,4 +1,4 @@
-"""Makes this package importable on every executor of a session."""
+"""Prepares a session: this package on every executor, Arrow batches bounded by bytes."""
 
 from __future__ import annotations
 
@@ -9,10 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch that goes to Python, where the session says nothing else; rows of text may be long.
+BATCH_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors' Python workers, once an application."""
+    """Sends the package to the executors' Python workers, once an application, and bounds Arrow batches of the session."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
