@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, discard, stage
+from .common import SLICE_BYTES, discard, light, stage
 from .components import components
 from .scan import doc_slices, mix, run_hashes, text_bytes
 
@@ -159,7 +159,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                         out.append((min(doc, pivot), max(doc, pivot)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(2)], ["a", "b"])
 
-    return rows.mapInArrow(check, "a long, b long").distinct()
+    return rows.mapInArrow(light(check), "a long, b long").distinct()
 
 
 def _size(pack):
@@ -206,7 +206,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
             yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(rows, pa.int32()), pa.array([task] * len(rows), pa.int64()), pa.array([counts[r * ROW : (r + 1) * ROW].tobytes() for r in rows], pa.binary()), *[none.cast(pa.int64())] * len(SIGNS)], names)
 
     names = ["doc", "n", "key", "row", "task", "counters", *SIGNS]
-    measured = stage(texts.mapInArrow(measure, "doc long, n long, key binary, row int, task long, counters binary, " + ", ".join(f"{x} long" for x in SIGNS)), "jaccard-sizes")
+    measured = stage(texts.mapInArrow(light(measure), "doc long, n long, key binary, row int, task long, counters binary, " + ", ".join(f"{x} long" for x in SIGNS)), "jaccard-sizes")
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(measured.where("row IS NOT NULL")))
     sizes = measured.where("row IS NULL").select("doc", "n", "key", *SIGNS)
     # Only copies need a class; a written table, so that the join below may split a key that a third of the rows share.
@@ -237,7 +237,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["shingle", "doc", "pack", "parts"])
 
-    entries = texts.mapInArrow(prefixes, "shingle long, doc long, pack long, parts int")
+    entries = texts.mapInArrow(light(prefixes), "shingle long, doc long, pack long, parts int")
     entries = entries.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc"), F.col("parts"))).otherwise(0).cast("int"))
     common_first = [F.shiftright("pack", 56).desc(), F.col("doc")]
     bucket = Window.partitionBy("shingle", "part").orderBy(*common_first)

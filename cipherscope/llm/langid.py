@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES
+from .common import SLICE_BYTES, light
 from .scan import doc_slices, mix, run_hashes, text_bytes
 from .tokens import ragged
 
@@ -352,7 +352,7 @@ def labelled(docs: DataFrame, held_out, model: Model | None = None) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(scores), *batch.columns], ["lang_pred", "score", *batch.schema.names])
 
     schema = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, "lang_pred string, score double" + schema)
+    return rows.mapInArrow(light(run), "lang_pred string, score double" + schema)
 
 
 def identify(docs: DataFrame, held_out) -> DataFrame:

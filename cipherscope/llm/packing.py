@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import light, stage
 from .scan import text_bytes
 from .token_files import with_end
 from .tokens import ChunkEncoder
@@ -55,7 +55,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, edges.buffers()[1], pa.py_buffer(ids.astype(kind).tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, part)), queues, pa.array(at), batch.column(0).slice(a, b - a), pa.array(counts), data], ["part", "queue", "at", "doc_id", "n_tokens", "ids"])
 
-    return docs.mapInArrow(encode, "part long, queue string, at long, doc_id long, n_tokens long, ids binary")
+    return docs.mapInArrow(light(encode), "part long, queue string, at long, doc_id long, n_tokens long, ids binary")
 
 
 class Schedule:
@@ -266,7 +266,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, tar
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array([p[1] for p in parts], pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(first), batch.column(4).take(take), pa.array(first - at), pa.array(n), pa.array(width.astype(np.int32)), pieces], ["grp", "queue", "total", "at", "doc_id", "start", "doc_tokens", "width", "ids"])
 
-    pieces = placed.mapInArrow(cut, "grp long, queue string, total long, at long, doc_id long, start long, doc_tokens long, width int, ids binary")
+    pieces = placed.mapInArrow(light(cut), "grp long, queue string, total long, at long, doc_id long, start long, doc_tokens long, width int, ids binary")
 
     def group(key, table):
         begin = pa.array([int(sent.value[key[0].as_py()])] * len(table), pa.int64())

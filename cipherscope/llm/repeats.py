@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, discard, stage
+from .common import SLICE_BYTES, discard, light, stage
 from .scan import BASE, BYTE, doc_slices, mix, powers, text_bytes
 from .tokens import ragged
 
@@ -326,10 +326,10 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         return run
 
     schema = "bucket long, run long, doc long, part long, place long"
-    sifted = [_sorted(texts.mapInArrow(find, schema), length, "repeat-anchors")]
+    sifted = [_sorted(texts.mapInArrow(light(find), schema), length, "repeat-anchors")]
     for width in WIDTHS:
         runs = sifted[-1].where("open").groupBy("doc", "part").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "offset", "pointer"))).alias("runs"))  # of one document
-        finer = texts.join(runs, ["doc", "part"]).select("doc", "part", "text", "runs").mapInArrow(split(width), schema)
+        finer = texts.join(runs, ["doc", "part"]).select("doc", "part", "text", "runs").mapInArrow(light(split(width)), schema)
         sifted.append(_sorted(finer, length, f"repeat-blocks-{width}"))
 
     def join_up(batches):
@@ -375,5 +375,5 @@ def remove_spans(docs: DataFrame, spans: DataFrame, keep: list[str] | None = Non
 
     tail = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name.startswith("kept_"))
     kind = dict(docs.dtypes)["doc_id"]
-    out = rows.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, rest string{tail}")
+    out = rows.mapInArrow(light(cut), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, rest string{tail}")
     return out.withColumnsRenamed({f"kept_{i}": c for i, c in enumerate(keep)})
