@@ -58,14 +58,18 @@ def _kind(text: str, at: int, char: str) -> str:
     return "object" if before.rstrip()[-1:] in ("(", ",", "=", ":", "[") else "block"
 
 
+_KEYED, _QUOTED_KEY = re.compile(r"[\w\"'\])]\s*:\s*[&*\w.]*$"), re.compile(r"['\"]\s*:\s*$")
+
+
 def _frames(text: str, stack: list[dict], at: int) -> list[str]:
     out, inner = [], at
     for x in reversed(stack[-6:]):
-        if x["kind"] in ("struct", "object", "list") and re.search(r"[\w\"'\])]\s*:\s*[&*\w.]*$", text[x["from"] : inner]) or (x["kind"] == "block" and re.search(r"['\"]\s*:\s*$", text[x["from"] : inner])):
+        element = text[max(x["from"], inner - 120) : inner]  # its end says what is before the site
+        if x["kind"] in ("struct", "object", "list") and _KEYED.search(element) or x["kind"] == "block" and _QUOTED_KEY.search(element):
             out.append("pair")
         out.append(f"call:{x['callee']}" if x["kind"] == "call" else x["kind"])
         inner = x["at"]
-    line = text[text.rfind("\n", 0, at) + 1 : at]
+    line = text[max(at - 400, text.rfind("\n", 0, at) + 1) : at]
     if re.search(r"(?:==|!=)=?\s*$", line):
         out.insert(0, "compare")
     if re.search(r"(?:\b(?:const|var|let|final|static)\b[^;{}()]*|^\s*[\w.<>\[\]]+\s+\w+\s*)=\s*$", line):
@@ -238,7 +242,7 @@ def literals(text: str) -> list[tuple]:
     an element, an argument, a declaration's or assignment's value, not inside a switch. scope is the nearest bracket that
     declares names together (const, var, a literal, a switch, a block), scopes are all of them."""
     stack: list[tuple] = []  # (offset, is a scope, is a switch)
-    out = []
+    out, lines, counted = [], 1, 0
     for m in _TOKEN.finditer(text):
         if m["str"] and m["str"][0] in "\"`":
             before, after = text[max(0, m.start() - 200) : m.start()], text[m.end() : m.end() + 80].lstrip(" \t")
@@ -254,7 +258,9 @@ def literals(text: str) -> list[tuple]:
             if kind:
                 begin = before.rfind("case") - len(before) if kind == "switch" else 0
                 snippet = text[m.start() + begin : m.end()] if kind == "register" else text[m.start() + begin :].split("\n", 1)[0]
-                out.append((m["str"][1:-1], kind, text.count("\n", 0, m.start()) + 1, m.start() + begin, scopes[-1] if scopes else -1, scopes, snippet))
+                lines += text.count("\n", counted, m.start())
+                counted = m.start()
+                out.append((m["str"][1:-1], kind, lines, m.start() + begin, scopes[-1] if scopes else -1, scopes, snippet))
         elif m["call"] or m["open"]:
             head = text[max(0, m.start() - 200) : m.start()]
             paren = m["call"] or m["open"] != "{"
