@@ -46,6 +46,8 @@ COUNTERS, ROW = 1 << 20, 1 << 14
 HOT = 20_000
 #: Pairs of one pivot that go to a task together.
 PAIRS = 500
+#: Rows of documents to verify up to which they are broadcast, so that the texts of all others stay where they are.
+BROADCAST_ROWS = 100_000
 NONE = -(2**63)
 #: Parts of the suffix bound's partition, 64 to a column.
 PARTS = 512
@@ -136,13 +138,14 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (member, pivot) whose sets are similar, as a < b. Texts travel, not sets: they are smaller and their sets
     quickly made. ``pairs`` is a written table, ``texts`` (doc, text) has a row a document."""
+    few = 2 * pairs.count() <= BROADCAST_ROWS
     many = stage(pairs.groupBy("pivot").count().where(F.col("count") > PAIRS).select(F.col("pivot").alias("p"), F.ceil(F.col("count") / PAIRS).alias("parts")), "jaccard-pivots")
     pairs = pairs.join(many, F.col("pivot") == F.col("p"), "left")
     part = F.coalesce(F.pmod(F.xxhash64("member"), F.col("parts")), F.lit(0).cast("long"))
     pairs = pairs.select("member", "pivot", part.alias("part"))
     sides = pairs.select(F.col("member").alias("doc"), "pivot", "part", F.lit(1).alias("role"))
     sides = sides.unionByName(pairs.select(F.col("pivot").alias("doc"), "pivot", "part", F.lit(0).alias("role")).distinct())
-    rows = sides.join(texts, "doc").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role").select("pivot", "part", "role", "doc", "text")
+    rows = texts.join(F.broadcast(sides) if few else sides, "doc").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role").select("pivot", "part", "role", "doc", "text")
 
     def check(batches):
         key, head = None, None
