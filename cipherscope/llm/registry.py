@@ -91,6 +91,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages"))).drop("url")
 
 
+def op11_repacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repacking import repack
+
+    pieces = repack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, window=4096)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"), min_docs=3)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import aligned
+
+    return aligned(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 #: Base32 of the SHA-1: 32 groups of 5 bits, each within three hexadecimal digits.
 OP10_SQL = """
 WITH p AS (
@@ -150,5 +169,36 @@ n AS (SELECT x, count(*) AS n_links FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON x = vec_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_repeats, op3_token_files, op4_language, op5_packing, op6_vector_dedup, op7_bpe, op8_nearest, op9_token_counts, op10_warc)}
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op2_repeats": OP2_SQL, "op6_vector_dedup": OP6_SQL, "op10_warc": OP10_SQL}
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), o AS (SELECT lang, source, id, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+m AS (SELECT g.lang, g.source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS own FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+w AS (
+  SELECT m.lang, m.source, k.term, coalesce(n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1) // (own + v) AS p
+  FROM m JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = m.lang AND c.source = m.source AND c.term = k.term
+), l AS (
+  SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (t + 1) // (everything + v) AS q
+  FROM (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS t FROM w GROUP BY ALL) JOIN (SELECT lang, CAST(sum(own) AS HUGEINT) AS everything FROM m GROUP BY 1) USING (lang) JOIN v USING (lang)
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM w a JOIN w b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source
+), words AS (
+  SELECT w.lang, w.source, 'term' AS part, w.term AS item, (p - q) * (p - q) // q AS value FROM w JOIN l USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (FROM every UNION ALL FROM words))
+WHERE part = 'pair' OR rank <= 200
+"""
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_repeats, op3_token_files, op4_language, op5_packing, op6_vector_dedup, op7_bpe, op8_nearest, op9_token_counts, op10_warc, op11_repacking, op12_divergence, op13_alignment)}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op2_repeats": OP2_SQL, "op6_vector_dedup": OP6_SQL, "op10_warc": OP10_SQL, "op12_divergence": OP12_SQL}
