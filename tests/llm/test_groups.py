@@ -296,3 +296,37 @@ def test_ids_crc(spark):
 
     row = repack(spark.createDataFrame([(1, "two words")], "doc_id long, text string"), WORD, end_id=1).select("*", F.crc32("ids").alias("c")).first()
     assert row.c == zlib.crc32(bytes(row.ids)) and row.length * 4 == len(row.ids)
+
+
+# Words that structure alone makes collide in a polynomial hash
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_thue_morse_words_stay_apart(spark):
+    import sentencepiece  # noqa: F401
+    from tokenizers import Tokenizer
+
+    from cipherscope.llm.bpe import BytePairCodec
+    from cipherscope.llm.jaccard import jaccard_join, shingle_sets
+    from cipherscope.llm.scan import run_hashes
+    from cipherscope.llm.tokens import ChunkEncoder
+    from cipherscope.llm.trie_counts import TrieCounter
+
+    pair = [thue_morse(2048, "i", "n"), thue_morse(2048, "n", "i")]
+    data = [t.encode() for t in pair]
+    buf, offsets = np.frombuffer(b"".join(data), np.uint8), np.array([0, 2048, 4096])
+    h = run_hashes(buf, offsets[:-1], offsets[1:])
+    assert h[0] != h[1]
+    assert len(set(run_hashes(buf, np.arange(0, 4096, 64), np.arange(64, 4160, 64)).tolist())) == len({buf[i : i + 64].tobytes() for i in range(0, 4096, 64)})
+    assert not set(shingle_sets(buf, offsets)[0].tolist()) & set(shingle_sets(buf, offsets)[1].tolist())
+    for codec, path in ((ChunkEncoder, WORD), (BytePairCodec, BYTE)):
+        ids, counts = codec(path).encode(buf, offsets)
+        plain = Tokenizer.from_file(path)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in pair]
+    counter = TrieCounter.of(PIECE)
+    assert counter.pretoken_counts(pair).tolist() == [counter.pretoken_counts([t])[0] for t in pair]
+    rows = [(1, " ".join([pair[0]] * 9)), (2, " ".join([pair[1]] * 9))]
+    assert {r.component_id for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2}
