@@ -1,147 +1,205 @@
-"""Call sites from source text: an error-tolerant scan in Arrow batches, then lookups and captures as columns.
-
-The scan knows strings, comments and brackets of C-like languages and Python; it is an approximation of a parser. A row
-is a call: path, lang, callee (dotted, with ``new `` before a constructor), args (kind, name of a keyword, text, and the
-string or integer value), line, offset, snippet, owner (the callee of the call around it), generic (type arguments in
-``::<...>``), root (the first callee of its fluent chain), scope (offset of the outermost brace, which tells functions
-apart) and frames: up to six brackets around it from the nearest on, and what stands beside it. Whole files are scanned.
+"""Call sites from source text: a scan in Arrow batches over a table of nodes, then lookups and captures as columns.
+
+``functions.lexing`` finds comments and literals by the modes of each language, ``functions.nodes`` numbers brackets and call
+heads of many files at once. A row is a call, not the header of a function, a prototype, a macro's name or a pattern: path,
+lang, callee (dotted, with ``new `` before a constructor), args (kind, name of a keyword, text, and the string or integer
+value), line, offset (in characters), snippet (up to the line's end, SNIPPET bytes at most), owner (the callee of the call
+around it), generic (type arguments), root (the first callee of its fluent chain), scope (offset of the outermost brace,
+which tells functions apart) and frames: six brackets around it from the nearest on, and what stands beside it. Whole files
+are scanned, and nothing is decided by a fixed number of characters around a place.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
-from .risk import lookup
+from ..functions.nodes import Source
 
 ARG = pa.struct([("kind", pa.string()), ("kw", pa.string()), ("text", pa.string()), ("s", pa.string()), ("i", pa.int64())])
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), 95]] = True
 ROW = pa.schema([("path", pa.string()), ("lang", pa.string()), ("callee", pa.string()), ("args", pa.list_(ARG)), ("line", pa.int32()), ("offset", pa.int32()), ("snippet", pa.string()), ("owner", pa.string()), ("generic", pa.string()), ("root", pa.string()), ("scope", pa.int32()), ("frames", pa.list_(pa.string()))])
 SITES = "path string, lang string, callee string, args array<struct<kind: string, kw: string, text: string, s: string, i: bigint>>, line int, offset int, snippet string, owner string, generic string, root string, scope int, frames array<string>"
 
-_HASH_COMMENTS = {"python"}
-_TOKEN = re.compile(r"""(?P<skip>/\*.*?\*/|//[^\n]*)|(?P<str>[rbuf@]{0,2}(?:'''.*?'''|\"\"\".*?\"\"\"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`]*`))|(?P<call>(?:\bnew\s+)?[A-Za-z_][\w]*(?:\s*(?:\.|::|->)\s*[A-Za-z_]\w*)*(?:::<(?:[^()<>]|<[^()<>]*>)*>)?\s*\()|(?P<open>[\[({])|(?P<close>[\])}])""", re.S)
-_TOKEN_HASH = re.compile(_TOKEN.pattern.replace(r"/\*.*?\*/|//[^\n]*", r"\#[^\n]*"), re.S)
-_KEYWORDS = {"if", "for", "while", "switch", "return", "catch", "elif", "and", "or", "not", "in", "func", "def", "fn", "class", "sizeof", "match"}
-_NUMBER = re.compile(r"-?\d+\Z")
-
-
-def _argument(text: str) -> dict:
-    text = text.strip()
-    kw = None
-    if m := re.match(r"([A-Za-z_]\w*)\s*(?:=(?!=)|:(?!:))\s*(.+)\Z", text, re.S):
-        kw, text = m[1], m[2].strip()
-    string = re.match(r"[rbuf@]{0,2}(['\"`])(.*)\1\Z", text, re.S)
-    if string and string[1] not in re.sub(r"\\.", "", string[2], flags=re.S):
-        return {"kind": "str", "kw": kw, "text": text, "s": string[2], "i": None}
-    if _NUMBER.match(text) and abs(int(text)) < 2**63:
-        return {"kind": "int", "kw": kw, "text": text, "s": None, "i": int(text)}
-    kind = "call" if re.match(r"[\w.:>\- ]+\(", text) else "name" if re.match(r"&?[A-Za-z_][\w.:]*\Z", text) else "other"
-    return {"kind": kind, "kw": kw, "text": text, "s": None, "i": None}
-
-
-_LIST_HEAD = re.compile(r"(?:\]\s*[\w.*]*|\bmap\[[^{}]*)$")
-
-
-def _kind(text: str, at: int, char: str) -> str:
-    """What an opening bracket opens: list (a literal of a slice, array or map), struct, object, array or block."""
-    before = text[max(0, at - 80) : at]
-    if char != "{":
-        return "array" if char == "[" else "group"
-    if _LIST_HEAD.search(before):
-        return "list"
-    if before[-1:].isalnum() or before[-1:] == "_":
-        return "struct"
-    return "object" if before.rstrip()[-1:] in ("(", ",", "=", ":", "[") else "block"
-
-
-_KEYED, _QUOTED_KEY = re.compile(r"[\w\"'\])]\s*:\s*[&*\w.]*$"), re.compile(r"['\"]\s*:\s*$")
-
-
-def _frames(text: str, stack: list[dict], at: int) -> list[str]:
-    out, inner = [], at
-    for x in reversed(stack[-6:]):
-        element = text[max(x["from"], inner - 120) : inner]  # its end says what is before the site
-        if x["kind"] in ("struct", "object", "list") and _KEYED.search(element) or x["kind"] == "block" and _QUOTED_KEY.search(element):
-            out.append("pair")
-        out.append(f"call:{x['callee']}" if x["kind"] == "call" else x["kind"])
-        inner = x["at"]
-    line = text[max(at - 400, text.rfind("\n", 0, at) + 1) : at]
-    if re.search(r"(?:==|!=)=?\s*$", line):
-        out.insert(0, "compare")
-    if re.search(r"(?:\b(?:const|var|let|final|static)\b[^;{}()]*|^\s*[\w.<>\[\]]+\s+\w+\s*)=\s*$", line):
-        out.append("declaration")
+#: Bytes of source text of one language that are scanned at once, and of a line that a snippet shows.
+SLICE, SNIPPET = 1 << 20, 512
+
+
+def texts_by_language(paths: pa.Array, langs: pa.Array, contents: pa.Array):
+    """(rows, Source) of slices of files of one language; a null text is empty."""
+    groups: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs.to_pylist()):
+        groups.setdefault(lang or "", []).append(i)
+    contents = contents.cast(pa.large_binary())
+    for lang, rows in groups.items():
+        held, size = [], 0
+        for i in rows:
+            text = contents[i].as_py() or b""
+            held.append((i, text.replace(b"\0", b" ") if b"\0" in text else text))
+            size += len(text)
+            if size >= SLICE:
+                yield np.array([r for r, _ in held]), Source([t for _, t in held], lang)
+                held, size = [], 0
+        if held:
+            yield np.array([r for r, _ in held]), Source([t for _, t in held], lang)
+
+
+def cut_text(source: Source, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The pieces of the text as strings."""
+    lens = np.maximum(last - first, 0)
+    ends = np.cumsum(lens)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - lens), lens)
+    edges = pa.array(np.append(0, ends), pa.int64())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, edges.buffers()[1], pa.py_buffer(source.raw_array[at].tobytes())]).cast(pa.large_string()).cast(pa.string())
+
+
+def _first_outside(places: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
+    """The first of the sorted places from ``at`` on."""
+    k = np.searchsorted(places, at)
+    return np.where(k < len(places), places[np.minimum(k, max(len(places) - 1, 0))] if len(places) else none, none)
+
+
+def arguments(source: Source, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into nodes, first, last) of the elements of these brackets, trimmed; elements of blanks alone are none."""
+    of = np.full(len(source.open), -1)
+    of[nodes] = np.arange(len(nodes))
+    own = of[source.comma_in] if len(source.comma_in) else np.zeros(0, np.int64)
+    own = np.where(source.comma_in >= 0, own, -1) if len(own) else own
+    commas, at = own[own >= 0], source.comma_at[own >= 0]
+    which, first = np.append(np.arange(len(nodes)), commas), np.append(source.open[nodes], at) + 1
+    order = np.lexsort((first, which))
+    which, first = which[order], first[order]
+    last = np.append(first[1:] - 1, 0)
+    ending = np.append(which[1:] != which[:-1], True)[: len(which)]
+    last[ending] = source.close[nodes][which[ending]]
+    first, last = source.after(first), source.before(last) + 1
+    full = first < last
+    return which[full], first[full], last[full]
+
+
+def argument_structs(source: Source, first: np.ndarray, last: np.ndarray) -> pa.StructArray:
+    """ARG of each element [first, last) of the text."""
+    code, n = source.array, len(source.array)
+    # A name and ``=`` or ``:`` before the value.
+    named = _LETTER[code[first]] if len(first) else np.zeros(0, bool)
+    stop = _first_outside(source.places("word"), first, n - 1)
+    sign = source.after(stop)
+    c, d = code[sign] if len(sign) else sign, code[np.minimum(sign + 1, n - 1)] if len(sign) else sign
+    keyword = named & (sign < last - 1) & ((c == 61) & (d != 61) & (d != 62) | (c == 58) & (d != 58))
+    value = np.where(keyword, source.after(sign + 1), first)
+    keyword &= value < last
+    value = np.where(keyword, value, first)
+    k = np.minimum(np.searchsorted(source.strings[:, 0], value), max(len(source.strings) - 1, 0))
+    literal = (source.strings[k, 0] == value) & (source.strings[k, 1] == last) if len(source.strings) else np.zeros(len(value), bool)
+    body = (source.strings[k, 3], source.strings[k, 4]) if len(source.strings) else (value, value)
+    signed = value + (code[value] == 45 if len(value) else 0)
+    number = (signed < last) & (_first_outside(source.places("digit"), signed, n) >= last) & (last - signed <= 19)
+    begin = value + (code[value] == 38 if len(value) else 0)
+    name = (_LETTER[code[begin]] if len(begin) else np.zeros(0, bool)) & (_first_outside(source.places("path"), begin, n) >= last)
+    open_ = _first_outside(source.places("callee"), value, n - 1)
+    call = (open_ > value) & (open_ < last) & (code[open_] == 40 if len(open_) else False)
+    call |= np.isin(value, source.start)
+    texts = cut_text(source, value, last)
+    whole = np.array([0 if not x else int(t) if abs(int(t)) < 2**63 else None for x, t in zip(number.tolist(), texts.to_pylist())], object) if number.any() else np.zeros(len(value), object)
+    number &= np.array([x is not None for x in whole.tolist()], bool) & ~literal
+    kind = np.select([literal, number, call, name], ["str", "int", "call", "name"], "other")
+    nothing = pa.scalar(None, pa.string())
+    values = pa.array([int(x) if ok else None for x, ok in zip(whole.tolist(), number.tolist())], pa.int64())
+    strings = pc.if_else(pa.array(literal), cut_text(source, np.where(literal, body[0], value), np.where(literal, body[1], value)), nothing)
+    words = pc.if_else(pa.array(keyword), cut_text(source, first, np.where(keyword, stop, first)), nothing)
+    return pa.StructArray.from_arrays([pa.array(kind.astype(object), pa.string()), words, texts, strings, values], fields=list(ARG))
+
+
+def _around(source: Source, sites: np.ndarray) -> list[list[str]]:
+    """The frames of each call head."""
+    node = source.node[sites]
+    start, outer = source.start[sites], source.parent[node]
+    chains = source.paths(outer)
+    inside = outer >= 0
+    paired = np.zeros(len(sites), bool)
+    paired[inside] = source.pairs(outer[inside], start[inside])
+    left, right = source.before(start), source.after(source.close[node] + 1)
+    c, b = source.array, source.char(left - 1)
+    compared = (source.char(left) == 61) & ((b == 61) | (b == 33)) & (left > 0)
+    compared |= ((c[right] == 61) | (c[right] == 33)) & (c[np.minimum(right + 1, len(c) - 1)] == 61)
+    assigned = (source.char(left) == 61) & ~compared
+    out = []
+    for i, k in enumerate(outer.tolist()):
+        frames = list(chains.get(k, ()))
+        if paired[i]:
+            frames.insert(0, "pair")
+        if compared[i]:
+            frames.insert(0, "compare")
+        if assigned[i] and source.declaring(int(left[i])):
+            frames.append("declaration")
+        out.append(frames)
     return out
 
 
-def scan(text: str, lang: str) -> list[dict]:
-    """All calls of a file, in order of their start."""
-    stack: list[dict] = []  # open brackets, where they and their current element begin; a call's has its callee
-    out: list[dict] = []
-    lines, counted, closed = 1, 0, (-1, "")  # closed: where the last call ended, and the root of its chain
-
-    def close_argument(top: dict, end: int) -> None:
-        part = text[top["from"] : end]
-        if part.strip():
-            top["args"].append(_argument(part))
-
-    tokens = _TOKEN_HASH if lang in _HASH_COMMENTS else _TOKEN
-    pos = 0
-    for m in tokens.finditer(text):
-        if stack:  # commas since the last token belong to the innermost bracket
-            for comma in re.finditer(",", text[pos : m.start()]):
-                if stack[-1]["kind"] == "call":
-                    close_argument(stack[-1], pos + comma.start())
-                stack[-1]["from"] = pos + comma.end()
-        pos = m.end()
-        if m["call"]:
-            raw = re.sub(r"\s*(\.|::|->)\s*", r"\1", m["call"][:-1].strip())
-            generic = re.search(r"::<(.*)>", raw)
-            callee = re.sub(r"\s+", " ", re.sub(r"::<.*>", "", raw))
-            if callee in _KEYWORDS:
-                stack.append({"kind": "group", "from": m.end(), "at": m.start()})
-                continue
-            lines += text.count("\n", counted, m.start())
-            counted = m.start()
-            end = text.find("\n", m.start())
-            owner = next((x["callee"] for x in reversed(stack) if x["kind"] == "call"), None)
-            before = text[max(0, m.start() - 200) : m.start()].rstrip()
-            chained = before.endswith(".") and m.start() - 200 < closed[0] and not text[closed[0] : m.start()].strip(" \t\r\n.")
-            scope = next((x["at"] for x in stack if x["kind"] == "block"), -1)
-            site = {
-                "callee": callee, "args": [], "line": lines, "offset": m.start(), "snippet": text[m.start() : end if end >= 0 else len(text)].rstrip(), "owner": owner,
-                "generic": generic[1] if generic else None, "root": closed[1] if chained else callee, "scope": scope, "frames": _frames(text, stack, m.start()),
-            }
-            out.append(site)
-            stack.append({"kind": "call", "callee": callee, "from": m.end(), "at": m.start(), "args": site["args"], "site": site})
-        elif m["open"]:
-            stack.append({"kind": _kind(text, m.start(), m["open"]), "from": m.end(), "at": m.start()})
-        elif m["close"] and stack:
-            top = stack.pop()
-            if top["kind"] == "call":
-                close_argument(top, m.start())
-                closed = m.end(), top["site"]["root"]
-                if re.match(r"\s*(?:==|!=)", text[m.end() : m.end() + 20]):
-                    top["site"]["frames"].insert(0, "compare")
-    return out
+def sites_of(source: Source) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """The file of each call, and its columns."""
+    sites = np.flatnonzero(source.called)
+    node, start = source.node[sites], source.start[sites]
+    callee = [source.callee[i].decode() for i in sites.tolist()]
+    # The call around it, and the first call of its chain.
+    head = source.head.tolist()
+    up, owner = source.parent.tolist(), []
+    for k in range(len(up)):
+        owner.append(up[k] if up[k] >= 0 and head[up[k]] >= 0 else owner[up[k]] if up[k] >= 0 else -1)
+    dot = source.before(source.start)
+    chained = (source.char(dot) == 46) | (source.char(dot) == 58) & (source.char(dot - 1) == 58)
+    joint = source.before(np.where(source.char(dot) == 46, dot - (source.char(dot - 1) == 63), dot - 1))
+    chained &= source.char(joint) == 41
+    closes, roots = source.closes, list(range(len(source.start)))
+    for i in np.flatnonzero(chained).tolist():
+        k = closes.get(int(joint[i]), -1)
+        if k >= 0 and head[k] >= 0:
+            roots[i] = roots[head[k]]
+    scope = source.outermost("block")[node] if len(node) else node
+    outside = scope < 0
+    line_end = _first_outside(source.newlines, start, len(source.raw) - 1)
+    file_end = np.append(source.file_at[1:], len(source.raw))[source.file_of(start)] - 1 if len(start) else start
+    shown = np.minimum(np.minimum(line_end, file_end), start + SNIPPET)
+    shown = _whole_characters(source, shown)
+    which, first, last = arguments(source, node)
+    counts = np.bincount(which, minlength=len(sites))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), argument_structs(source, first, last))
+    name = lambda i: None if i < 0 else source.callee[head[i]].decode()
+    generic = [None if not (g := source.generic[i]) else g[3:-1].decode() if g.startswith(b"::<") else g[1:-1].decode() for i in sites.tolist()]
+    columns = {
+        "callee": pa.array(callee, pa.string()), "args": lists.cast(pa.list_(ARG)), "line": pa.array(source.line_of(start), pa.int32()), "offset": pa.array(source.offset_of(start), pa.int32()),
+        "snippet": pc.utf8_rtrim_whitespace(cut_text(source, start, shown)), "owner": pa.array([name(owner[k]) for k in node.tolist()], pa.string()), "generic": pa.array(generic, pa.string()),
+        "root": pa.array([source.callee[roots[i]].decode() for i in sites.tolist()], pa.string()), "scope": pa.array(np.where(outside, -1, source.offset_of(np.where(outside, 0, source.open[scope]) if len(scope) else scope)), pa.int32()),
+        "frames": pa.array(_around(source, sites), pa.list_(pa.string())),
+    }
+    return source.file_of(start), columns
+
+
+def _whole_characters(source: Source, at: np.ndarray) -> np.ndarray:
+    """Not inside a character: on to its end."""
+    for _ in range(3):
+        at = at + ((source.raw_array[np.minimum(at, len(source.raw) - 1)] & 0xC0) == 0x80)
+    return at
 
 
 def call_sites(files: DataFrame) -> DataFrame:
-    """SITES of files (path, lang, content as text)."""
+    """SITES of files (path, lang, content as text): calls only, not headers of functions, prototypes or patterns."""
 
     def run(batches):
         for batch in batches:
-            rows = {n: [] for n in ROW.names}
-            for path, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for s in scan(text or "", lang):
-                    for n in ROW.names:
-                        rows[n].append(path if n == "path" else lang if n == "lang" else s[n])
-            yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in ROW], schema=ROW)
+            for rows, source in texts_by_language(*batch.columns):
+                file, columns = sites_of(source)
+                own = pa.array(rows[file])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(columns[n] for n in ROW.names[2:])], schema=ROW)
 
-    return files.select("path", "lang", "content").mapInArrow(run, SITES)
+    return files.select("path", "lang", F.col("content").cast("string").alias("content")).mapInArrow(run, SITES)
 
 
 def nth_string(args: Column, n: int) -> Column:
@@ -157,7 +215,8 @@ def nth_integer(args: Column, n: int) -> Column:
 def nth_member(args: Column, n: int) -> Column:
     """Last segment of a dotted argument."""
     a = F.try_element_at(args, F.lit(n + 1))
-    return F.when(a["kind"].isin("name", "call"), F.regexp_extract(a["text"], r"([A-Za-z_]\w*)\s*(?:\(.*)?$", 1))
+    text = F.regexp_replace(a["text"], r"::<[^()]*>(?=\s*\()", "")
+    return F.when(a["kind"].isin("name", "call"), F.regexp_extract(text, r"([A-Za-z_]\w*)\s*(?:\(.*)?$", 1))
 
 
 def keyword(args: Column, name: str) -> Column:
@@ -216,6 +275,10 @@ def go_apis(sites: DataFrame) -> DataFrame:
 GO_PQ_FAMILIES = {"dilithium": "ML-DSA (circl dilithium)", "mldsa": "ML-DSA (circl mldsa)", "slhdsa": "SLH-DSA (circl slhdsa)"}
 
 
+#: Fixed value: the sentence of a note, around the family and the line.
+PQ_NOTE = (" This function also calls ", " at line ", " — the classical component alone is insufficient to forge a signature accepted by this code.")
+
+
 def pq_notes(sites: DataFrame, files: DataFrame) -> DataFrame:
     """Classical signature operations among the sites (as of ``go_apis``) with ``pq_note``: what post-quantum signature the same function
     also makes or checks, empty where it does not. Joined by file and function; the first such call counts."""
@@ -228,64 +291,12 @@ def pq_notes(sites: DataFrame, files: DataFrame) -> DataFrame:
     calls = sites.where((F.col("lang") == "go") & F.col("callee").rlike(r"^\w+\.(Sign|Verify)\w*$") & (F.col("scope") >= 0)).withColumn("local", F.split_part("callee", F.lit("."), F.lit(1)))
     hits = calls.join(imports, ["path", "local"]).groupBy("path", "scope").agg(F.min_by(F.struct("family", "line"), "offset").alias("pq"))
     classical = go_apis(sites).where(F.col("api").isin("crypto/ed25519.Op", "crypto/ecdsa.Op"))
-    note = F.concat(F.lit(" This function also calls "), "pq.family", F.lit(" at line "), F.col("pq.line").cast("string"), F.lit(" — the classical component alone is insufficient to forge a signature accepted by this code."))
+    note = F.concat(F.lit(PQ_NOTE[0]), "pq.family", F.lit(PQ_NOTE[1]), F.col("pq.line").cast("string"), F.lit(PQ_NOTE[2]))
     return classical.join(hits, ["path", "scope"], "left").withColumn("pq_note", F.coalesce(note, F.lit(""))).drop("pq")
 
 
 #: JOSE algorithm names that a switch or a registration is looked for.
 JOSE_NAMES = ["RS256", "RS384", "RS512", "PS256", "PS384", "PS512", "ES256", "ES384", "ES512", "EdDSA", "HS256", "HS384", "HS512", "none", "RSA-OAEP", "RSA-OAEP-256", "A256GCM", "A192GCM", "A128GCM"]
-LITERALS = "path string, value string, kind string, line int, offset int, scope int, scopes array<int>, snippet string"
-
-
-def literals(text: str) -> list[tuple]:
-    """String literals of a Go file that a case begins with (kind switch) or that stand in a registration (register):
-    an element, an argument, a declaration's or assignment's value, not inside a switch. scope is the nearest bracket that
-    declares names together (const, var, a literal, a switch, a block), scopes are all of them."""
-    stack: list[tuple] = []  # (offset, is a scope, is a switch)
-    out, lines, counted = [], 1, 0
-    for m in _TOKEN.finditer(text):
-        if m["str"] and m["str"][0] in "\"`":
-            before, after = text[max(0, m.start() - 200) : m.start()], text[m.end() : m.end() + 80].lstrip(" \t")
-            line = before[before.rfind("\n") + 1 :]
-            scopes = [x[0] for x in stack if x[1]]
-            if re.match(r"\s*(?:const|var)\s+\w+[^({]*=\s*$", line):
-                scopes.append(m.start())
-            kind = None
-            if re.search(r"\bcase\s*$", before):
-                kind = "switch"
-            elif not any(x[2] for x in stack) and re.search(r"(?:[{(,]|(?<![=!<>:])=|:=|(?<!:):|\breturn)\s*$", before) and re.match(r"[,)}\n;:]|//|$", after):
-                kind = "register"
-            if kind:
-                begin = before.rfind("case") - len(before) if kind == "switch" else 0
-                snippet = text[m.start() + begin : m.end()] if kind == "register" else text[m.start() + begin :].split("\n", 1)[0]
-                lines += text.count("\n", counted, m.start())
-                counted = m.start()
-                out.append((m["str"][1:-1], kind, lines, m.start() + begin, scopes[-1] if scopes else -1, scopes, snippet))
-        elif m["call"] or m["open"]:
-            head = text[max(0, m.start() - 200) : m.start()]
-            paren = m["call"] or m["open"] != "{"
-            declares = m["open"] == "(" and re.search(r"\b(?:const|var)\s*$", head) or m["call"] and re.match(r"(?:const|var)\s*\($", m["call"])
-            stack.append((m.start(), bool(declares or not paren), not paren and bool(re.search(r"\bswitch\b[^{}]*$", head))))
-        elif m["close"] and stack:
-            stack.pop()
-    return out
-
-
-def jose_names(files: DataFrame) -> DataFrame:
-    """path, api, value, line, offset, snippet: JOSE names that Go files switch on or register. ``none``, also a plain word,
-    counts only where its nearest scope holds another of the names (a semi join by file and scope)."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [(path, *row) for path, text in zip(*(c.to_pylist() for c in batch.columns)) for row in literals(text or "")]
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in LITERALS.split(", ")])
-
-    found = files.where("lang = 'go'").select("path", "content").mapInArrow(run, LITERALS).where(F.col("value").isin(JOSE_NAMES))
-    others = found.where("value <> 'none'").select("path", F.explode("scopes").alias("scope")).distinct()
-    sure = found.where("value <> 'none'").unionByName(found.where("value = 'none' AND scope >= 0").join(others, ["path", "scope"], "left_semi").select(*found.columns))
-    api = F.concat(F.when(F.col("kind") == "switch", "go.alg-switch.").otherwise("go.alg-register."), "value")
-    return sure.select("path", api.alias("api"), "value", "line", "offset", "snippet")
 
 
 def kem_aliases(content: Column) -> Column:
@@ -342,78 +353,20 @@ def site_context(frames: Column, lang: Column, root: Column | None = None) -> Co
     )
 
 
-def failing_spans(text: str, lang: str) -> list[tuple[int, int]]:
-    """Where a test demands that the only statement of a block or function fails."""
-    if lang == "python":
-        return [m.span(2) for m in re.finditer(r"(?m)^([ \t]*)with\s[^\n]*?raises\([^\n]*\)[^\n]*:[ \t]*\n(\1[ \t]+[^\n]+)(?=\n|\Z)(?!\n(?:[ \t]*\n)*\1[ \t]+\S)", text, re.I)]
-    if lang in ("javascript", "typescript"):
-        arrow = r"(?:async\s*)?(?:\([^()]*\)|\w+)\s*=>\s*"
-        body = r"(\{\s*[^;{}]*;?\s*\}|[^{;]*?)"
-        return [m.span(1) for m in re.finditer(rf"\bexpect\(\s*{arrow}{body}\s*\)(?:\.\w+){{0,3}}?\.(?:throw|toThrow|toThrowError)\(", text)]
-    return []
-
-
-def asserted_to_fail(files: DataFrame) -> DataFrame:
-    """path, start, stop of the spans in which a test demands failure; sites inside them are test assertions."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [(path, a, b) for path, lang, text in zip(*(c.to_pylist() for c in batch.columns)) for a, b in failing_spans(text or "", lang)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2))], ["path", "start", "stop"])
-
-    return files.select("path", "lang", "content").mapInArrow(run, "path string, start int, stop int")
-
-
 def with_context(sites: DataFrame, files: DataFrame) -> DataFrame:
     """Adds ``context`` (of ``site_context``, or TestAssertion where a test demands that the call fails)."""
+    from .shapes import asserted_to_fail
+
     spans = asserted_to_fail(files).groupBy("path").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # of one file
     failing = F.coalesce(F.exists("spans", lambda x: (x["start"] <= F.col("offset")) & (F.col("offset") < x["stop"])), F.lit(False))
     context = F.when(failing, "TestAssertion").otherwise(site_context(F.col("frames"), F.col("lang")))
     return sites.join(spans, "path", "left").withColumn("context", context).drop("spans")
 
 
-#: Constants of Go's ssh package and the names they stand for.
-SSH_EXCHANGES = {"KeyExchangeMLKEM768X25519": "mlkem768x25519-sha256", "KeyExchangeCurve25519": "curve25519-sha256", "KeyExchangeECDHP256": "ecdh-sha2-nistp256", "KeyExchangeECDHP384": "ecdh-sha2-nistp384", "KeyExchangeECDHP521": "ecdh-sha2-nistp521"}
-
-
-#: Settings that list algorithms: language, api, pattern of the setting (its body captured), pattern of an
-#: element of the body (captured).
-SETTINGS = [
-    ("go", "tls.Config.MinVersion", r"MinVersion\s*:\s*(tls\.\w+)", r"tls\.(\w+)"),
-    ("go", "tls.Config.CurvePreferences", r"CurvePreferences\s*:\s*\[\]tls\.CurveID\s*\{([^}]*)\}", r"tls\.(\w+)"),
-    ("go", "tls.Config.SupportedSignatureAlgorithms", r"SupportedSignatureAlgorithms\s*:\s*\[\]tls\.SignatureScheme\s*\{([^}]*)\}", r"tls\.(\w+)"),
-    ("go", "ssh.Config.KeyExchanges", r"KeyExchanges\s*:\s*\[\]string\s*\{([^}]*)\}", r"(?:\"|\bssh\.)([^\",\s]+)"),
-    ("java", "setNamedGroups", r"setNamedGroups\s*\([^{)]*\{([^}]*)\}", r"\"([^\"]+)\""),
-    ("java", "jdk.tls.namedGroups", r"setProperty\s*\(\s*\"jdk\.tls\.namedGroups\"\s*,\s*\"([^\"]*)\"", r"\s*([^,\s]+)"),
-    ("java", "TlsUtils.addIfSupported", r"addIfSupported\s*\([^{)]*\{([^}]*)\}", r"NamedGroup\.(\w+)"),
-    ("c", "SSL_set1_groups_list", r"SSL_(?:CTX_)?set1_groups_list\s*\([^,]*,\s*\"([^\"]*)\"", r"[*?\-]*([^/:*?\-][^/:]*)"),
-    ("c", "SSL_CONF_cmd", r"SSL_CONF_cmd\s*\([^,]*,\s*\"(?:Groups|Curves)\"\s*,\s*\"([^\"]*)\"", r"[*?\-]*([^/:*?\-][^/:]*)"),
-    ("rust", "kx_groups", r"kx_groups\s*:\s*(?:vec!)?\s*&?\[([^\]]*)\]", r"(\w+)\s*(?:,|$)"),
-    ("rust", "kx_groups", r"(?:const|static)\s+\w*KX_GROUPS\w*\s*:[^=;]*=\s*&?\s*\[([^\]]*)\]", r"(\w+)\s*(?:,|$)"),
-    ("rust", "rustls_post_quantum", r"(rustls_post_quantum::DEFAULT_PROVIDER)\b", r"(rustls_post_quantum)"),
-    ("rust", "SignatureScheme", r"SignatureScheme::(ML_DSA_\d+)", r"(\w+)"),
-    ("rust", "Ciphersuite", r"Ciphersuite::(\w*(?:MLKEM|XWING)\w*)", r"(\w+)"),
-]
-
-
-def listed_settings(files: DataFrame) -> DataFrame:
-    """path, lang, api, value: a row for each element that a setting lists. Patterns are constants of the plan, so each
-    file is read once; C settings hold for C++ too."""
-    body = lambda s: F.transform(F.regexp_extract_all("content", F.lit(s[2]), 1), lambda b: F.regexp_extract_all(b, F.lit(s[3]), 1))
-    own = lambda s: F.col("lang").isin("c", "cpp") if s[0] == "c" else F.col("lang") == s[0]
-    none = F.array().cast("array<struct<api:string,value:string>>")
-    tagged = lambda api: lambda v: F.struct(F.lit(api).alias("api"), v.alias("value"))
-    found = [F.when(own(s), F.transform(F.flatten(body(s)), tagged(s[1]))).otherwise(none) for s in SETTINGS]
-    rows = files.select("path", "lang", F.explode(F.concat(*found)).alias("f")).select("path", "lang", "f.api", "f.value")
-    value = F.when(F.col("value").startswith("KeyExchange"), lookup(SSH_EXCHANGES, F.col("value"))).otherwise(F.col("value"))
-    provider = F.col("api") == "rustls_post_quantum"
-    rows = rows.withColumns({"api": F.when(provider, "kx_groups").otherwise(F.col("api")), "value": F.when(provider, "X25519MLKEM768").otherwise(value)})
-    return rows.where("value IS NOT NULL AND value <> 'DEFAULT'")
-
-
 def bindings(content: Column, lang: Column) -> Column:
     """map<string, string>: names that a file imports on their own, and what they stand for (module.name)."""
-    part = lambda text, sep: F.transform(F.split(text, ","), lambda x: F.split(F.trim(x), sep))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"#[^\n]*", ""), r"^\s+|\s+$", "")
+    part = lambda text, sep: F.transform(F.split(F.regexp_replace(text, r"#[^\n]*", ""), ","), lambda x: F.split(bare(x), sep))
 
     def entries(lines, module, names, sep):
         def one(line):
@@ -422,7 +375,9 @@ def bindings(content: Column, lang: Column) -> Column:
 
         return F.filter(F.flatten(F.transform(lines, one)), lambda e: e["key"] != "")
 
-    python = entries(F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]+[\w \t,]+"), 0), r"from\s+([\w.]+)", r"import\s+(.+)$", r"\s+as\s+")
+    line = entries(F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]+[\w \t,]+"), 0), r"from\s+([\w.]+)", r"import\s+(.+)$", r"\s+as\s+")
+    block = entries(F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]*\([^)]*\)"), 0), r"from\s+([\w.]+)", r"(?s)import\s*\((.*)\)", r"\s+as\s+")
+    python = F.concat(line, block)
     esm = entries(F.regexp_extract_all(content, F.lit(r"import\s*\{[^}]*\}\s*from\s*['\"][^'\"]+['\"]"), 0), r"from\s*['\"](?:node:)?([^'\"]+)", r"\{([^}]*)\}", r"\s+as\s+")
     cjs = entries(F.regexp_extract_all(content, F.lit(r"\{[^{}]*\}\s*=\s*require\(\s*['\"][^'\"]+['\"]"), 0), r"require\(\s*['\"](?:node:)?([^'\"]+)", r"\{([^}]*)\}", r"\s*:\s*")
     all_js = F.concat(esm, cjs)
@@ -495,24 +450,3 @@ def captures(sites: DataFrame, table: DataFrame) -> DataFrame:
 
     entries = F.filter(F.transform("rules", value), lambda e: e["value"]["i"].isNotNull() | e["value"]["s"].isNotNull())
     return sites.join(rules, ["lang", "api"], "left").withColumn("captured", F.map_from_entries(F.coalesce(entries, F.array().cast("array<struct<key:string,value:struct<i:bigint,s:string>>>")))).drop("rules")
-
-
-def constants(files: DataFrame, owners: list[str]) -> DataFrame:
-    """path, lang, owner, member: each ``Owner.MEMBER`` or ``Owner::MEMBER`` of the named owners outside a longer name."""
-    names = "|".join(map(re.escape, owners))
-    whole = F.explode(F.regexp_extract_all("content", F.lit(rf"(?:^|[^\w.:])((?:{names})(?:\.|::)[A-Z]\w*)"), 1)).alias("c")
-    parts = F.split("c", r"\.|::")
-    return files.select("path", "lang", whole).select("path", "lang", parts[0].alias("owner"), parts[1].alias("member"))
-
-
-def composites(files: DataFrame, types: list[str]) -> DataFrame:
-    """path, lang, type: each composite literal ``pkg.Type{`` of the named types."""
-    names = "|".join(map(re.escape, types))
-    return files.select("path", "lang", F.explode(F.regexp_extract_all("content", F.lit(rf"(?:^|[^\w.])({names})\s*\{{"), 1)).alias("type"))
-
-
-def foreign_keys(content: Column, package: str, constructors: list[str]) -> Column:
-    """True where a file imports a package and never constructs with it: its keys come from elsewhere."""
-    imports = content.rlike(rf"import[^;]*?\"{re.escape(package)}\"")
-    names = "|".join(map(re.escape, constructors))
-    return imports & ~content.rlike(rf"\b(?:{names})\s*\(")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import dims
-from .operators import certs, extract, manifests
+from .operators import certs, extract, manifests, shapes
 from .queries import _text, pick, read, register
 
 COLUMNS = ("key", "api", "value", "line")
@@ -158,7 +158,7 @@ JOSE = [
 
 @over("orders", "o_orderkey", "go", JOSE)
 def jose_names(files):
-    return extract.jose_names(files).select("path", "api", "value", "line")
+    return shapes.jose_names(files).select("path", "api", "value", "line")
 
 
 PQ = [
@@ -243,38 +243,38 @@ def site_contexts(files):
 
 
 def settings(files: DataFrame) -> DataFrame:
-    return extract.listed_settings(files).select("path", "api", "value", F.lit(0).alias("line"))
+    return shapes.listed_settings(files).select("path", "api", "value", F.lit(0).alias("line"))
 
 
 @over("supplier", "s_suppkey", "go", [
-    ("c.KeyExchanges = x\ncfg := ssh.Config{KeyExchanges: []string{ssh.KeyExchangeMLKEM768X25519, \"kex-{n}\", ssh.KeyExchangeUnknown, ssh.KeyExchangeECDHP256}}", [("ssh.Config.KeyExchanges", "mlkem768x25519-sha256", 0), ("ssh.Config.KeyExchanges", "kex-{n}", 0), ("ssh.Config.KeyExchanges", "ecdh-sha2-nistp256", 0)]),
-    ("tls.Certificate{SupportedSignatureAlgorithms: []tls.SignatureScheme{tls.Ed25519,\n tls.PSSWithSHA{n}}}", [("tls.Config.SupportedSignatureAlgorithms", "Ed25519", 0), ("tls.Config.SupportedSignatureAlgorithms", "PSSWithSHA{n}", 0)]),
+    ("c.KeyExchanges = x\ncfg := ssh.Config{KeyExchanges: []string{ssh.KeyExchangeMLKEM768X25519, \"kex-{n}\", ssh.KeyExchangeUnknown, ssh.KeyExchangeECDHP256}}", [("golang.org/x/crypto/ssh.Config.KeyExchanges", "mlkem768x25519-sha256", 0), ("golang.org/x/crypto/ssh.Config.KeyExchanges", "kex-{n}", 0), ("golang.org/x/crypto/ssh.Config.KeyExchanges", "ecdh-sha2-nistp256", 0)]),
+    ("tls.Certificate{SupportedSignatureAlgorithms: []tls.SignatureScheme{tls.Ed25519,\n tls.PSSWithSHA{n}}}", [("crypto/tls.Certificate.SupportedSignatureAlgorithms", "Ed25519", 0), ("crypto/tls.Certificate.SupportedSignatureAlgorithms", "PSSWithSHA{n}", 0)]),
 ])
 def settings_go(files):
     return settings(files)
 
 
 @over("supplier", "s_suppkey", "java", [
-    ("p.setNamedGroups(new String[] {\"X25519\", \"secp{n}r1\"});", [("setNamedGroups", "X25519", 0), ("setNamedGroups", "secp{n}r1", 0)]),
-    ("System.setProperty(\"jdk.tls.namedGroups\", \"x25519, ,g{n}\");\nSystem.setProperty(\"other\", \"a\");", [("jdk.tls.namedGroups", "x25519", 0), ("jdk.tls.namedGroups", "g{n}", 0)]),
-    ("TlsUtils.addIfSupported(v, crypto, new int[]{ NamedGroup.x25519, NamedGroup.g{n} });", [("TlsUtils.addIfSupported", "x25519", 0), ("TlsUtils.addIfSupported", "g{n}", 0)]),
+    ("p.setNamedGroups(new String[] {\"X25519\", \"secp{n}r1\"});", [("javax.net.ssl.SSLParameters.setNamedGroups", "X25519", 0), ("javax.net.ssl.SSLParameters.setNamedGroups", "secp{n}r1", 0)]),
+    ("System.setProperty(\"jdk.tls.namedGroups\", \"x25519, ,g{n}\");\nSystem.setProperty(\"other\", \"a\");", [("javax.net.ssl.SSLParameters.setNamedGroups", "x25519", 0), ("javax.net.ssl.SSLParameters.setNamedGroups", "g{n}", 0)]),
+    ("TlsUtils.addIfSupported(v, crypto, new int[]{ NamedGroup.x25519, NamedGroup.g{n} });", [("org.bouncycastle.tls.NamedGroup", "x25519", 0), ("org.bouncycastle.tls.NamedGroup", "g{n}", 0)]),
 ])
 def settings_java(files):
     return settings(files)
 
 
 @over("supplier", "s_suppkey", "cpp", [
-    ("SSL_CTX_set1_groups_list(ctx, \"*P-521:?X{n}/DEFAULT\");", [("SSL_set1_groups_list", "P-521", 0), ("SSL_set1_groups_list", "X{n}", 0)]),
-    ("SSL_CONF_cmd(c, \"Curves\", \"-A{n}:B\"); SSL_CONF_cmd(c, \"Other\", \"C\");", [("SSL_CONF_cmd", "A{n}", 0), ("SSL_CONF_cmd", "B", 0)]),
+    ("SSL_CTX_set1_groups_list(ctx, \"*P-521:?X{n}/DEFAULT\");", [("openssl.SSL_CTX_set1_groups_list", "P-521", 0), ("openssl.SSL_CTX_set1_groups_list", "X{n}", 0)]),
+    ("SSL_CONF_cmd(c, \"Curves\", \"-A{n}:B\"); SSL_CONF_cmd(c, \"Other\", \"C\");", [("openssl.SSL_CTX_set1_groups_list", "A{n}", 0), ("openssl.SSL_CTX_set1_groups_list", "B", 0)]),
 ])
 def settings_c(files):
     return settings(files)
 
 
 @over("supplier", "s_suppkey", "rust", [
-    ("CryptoProvider { kx_groups: vec![X25519, kx_group::G{n}], ..d }", [("kx_groups", "X25519", 0), ("kx_groups", "G{n}", 0)]),
-    ("pub static ALL_KX_GROUPS: &[&dyn SupportedKxGroup] = &[A{n}, x::B];\nuse(rustls_post_quantum::DEFAULT_PROVIDER)", [("kx_groups", "A{n}", 0), ("kx_groups", "B", 0), ("kx_groups", "X25519MLKEM768", 0)]),
-    ("let s = SignatureScheme::ML_DSA_65; let o = SignatureScheme::RSA_{n};\nCiphersuite::MLS_128_XWING_{n}", [("SignatureScheme", "ML_DSA_65", 0), ("Ciphersuite", "MLS_128_XWING_{n}", 0)]),
+    ("CryptoProvider { kx_groups: vec![X25519, kx_group::G{n}], ..d }", [("rustls.CryptoProvider.kx_groups", "X25519", 0), ("rustls.CryptoProvider.kx_groups", "G{n}", 0)]),
+    ("pub static ALL_KX_GROUPS: &[&dyn SupportedKxGroup] = &[A{n}, x::B];\nuse(rustls_post_quantum::DEFAULT_PROVIDER)", [("rustls.CryptoProvider.kx_groups", "A{n}", 0), ("rustls.CryptoProvider.kx_groups", "B", 0), ("rustls.CryptoProvider.kx_groups", "X25519MLKEM768", 0)]),
+    ("let s = SignatureScheme::ML_DSA_65; let o = SignatureScheme::RSA_{n};\nCiphersuite::MLS_128_XWING_{n}", [("rustls.SignatureScheme", "ML_DSA_65", 0), ("openmls.Ciphersuite", "MLS_128_XWING_{n}", 0)]),
 ])
 def settings_rust(files):
     return settings(files)
@@ -285,7 +285,7 @@ def settings_rust(files):
     ("JWEAlgorithm.RSA_OAEP_{n}; Other.HS256; xJWEAlgorithm.A", [("JWEAlgorithm", "RSA_OAEP_{n}", 0)]),
 ])
 def enum_members(files):
-    return extract.constants(files, ["SignatureAlgorithm", "JWEAlgorithm"]).select("path", F.col("owner").alias("api"), F.col("member").alias("value"), F.lit(0).alias("line"))
+    return shapes.constants(files, ["SignatureAlgorithm", "JWEAlgorithm"]).select("path", F.col("owner").alias("api"), F.col("member").alias("value"), F.lit(0).alias("line"))
 
 
 @over("supplier", "s_suppkey", "go", [
@@ -294,8 +294,8 @@ def enum_members(files):
     ("import \"crypto/mldsa\"\nvar k{n} = mldsa.GenerateKey(p)", []),
 ])
 def go_shapes(files):
-    made = extract.composites(files, ["oqs.KeyEncapsulation", "oqs.Signature"]).select("path", F.lit("composite").alias("api"), F.col("type").alias("value"), F.lit(0).alias("line"))
-    foreign = files.where(extract.foreign_keys(F.col("content"), "crypto/mldsa", ["mldsa.GenerateKey"])).select("path", F.lit("foreign key").alias("api"), F.lit("crypto/mldsa").alias("value"), F.lit(0).alias("line"))
+    made = shapes.composites(files, ["oqs.KeyEncapsulation", "oqs.Signature"]).select("path", F.lit("composite").alias("api"), F.col("type").alias("value"), F.lit(0).alias("line"))
+    foreign = shapes.foreign_keys(files, "crypto/mldsa", ["mldsa.GenerateKey"]).where("foreign").select("path", F.lit("foreign key").alias("api"), F.lit("crypto/mldsa").alias("value"), F.lit(0).alias("line"))
     mu = extract.call_sites(files).where(extract.passes(F.col("args"), "crypto.MLDSAMu")).select("path", F.lit("mu").alias("api"), F.col("callee").alias("value"), "line")
     return made.unionByName(foreign).unionByName(mu)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import classify, extract
+from .operators import classify, extract, shapes
 from .queries import _FNV, _list, pick, read, register
 
 #: A small rule pack, enough to exercise order, predicates, contexts, imports and templates.
@@ -97,9 +97,9 @@ def source_findings(spark, sf_dir):
 _CURVES = ["X25519", "CurveP256", "X25519MLKEM768"]
 
 
-@register(f"SELECT s_suppkey AS supplier, 'tls.Config.CurvePreferences' AS api, unnest([({_list(_CURVES)})[1 + s_suppkey % 3], ({_list(_CURVES)})[1 + (s_suppkey + 1) % 3]]) AS value FROM supplier UNION ALL SELECT s_suppkey, 'tls.Config.MinVersion', 'VersionTLS1' || CAST(s_suppkey % 4 AS VARCHAR) FROM supplier")
+@register(f"SELECT s_suppkey AS supplier, 'crypto/tls.Config.CurvePreferences' AS api, unnest([({_list(_CURVES)})[1 + s_suppkey % 3], ({_list(_CURVES)})[1 + (s_suppkey + 1) % 3]]) AS value FROM supplier UNION ALL SELECT s_suppkey, 'crypto/tls.Config.MinVersion', 'VersionTLS1' || CAST(s_suppkey % 4 AS VARCHAR) FROM supplier")
 def listed_settings(spark, sf_dir):
     k = F.col("s_suppkey")
     text = F.concat(F.lit("&tls.Config{MinVersion: tls.VersionTLS1"), (k % 4).cast("string"), F.lit(",\n CurvePreferences: []tls.CurveID{tls."), pick(_CURVES, k % 3), F.lit(", tls."), pick(_CURVES, (k + 1) % 3), F.lit("}}"))
     files = read(spark, sf_dir, "supplier").select(k.cast("string").alias("path"), F.lit("go").alias("lang"), text.alias("content"))
-    return extract.listed_settings(files).select(F.col("path").cast("long").alias("supplier"), "api", "value")
+    return shapes.listed_settings(files).select(F.col("path").cast("long").alias("supplier"), "api", "value")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cipherscope import dims, policy
 from cipherscope.functions.text import stable_id
-from cipherscope.operators import certs, classify, corpus, extract, manifests, probes, query, risk
+from cipherscope.operators import certs, classify, corpus, extract, manifests, probes, query, risk, shapes
 from cipherscope.plans import documents
 from cipherscope.sources import files
 from cipherscope.streaming import scans
@@ -258,7 +258,7 @@ def test_imports_and_settings(spark):
     files_ = spark.createDataFrame(rows, "path string, lang string, content string")
     found = {(r.path, r.callee) for r in extract.resolved(extract.call_sites(files_), files_).collect()}
     assert {("a.py", "hashlib.md5"), ("b.js", "crypto.createHash"), ("b.js", "crypto.createHmac")} <= found
-    listed = {(r.path, r.value) for r in extract.listed_settings(files_).collect()}
+    listed = {(r.path, r.value) for r in shapes.listed_settings(files_).collect()}
     assert listed == {("c.cpp", "X25519"), ("c.cpp", "P-256"), ("d.java", "x25519"), ("d.java", "secp256r1")}
 
 
@@ -292,7 +292,7 @@ def test_captures(spark):
     assert tuple(f) == ("X", "mode", True, "h")
     k = sites.where("callee = 'k'").select(extract.property_of(args, 0, "name").alias("n"), extract.property_of(args, 0, "hash").alias("h")).first()
     assert tuple(k) == ("AES-GCM", "SHA-256")
-    assert [(r.owner, r.member) for r in extract.constants(files_, ["JWSAlgorithm"]).collect()] == [("JWSAlgorithm", "RS256")]
-    assert [r.type for r in extract.composites(files_, ["oqs.Signature"]).collect()] == ["oqs.Signature"]
-    own = spark.createDataFrame([('import "crypto/mldsa"\nfunc f(k *mldsa.PrivateKey) {}',), ('import "crypto/mldsa"\nmldsa.GenerateKey()',)], "content string")
-    assert [r[0] for r in own.select(extract.foreign_keys(F.col("content"), "crypto/mldsa", ["mldsa.GenerateKey"])).collect()] == [True, False]
+    assert [(r.owner, r.member) for r in shapes.constants(files_, ["JWSAlgorithm"]).collect()] == [("JWSAlgorithm", "RS256")]
+    assert [r.type for r in shapes.composites(files_, ["oqs.Signature"]).collect()] == ["oqs.Signature"]
+    own = spark.createDataFrame([("a.go", "go", 'import "crypto/mldsa"\nfunc f(k *mldsa.PrivateKey) {}'), ("b.go", "go", 'import "crypto/mldsa"\nvar k = mldsa.GenerateKey()'), ("c.go", "go", '// import "crypto/mldsa"')], "path string, lang string, content string")
+    assert {tuple(r) for r in shapes.foreign_keys(own, "crypto/mldsa", ["mldsa.GenerateKey"]).collect()} == {("a.go", True), ("b.go", False)}
