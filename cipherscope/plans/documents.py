@@ -6,6 +6,9 @@ findings passes through one task.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,6 +170,93 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.repartitionByRange(order).sortWithinPartitions(order).select("value").write.mode("overwrite").text(path)
 
 
+def write_document(parts: DataFrame, order: list[str], head: str, tail: str, path: str) -> str:
+    """Writes one file: head, the ``value`` of all parts in order, tail, each on lines of its own. Returns its path.
+
+    Parts are sorted by ranges and written by tasks; Spark's committer keeps one attempt of each. The parts' files are then
+    streamed one after another into a file beside the target (on HDFS joined by the store itself), which takes the target's
+    name at the end: a reader sees the whole document or none, and a run that is repeated begins anew. No task and no
+    process holds more than a buffer of it."""
+    spark = parts.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    Path = jvm.org.apache.hadoop.fs.Path
+    target, work = Path(path), f"{path}.parts-{uuid.uuid4().hex}"
+    store = target.getFileSystem(conf)
+    parts.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(work)
+    names = sorted(f.getPath().toString() for f in store.listStatus(Path(work)) if f.getPath().getName().startswith("part-") and f.getLen())
+    whole = Path(f"{work}/whole")
+    out = store.create(whole, True)
+    try:
+        out.write(bytearray(f"{head}\n".encode()))
+        joined = store.getScheme() == "hdfs"
+        for name in [] if joined else names:
+            part = store.open(Path(name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+        if not joined:
+            out.write(bytearray(f"{tail}\n".encode()))
+    finally:
+        out.close()
+    if joined:
+        end = store.create(Path(f"{work}/end"), True)
+        end.write(bytearray(f"{tail}\n".encode()))
+        end.close()
+        rest = spark.sparkContext._gateway.new_array(Path, len(names) + 1)
+        for i, name in enumerate([*names, f"{work}/end"]):
+            rest[i] = Path(name)
+        store.concat(whole, rest)
+    store.delete(target, False)
+    if not store.rename(whole, target):
+        raise OSError(f"{path}: cannot take its name")
+    store.delete(Path(work), True)
+    return path
+
+
+def cbom_parts(findings: DataFrame, version: str = "1.7") -> DataFrame:
+    """algorithm_id, seq, value: the components of one document with all their occurrences, in pieces of an occurrence each, so
+    that a component that has most of the findings is in no row and in no task whole. ``seq`` is unique, as in a scan."""
+    heads = component_json(components(findings, version)).select("algorithm_id", F.expr("substr(value, 1, length(value) - 1)").alias("head"))
+    known = findings.join(F.broadcast(algorithms(findings.sparkSession).select(F.col("id").alias("algorithm_id"))), "algorithm_id", "left_semi")
+    ends = known.groupBy("algorithm_id").agg(F.min("seq").alias("first"), F.max("seq").alias("last")).join(heads, "algorithm_id")
+    lowest = ends.agg(F.min("algorithm_id").alias("lowest"))
+    ends = ends.join(F.broadcast(lowest))  # a row an algorithm of the table
+    where = F.to_json(F.struct("location", "line", F.col("snippet").alias("additionalContext")))
+    begins = F.concat(F.when(F.col("algorithm_id") == F.col("lowest"), "").otherwise(","), "head", F.lit(',"evidence":{"occurrences":[\n'))
+    value = F.concat(F.when(F.col("seq") == F.col("first"), begins).otherwise(","), where, F.when(F.col("seq") == F.col("last"), "\n]}}").otherwise(""))
+    return known.join(F.broadcast(ends), "algorithm_id").select("algorithm_id", "seq", value.alias("value"))
+
+
+def write_cbom(findings: DataFrame, path: str, target: str, timestamp: str, version: str = "1.7") -> str:
+    """One CycloneDX document: components by algorithm, occurrences in scan order."""
+    meta = {"timestamp": timestamp, "component": {"type": "application", "name": target}}
+    head = json.dumps({"bomFormat": "CycloneDX", "specVersion": version, "version": 1, "metadata": meta}, separators=(",", ":"))
+    return write_document(cbom_parts(findings, version), ["algorithm_id", "seq"], head[:-1] + ',"components":[', "]}", path)
+
+
+def write_sarif(scored: DataFrame, path: str, tool: str = "cipherscope") -> str:
+    """One SARIF document: the rules found (as many as a rule pack has) in its head, results in scan order."""
+    levels = F.struct(F.col("level").alias("level"))
+    rule = F.struct(
+        F.col("rule_id").alias("id"), F.struct(F.col("short_description").alias("text")).alias("shortDescription"), F.struct(F.col("full_description").alias("text")).alias("fullDescription"),
+        levels.alias("defaultConfiguration"), F.when(F.col("security_severity").isNotNull(), F.struct(F.col("security_severity").alias("security-severity"))).alias("properties"),
+    )
+    rules = [r.value for r in sarif_rules(scored).orderBy("rule_index").select(F.to_json(rule).alias("value")).collect()]
+    run = json.dumps({"name": tool}, separators=(",", ":"))[:-1] + ',"rules":[\n' + ",\n".join(rules) + "\n]}"
+    head = f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{run}}},"results":['
+    results = sarif_results(scored)
+    first = F.broadcast(results.agg(F.min("seq").alias("first")))
+    lines = result_json(results).join(first).select("seq", F.concat(F.when(F.col("seq") == F.col("first"), "").otherwise(","), "value").alias("value"))
+    return write_document(lines, ["seq"], head, "]}]}", path)
+
+
+def write_by_project(rows: DataFrame, path: str) -> None:
+    """Files of lines (project, seq, value) for each project, in scan order inside each file; a large project is split over
+    several files by ranges of ``seq``."""
+    rows.repartitionByRange("project", "seq").sortWithinPartitions("project", "seq").select("project", "value").write.mode("overwrite").partitionBy("project").text(path)
+
+
 def component_problems(found: DataFrame) -> DataFrame:
     """algorithm_id and what is wrong with its component: no reference or name, an unknown primitive, a level above 6."""
     known = [*FUNCTIONS, "combiner", "other", "unknown"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 from functools import lru_cache
@@ -95,7 +96,7 @@ def _children(hidden: bool, ignoring: bool, root: str, more: str):
             for path, ignores in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 store, place = _open(path)
                 entries = store.get_file_info(fs.FileSelector(place))
-                names = {e.base_name: e for e in entries}
+                names, links = {e.base_name: e for e in entries}, isinstance(store, fs.LocalFileSystem)
                 base = path.rstrip("/")
                 if ignoring and ".gitignore" in names and names[".gitignore"].is_file:
                     with store.open_input_stream(names[".gitignore"].path) as f:
@@ -103,7 +104,7 @@ def _children(hidden: bool, ignoring: bool, root: str, more: str):
                 rows = []
                 for name, e in sorted(names.items()):
                     own, kind = f"{base}/{name}", e.type == fs.FileType.Directory
-                    if name.startswith(".") and not hidden:
+                    if name.startswith(".") and not hidden or links and os.path.islink(e.path):
                         continue
                     slash = "/" if kind else ""
                     if more and ignored_by(compiled(more), own[len(root) + 1 :] + slash):
@@ -121,7 +122,8 @@ def _children(hidden: bool, ignoring: bool, root: str, more: str):
 
 def walk(spark: SparkSession, *roots: str, hidden: bool = False, ignoring: bool = False, more: list[str] | None = None) -> DataFrame:
     """path, length of every file below the roots (or the root itself, if it is a file), names that begin with ``_``
-    included, which Spark's own listing passes over; those that begin with a dot if ``hidden``.
+    included, which Spark's own listing passes over; those that begin with a dot if ``hidden``; symbolic links are
+    not followed.
 
     Folders of a level are rows, listed by tasks and written before the next level, so a folder that is left out is never
     entered and no listing passes through the driver. Ignore files hold for their folders, the nearest last; ``more`` holds
