@@ -182,9 +182,9 @@ def ci_gate(spark, sf_dir):
     return risk.gate(audible, risk.threshold("high", NIST))
 
 
-@register(f"{BASE} SELECT seq, rule_id, algorithm_id, total, severity FROM s WHERE algorithm_id = 'rsa-2048' AND hndl_critical")
+@register(f"{BASE} SELECT seq, rule_id, algorithm_id, total, severity FROM s WHERE algorithm_id = 'rsa-4096' AND hndl_critical")
 def query_filter_exact(spark, sf_dir):
-    return query.filter_findings(scored(spark, sf_dir), algorithm_id="rsa-2048", hndl=True).select(*SCORES)
+    return query.filter_findings(scored(spark, sf_dir), algorithm_id="rsa-4096", hndl=True).select(*SCORES)
 
 
 @register(f"{BASE} SELECT seq, rule_id, algorithm_id, total, severity FROM s WHERE severity = 'High'")

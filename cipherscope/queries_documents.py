@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import dims
 from .functions.text import extension, split_groups
 from .operators import aggregate, corpus, manifests, probes, query
-from .plans import documents
+from .plans import documents, validation
 from .queries import BASE, FINDINGS, _list, _text, _values, findings, pick, read, register, scored
 from .sources import files
 
@@ -122,10 +125,11 @@ def duration_percentiles(spark, sf_dir):
     return corpus.durations(projects(spark, sf_dir))
 
 
-@register(f"WITH {_PROJECTS}, a AS (SELECT ecosystem AS key, CAST(sum(findings) AS BIGINT) AS n FROM p GROUP BY 1), fl AS (SELECT r_name AS key, CAST(300 * (r_regionkey + 1) AS BIGINT) AS least FROM region) SELECT 'ecosystem' AS scope, fl.key, least, coalesce(n, 0) AS n FROM fl LEFT JOIN a USING (key) WHERE coalesce(n, 0) < least")
+@register(f"WITH {_PROJECTS}, a AS (SELECT ecosystem AS key, CAST(sum(findings) AS BIGINT) AS n FROM p GROUP BY 1), fl AS (SELECT r_name AS key, (SELECT count(*) FROM customer) * (r_regionkey + 1) // 2 AS least FROM region) SELECT 'ecosystem' AS scope, fl.key, least, coalesce(n, 0) AS n FROM fl LEFT JOIN a USING (key) WHERE coalesce(n, 0) < least")
 def floors_missed(spark, sf_dir):
     actual = projects(spark, sf_dir).groupBy(F.lit("ecosystem").alias("scope"), F.col("ecosystem").alias("key")).agg(F.sum("findings").alias("n"))
-    least = read(spark, sf_dir, "region").select(F.lit("ecosystem").alias("scope"), F.col("r_name").alias("key"), (300 * (F.col("r_regionkey") + 1)).cast("long").alias("least"))
+    half = F.expr("n * (r_regionkey + 1) div 2").cast("long")
+    least = read(spark, sf_dir, "region").join(read(spark, sf_dir, "customer").agg(F.count("*").alias("n"))).select(F.lit("ecosystem").alias("scope"), F.col("r_name").alias("key"), half.alias("least"))
     return corpus.below_floor(actual, least)
 
 
@@ -480,3 +484,59 @@ def inline_findings(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan"), text.alias("findings"))
     kept = rows.withColumn("both", F.transform(F.from_json("findings", "array<struct<algorithm_id: string, line: bigint>>"), lambda f: F.struct(F.col("scan"), f["algorithm_id"].alias("algorithm_id"), f["line"].alias("line"))))
     return files.inline_findings(kept.withColumn("json", F.to_json("both")), "json", "struct<scan: bigint, algorithm_id: string, line: bigint>")
+
+
+#: The shape of a finding's document, for ``schema_problems``.
+FINDING_SCHEMA = {
+    "type": "object", "required": ["rule", "algorithm", "place", "message"], "additionalProperties": False,
+    "properties": {
+        "rule": {"type": "string", "pattern": "^CRYPTO-[0-9]{3}$"}, "algorithm": {"type": "string", "minLength": 1}, "message": {"type": "string", "minLength": 1},
+        "place": {"$ref": "#/$defs/Place"}, "severity": {"enum": ["Critical", "High", "Medium", "Low", "Safe", None]}, "tags": {"type": "array", "items": {"type": "string"}},
+    },
+    "$defs": {"Place": {"type": "object", "required": ["path"], "properties": {"path": {"type": "string"}, "line": {"type": "integer", "minimum": 1}}}},
+}
+#: Documents by kind, {n} the key: all but the first two are spoiled.
+_DOCUMENTS = [
+    ('{"rule":"CRYPTO-00{d}","algorithm":"md5","place":{"path":"a","line":1{n}},"message":"m"}', []),
+    ('{"rule":"CRYPTO-001","algorithm":"md5","place":{"path":"a"},"message":"m","severity":null,"tags":["x","{n}"]}', []),
+    ('{"rule":"CRYPTO-{n}x","algorithm":"md5","place":{"path":"a","line":0},"message":"m"}', ['/rule: "CRYPTO-{n}x" does not match "^CRYPTO-[0-9]{3}$"', "/place/line: 0 is less than the minimum of 1"]),
+    ('{"rule":"CRYPTO-001","algorithm":"","place":{"line":1},"extra":{n}}', [': "message" is a required property', '/algorithm: "" is shorter than 1 characters', '/place: "path" is a required property', ": Additional properties are not allowed ('extra' was unexpected)"]),
+    ('{"rule":{n},"algorithm":"a","place":7,"message":"m"}', ['/rule: {n} is not of type "string"', '/place: 7 is not of type "object"']),
+    ('{"rule":"CRYPTO-001","algorithm":"a","place":{"path":"a"},"message":"m","severity":"Odd{n}","tags":["a",{n}]}', ['/severity: "Odd{n}" is not one of ["Critical","High","Medium","Low","Safe",null]', '/tags/1: {n} is not of type "string"']),
+    ("{n}", [': {n} is not of type "object"']),
+    ('{"rule":{n}', [": not JSON"]),
+]
+_SAMPLES = ", ".join(f"({i}, {len(found)}, {_text(' | '.join(found[:3]))})" for i, (_, found) in enumerate(_DOCUMENTS))
+
+
+@register(f"SELECT o_orderkey AS doc, n = 0 AS valid, CAST(n AS BIGINT) AS n_problems, replace(t, '{{n}}', CAST(o_orderkey AS VARCHAR)) AS samples FROM orders JOIN (VALUES {_SAMPLES}) v(i, n, t) ON o_orderkey % {len(_DOCUMENTS)} = i")
+def schema_problems(spark, sf_dir):
+    k = F.col("o_orderkey")
+    text = F.replace(F.replace(pick([d for d, _ in _DOCUMENTS], k % len(_DOCUMENTS)), F.lit("{n}"), k.cast("string")), F.lit("{d}"), (k % 10).cast("string"))
+    orders = read(spark, sf_dir, "orders").select(k.alias("doc"), text.alias("value"))
+    return validation.validated(orders, FINDING_SCHEMA).drop("value")
+
+
+def _shared(spark, name: str) -> str:
+    """A new path in the folder that driver and executors share; on one machine a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register(f"{BASE} SELECT location, line, snippet AS context FROM s JOIN alg ON s.algorithm_id = alg.id")
+def cbom_document(spark, sf_dir):
+    # The document is one JSON text with an occurrence a line, so that it is also read in parts.
+    path = documents.write_cbom(findings(spark, sf_dir), _shared(spark, "cbom"), "src", "2026-01-01T00:00:00Z")
+    line = F.from_json(F.ltrim(F.col("value"), F.lit(",")), "location string, line int, additionalContext string")
+    return spark.read.text(path).where(F.col("value").rlike('^,?[{]"location"')).select(line.alias("o")).select("o.location", "o.line", F.col("o.additionalContext").alias("context"))
+
+
+@register(f"{BASE}, r AS (SELECT rule_id, row_number() OVER (ORDER BY min(seq)) - 1 AS rule_index FROM s GROUP BY 1) SELECT s.rule_id, rule_index, {_LEVEL} AS level, location AS uri, message FROM s JOIN r USING (rule_id)")
+def sarif_document(spark, sf_dir):
+    path = documents.write_sarif(scored(spark, sf_dir), _shared(spark, "sarif"))
+    shape = "ruleId string, ruleIndex int, level string, message struct<text: string>, locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>>>>"
+    line = F.from_json(F.ltrim(F.col("value"), F.lit(",")), shape)
+    rows = spark.read.text(path).where(F.col("value").rlike('^,?[{]"ruleId"')).select(line.alias("r"))
+    return rows.select(F.col("r.ruleId").alias("rule_id"), F.col("r.ruleIndex").cast("long").alias("rule_index"), "r.level", F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("uri"), F.col("r.message.text").alias("message"))

@@ -15,10 +15,25 @@ from .queries import _text, pick, read, register
 COLUMNS = ("key", "api", "value", "line")
 
 
-def sources(spark, sf_dir, table: str, key: str, lang: str, texts: list[str], name: str = "") -> DataFrame:
-    """path, lang, content: a file a row, from the templates in turn; {n} is the row's key."""
-    k = F.col(key)
-    text = F.replace(pick(texts, k % len(texts)), F.lit("{n}"), k.cast("string"))
+#: What may stand before a template without adding a row: comments, literals and declarations full of calls, by language.
+NOISE = {
+    "go": ["", "// md5.New() rsa.GenerateKey(rand.Reader, 1)\n/* &tls.Config{MinVersion: tls.VersionTLS10} */\n", "var _ = `md5.New()\necdh.P256()`\n", "func GenerateKey(r io.Reader, n int) error { return nil }\ntype sum interface {\n\tNew(x int) error\n}\n"],
+    "python": ["", "# hashlib.md5(b'x') '\n", "x0 = '''hashlib.sha1(b)\nec.generate_private_key(c)'''\n", "def md5(x, y=(1, 2)):\n    return x\nclass sha1(Base):\n    pass\n"],
+    "java": ["", "/* MessageDigest.getInstance(\"MD5\")\n * new AESEngine() ' */\n", "String q0 = \"new AESEngine(); Cipher.getInstance(\\\"\"; char c0 = '\"';\n", "interface I0 {\n  byte[] getInstance(String s) throws E;\n}\n"],
+    "javascript": ["", "// crypto.createHash('md5') `\n", "const s0 = '//', r0 = /createHash\\('md5'\\)[/']/, t0 = `crypto.createHash('x')`;\n", "function createHash(a) {}\nclass K0 {\n  sign(x) {}\n}\n"],
+    "csharp": ["", "// RSA.Create(1) \"\n", "var s0 = @\"C:\\\"; var t0 = \"RSA.Create(1)\";\n", "interface I0 { RSA Create(int n); }\n"],
+    "c": ["", "/* MD5_Init(&c); ' */\n", "const char *s0 = \"MD5_Init(&c)\"; char q0 = '\"';\n", "int MD5_Init(MD5_CTX *c);\nextern int RSA_generate_key_ex(RSA *rsa, int bits);\n"],
+    "rust": ["", "// Rsa::generate(1) \"\n/* /* Rsa::generate(2) */ */\n", "const S0: &'static str = r#\"Rsa::generate(\"1\")\"#;\n", "fn generate<'a>(x: &'a str) -> u8 { 0 }\nenum E0 { digest(u8) }\n"],
+}
+NOISE |= {"typescript": NOISE["javascript"], "cpp": NOISE["c"]}
+
+
+def sources(spark, sf_dir, table: str, key: str, lang: str, texts: list[str], name: str = "", noisy: bool = True) -> DataFrame:
+    """path, lang, content: a file a row, from the templates in turn, each behind one of its language's NOISE in turn; {n} is
+    the row's key."""
+    k, noise = F.col(key), NOISE.get(lang, [""]) if noisy else [""]
+    before = pick(noise, F.floor(k / len(texts)) % len(noise))
+    text = F.replace(F.concat(before, pick(texts, k % len(texts))), F.lit("{n}"), k.cast("string"))
     rows = read(spark, sf_dir, table).select(key).repartition(spark.sparkContext.defaultParallelism)  # short keys become long texts
     return rows.select(F.concat(F.lit("src/"), k.cast("string"), F.lit(name)).alias("path"), F.lit(lang).alias("lang"), text.alias("content"))
 
@@ -27,22 +42,23 @@ def keyed(found: DataFrame) -> DataFrame:
     return found.select(F.split("path", "/")[1].cast("long").alias("key"), *COLUMNS[1:])
 
 
-def expected(table: str, key: str, cases: list) -> str:
+def expected(table: str, key: str, cases: list, lang: str, noisy: bool = True) -> str:
     rows = [(i, *row) for i, (_, found) in enumerate(cases) for row in found]
     body = ", ".join(f"({i}, {_text(api)}, {_text(value)}, {line})" for i, api, value, line in rows)
-    n = f"'{{n}}', CAST({key} AS VARCHAR)"
-    return f"SELECT {key} AS key, replace(api, {n}) AS api, replace(value, {n}) AS value, CAST(line AS INTEGER) AS line FROM {table} JOIN (VALUES {body}) AS v(i, api, value, line) ON {key} % {len(cases)} = i"
+    n, noise = f"'{{n}}', CAST({key} AS VARCHAR)", [x.count("\n") for x in (NOISE.get(lang, [""]) if noisy else [""])]
+    lines = f"CASE WHEN line = 0 THEN 0 ELSE line + ({noise})[1 + CAST({key} // {len(cases)} AS BIGINT) % {len(noise)}] END"
+    return f"SELECT {key} AS key, replace(api, {n}) AS api, replace(value, {n}) AS value, CAST({lines} AS INTEGER) AS line FROM {table} JOIN (VALUES {body}) AS v(i, api, value, line) ON {key} % {len(cases)} = i"
 
 
-def over(table: str, key: str, lang: str, cases: list, name: str = ""):
+def over(table: str, key: str, lang: str, cases: list, name: str = "", noisy: bool = True):
     """Registers a query: ``f(files)`` gives path, api, value, line of the files that the cases' templates fill."""
 
     def add(f):
         def query(spark, sf_dir):
-            return keyed(f(sources(spark, sf_dir, table, key, lang, [text for text, _ in cases], name)))
+            return keyed(f(sources(spark, sf_dir, table, key, lang, [text for text, _ in cases], name, noisy)))
 
         query.__name__ = f.__name__
-        return register(expected(table, key, cases))(query)
+        return register(expected(table, key, cases, lang, noisy))(query)
 
     return add
 
@@ -170,7 +186,7 @@ PQ = [
 ]
 
 
-@over("orders", "o_orderkey", "go", PQ)
+@over("orders", "o_orderkey", "go", PQ, noisy=False)
 def signature_notes(files):
     found = extract.pq_notes(extract.call_sites(files), files)
     return found.select("path", "api", F.col("pq_note").alias("value"), "line")
