@@ -440,7 +440,7 @@ def test_registered_queries_match_sql(spark, data):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
     for name, sql in ORACLE_SQL.items():
         frame, result = QUERIES[name](spark, data), con.sql(sql)
         assert sorted(frame.columns) == sorted(result.columns)
