@@ -84,7 +84,13 @@ class Source:
         self.code = code.tobytes()
         self.strings = spans[spans[:, 2] == STRING]
         self._brackets()
-        self._heads()
+
+    def __getattr__(self, name: str):
+        """What call heads say is found when it is first asked for."""
+        if name in ("start", "callee", "generic", "node", "head", "called", "kind"):
+            self._heads()
+            return self.__dict__[name]
+        raise AttributeError(name)
 
     # Places
 

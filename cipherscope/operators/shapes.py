@@ -165,55 +165,65 @@ def listed_settings(files: DataFrame) -> DataFrame:
 
 
 _OPENING = re.compile(rb"\b(?:const|var)\s*\Z")
+_SWITCH, _ENDING, _ENDED = re.compile(rb"\bswitch\b"), re.compile(rb"(\w+)\s*\Z"), re.compile(rb"[ \t]*[,)}\n;:\0]")
 _SINGLE = re.compile(rb"(?:\A|\n)\s*(?:const|var)\s+\w+[^({\n]*=\s*\Z")
 
 
 def _jose(source: Source):
     """(place, kind, value, snippet) of JOSE names that a case begins with, or that are registered; ``none``, also a plain
     word, only where the nearest bracket that declares names together holds another one."""
-    code, names, seen, held = source.code, set(JOSE_NAMES), [], {}
-    for s in source.strings.tolist():
-        value = source.raw[s[3] : s[4]].decode("utf-8", "replace")
-        if value not in names or source.raw[s[0]] == 39:
-            continue
-        start, stop = s[0], s[1]
-        k = int(np.searchsorted(source.open, start)) - 1
-        while k >= 0 and source.close[k] < start:
-            k = int(source.parent[k])
-        scopes, switch = [], False
-        while k >= 0:
-            at = int(source.open[k])
+    code, names, seen, held = source.code, {n.encode(): n for n in JOSE_NAMES}, [], set()
+    rows = [(*s, names[v]) for s in source.strings.tolist() if (v := source.raw[s[3] : s[4]]) in names and source.raw[s[0]] != 39]
+    if not rows:
+        return
+    starts = np.array([r[0] for r in rows], np.int64)
+    before, inner = source.before(starts).tolist(), (np.searchsorted(source.open, starts) - 1).tolist()
+    k = np.searchsorted(source.ends, starts) - 1
+    begins = np.where(k >= 0, source.ends[np.maximum(k, 0)] + 1 if len(source.ends) else 0, 0).tolist()
+    file_ends = np.append(source.file_at[1:] - 1, len(code) - 1)[source.file_of(starts)].tolist()
+    opens, closes, parents = source.open.tolist(), source.close.tolist(), source.parent.tolist()
+    kinds: dict[int, tuple[bool, bool]] = {}  # of a bracket: declares names together, is a switch
+
+    def kind_of(node: int) -> tuple[bool, bool]:
+        if node not in kinds:
+            at = opens[node]
             if code[at] == 123:
-                scopes.append(at)
                 head = code[max(code.rfind(b"{", 0, at), code.rfind(b"}", 0, at), code.rfind(b"\0", 0, at)) + 1 : at]
-                switch |= bool(re.search(rb"\bswitch\b", head))
-            elif code[at] == 40 and _OPENING.search(code, source.statement(at), at):
-                scopes.append(at)
-            k = int(source.parent[k])
+                kinds[node] = True, b"switch" in head and bool(_SWITCH.search(head))
+            else:
+                kinds[node] = code[at] == 40 and bool(_OPENING.search(code, source.statement(at), at)), False
+        return kinds[node]
+
+    for i, (start, stop, _, _, _, value) in enumerate(rows):
+        k, scopes, switch = inner[i], [], False
+        while k >= 0 and closes[k] < start:
+            k = parents[k]
+        while k >= 0:
+            scope, chosen = kind_of(k)
+            if scope:
+                scopes.append(opens[k])
+            switch |= chosen
+            k = parents[k]
         scopes.reverse()
-        before = int(source.before(np.array([start]))[0])
-        begin = source.statement(start)
-        if _SINGLE.search(code, begin, start):
+        part = code[begins[i] : start]
+        if (b"const" in part or b"var" in part) and _SINGLE.search(part):
             scopes.append(start)
-        word = re.search(rb"(\w+)\s*\Z", code[begin:start])
+        word = _ENDING.search(part)
         word = word[1] if word else b""
         if word == b"case":
-            at = code.rfind(b"case", 0, start)
+            at = begins[i] + part.rindex(b"case")
             line = source.raw.find(b"\n", at)
-            end = int(source.file_at[source.file_of(np.array([start]))[0] + 1]) - 1 if source.file_of(np.array([start]))[0] + 1 < len(source.file_at) else len(code) - 1
-            seen.append((at, start, "switch", value, source.raw[at : min(line if line >= 0 else end, end)].decode("utf-8", "replace"), scopes))
+            seen.append((at, "switch", value, source.raw[at : min(line if line >= 0 else file_ends[i], file_ends[i])].decode("utf-8", "replace"), scopes))
             continue
-        c = code[before : before + 1] if before >= 0 else b""
-        prior = code[before - 1 : before] if before > 0 else b""
-        valued = c in (b"{", b"(", b",") and c or c == b"=" and prior not in (b"=", b"!", b"<", b">") or c == b":" and prior != b":" or word == b"return"
-        after = re.compile(rb"[ \t]*([,)}\n;:\0])").match(code, stop)
-        if not switch and valued and after:
-            seen.append((start, start, "register", value, source.raw[start:stop].decode("utf-8", "replace"), scopes))
-    for _, _, _, value, _, scopes in seen:
+        c = code[before[i] : before[i] + 1] if before[i] >= 0 else b""
+        prior = code[before[i] - 1 : before[i]] if before[i] > 0 else b""
+        valued = c and c in b"{(," or c == b"=" and prior not in (b"=", b"!", b"<", b">") or c == b":" and prior != b":" or word == b"return"
+        if not switch and valued and _ENDED.match(code, stop):
+            seen.append((start, "register", value, source.raw[start:stop].decode("utf-8", "replace"), scopes))
+    for _, _, value, _, scopes in seen:
         if value != "none":
-            for x in scopes:
-                held[x] = True
-    for at, place, kind, value, snippet, scopes in seen:
+            held.update(scopes)
+    for at, kind, value, snippet, scopes in seen:
         if value != "none" or scopes and scopes[-1] in held:
             yield at, kind, value, snippet
 
