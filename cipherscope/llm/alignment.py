@@ -13,7 +13,7 @@ matrix (CSR again) with the columns of counts.
 
 Defined results: a null or empty text, and one whose tokens do not give back its bytes, has no tokens and zeros; each row
 is a document, also if repeated; ties for an A id's highest count all count; an empty table gives no rows; other columns
-are ignored. A text is aligned whole: a task holds about 150 bytes a byte of its longest text.
+are ignored. A text is aligned whole: a task holds about 100 bytes a byte of its longest text.
 """
 
 from __future__ import annotations
