@@ -122,12 +122,13 @@ MEANING = {
     "PqcFinal": "NIST-final post-quantum algorithm; designed to resist both classical and quantum attacks.",
     "PqcDraft": "Draft post-quantum algorithm; expected to be standardized but the specification may still change.",
 }
+#: Fixed value: what is said of an algorithm that the table does not have.
 UNKNOWN = "Algorithm not in the catalogue; classification unavailable. Investigate manually."
 
 
 def explained(scored: DataFrame) -> DataFrame:
-    """seq and ``why``: what the algorithm's status means, the table's note on it, and what replaces it; UNKNOWN (whose
-    wording is this library's) for algorithms that the table does not have."""
+    """seq and ``why``: what the algorithm's status means, the table's note on it, and what replaces it; UNKNOWN for
+    algorithms that the table does not have."""
     spark = scored.sparkSession
     dim = successors(spark).join(F.broadcast(notes(spark)), "id").withColumnRenamed("id", "algorithm_id")
     standard = F.when(F.col("replacement_fips").isNotNull(), F.concat(F.lit(" per "), "replacement_fips")).otherwise("")

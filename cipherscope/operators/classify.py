@@ -60,39 +60,71 @@ def from_folder(spark: SparkSession, path: str) -> DataFrame:
     return reduce(DataFrame.unionByName, packs)
 
 
-def _holds(p: Column, args: Column) -> Column:
+def _matcher(patterns: list[str]):
+    """matches(text, number): whether the text matches the pattern of that place in the list. Patterns are constants of the
+    plan, so each is compiled once; a rule pack has few."""
+
+    def matches(text: Column, number: Column) -> Column:
+        found = [F.when(number == i, text.rlike(p)) for i, p in enumerate(patterns)]
+        return F.coalesce(*found) if found else F.lit(None).cast("boolean")
+
+    return matches
+
+
+def _holds(p: Column, args: Column, matches) -> Column:
     """One predicate on the captured arguments (map<string, struct<i, s>>); another type or no argument does not match."""
     a = F.try_element_at(args, p["key"])
     in_range = (
         (p["lt"].isNull() | (a["i"] < p["lt"])) & (p["le"].isNull() | (a["i"] <= p["le"])) & (p["gt"].isNull() | (a["i"] > p["gt"])) & (p["ge"].isNull() | (a["i"] >= p["ge"]))
     )
-    held = F.when(p["kind"] == "int", a["i"] == p["i"]).when(p["kind"] == "str", a["s"] == p["s"]).when(p["kind"] == "regex", F.rlike(a["s"], p["s"])).when(p["kind"] == "range", a["i"].isNotNull() & in_range)
+    held = F.when(p["kind"] == "int", a["i"] == p["i"]).when(p["kind"] == "str", a["s"] == p["s"]).when(p["kind"] == "regex", matches(a["s"], p["i"])).when(p["kind"] == "range", a["i"].isNotNull() & in_range)
     return F.coalesce(held, F.lit(False))
 
 
+#: An api pattern that stands for one name: anchored, of plain and escaped characters.
+_NAME = r"^\^(?:[\w/: -]|\\[^\w\s])*\$$"
+
+
 def resolve(rules: DataFrame, apis: DataFrame) -> DataFrame:
-    """Rules with the api each pattern matches. apis: lang, api (distinct and few: an extractor's closed surface)."""
+    """Rules with the api each pattern matches. apis: lang, api (distinct and few: an extractor's closed surface). A pattern of
+    one name is joined by that name; only the rest is held against the apis of its language."""
     named = rules.withColumnRenamed("api", "pattern")
-    return apis.distinct().join(named, "lang").where(F.rlike("api", F.col("pattern")))
+    plain = F.col("pattern").rlike(_NAME)
+    name = F.regexp_replace(F.regexp_replace("pattern", r"^\^|\$$", ""), r"\\(.)", "$1")
+    apis = apis.distinct()
+    exact = apis.join(named.where(plain).withColumn("api", name), ["lang", "api"]).select("lang", "api", *[c for c in named.columns if c != "lang"])
+    rest = apis.join(named.where(~plain), "lang").where(F.rlike("api", F.col("pattern"))).select(exact.columns)
+    return exact.unionByName(rest)
 
 
 def classify(matches: DataFrame, rules: DataFrame) -> DataFrame:
     """A row for each match that some rule takes. matches: match_id, lang, api, args, site_context, imports."""
-    rules = resolve(rules, matches.select("lang", "api"))
+    # A rule pack's patterns; sites are held against constants, never against a pattern of another column.
+    regexes = rules.select(F.explode("preds").alias("p")).where("p.kind = 'regex'").select("p.s").unionByName(rules.select(F.explode("imports").alias("s"))).distinct()
+    patterns = sorted(r.s for r in regexes.collect())
+    fits_pattern, place = _matcher(patterns), F.array(*map(F.lit, patterns)) if patterns else F.array().cast("array<string>")
+    number = lambda text: (F.array_position(place, text) - 1).cast("long")
+    numbered = F.transform("preds", lambda p: F.when(p["kind"] == "regex", p.withField("i", number(p["s"]))).otherwise(p))
+    rules = resolve(rules.withColumns({"preds": numbered, "imports": F.transform("imports", number)}), matches.select("lang", "api"))
     rule = F.struct("ord", "rule_id", "contexts", F.col("imports").alias("wanted"), "preds", "algorithm_id", "message")
     listed = rules.groupBy("lang", "api").agg(F.array_sort(F.collect_list(rule)).alias("rules"))  # a rule pack's rows
     sites = matches.select("match_id", "lang", "api", "args", "site_context", "imports").join(listed, ["lang", "api"])
 
     def fits(r):
         context = r["contexts"].isNull() | F.array_contains(r["contexts"], F.col("site_context"))
-        imported = r["wanted"].isNull() | F.coalesce(F.exists("imports", lambda i: F.exists(r["wanted"], lambda w: F.rlike(i, w))), F.lit(False))
-        return context & imported & F.coalesce(F.forall(r["preds"], lambda p: _holds(p, F.col("args"))), F.lit(True))
+        imported = r["wanted"].isNull() | F.coalesce(F.exists("imports", lambda i: F.exists(r["wanted"], lambda w: fits_pattern(i, w))), F.lit(False))
+        return context & imported & F.coalesce(F.forall(r["preds"], lambda p: _holds(p, F.col("args"), fits_pattern)), F.lit(True))
 
     found = sites.withColumn("hit", F.try_element_at(F.filter("rules", fits), F.lit(1))).where("hit IS NOT NULL")
     text = F.transform_values("args", lambda k, v: F.coalesce(v["s"], v["i"].cast("string")))
     return found.select("match_id", "hit.rule_id", "hit.algorithm_id", fill_template(F.col("hit.message"), text).alias("message"))
 
 
+def unknown_rules(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """rule_id and findings of the rules that findings name but the rules do not have: must be empty."""
+    return findings.groupBy("rule_id").agg(F.count("*").alias("findings")).join(rules.select("rule_id").distinct(), "rule_id", "left_anti")
+
+
 def as_findings(classified: DataFrame, matches: DataFrame) -> DataFrame:
     """Findings of classified matches, with the constants of source scans."""
     both = classified.join(matches.select("match_id", "path", "line", "offset", "symbol", "snippet"), "match_id")

@@ -103,3 +103,23 @@ def listed_settings(spark, sf_dir):
     text = F.concat(F.lit("&tls.Config{MinVersion: tls.VersionTLS1"), (k % 4).cast("string"), F.lit(",\n CurvePreferences: []tls.CurveID{tls."), pick(_CURVES, k % 3), F.lit(", tls."), pick(_CURVES, (k + 1) % 3), F.lit("}}"))
     files = read(spark, sf_dir, "supplier").select(k.cast("string").alias("path"), F.lit("go").alias("lang"), text.alias("content"))
     return shapes.listed_settings(files).select(F.col("path").cast("long").alias("supplier"), "api", "value")
+
+
+@register("""WITH m AS (SELECT CASE WHEN event_id % 5 = 4 THEN 'CRYPTO-9' || CAST(event_id % 3 AS VARCHAR) ELSE 'CRYPTO-00' || CAST(1 + event_id % 6 AS VARCHAR) END AS rule_id FROM events)
+SELECT rule_id, count(*) AS findings FROM m WHERE rule_id LIKE 'CRYPTO-9_' GROUP BY 1""")
+def unknown_rules(spark, sf_dir):
+    i = F.col("event_id")
+    named = F.when(i % 5 == 4, F.concat(F.lit("CRYPTO-9"), (i % 3).cast("string"))).otherwise(F.concat(F.lit("CRYPTO-00"), (1 + i % 6).cast("string")))
+    return classify.unknown_rules(read(spark, sf_dir, "events").select(named.alias("rule_id")), classify.from_toml(spark, "go", RULE_PACK))
+
+
+@register("""SELECT site, word, depth FROM (SELECT event_id AS site, user_id % 7 AS w, event_id % 4 AS depth FROM events) JOIN (VALUES (0, 'md5'), (1, 'sha1'), (2, 'sha256'), (3, 'blake2b'), (4, 'sha3_256'), (5, 'sha512'), (6, 'sha384')) v(k, word) ON w = k""")
+def nested_calls(spark, sf_dir):
+    """The call of a library, however deep it stands in others, behind a method of the same name that is no call."""
+    i, word = F.col("event_id"), pick(["md5", "sha1", "sha256", "blake2b", "sha3_256", "sha512", "sha384"], F.col("user_id") % 7)
+    depth = (i % 4).cast("int")
+    text = F.concat(F.lit("def "), word, F.lit("(x):  # hashlib."), word, F.lit("(x)\n    return "), F.repeat(F.lit("wrap(1, "), depth), F.lit("hashlib."), word, F.lit("(f'{x}')"), F.repeat(F.lit(")"), depth), F.lit("\n"))
+    files = read(spark, sf_dir, "events").select(i.cast("string").alias("path"), F.lit("python").alias("lang"), text.alias("content"))
+    found = extract.call_sites(files).where(F.col("callee").startswith("hashlib."))
+    calls = F.size(F.filter("frames", lambda f: f == "call:wrap"))
+    return found.select(F.col("path").cast("long").alias("site"), F.split_part("callee", F.lit("."), F.lit(2)).alias("word"), calls.alias("depth"))
