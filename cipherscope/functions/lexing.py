@@ -29,6 +29,7 @@ _STARTS = {"python": rb"\"'#", "go": rb"\"'`/", "javascript": rb"\"'`/", "typesc
 _START = {lang: re.compile(rb"[%s]" % _STARTS.get(lang, rb"\"'/")) for lang in (*C_LIKE, "python")}
 _START_INSIDE = {lang: re.compile(rb"[{}%s]" % _STARTS.get(lang, rb"\"'/")) for lang in (*C_LIKE, "python")}
 _PREFIX = re.compile(rb"(?<![\w@$#])[\w@$]{0,3}#*\Z")
+_PREFIXING = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_@$#")
 #: Words after which a slash begins a regular expression.
 _BEFORE_REGEX = re.compile(rb"(?:^|[^\w$.])(?:return|typeof|case|in|of|delete|void|instanceof|new|do|else|yield|await|throw)\Z")
 
@@ -114,7 +115,7 @@ def literals(data: bytes, lang: str) -> list[tuple[int, int, int, int, int]]:
                 else:
                     pos = text_of(_TEMPLATE, b"`", b"${", i, pos)
         else:
-            before = _PREFIX.search(data, max(0, i - 40), i)
+            before = _PREFIX.search(data, max(0, i - 40), i) if i and data[i - 1] in _PREFIXING else None
             prefix = before[0] if before else b""
             begin = i - len(prefix)
             found = _quoted(data, i, c, prefix, lang)

@@ -9,6 +9,7 @@ characters: what stands before or after a place is found by sorted positions.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import cached_property
 
 import numpy as np
@@ -53,6 +54,8 @@ _LAST_WORD = re.compile(rb"([\w$]+)\s*\Z")
 _AFTER = re.compile(rb"\s*(\{|;|throws\b|const\b|noexcept\b|override\b|final\b|where\b|=>|:(?!:)|=\s*(?:0|default|delete)\b|->)")
 _MODIFIERS = re.compile(rb"\s*(?:(?:async|static|get|set|public|private|protected|readonly|override|abstract|declare|export|default)\b\s*|[*#]\s*)*\Z")
 _DEFINES = re.compile(rb"#\s*define\s+\Z")
+#: What joins the names of a path, and what a path holds beside names where it is not written tightly.
+_JOINT, _SPACED = re.compile(rb"\s*(\.|::|->|\?\.)\s*"), re.compile(rb"[ \t\n?]")
 _LIST = re.compile(rb"\bmap\[[^{}]*\Z")
 _DECLARED = re.compile(rb"(?:\b(?:const|var|let|final|static)\b[^;{}()]*|(?:\A|\n)\s*[\w.<>\[\]]+\s+\w+\s*)\Z")
 
@@ -148,33 +151,57 @@ class Source:
     # Nodes
 
     def _brackets(self) -> None:
+        """Every closing bracket closes the last one open; what is open at a file's end closes there. A bracket's level is
+        one more than its parent's, so in the order of levels an opening one is followed by the one that closes it."""
         at = np.flatnonzero(_TOKEN[self.array])
-        kinds = self.array[at].tolist()
-        parent, close, comma_in, open_at, comma_at, stack = [], [], [], [], [], []
-        for p, c in zip(at.tolist(), kinds):
-            if c == 44:
-                comma_at.append(p)
-                comma_in.append(stack[-1] if stack else -1)
-            elif c in OPEN:
-                parent.append(stack[-1] if stack else -1)
-                stack.append(len(open_at))
-                open_at.append(p)
-                close.append(-1)
-            elif c == 0:  # a file ends
-                for k in stack:
-                    close[k] = p
-                stack.clear()
-            elif stack:
-                close[stack.pop()] = p
-        as_array = lambda x: np.array(x, np.int64)
-        self.open, self.close, self.parent, self.comma_at, self.comma_in = map(as_array, (open_at, close, parent, comma_at, comma_in))
+        kind = self.array[at]
+        comma, border = kind == 44, kind == 0
+        step = _table(OPEN)[kind].astype(np.int64) - _table(CLOSE)[kind]
+        file = np.cumsum(border) - border
+        total = np.cumsum(step)
+        total -= np.append(0, total[border])[file]
+        # Closing brackets that close nothing bring a file's total to a new low.
+        apart = file * (2 * len(at) + 2)
+        low = np.minimum(np.minimum.accumulate(total - apart) + apart, 0)
+        depth = total - low
+        stray = (step < 0) & (low < np.append(0, np.where(border, 0, low))[:-1])
+        opens = np.flatnonzero(step > 0)
+        self.open, level = at[opens], depth[opens]
+        # Levels, and places in them: an open bracket's next of the same level and file closes it.
+        both = np.flatnonzero((step > 0) | (step < 0) & ~stray)
+        order = np.lexsort((both, depth[both] + (step[both] < 0)))
+        both = both[order]
+        near = np.append(both[1:], 0)
+        closed = np.append((step[both[1:]] < 0) & (file[both[1:]] == file[both[:-1]]), False)[: len(both)]
+        ends = at[border]
+        close = np.where(closed, at[near], ends[file[both]]) if len(both) else both
+        self.close = np.zeros(len(at), np.int64)
+        self.close[both] = close
+        self.close = self.close[opens]
+        by_level = np.lexsort((self.open, level))
+        wide = len(self.array)
+        keys = (level * wide + self.open)[by_level]
+
+        def holder(levels: np.ndarray, places: np.ndarray) -> np.ndarray:
+            """The last bracket of these levels before these places; -1 at level 0."""
+            if not len(keys):
+                return np.full(len(levels), -1)
+            return np.where(levels > 0, by_level[np.searchsorted(keys, levels * wide + places) - 1], -1)
+
+        self.parent = holder(level - 1, self.open)
+        self.comma_at = at[comma]
+        self.comma_in = holder(depth[comma], self.comma_at)
         #: Statements begin after these.
         self.ends = np.flatnonzero(_BOUNDARY[self.array])
 
+    @cached_property
+    def _ends(self) -> list[int]:
+        return self.ends.tolist()
+
     def statement(self, at: int) -> int:
         """Where the part of the statement before ``at`` begins: after the last of ``( ) { } [ ] ;`` or the file's border."""
-        k = int(np.searchsorted(self.ends, at)) - 1
-        return int(self.ends[k]) + 1 if k >= 0 else 0
+        k = bisect_left(self._ends, at) - 1
+        return self._ends[k] + 1 if k >= 0 else 0
 
     def statement_of_import(self, at: int) -> int:
         """Where the import that a literal may stand in begins: its own line, or the bracket it stands in."""
@@ -186,23 +213,16 @@ class Source:
 
     def _heads(self) -> None:
         """Call heads: start, the bracket they open, callee, type arguments."""
-        pattern, words = _HEADS.get(self.lang, _HEADS["java"]), KEYWORDS.get(self.lang, _CONTROL)
-        starts, opens, names, generics = [], [], [], []
-        for m in pattern.finditer(self.code):
-            name = m[2]
-            if name in words and not m[1]:
-                continue
-            starts.append(m.start())
-            opens.append(m.end() - 1)
-            names.append((b"new " if m[1] else b"") + name)
-            generics.append(m[3])
+        words = KEYWORDS.get(self.lang, _CONTROL)
+        rows = [(start, open_, b"new " + name if new else name, generic) for start, open_, new, name, generic in self._named_brackets() if new or name not in words]
+        starts, opens, names, generics = map(list, zip(*rows)) if rows else ([], [], [], [])
         self.start, self.callee, self.generic = np.array(starts, np.int64), names, generics
         node = np.searchsorted(self.open, opens) if len(opens) else np.zeros(0, np.int64)
         #: The head of each node, or -1.
         self.head = np.full(len(self.open), -1)
         self.head[node] = np.arange(len(node))
         self.node = node
-        self.callee = [re.sub(rb"\s*(\.|::|->|\?\.)\s*", lambda m: m[1].lstrip(b"?"), n) if b" " in n or b"\n" in n or b"\t" in n or b"?" in n else n for n in names]
+        self.callee = [_JOINT.sub(lambda m: m[1].lstrip(b"?"), n) if _SPACED.search(n) else n for n in names] if _SPACED.search(b".".join(names)) else names
         if self.lang == "rust":
             for i, n in enumerate(self.callee):
                 if b"<" in n:
@@ -211,6 +231,72 @@ class Source:
         self.called = self._called()
         self.kind = self._kinds()
 
+    def _named_brackets(self) -> list[tuple]:
+        """(start, round bracket, whether constructed, name, type arguments) of round brackets behind a dotted name, in order.
+        Names right before a bracket are followed to the left in arrays; the language's pattern reads the rest."""
+        pattern, code, c = _HEADS.get(self.lang, _HEADS["java"]), self.code, self.array
+        if self.lang == "rust":
+            return [(m.start(), m.end() - 1, False, m[2], m[3]) for m in pattern.finditer(code)]
+        at = self.open[c[self.open] == 40] if len(self.open) else self.open
+        last = self.before(at)
+        if self.lang == "go":
+            near = last == at - 1
+        elif self.lang == "python":
+            breaks = np.flatnonzero((c > 9) & (c < 14))
+            near = np.searchsorted(breaks, at) == np.searchsorted(breaks, last)
+        else:
+            near = np.ones(len(at), bool)
+        near &= last >= 0
+        at, last = at[near], last[near]
+        named = _ID_PART[c[last]] if len(last) else np.zeros(0, bool)
+        closing = (c[last] == 93) if self.lang == "go" else (c[last] == 62) & (pattern is _HEADS["java"])
+        found = []
+        for open_, end in zip(at[closing].tolist(), last[closing].tolist()):
+            k = bisect_left(self._not_generic, end) - 1
+            for m in pattern.finditer(code, self._not_generic[k] + 1 if k >= 0 else 0, open_ + 1):
+                if m.end() == open_ + 1:
+                    found.append((m.start(), open_, bool(m[1]), m[2], m[3]))
+        at, last = at[named], last[named]
+        outside = np.flatnonzero(~_ID_PART[c])
+
+        def word(end: np.ndarray) -> np.ndarray:
+            """Where the word that ends there begins."""
+            k = np.searchsorted(outside, end) - 1
+            return np.where(k >= 0, outside[np.maximum(k, 0)], -1) + 1
+
+        start = word(last)
+        good = ~_DIGIT[c[start]] if len(start) else np.zeros(0, bool)
+        at, last, start = at[good], last[good], start[good]
+        going = np.arange(len(at))
+        while len(going):
+            sign = self.before(start[going])
+            x, y = self.char(sign), self.char(sign - 1)
+            sign = np.where((x == 46) & (y != 63), sign, sign - 1)
+            linked = (x == 46) | (x == 58) & (y == 58) | (x == 62) & (y == 45)
+            end = self.before(sign)
+            linked &= (end >= 0) & _ID_PART[self.char(end)]
+            going, begin = going[linked], word(end[linked])
+            on = ~_DIGIT[c[begin]] if len(begin) else np.zeros(0, bool)
+            going = going[on]
+            start[going] = begin[on]
+        whole = start.copy()
+        before = self.before(start)
+        new = (before < start - 1) & self._whole_word(before, b"new")
+        whole[new] = before[new] - 2
+        found += [(w, o, n, code[s : e + 1], b"") for w, o, n, s, e in zip(whole.tolist(), at.tolist(), new.tolist(), start.tolist(), last.tolist())]
+        return sorted(found, key=lambda row: row[1]) if closing.any() else found
+
+    @cached_property
+    def _not_generic(self) -> list[int]:
+        return np.flatnonzero(~_GENERIC[self.array]).tolist()
+
+    def _whole_word(self, at: np.ndarray, word: bytes) -> np.ndarray:
+        """As ``_word_ends``, but a dot may stand before the word."""
+        c, found = self.array, at >= len(word) - 1
+        for k, x in enumerate(reversed(word)):
+            found = found & (c[np.maximum(at - k, 0)] == x)
+        return found & ~(_ID_PART[c[np.maximum(at - len(word), 0)]] & (at >= len(word)))
+
     def _called(self) -> np.ndarray:
         """False for heads of declarations, patterns, macros and annotations."""
         called = np.ones(len(self.start), bool)
@@ -394,19 +480,27 @@ class Source:
 
     def outermost(self, kind: str) -> np.ndarray:
         """For each node, the outermost node of that kind that is it or holds it; -1 if there is none."""
-        own, up = [k == kind for k in self.kind], self.parent.tolist()
-        out: list[int] = []
-        for k in range(len(up)):
-            above = out[up[k]] if up[k] >= 0 else -1
-            out.append(above if above >= 0 else k if own[k] else -1)
-        return np.array(out, np.int64)
+        own = np.flatnonzero(np.array(self.kind, object) == kind)
+        if not len(own):
+            return np.full(len(self.open), -1)
+        far = np.append(-1, np.maximum.accumulate(self.close[own])[:-1])
+        own = own[self.open[own] >= far]  # nodes are in the order of their places
+        k = np.searchsorted(self.open[own], self.open, side="right") - 1
+        holds = (k >= 0) & (self.open < self.close[own[np.maximum(k, 0)]])
+        return np.where(holds, own[np.maximum(k, 0)], -1)
+
+    def headed(self) -> np.ndarray:
+        """For each node, the nearest node around it that a call head opens; -1 if there is none."""
+        up = self.parent.copy()
+        while len(bad := np.flatnonzero((up >= 0) & (self.head[np.maximum(up, 0)] < 0))):
+            up[bad] = up[up[bad]]  # so far has no head in between
+        return up
 
     def declaring(self, p: int) -> bool:
         """Whether the value after the sign at ``p`` is that of a declaration: ``const x =``, ``Type x =``."""
         if p < 1 or self.code[p] != 61 or self.code[p - 1] in b"=!<>:+-*/%&|^":
             return False
-        k = int(np.searchsorted(self.ends, p)) - 1
-        return bool(_DECLARED.search(self.code[int(self.ends[k]) + 1 if k >= 0 else 0 : p]))
+        return bool(_DECLARED.search(self.code[self.statement(p) : p]))
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -419,4 +513,6 @@ _LETTERS = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) +
 #: Characters of dotted names; what a declared name may follow; brackets, commas and borders; ends of statements, of clauses.
 _WORD, _NAMED = _table(_LETTERS + b"."), _table(_LETTERS + b">*&]~")
 _TOKEN, _BOUNDARY, _SOFT = _table(b"()[]{},\0"), _table(b"()[]{};\0"), _table(b"(){};,=:\0")
+#: Characters of a name, digits, and what type arguments and the names before them are made of.
+_ID_PART, _DIGIT, _GENERIC = _table(_LETTERS), _table(bytes(range(48, 58))), _table(_LETTERS + b" \t\r\n\f\v.,:?&[]*'<>-")
 _CLASSES = {"word": _table(_LETTERS), "digit": _table(bytes(range(48, 58))), "path": _table(_LETTERS + b".:"), "callee": _table(_LETTERS + b".:>- \t\r\n")}

@@ -70,8 +70,7 @@ def arguments(source: Source, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(index into nodes, first, last) of the elements of these brackets, trimmed; elements of blanks alone are none."""
     of = np.full(len(source.open), -1)
     of[nodes] = np.arange(len(nodes))
-    own = of[source.comma_in] if len(source.comma_in) else np.zeros(0, np.int64)
-    own = np.where(source.comma_in >= 0, own, -1) if len(own) else own
+    own = np.where(source.comma_in >= 0, of[source.comma_in], -1) if len(of) else np.full(len(source.comma_in), -1)
     commas, at = own[own >= 0], source.comma_at[own >= 0]
     which, first = np.append(np.arange(len(nodes)), commas), np.append(source.open[nodes], at) + 1
     order = np.lexsort((first, which))
@@ -149,10 +148,7 @@ def sites_of(source: Source) -> tuple[np.ndarray, dict[str, pa.Array]]:
     node, start = source.node[sites], source.start[sites]
     callee = [source.callee[i].decode() for i in sites.tolist()]
     # The call around it, and the first call of its chain.
-    head = source.head.tolist()
-    up, owner = source.parent.tolist(), []
-    for k in range(len(up)):
-        owner.append(up[k] if up[k] >= 0 and head[up[k]] >= 0 else owner[up[k]] if up[k] >= 0 else -1)
+    head, owner = source.head.tolist(), source.headed().tolist()
     dot = source.before(source.start)
     chained = (source.char(dot) == 46) | (source.char(dot) == 58) & (source.char(dot - 1) == 58)
     joint = source.before(np.where(source.char(dot) == 46, dot - (source.char(dot - 1) == 63), dot - 1))
