@@ -185,17 +185,24 @@ def _whole_characters(source: Source, at: np.ndarray) -> np.ndarray:
     return at
 
 
-def call_sites(files: DataFrame) -> DataFrame:
-    """SITES of files (path, lang, content as text): calls only, not headers of functions, prototypes or patterns."""
+def call_sites(files: DataFrame, imports: bool = False) -> DataFrame:
+    """SITES of files (path, lang, content as text): calls only, not headers of functions, prototypes or patterns. With
+    ``imports`` a bare callee that an import of its file explains stands under the imported name."""
 
     def run(batches):
         for batch in batches:
-            for rows, source in texts_by_language(*batch.columns):
+            for rows, source in texts_by_language(*batch.columns[:3]):
                 file, columns = sites_of(source)
                 own = pa.array(rows[file])
+                if imports:
+                    known = {int(r): dict(pairs) for r, pairs in zip(rows, batch.column(3).take(pa.array(rows)).to_pylist()) if pairs}
+                    if known:
+                        columns["callee"] = pa.array([known[r].get(c, c) if r in known else c for r, c in zip(rows[file].tolist(), columns["callee"].to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(columns[n] for n in ROW.names[2:])], schema=ROW)
 
-    return files.select("path", "lang", F.col("content").cast("string").alias("content")).mapInArrow(run, SITES)
+    text = F.col("content").cast("string")
+    more = [bindings(text, F.col("lang")).alias("names")] if imports else []
+    return files.select("path", "lang", text.alias("content"), *more).mapInArrow(run, SITES)
 
 
 def nth_string(args: Column, n: int) -> Column:
@@ -382,7 +389,7 @@ def bindings(content: Column, lang: Column) -> Column:
 
 
 def resolved(sites: DataFrame, files: DataFrame) -> DataFrame:
-    """Sites whose bare callee an import of their file explains, under the imported name."""
+    """Sites that were found without ``imports``, with those of their files: by a join."""
     names = files.select("path", bindings(F.col("content"), F.col("lang")).alias("names"))
     return sites.join(names, "path", "left").withColumn("callee", F.coalesce(F.col("names")[F.col("callee")], "callee")).drop("names")
 

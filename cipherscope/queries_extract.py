@@ -69,7 +69,7 @@ def shown(args) -> F.Column:
 
 
 def named_sites(files: DataFrame) -> DataFrame:
-    sites = extract.with_api(extract.resolved(extract.call_sites(files), files))
+    sites = extract.with_api(extract.call_sites(files, imports=True))
     return sites.select("path", "api", shown(F.col("args")).alias("value"), "line")
 
 
