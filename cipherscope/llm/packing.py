@@ -33,6 +33,8 @@ from .tokens import ChunkEncoder
 WINDOW, GROUP_TOKENS = 4096, 1 << 20
 #: Rows of the table (input partition, queue) up to which it is broadcast; beyond, Spark joins it by key.
 BROADCAST_ROWS = 100_000
+#: Groups whose sizes are summed up together before they are summed up one by one.
+RUN = 4096
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, source string, sequence_id long, offset long"
 
 
@@ -245,12 +247,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, tar
                 sizes[g] = sizes.get(g, 0) + b - a
         yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.int64()), pa.array(list(sizes.values()), pa.int64())], ["grp", "n"])
 
-    # Where each group begins in the whole, before any token moves: a number a group goes through the driver.
-    sizes = placed.select("queue", "total", "at", "n_tokens").mapInArrow(lengths, "grp long, n long").groupBy("grp").agg(F.sum("n"))
-    begins = np.zeros(schedule.groups + 1, np.int64)
-    for g, n in sizes.collect():
-        begins[g + 1] = n
-    sent = spark.sparkContext.broadcast(np.cumsum(begins))
+    # Where each group begins in the whole, before any token moves: sums of runs of groups, then inside each run.
+    sizes = placed.select("queue", "total", "at", "n_tokens").mapInArrow(lengths, "grp long, n long").groupBy("grp").agg(F.sum("n").alias("n"))
+    sizes = stage(sizes.withColumn("run", F.floor(F.col("grp") / RUN)), "packing-groups")
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = sizes.groupBy("run").agg(F.sum("n").alias("n")).select("run", upto(Window.orderBy("run")).alias("earlier"))  # a row for RUN groups
+    begins = sizes.withColumn("inside", upto(Window.partitionBy("run").orderBy("grp"))).join(runs, "run").select("grp", (F.col("earlier") + F.col("inside")).alias("start_all"))
 
     def cut(batches):
         for whole in batches:
@@ -268,8 +270,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, tar
 
     pieces = placed.mapInArrow(light(cut), "grp long, queue string, total long, at long, doc_id long, start long, doc_tokens long, width int, ids binary")
 
-    def group(key, table):
-        begin = pa.array([int(sent.value[key[0].as_py()])] * len(table), pa.int64())
-        return pack_group(table.append_column("start_all", begin), window, schedule)
-
-    return pieces.groupBy("grp").applyInArrow(group, PIECES)
+    return pieces.join(begins, "grp").groupBy("grp").applyInArrow(lambda table: pack_group(table, window, schedule), PIECES)

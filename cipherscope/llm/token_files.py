@@ -150,8 +150,8 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int | None) -> tuple[n
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFrame:
     """Writes files in ascending doc_id order; returns their manifest: path, first_doc, last_doc, n_docs, n_tokens, start.
 
-    ``start`` counts the ids of all files before. Rows go to range partitions of doc_id, whatever their source or text;
-    a file's name is its own attempt's, so a task that runs twice leaves a stray file that no manifest names.
+    ``start`` counts the ids of all files before. Rows go to range partitions of doc_id and a hash of the text, whatever
+    their source, so the texts of one doc_id (also the null) spread over tasks and files; a file's name is its own attempt's, so a task that runs twice leaves a stray file that no manifest names.
     """
     folder = new_path(docs.sparkSession, "token-files")
 
@@ -173,7 +173,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -
             writer.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "first_doc": pa.array([seen[0]], pa.int64()), "last_doc": pa.array([seen[-1]], pa.int64()), "n_docs": [sum(map(len, writer.docs))], "n_tokens": [writer.ids]})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     files = stage(ordered.mapInArrow(write, "path string, first_doc long, last_doc long, n_docs long, n_tokens long"), "token-manifest")
     before = Window.orderBy(F.col("first_doc").asc_nulls_first(), F.col("last_doc").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))  # one row a file

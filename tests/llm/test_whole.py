@@ -83,6 +83,40 @@ def test_packing_of_more_sources_than_are_broadcast(spark, monkeypatch):
     check_pieces(packing.pack(frame, WORD, 2, window=64, group_tokens=200).collect(), rows, 2, 64)
 
 
+def test_packing_sums_group_sizes_in_runs(spark, monkeypatch):
+    from cipherscope.llm import packing
+
+    from .test_operators import WORD, check_pieces
+
+    monkeypatch.setattr(packing, "RUN", 3)
+    rows = [(i, "some words of a text " * (i % 9)) for i in range(120)]
+    frame = spark.createDataFrame([(i, t, "one" if i % 3 else None) for i, t in rows], "doc_id long, text string, source string")
+    pieces = packing.pack(frame, WORD, 2, window=64, group_tokens=150).collect()
+    assert max(p.sequence_id for p in pieces) > 30  # more groups than a run holds
+    check_pieces(pieces, rows, 2, 64)
+
+
+def test_token_files_of_one_doc_id(spark):
+    from cipherscope.llm.token_files import read_token_files, write_token_files
+
+    from .test_operators import WORD, library
+
+    texts = [f"text {i} of a null doc_id" for i in range(400)] + [None, "", "same", "same"]
+    rows = [(None, t) for t in texts] + [(7, "before"), (9, "after")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows, yet several tasks
+    try:
+        files = write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), WORD)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = files.orderBy("start").collect()
+    assert len([f for f in parts if f.first_doc is None]) > 1  # nulls are no one task's
+    assert [f.start for f in parts] == list(np.cumsum([0] + [f.n_tokens for f in parts])[:-1])
+    got = read_token_files(files).collect()
+    lib = library(WORD)
+    assert sorted((r.doc_id or 0, tuple(r.ids)) for r in got) == sorted((i or 0, tuple(lib.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in rows)
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None] * len(texts) + [7, 9]
+
+
 def test_language_of_text_without_blanks():
     from cipherscope.llm.langid import predict, train, word_runs
 
