@@ -13,13 +13,15 @@ Links are verified once a pair, in two waves, so that a large group of near copi
 * all pairs of a bucket that lie in different components are compared then, so that no link between components is
   missed: components are exact.
 
-Verification sends each text once a pair that it is a member of, and a pivot's text once for PAIRS of its pairs: rows are
-sorted by pivot and streamed, whatever a pivot's number of pairs. In the second wave a bucket of many members is salted
-too: its rows are dealt into tiles, and rows outside the main component meet every tile.
+Verification first compares the two sets' parities, a bit a shingle, and drops pairs that differ in more parts than links
+may. Of the others it sends each text once a pair that it is a member of, and a pivot's text once for PAIRS of its pairs:
+rows are sorted by pivot and streamed, whatever a pivot's number of pairs. Texts of no such pair stay where they are. In
+the second wave a bucket of many members is salted too: its rows are dealt into tiles, and rows outside the main component
+meet every tile.
 
 Pairs are dropped by length (sizes), by place (what can still match behind and before the shared shingle), and by suffix
 bounds (both sets partitioned by hash: in a part whose counts differ, at least that many shingles do), before sets are
-intersected. The bounds are conditions of the join itself. Sets are made from whole texts.
+intersected. All but the parities are conditions of the join itself. Sets are made from whole texts.
 
 Words are runs of other than space and \\x09-\\x0D, A-Z lower-cased; fewer words than a shingle count as one shingle.
 Defined results: a null text or one without words has an empty set, links with nothing; a null doc_id sorts first (a
@@ -49,7 +51,9 @@ PAIRS = 500
 #: Rows of documents to verify up to which they are broadcast, so that the texts of all others stay where they are.
 BROADCAST_ROWS = 100_000
 NONE = -(2**63)
-#: Parts of the suffix bound's partition, 64 to a column.
+#: Where the rows to verify are more: bits of the filter by doc that tells most texts of no pair.
+FILTER_BITS = 23
+#: Parts of the suffix bound's partition in the join, 64 to a column; parities have more where a set is larger.
 PARTS = 512
 SIGNS = [f"sign_{i}" for i in range(PARTS // 64)]
 STEPS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
@@ -115,10 +119,28 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((y[at] == x).sum()) >= least
 
 
-def signs(s: np.ndarray) -> np.ndarray:
-    """Which parts of the set, partitioned by hash, have an odd count: PARTS bits as longs."""
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (PARTS - 1), minlength=PARTS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parity(s: np.ndarray) -> np.ndarray:
+    """Which parts of the set, partitioned by hash, have an odd count: bits in a power of two of bytes, a bit a shingle at
+    least. Sets whose parities differ in k parts differ in k shingles at least."""
+    parts = max(PARTS, 1 << max(len(s) - 1, 0).bit_length())
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (parts - 1), minlength=parts) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The parity of the same set in fewer parts, ``size`` bytes."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def signs(bits: np.ndarray) -> np.ndarray:
+    """A parity in PARTS parts as longs."""
+    return folded(bits, PARTS // 8).view(np.int64)
+
+
+def may_link(x: np.ndarray, m: int, y: np.ndarray, n: int, percent: int) -> bool:
+    """Whether sets of m and n shingles with these parities may be similar."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= m + n - 2 * overlap_needed(m, n, percent)
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -135,9 +157,35 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (member, pivot) that their parities do not tell apart, as a written table."""
+    own = members.select("doc", "n", "parity")
+    rows = pairs.join(own.toDF("member", "m", "x"), "member").join(own.toDF("pivot", "n", "y"), "pivot")
+
+    def check(batches):
+        for batch in batches:
+            m, n = (batch.column(c).to_pylist() for c in (1, 4))
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(c)] for c in (2, 5))
+            keep = pa.array([may_link(*row, percent) for row in zip(x, m, y, n)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in (0, 3)], ["member", "pivot"])
+
+    rows = rows.select("member", "m", "x", "pivot", "n", "y")
+    return stage(rows.mapInArrow(light(check), "member long, pivot long"), "jaccard-likely")
+
+
+def _among(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The texts of ``docs`` and few others: a filter of 2**FILTER_BITS bits by a hash, 64 to a row, whatever the number of
+    docs, so that most other texts are not shuffled."""
+    bit = F.shiftright(F.xxhash64("doc"), 64 - FILTER_BITS)
+    place, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
+    bits = docs.select(place.alias("place"), mask.alias("mask")).groupBy("place").agg(F.bit_or("mask").alias("bits"))
+    return texts.join(F.broadcast(bits), (place == F.col("place")) & (F.col("bits").bitwiseAND(mask) != 0), "left_semi")
+
+
+def _verify(pairs: DataFrame, members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (member, pivot) whose sets are similar, as a < b. Texts travel, not sets: they are smaller and their sets
-    quickly made. ``pairs`` is a written table, ``texts`` (doc, text) has a row a document."""
+    quickly made. ``texts`` (doc, text) and ``members`` have a row a document."""
+    pairs = _likely(pairs, members, percent)
     few = 2 * pairs.count() <= BROADCAST_ROWS
     many = stage(pairs.groupBy("pivot").count().where(F.col("count") > PAIRS).select(F.col("pivot").alias("p"), F.ceil(F.col("count") / PAIRS).alias("parts")), "jaccard-pivots")
     pairs = pairs.join(many, F.col("pivot") == F.col("p"), "left")
@@ -145,7 +193,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     pairs = pairs.select("member", "pivot", part.alias("part"))
     sides = pairs.select(F.col("member").alias("doc"), "pivot", "part", F.lit(1).alias("role"))
     sides = sides.unionByName(pairs.select(F.col("pivot").alias("doc"), "pivot", "part", F.lit(0).alias("role")).distinct())
-    rows = texts.join(F.broadcast(sides) if few else sides, "doc").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role").select("pivot", "part", "role", "doc", "text")
+    rows = texts.join(F.broadcast(sides), "doc") if few else _among(texts, sides).join(sides, "doc")
+    rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role").select("pivot", "part", "role", "doc", "text")
 
     def check(batches):
         key, head = None, None
@@ -192,30 +241,31 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
         counts, task = np.zeros(COUNTERS, np.uint32), None
         for batch in batches:
             buf, offsets = text_bytes(batch.column(1))
-            ns, keys, odd = [], [], []
+            ns, keys, odd = [], [], []  # odd: parities
             for a, b in doc_slices(offsets, SLICE_BYTES):
                 sets = shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 ns += map(len, sets)
                 keys += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                odd += map(signs, sets)
+                odd += map(parity, sets)
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
             task = task if task is not None else hash((ns[0], keys[0])) & (2**62 - 1)
             none = pa.nulls(len(ns))
-            bits = np.array(odd, np.int64).reshape(-1, len(SIGNS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), *map(pa.array, bits.T)], names)
+            bits = np.array([signs(x) for x in odd], np.int64).reshape(-1, len(SIGNS))
+            odd = pa.array([x.tobytes() for x in odd], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), odd, *map(pa.array, bits.T)], names)
         if task is not None:
             rows = [r for r in range(COUNTERS // ROW) if counts[r * ROW : (r + 1) * ROW].any()]
             none = pa.nulls(len(rows))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(rows, pa.int32()), pa.array([task] * len(rows), pa.int64()), pa.array([counts[r * ROW : (r + 1) * ROW].tobytes() for r in rows], pa.binary()), *[none.cast(pa.int64())] * len(SIGNS)], names)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(rows, pa.int32()), pa.array([task] * len(rows), pa.int64()), pa.array([counts[r * ROW : (r + 1) * ROW].tobytes() for r in rows], pa.binary()), none.cast(pa.binary()), *[none.cast(pa.int64())] * len(SIGNS)], names)
 
-    names = ["doc", "n", "key", "row", "task", "counters", *SIGNS]
-    measured = stage(texts.mapInArrow(light(measure), "doc long, n long, key binary, row int, task long, counters binary, " + ", ".join(f"{x} long" for x in SIGNS)), "jaccard-sizes")
+    names = ["doc", "n", "key", "row", "task", "counters", "parity", *SIGNS]
+    measured = stage(texts.mapInArrow(light(measure), "doc long, n long, key binary, row int, task long, counters binary, parity binary, " + ", ".join(f"{x} long" for x in SIGNS)), "jaccard-sizes")
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(measured.where("row IS NOT NULL")))
-    sizes = measured.where("row IS NULL").select("doc", "n", "key", *SIGNS)
+    sizes = measured.where("row IS NULL").select("doc", "n", "key", "parity", *SIGNS)
     # Only copies need a class; a written table, so that the join below may split a key that a third of the rows share.
     keys = sizes.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("class"), F.count("*").alias("copies")).where("copies > 1")
     keys = stage(keys.drop("copies"), "jaccard-copies")
-    members = stage(sizes.join(keys, "key", "left").select("doc", "n", F.coalesce("class", "doc").alias("class"), *SIGNS), "jaccard-members")
+    members = stage(sizes.join(keys, "key", "left").select("doc", "n", F.coalesce("class", "doc").alias("class"), "parity", *SIGNS), "jaccard-members")
     discard(measured)
     discard(keys)
 
@@ -257,7 +307,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     pairs = waves.where((F.col("doc") != F.col("pivot")) & _may_link(m, i, n, j, percent)).select("doc", "pivot").distinct()
     one, two = classes.toDF("doc", "x"), classes.toDF("pivot", "y")
     compared = stage(pairs.join(one, "doc").join(two, "pivot").where("x <> y").select(F.col("x").alias("member"), F.col("y").alias("pivot")).distinct(), "jaccard-pairs")
-    links = stage(_verify(compared, texts, words, percent), "jaccard-links")
+    links = stage(_verify(compared, members, texts, words, percent), "jaccard-links")
     first = components(links)
 
     # What lies in one bucket but in different components: of such a pair one at least is outside the bucket's main one.
@@ -282,7 +332,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     rest = stage(sides(rest).join(sides(compared).select("a", "b").distinct(), ["a", "b"], "left_anti").select("member", "pivot"), "jaccard-rest")
     discard(open_)
     discard(compared)
-    more = stage(_verify(rest, texts, words, percent), "jaccard-links")
+    more = stage(_verify(rest, members, texts, words, percent), "jaccard-links")
     discard(rest)
     final = components(first.toDF("a", "b").union(more))
     out = members.join(final, members["class"] == final.node, "left")

@@ -70,6 +70,49 @@ def test_jaccard_with_salted_buckets(spark, docs, rows, monkeypatch):
     assert got == ref.jaccard(rows)
 
 
+def shuffled(spark, run):
+    """What run() returns, and the bytes that its stages wrote to the shuffle."""
+    sc = spark.sparkContext._jsc.sc()
+    first = sc.dagScheduler().nextStageId()
+    out = run()
+    last = sc.dagScheduler().nextStageId()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return out, sum(sc.statusStore().lastStageAttempt(i).shuffleWriteBytes() for i in range(first, last))
+
+
+def test_jaccard_shuffles_no_text_that_links_with_none(spark, monkeypatch):
+    from cipherscope.llm import jaccard
+
+    # Long texts of four of twelve passages each share many shingles, but none links: up to three of five passages are common.
+    rng = random.Random(5)
+    passages = [" ".join(str(rng.randrange(10**9)) for _ in range(500)) for _ in range(12)]
+    rows = [(i, " ".join(passages[j] for j in sorted(rng.sample(range(12), 4)))) for i in range(60)]
+    rows = list({t: (i, t) for i, t in rows}.values()) + [(100, "only " + rows[7][1]), (101, rows[9][1])]
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got, size = shuffled(spark, lambda: jaccard.jaccard_join(docs).collect())
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == ref.jaccard(rows)
+    assert size < 6e6
+
+
+def test_jaccard_parities_drop_no_link():
+    from cipherscope.llm.jaccard import PARTS, folded, may_link, parity, signs, similar
+
+    rng = np.random.default_rng(3)
+    kept = 0
+    for n in (1, 2, 5, 40, 511, 513, 3000):
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for share in (0, 0.1, 0.25, 0.3, 0.6, 1):
+            for more in (0, n // 10, n // 4):
+                y = np.unique(np.concatenate([x[int(share * n) :], rng.integers(0, 2**64, more, dtype=np.uint64)]))
+                linked = min(len(x), len(y)) > 0 and similar(x, y, 75)
+                found = may_link(parity(x), len(x), parity(y), len(y), 75)
+                assert found or not linked
+                kept += found and not linked
+    assert kept < 20
+    assert len(parity(x)) == 512 and (folded(parity(x), PARTS // 8).view(np.int64) == signs(parity(x))).all()
+
+
 def test_jaccard_at_the_threshold(spark):
     from cipherscope.llm.jaccard import jaccard_join
 
